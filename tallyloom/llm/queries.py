@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, mixing, token_files
+from . import chat, flac, line_dedup, mixing, quality, token_files, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -27,6 +35,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("repeats")
 
 
+def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op10_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.preference_rows(_table(spark, sf_dir, "conversations"))
     spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["start"].cast("string"), F.lit("+"), x["length"].cast("string"))), ",")
@@ -34,7 +46,7 @@ def op10_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_orc, op4_line_dedup, op7_source_mix, op10_preference_chat)}
+    return {f.__name__: f for f in (op1_segment_top_k, op2_bradley_terry_quality, op3_token_orc, op4_line_dedup, op7_source_mix, op8_flac_media, op10_preference_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
