@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, flac, line_dedup, mixing, quality, token_files, topk
+from . import chat, flac, jaccard, line_dedup, mixing, packing, quality, token_files, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("repeats")
 
@@ -46,7 +54,7 @@ def op10_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_segment_top_k, op2_bradley_terry_quality, op3_token_orc, op4_line_dedup, op7_source_mix, op8_flac_media, op10_preference_chat)}
+    return {f.__name__: f for f in (op1_segment_top_k, op2_bradley_terry_quality, op3_token_orc, op4_line_dedup, op5_certified_packing, op6_jaccard_join, op7_source_mix, op8_flac_media, op10_preference_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
