@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, flac, jaccard, line_dedup, mixing, packing, quality, token_files, topk
+from . import chat, flac, jaccard, line_dedup, mixing, packing, quality, repeats, token_files, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op9_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digest(repeats.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op10_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.preference_rows(_table(spark, sf_dir, "conversations"))
     spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["start"].cast("string"), F.lit("+"), x["length"].cast("string"))), ",")
@@ -54,7 +58,7 @@ def op10_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_segment_top_k, op2_bradley_terry_quality, op3_token_orc, op4_line_dedup, op5_certified_packing, op6_jaccard_join, op7_source_mix, op8_flac_media, op10_preference_chat)}
+    return {f.__name__: f for f in (op1_segment_top_k, op2_bradley_terry_quality, op3_token_orc, op4_line_dedup, op5_certified_packing, op6_jaccard_join, op7_source_mix, op8_flac_media, op9_bwt_repeats, op10_preference_chat)}
 
 
 def oracle_sql() -> dict[str, str]:

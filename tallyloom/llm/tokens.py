@@ -2,7 +2,7 @@
 
 In both vocabularies white space always ends a pre-token, so a text's ids are its words' ids in order.
 Words are looked up in a bounded table; those not yet in it go to the library. Texts that contain the
-start of a special token are encoded by the library whole.
+start of a special token or unusual white space are encoded by the library whole.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import gc
 import re
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -18,7 +18,6 @@ from tokenizers import Tokenizer
 #: Characters of Unicode's White_Space property, as the vocabularies' patterns see \\s (fixed values).
 WHITE = "\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
 _BYTE_WORD = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-_SPACED_WORD = re.compile(f"[^{WHITE}]+")
 #: Words of these characters alone are cut into pre-tokens here; the library cuts all others.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile("[ -~À-ÖØ-öø-ÿ]+")
@@ -35,7 +34,7 @@ _OPEN: dict[str, "WordEncoder"] = {}
 class WordEncoder:
     """``encode(texts)``: all ids in one array, and the number of ids of each text."""
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.lower = self.tokenizer.normalizer is not None  # the word vocabulary's; the other keeps spaces
         self.model = self.tokenizer.model
@@ -63,17 +62,18 @@ class WordEncoder:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def _learn(self, words: list[str]) -> None:
-        got = [self._word(w) for w in words]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        total = int(sizes.sum())
+        got = [self._ids(w) for w in words]
+        sizes = np.fromiter((-1 if x is None else len(x) for x in got), np.int64, len(got))
+        held = np.maximum(sizes, 0)
+        total = int(held.sum())
         while self.words + len(words) > len(self.starts):
             self.starts, self.sizes = np.concatenate([self.starts, self.starts]), np.concatenate([self.sizes, self.sizes])
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids])
         at = slice(self.words, self.words + len(words))
         self.sizes[at] = sizes
-        self.starts[at] = self.used + np.cumsum(sizes) - sizes
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.int32, total)
+        self.starts[at] = self.used + np.cumsum(held) - held
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(x or () for x in got), np.int32, total)
         self.place.update(zip(words, range(self.words, self.words + len(words))))
         self.words += len(words)
         self.used += total
@@ -94,30 +94,55 @@ class WordEncoder:
             gc.enable()
         return np.concatenate(values) if values else np.zeros(0, np.int32), counts
 
+    def _pieces(self, text: str) -> list[str] | None:
+        """Words in a form that says what is before them; None where only the full pattern will do."""
+        if self.lower:
+            return None if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        if "\x00" in text:
+            return None
+        # A piece follows one space, or holds the line feed it follows; the first follows nothing.
+        return ("\x00" + text.replace("\n", " \n")).split(" ")
+
+    def _ids(self, piece: str) -> list[int] | None:
+        """None: white space other than single spaces and line feeds, which the pieces don't tell apart."""
+        if self.lower:
+            return self._word(piece)
+        body = piece.lstrip("\x00\n") if piece[:1] in ("\x00", "\n") else piece
+        if len(piece) - len(body) > 1 or not body or body[0] in WHITE or body[-1] in WHITE:
+            return None
+        chunk = piece[1:] if piece[0] == "\x00" else piece if piece[0] == "\n" else " " + piece
+        out: list[int] = []
+        for word in _BYTE_WORD.findall(chunk):
+            out += self._word(word)
+        return out
+
     def _encode_some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.words > self.max_words:
             self.clear()
-        find = (_SPACED_WORD if self.lower else _BYTE_WORD).findall
-        whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if "<|" in t}
-        words = [[] if i in whole else find(t) for i, t in enumerate(texts)]
-        get = self.place.get
-        found = [get(w, -1) for w in chain.from_iterable(words)]
-        if -1 in found:
-            new = dict.fromkeys(w for w, p in zip(chain.from_iterable(words), found) if p < 0)
-            self._learn(list(new))
-            get = self.place.__getitem__
-            found = list(map(get, chain.from_iterable(words)))
-        at = np.array(found, np.int64)
-        of = np.repeat(np.arange(len(texts)), np.fromiter(map(len, words), np.int64, len(words)))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        flat = self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        counts = np.bincount(of, weights=sizes, minlength=len(texts)).astype(np.int64)
-        for i, ids in sorted(whole.items(), reverse=True):
+        words = [None if "<|" in t else self._pieces(t) for t in texts]
+        sizes = np.fromiter((len(w or ()) for w in words), np.int64, len(words))
+        flat = list(chain.from_iterable(w or () for w in words))
+        at = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [flat[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            at[missing] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
+        of = np.repeat(np.arange(len(texts)), sizes)
+        n = self.sizes[at]
+        odd = {i for i, w in enumerate(words) if w is None} | set(of[n < 0].tolist())
+        if odd:
+            keep = ~np.isin(of, list(odd))
+            at, of, n = at[keep], of[keep], n[keep]
+        ends = np.cumsum(n)
+        out = self.ids[np.repeat(self.starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        counts = np.bincount(of, weights=n, minlength=len(texts)).astype(np.int64)
+        for i in sorted(odd, reverse=True):
+            ids = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
             p = int(counts[:i].sum())
-            flat = np.concatenate([flat[:p], np.array(ids, np.int32), flat[p:]])
+            out = np.concatenate([out[:p], np.array(ids, np.int32), out[p:]])
             counts[i] = len(ids)
-        return flat, counts
+        return out, counts
 
 
 def encoder(path: str) -> WordEncoder:
