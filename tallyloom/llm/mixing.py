@@ -8,7 +8,7 @@ the mix is a filter on it: no document is sorted.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -17,16 +17,20 @@ HASH_BITS = 60
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _hash(id_: Column, text: Column) -> Column:
+    digest = F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit("|"), text))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size (words; null text: 0) and h, a hash of id and text that is the same in
     every run."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), text))
     return docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
+        _hash(F.col(id_col), text).alias("h"),
     )
 
 
@@ -72,6 +76,22 @@ def hash_thresholds(sizes: DataFrame, budgets: DataFrame, bits: int = 12) -> Dat
     return found.select(F.col("s").alias("source"), F.when(nearer, F.col("edge_b")).otherwise(F.col("edge_b") - 1).alias("upto"))
 
 
+def mix_plan(sizes: DataFrame, weights=(1, 2, 3), max_repeats: int = 3) -> DataFrame:
+    """s (source), source_size, target, whole, upto: a source's documents are taken ``whole`` times, and once
+    more where h <= upto."""
+    targets = source_targets(sizes, weights, max_repeats)
+    whole = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeats)).cast("long")
+    plan = targets.withColumn("whole", F.when(F.col("source_size") > 0, whole).otherwise(F.lit(0).cast("long")))
+    plan = written(plan.withColumn("rem", F.when(F.col("whole") < max_repeats, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0)), "mix-plan")
+    upto = hash_thresholds(sizes, plan)
+    joined = plan.join(upto.withColumnRenamed("source", "u"), F.col("source").eqNullSafe(F.col("u")), "left")
+    return joined.select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("upto", F.lit(-1).cast("long")).alias("upto"))
+
+
+def _repeats():
+    return F.col("whole") + F.when(F.col("h") <= F.col("upto"), 1).otherwise(0)
+
+
 def mix_sources(docs: DataFrame, weights=(1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken, repeats for every row of ``docs``.
 
@@ -84,12 +104,15 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), max_repeats: int = 3, id_col
     table gives an empty result. Other columns are left out, whatever their names.
     """
     sizes = written(sized(docs, id_col, text_col, source_col), "mix-sizes")
-    targets = source_targets(sizes, weights, max_repeats)
-    whole = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeats)).cast("long")
-    # Spare capacity is none once a source is taken max_repeats times.
-    plan = targets.withColumn("whole", F.when(F.col("source_size") > 0, whole).otherwise(F.lit(0).cast("long")))
-    plan = written(plan.withColumn("rem", F.when(F.col("whole") < max_repeats, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0)), "mix-plan")
-    upto = hash_thresholds(sizes, plan)
-    plan = plan.join(upto.withColumnRenamed("source", "u"), F.col("source").eqNullSafe(F.col("u")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("upto", F.lit(-1).cast("long")).alias("upto"))
-    repeats = F.col("whole") + F.when(F.col("h") <= F.col("upto"), 1).otherwise(0)
-    return sizes.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"))
+    plan = mix_plan(sizes, weights, max_repeats)
+    return sizes.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", (F.col("size") * _repeats()).alias("taken"), _repeats().alias("repeats"))
+
+
+def mixed_documents(docs: DataFrame, weights=(1, 2, 3), max_repeats: int = 3) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, source and any others) as often as the mix takes them."""
+    sizes = sized(docs)
+    plan = mix_plan(written(sizes, "mix-sizes"), weights, max_repeats)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.withColumn("h", _hash(F.col("doc_id"), text))
+    taken = keyed.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("times", _repeats()).filter("times > 0")
+    return taken.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
