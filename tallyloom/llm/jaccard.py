@@ -290,7 +290,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     dealt = family.join(blocks, F.col("family") == F.col("f")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cls", "family", "rep", "rep_hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    texts = dealt.join(base.withColumnRenamed("doc_id", "d"), F.col("rep").eqNullSafe(F.col("d")) & (F.col("rep_hash") == F.col("text_hash"))).dropDuplicates(["cls", "family", "i", "j"])
+    # Merged at every size: the families grow with the documents, so neither side is one to broadcast.
+    texts = dealt.hint("merge").join(base.withColumnRenamed("doc_id", "d"), F.col("rep").eqNullSafe(F.col("d")) & (F.col("rep_hash") == F.col("text_hash"))).dropDuplicates(["cls", "family", "i", "j"])
     bundle = F.pmod(F.xxhash64("family", "i", "j"), F.lit(4 * parts)).cast("int").alias("bundle")
     edges = texts.select(bundle, "cls", "family", "i", "j", "text").groupBy("bundle").applyInArrow(_verify(width, percent), "a long, b long")
     roots = components(edges)
