@@ -1,13 +1,24 @@
 """Registered queries and their SQL."""
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries():
-    return {}
+import importlib
 
+for _m in ("business", "claims", "evaluation", "evidence", "ledger", "ranking", "retrieval", "streams", "texts"):
+    try:
+        importlib.import_module("tallyloom.queries." + _m)
+    except ModuleNotFoundError:
+        pass
+from .registry import QUERIES, SQL, Query
 
-def oracle_sql():
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.hybrid_rank(spark, sf_dir)
