@@ -2,13 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-import importlib
-
-for _m in ("business", "claims", "evaluation", "evidence", "ledger", "ranking", "retrieval", "streams", "texts"):
-    try:
-        importlib.import_module("tallyloom.queries." + _m)
-    except ModuleNotFoundError:
-        pass
+from . import business, claims, evaluation, evidence, ledger, ranking, retrieval, streams, texts  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 
