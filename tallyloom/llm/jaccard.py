@@ -10,8 +10,13 @@ so one of k + 1 units of budget goes unspent:
 - a segment of budget 2 that differs by one shingle at most (indexed whole and with each shingle left out).
 
 Which kind a band uses is decided by cost: the signatures it writes, and the collisions to expect among the
-band's number of sets at the signatures' length. Sets that share a signature are candidates; families of
-candidates are verified exactly.
+band's number of sets at the signatures' length. Budget is given beyond k + 1, and as many of a set's signatures, those
+of the fewest shingles, are dropped again: an equal signature has equal weight in both sets, so the heaviest of
+those that two linked sets share has enough lighter ones below it to stay in both.
+
+Sets that share a signature are candidates. Each set also has a sketch, the parities of its shingles in many
+cells; sets differ in at least as many shingles as sketches do in bits, which rules out most candidates. What
+is left falls into families, within which all pairs are verified exactly.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ _U = np.uint64
 PLAIN, SUBSETS, DELETIONS = 0, 1, 2
 #: Shingles of sets compared in one task, and words whose hashes a worker remembers; both bound memory.
 FAMILY_SHINGLES, _KNOWN_WORDS = 1_500_000, 500_000
+#: Sets with one signature that are written as pairs; more are compared in a task, in blocks of BLOCK_SETS.
+PAIR_SETS, BLOCK_SETS = 6, 2048
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,16 +105,30 @@ def choose_kind(size: int, k: int, sets: int) -> int:
     return int(np.argmin(cost)) if k else PLAIN
 
 
-def allocate(counts: dict[int, int], percent: int) -> dict[int, tuple[int, int, int, int]]:
-    """For each band: its first size, the next band's, its kind and number of segments. ``counts``: sets by
-    band."""
+def spare(kind: int, k: int) -> int:
+    """Units beyond what k needs, and so signatures that a set drops."""
+    return 0 if k < 6 or kind == DELETIONS else (k + 1) // 4 if kind == PLAIN else (k // 2 + 1) // 5
+
+
+def sketch(s: np.ndarray, percent: int) -> bytes:
+    """Parities of a set's shingles in a power of two of cells, four times the differences of a link or more."""
+    k = most_apart(len(s), len(s) * 100 // percent, percent)
+    cells = 1 << max(6, (4 * k).bit_length())
+    place = (mix(s ^ _U(0x5C5C5C5C5C5C5C5C)) & _U(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=cells) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def allocate(counts: dict[int, int], percent: int) -> dict[int, tuple[int, int, int, int, int]]:
+    """For each band: its first size, the next band's, its kind, number of segments and spare units.
+    ``counts``: sets by band."""
     starts = band_starts(percent, 1 << 31)
     plan = {}
     for band in range(max(counts, default=-1) + 2):
         top = starts[band + 1] - 1
         k = most_apart(top, top, percent)
         kind = choose_kind(top, k, counts.get(band, 0) + counts.get(band - 1, 0))
-        plan[band] = starts[band], starts[band + 1], kind, (k + 1, 3 * (k // 2 + 1), k // 2 + 1)[kind]
+        c = spare(kind, k)
+        plan[band] = starts[band], starts[band + 1], kind, (k + 1 + c, 3 * (k // 2 + 1 + c), k // 2 + 1)[kind], c
     return plan
 
 
@@ -121,27 +142,29 @@ def signatures(sets: list[np.ndarray], plan: dict, percent: int) -> tuple[np.nda
         # In its own band, and in the next as the smaller of a pair.
         for i in np.flatnonzero(sizes > 0):
             n, b = int(sizes[i]), int(band[i]) + step
-            first, following, kind, segments = plan[b]
+            first, following, kind, segments, c = plan[b]
             partner = n * 100 // percent
             if partner < first:
                 continue
             k = most_apart(n, min(partner, following - 1), percent)
             s = sets[i]
             seg = (mix(s ^ _U(0xA5A5A5A5A5A5A5A5)) % _U(segments)).astype(np.int64)
-            total = np.zeros(segments, np.uint64)
+            total, many = np.zeros(segments, np.uint64), np.bincount(seg, minlength=segments)
             np.add.at(total, seg, s)
             base = _U(b * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            place = lambda m: base + np.arange(m, dtype=np.uint64) * _U(0xC2B2AE3D27D4EB4F)  # noqa: B023, E731
             if kind == PLAIN:
-                got = total[: k + 1] + base + np.arange(k + 1, dtype=np.uint64) * _U(0xC2B2AE3D27D4EB4F)
+                got, weight = total[: k + 1 + c] + place(k + 1 + c), many[: k + 1 + c]
             elif kind == SUBSETS:
-                t = total.reshape(-1, 3)[: k // 2 + 1]
+                t, w = total.reshape(-1, 3)[: k // 2 + 1 + c], many.reshape(-1, 3)[: k // 2 + 1 + c]
                 got = np.stack([t[:, 0] + t[:, 1] * _U(3), t[:, 1] + t[:, 2] * _U(5), t[:, 2] + t[:, 0] * _U(7)], 1).ravel()
-                got = got + base + np.arange(len(got), dtype=np.uint64) * _U(0xC2B2AE3D27D4EB4F)
+                got, weight = got + place(len(got)), np.stack([w[:, 0] + w[:, 1], w[:, 1] + w[:, 2], w[:, 2] + w[:, 0]], 1).ravel()
             else:
                 units = k // 2 + 1
-                place = base + np.arange(units, dtype=np.uint64) * _U(0xC2B2AE3D27D4EB4F)
                 inside = seg < units
-                got = np.concatenate([total[:units] + place, total[seg[inside]] - s[inside] + place[seg[inside]]])
+                got = np.concatenate([total[:units] + place(units), total[seg[inside]] - s[inside] + place(units)[seg[inside]]])
+            if c:
+                got = got[np.lexsort((got, weight))[c:]]
             sigs.append(mix(got))
             of.append(np.full(len(got), i))
     if not sigs:
@@ -158,7 +181,8 @@ def _keys(width: int, percent: int):
                 sets = shingle_sets(text_bytes(batch), width)
                 n = np.fromiter(map(len, sets), np.int64, len(sets))
                 key = [set_key(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n), pa.array((np.searchsorted(starts, n, side="right") - 1).astype(np.int32)), pa.array(key, pa.int64())], names=["doc_id", "text_hash", "n", "band", "cls"])
+                marks = [sketch(s, percent) if len(s) else b"" for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n), pa.array((np.searchsorted(starts, n, side="right") - 1).astype(np.int32)), pa.array(key, pa.int64()), pa.array(marks, pa.binary())], names=["doc_id", "text_hash", "n", "band", "cls", "sketch"])
 
     return run
 
@@ -186,63 +210,138 @@ def _index(width: int, percent: int, plan: dict, parts: int):
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Pairs (least class, other class) of the classes that share a signature."""
+    """Classes that share a signature: each pair (a, b) of a few, or rows (a: signature, b: class) of many."""
     sig, cls = [], []
     for blob in table.column("blob").to_pylist():
         n = len(blob) // 16
         sig.append(np.frombuffer(blob, np.uint64, n))
         cls.append(np.frombuffer(blob, np.int64, n, 8 * n))
     sig, cls = np.concatenate(sig), np.concatenate(cls)
-    order = np.argsort(sig)
-    sig = sig[order]
-    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    order = np.lexsort((cls, sig))
+    sig, cls = sig[order], cls[order]
+    new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])])[: len(sig)]  # copies came from several batches
+    sig, cls = sig[new], cls[new]
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)])
     size = np.diff(np.append(start, len(sig)))
-    met = np.repeat(size > 1, size)
-    cls = cls[order][met]
-    size = size[size > 1]
-    if not len(cls):
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    low = np.repeat(np.minimum.reduceat(cls, np.cumsum(size) - size), size)
-    pairs = np.unique(np.stack([low, cls], 1)[low != cls], axis=0)
-    return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+    of = np.repeat(size, size)
+    pairs = [np.zeros((0, 2), np.int64)]
+    for step in range(1, PAIR_SETS):
+        near = np.flatnonzero((of[step:] <= PAIR_SETS) & (sig[step:] == sig[:-step]))
+        pairs.append(np.stack([cls[near], cls[near + step]], 1))
+    few = np.unique(np.concatenate(pairs), axis=0)
+    many = of > PAIR_SETS
+    a, b = np.concatenate([few[:, 0], sig[many].view(np.int64)]), np.concatenate([few[:, 1], cls[many]])
+    return pa.table({"a": pa.array(a), "b": pa.array(b), "many": pa.array(np.arange(len(a)) >= len(few))})
 
 
-def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Pairs of positions whose edges join all linked sets: enough of them, not each.
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches at the size of the least of them: cells that fall together add their parities."""
+    least = min(map(len, sketches))
+    out = np.empty((len(sketches), least), np.uint8)
+    for i, x in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, least), axis=0)
+    return out.view(np.uint64)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+
 
-    One set that shares most with the others is compared with all. Links between two sets that have been
-    joined change nothing, so from then on only sets outside the first one's component are compared with
-    all others.
+def _possible(percent: int):
+    """Pairs whose sizes and sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            ok = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+            k = most_apart(na, nb, percent)
+            sa, sb = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
+            for i in np.flatnonzero(ok).tolist():
+                ok[i] = _apart(*_folded([sa[i], sb[i]])) <= k[i]
+            keep = pa.array(np.flatnonzero(ok))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
+
+    return run
+
+
+def spanning(n: int, first: int, near) -> list[tuple[int, int]]:
+    """Edges that join what ``near`` joins: near(i) says which of n items i is linked to.
+
+    ``first`` is compared with all. Links within its component change nothing, so from then on only items
+    outside of it are compared with all others.
     """
+    label, edges = np.arange(n), []
+    for i in [first, *range(n)]:
+        if i == first or label[i] != label[first]:
+            for j in np.flatnonzero(near(i)).tolist():
+                if label[j] != label[i]:
+                    edges.append((i, j))
+                    label[label == label[j]] = label[i]
+        if i == first and (label == label[first]).all():
+            break
+    return edges
+
+
+def _compare_many(percent: int):
+    """A forest of the possible links among the classes of each signature."""
+
+    def run(table: pa.Table) -> pa.Table:
+        group = np.stack([table.column(c).to_numpy() for c in ("sig", "i", "j")], 1)
+        cls, size, marks = table.column("cls").to_numpy(), table.column("n").to_numpy(), table.column("sketch").to_pylist()
+        order = np.lexsort(group.T[::-1])
+        cuts = np.flatnonzero((np.diff(group[order], axis=0) != 0).any(1)) + 1
+        edges = []
+        for rows in np.split(order, cuts):
+            if len(rows) > 1:
+                x, n = _folded([marks[r] for r in rows]), size[rows]
+                near = lambda i: (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (_apart(x, x[i]) <= most_apart(n, n[i], percent))  # noqa: B023, E731
+                edges += [(int(cls[rows[a]]), int(cls[rows[b]])) for a, b in spanning(len(rows), 0, near)]
+        a, b = zip(*edges) if edges else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _blocks(rows: DataFrame, key: str, blocks: DataFrame, item: str) -> DataFrame:
+    """``rows`` with i and j, the pairs of a group's blocks that each row takes part in. ``blocks``: key and
+    their number."""
+    joined = rows.join(blocks.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"))
+    own = joined.withColumn("_own", F.pmod(F.xxhash64(item), F.col("blocks")).cast("int"))
+    spread = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other")).drop("_key", "_own", "_other", "blocks")
+
+
+def candidate_edges(met: DataFrame, classes: DataFrame, percent: int, bundles: int) -> DataFrame:
+    """a, b: enough of the classes' possible links to join each family. ``classes``: cls, n, sketch."""
+    side = lambda x: classes.select(F.col("cls").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    pairs = met.filter("not many").select("a", "b").distinct()
+    both = pairs.join(side("a"), F.col("a") == F.col("ca")).join(side("b"), F.col("b") == F.col("cb"))
+    few = both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(percent), "a long, b long")
+    many = met.filter("many").select(F.col("a").alias("sig"), F.col("b").alias("cls"))
+    sized = many.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
+    dealt = _blocks(many, "sig", sized, "cls").withColumnRenamed("cls", "m").join(classes, F.col("m") == F.col("cls"))
+    bundle = F.pmod(F.xxhash64("sig", "i", "j"), F.lit(bundles)).cast("int").alias("bundle")
+    return few.unionAll(dealt.select(bundle, "sig", "i", "j", "cls", "n", "sketch").groupBy("bundle").applyInArrow(_compare_many(percent), "a long, b long"))
+
+
+def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of positions whose edges join all linked sets: enough of them, not each."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     of = np.repeat(np.arange(len(sets)), sizes)
-    value, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.argsort(token, kind="stable")
-    posts, ends = of[order], np.cumsum(often)
+    _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    posts, ends = of[np.argsort(token, kind="stable")], np.cumsum(often)
     cuts = np.concatenate([[0], np.cumsum(sizes)])
     lists = np.split(token, cuts[1:-1])
-    label = np.arange(len(sets))
-    edges = []
 
-    def compare(i: int) -> None:
+    def near(i: int) -> np.ndarray:
         t = lists[i][often[lists[i]] > 1]
-        if not len(t):
-            return
         n = often[t]
         flat = posts[np.repeat(ends[t] - n - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         both = np.bincount(flat, minlength=len(sets))
-        hit = np.flatnonzero(100 * both >= percent * (sizes[i] + sizes - both))
-        for j in hit.tolist():
-            if label[j] != label[i]:
-                edges.append((i, j))
-                label[label == label[j]] = label[i]
-
-    first = int(np.argmax(np.add.reduceat(np.minimum(often, len(sets))[token], cuts[:-1]) / np.maximum(sizes, 1)))
-    compare(first)
-    for i in range(len(sets)):
-        if label[i] != label[first]:
-            compare(i)
-    return edges
+        return 100 * both >= percent * (sizes[i] + sizes - both)
+
+    # The one that shares most with the others comes first.
+    return spanning(len(sets), int(np.argmax(np.add.reduceat(often[token], cuts[:-1]) / np.maximum(sizes, 1))), near)
 
 
 def _verify(width: int, percent: int):
@@ -276,20 +375,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
-    keys = written(base.mapInArrow(_keys(width, percent), "doc_id long, text_hash long, n long, band int, cls long"), "shingle-keys")
+    keys = written(base.mapInArrow(_keys(width, percent), "doc_id long, text_hash long, n long, band int, cls long, sketch binary"), "shingle-keys")
     counts = {r["band"]: r["n"] for r in keys.filter("n > 0").groupBy("band").agg(F.count_distinct("cls").alias("n")).collect()}  # a row a band: a logarithm of the largest size
     plan = allocate(counts, percent)
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blobs = base.mapInArrow(_index(width, percent, plan, parts), "part int, blob binary")
-    candidates = components(blobs.groupBy("part").applyInArrow(_meet, "a long, b long"))
-    # One document stands for each class of a family.
-    reps = keys.filter("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("r")).select("cls", "r.doc_id", "r.text_hash", "r.n")
+    met = written(blobs.groupBy("part").applyInArrow(_meet, "a long, b long, many boolean"), "met")
+    # One document stands for each class.
+    reps = keys.filter("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash", "n", "sketch")).alias("r"))
+    reps = reps.select("cls", "r.doc_id", "r.text_hash", "r.n", "r.sketch")
+    candidates = components(candidate_edges(met, reps.select("cls", "n", "sketch"), percent, 4 * parts))
     family = candidates.join(reps, candidates["node"] == reps["cls"]).select("cls", F.col("root").alias("family"), F.col("doc_id").alias("rep"), F.col("text_hash").alias("rep_hash"), "n")
     family = written(family, "families")
-    blocks = family.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY_SHINGLES).cast("int").alias("blocks")).withColumnRenamed("family", "f")
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    dealt = family.join(blocks, F.col("family") == F.col("f")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cls", "family", "rep", "rep_hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    blocks = family.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY_SHINGLES).cast("int").alias("blocks"))
+    dealt = _blocks(family, "family", blocks, "cls").select("cls", "family", "rep", "rep_hash", "i", "j")
     # Merged at every size: the families grow with the documents, so neither side is one to broadcast.
     texts = dealt.hint("merge").join(base.withColumnRenamed("doc_id", "d"), F.col("rep").eqNullSafe(F.col("d")) & (F.col("rep_hash") == F.col("text_hash"))).dropDuplicates(["cls", "family", "i", "j"])
     bundle = F.pmod(F.xxhash64("family", "i", "j"), F.lit(4 * parts)).cast("int").alias("bundle")

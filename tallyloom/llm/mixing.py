@@ -113,6 +113,9 @@ def mixed_documents(docs: DataFrame, weights=(1, 2, 3), max_repeats: int = 3) ->
     sizes = sized(docs)
     plan = mix_plan(written(sizes, "mix-sizes"), weights, max_repeats)
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("h", _hash(F.col("doc_id"), text))
-    taken = keyed.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("times", _repeats()).filter("times > 0")
-    return taken.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    # Names of its own, so that a column of docs may have any other.
+    own = plan.select(*[F.col(c).alias(f"_mix_{c}") for c in plan.columns])
+    keyed = docs.withColumn("_mix_h", _hash(F.col("doc_id"), text))
+    times = F.col("_mix_whole") + F.when(F.col("_mix_h") <= F.col("_mix_upto"), 1).otherwise(0)
+    taken = keyed.join(own, F.col("source").eqNullSafe(F.col("_mix_s"))).withColumn("_mix_times", times).filter("_mix_times > 0")
+    return taken.withColumn("_mix_time", F.explode(F.sequence(F.lit(1), F.col("_mix_times").cast("int")))).select(*docs.columns)

@@ -106,11 +106,20 @@ def _undeal(table: pa.Table, dtype: np.dtype) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, dtype)
 
 
-def _first_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by anchor, surroundings and occurrence, and which rows in it are their surroundings' first."""
-    order = np.lexsort((rows["at"], rows["text"], rows["doc"], rows["ctx"], rows["fp"]))
-    r = rows[order]
-    return order, np.concatenate([[True], (r["fp"][1:] != r["fp"][:-1]) | (r["ctx"][1:] != r["ctx"][:-1])])[: len(r)]
+def _once(rows: np.ndarray, *fields: str) -> np.ndarray:
+    """Rows in order of ``fields`` and occurrence, one of each: repeated rows of a document are one."""
+    keys = (*fields, "doc", "text", "at")
+    r = rows[np.lexsort([rows[k] for k in reversed(keys)])]
+    new = np.ones(len(r), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= r[k][1:] != r[k][:-1]
+    return r[new]
+
+
+def _heads(r: np.ndarray) -> np.ndarray:
+    """Which rows, in order of anchor and surroundings, are the first of theirs."""
+    return np.concatenate([[True], (r["fp"][1:] != r["fp"][:-1]) | (r["ctx"][1:] != r["ctx"][:-1])])[: len(r)]
 
 
 def _list(depth: int, parts: int):
@@ -126,8 +135,8 @@ def _list(depth: int, parts: int):
                 rows["doc"], rows["text"] = doc[at:][of], hash_[at:][of]
                 # Of equal surroundings here only the first goes on as an anchor. For the rest all is known:
                 # at = -1 says so. This keeps a passage of many documents from being a hot key.
-                order, first = _first_of(rows)
-                rows["at"][order[~first]] = -1
+                rows = _once(rows, "fp", "ctx")
+                rows["at"][~_heads(rows)] = -1
                 yield _deal(parts, ((rows["fp"] >> _U(33)) % _U(parts)).astype(np.int64), rows)
 
     return run
@@ -141,8 +150,8 @@ def _same_surroundings(table: pa.Table) -> pa.Table:
     """kind 0: ranges of string starts known to be repeats; kind 1: anchors to be compared with others."""
     rows = _undeal(table, _AT)
     known, rows = rows[rows["at"] < 0], rows[rows["at"] >= 0]
-    order, first = _first_of(rows)
-    r = rows[order]
+    r = _once(rows, "fp", "ctx")
+    first = _heads(r)
     again, heads = r[~first], r[first]
     _, place, many = np.unique(heads["fp"], return_inverse=True, return_counts=True)
     heads = heads[many[place] > 1]
@@ -159,6 +168,7 @@ def _surroundings(depth: int, parts: int):
     dtype, side = _side_dtype(depth), depth - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None
         for batch in batches:
             texts = text_bytes(batch)
             lists = batch.column("asked")
@@ -166,6 +176,9 @@ def _surroundings(depth: int, parts: int):
             fp, at, lo, hi = (flat.field(f).to_numpy() for f in ("fp", "at", "lo", "hi"))
             doc, hash_ = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy(), batch.column("text_hash").to_numpy()
             for i in range(len(texts)):
+                if seen == (doc[i], hash_[i]):  # the join brings repeated rows one after another
+                    continue
+                seen = doc[i], hash_[i]
                 s = slice(ends[i], ends[i + 1])
                 rows = np.zeros(s.stop - s.start, dtype)
                 rows["fp"], rows["at"], rows["lo"], rows["hi"] = fp[s].view(np.uint64), at[s], lo[s], hi[s]
@@ -246,13 +259,13 @@ def _merge(depth: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows = _undeal(table, dtype)
-        rows = rows[np.lexsort((rows["at"], rows["text"], rows["doc"]))]
-        cut = np.argsort(rows["fp"], kind="stable")  # a few anchors at a time, each still in order
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(rows["fp"][cut]) != 0) + 1, [len(rows)]])
+        rows = _once(rows, "fp")
+        bounds = np.concatenate([[0], np.flatnonzero(rows["fp"][1:] != rows["fp"][:-1]) + 1, [len(rows)]])
         out, at = [], 0
         while at < len(bounds) - 1:
             end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + 50_000, side="right")) - 1)
-            some = rows[cut[bounds[at] : bounds[end]]]
+            some = rows[bounds[at] : bounds[end]]  # whole anchors
+            some = some[np.lexsort((some["at"], some["text"], some["doc"]))]
             flags = repeated(some, depth)[:, ::-1]  # now in order of start
             padded = np.pad(flags.astype(np.int8), ((0, 0), (1, 1)))
             step = np.diff(padded, axis=1)
