@@ -50,7 +50,8 @@ class WordEncoder:
     def _part(self, part: str) -> tuple[int, ...]:
         got = self.parts.get(part)
         if got is None:
-            got = self.parts[part] = tuple([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_CHAR))])
+            shown = part.replace(" ", "Ġ") if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHAR)
+            got = self.parts[part] = tuple([t.id for t in self.model.tokenize(shown)])
         return got
 
     def _word(self, word: str) -> list[int]:
@@ -103,8 +104,10 @@ class WordEncoder:
         # A piece follows one space, or holds the line feed it follows; the first follows nothing.
         return ("\x00" + text.replace("\n", " \n")).split(" ")
 
-    def _ids(self, piece: str) -> list[int] | None:
+    def _ids(self, piece: str) -> list[int] | tuple[int, ...] | None:
         """None: white space other than single spaces and line feeds, which the pieces don't tell apart."""
+        if piece.isascii() and piece.isalpha():  # one pre-token
+            return self._part(piece.lower() if self.lower else " " + piece)
         if self.lower:
             return self._word(piece)
         body = piece.lstrip("\x00\n") if piece[:1] in ("\x00", "\n") else piece
