@@ -36,7 +36,7 @@ from .shared import text_bytes, written
 _U = np.uint64
 PLAIN, SUBSETS, DELETIONS = 0, 1, 2
 #: Shingles of sets compared in one task, and words whose hashes a worker remembers; both bound memory.
-FAMILY_SHINGLES, _KNOWN_WORDS = 1_500_000, 500_000
+FAMILY_SHINGLES, _KNOWN_WORDS = 1_500_000, 150_000
 #: Sets with one signature that are written as pairs; more are compared in a task, in blocks of BLOCK_SETS.
 PAIR_SETS, BLOCK_SETS = 6, 2048
 

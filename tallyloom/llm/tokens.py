@@ -34,7 +34,7 @@ _OPEN: dict[str, "WordEncoder"] = {}
 class WordEncoder:
     """``encode(texts)``: all ids in one array, and the number of ids of each text."""
 
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.lower = self.tokenizer.normalizer is not None  # the word vocabulary's; the other keeps spaces
         self.model = self.tokenizer.model
@@ -45,11 +45,22 @@ class WordEncoder:
         self.place: dict[str, int] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
         self.starts, self.sizes, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.int32)
+        self.uses = np.zeros(1024, np.int64)
         self.words = self.used = 0
 
+    def _forget(self) -> None:
+        """Keeps the words used most, half the table at most; words used once go."""
+        names, uses, starts, sizes, ids = list(self.place), self.uses[: self.words], self.starts, self.sizes, self.ids
+        keep = np.argsort(-uses, kind="stable")[: self.max_words // 2]
+        keep = keep[uses[keep] > 1]
+        self.clear()
+        self._store([names[i] for i in keep.tolist()], [None if sizes[i] < 0 else ids[starts[i] : starts[i] + sizes[i]].tolist() for i in keep.tolist()])
+
     def _part(self, part: str) -> tuple[int, ...]:
         got = self.parts.get(part)
         if got is None:
+            if len(self.parts) > self.max_words // 3:
+                self.parts.clear()
             shown = part.replace(" ", "Ġ") if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHAR)
             got = self.parts[part] = tuple([t.id for t in self.model.tokenize(shown)])
         return got
@@ -63,18 +74,20 @@ class WordEncoder:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def _learn(self, words: list[str]) -> None:
-        got = [self._ids(w) for w in words]
+        self._store(words, [self._ids(w) for w in words])
+
+    def _store(self, words: list[str], got: list) -> None:
         sizes = np.fromiter((-1 if x is None else len(x) for x in got), np.int64, len(got))
         held = np.maximum(sizes, 0)
         total = int(held.sum())
         while self.words + len(words) > len(self.starts):
-            self.starts, self.sizes = np.concatenate([self.starts, self.starts]), np.concatenate([self.sizes, self.sizes])
+            self.starts, self.sizes, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.uses))
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids])
         at = slice(self.words, self.words + len(words))
         self.sizes[at] = sizes
         self.starts[at] = self.used + np.cumsum(held) - held
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(x or () for x in got), np.int32, total)
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(() if x is None else x for x in got), np.int32, total)
         self.place.update(zip(words, range(self.words, self.words + len(words))))
         self.words += len(words)
         self.used += total
@@ -121,7 +134,7 @@ class WordEncoder:
 
     def _encode_some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.words > self.max_words:
-            self.clear()
+            self._forget()
         words = [None if "<|" in t else self._pieces(t) for t in texts]
         sizes = np.fromiter((len(w or ()) for w in words), np.int64, len(words))
         flat = list(chain.from_iterable(w or () for w in words))
@@ -131,6 +144,7 @@ class WordEncoder:
             new = [flat[i] for i in missing.tolist()]
             self._learn(list(dict.fromkeys(new)))
             at[missing] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
+        self.uses[: self.words] += np.bincount(at, minlength=self.words)
         of = np.repeat(np.arange(len(texts)), sizes)
         n = self.sizes[at]
         odd = {i for i, w in enumerate(words) if w is None} | set(of[n < 0].tolist())
