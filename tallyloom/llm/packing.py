@@ -36,6 +36,7 @@ def _cut(tokenizer_path: str, end_id: int, capacity: int):
                 first = (np.cumsum(counts) - counts)[row] + start
                 crc = [ids_crc32(ids[a : a + n]) for a, n in zip(first.tolist(), length.tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc.clear()  # workers live on, and later stages need the room more than the next task needs the words
 
     return run
 
