@@ -5,21 +5,30 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def nearest_above(blocks: DataFrame, captions: DataFrame, page: list[str], max_gap: float, min_overlap: float) -> DataFrame:
     """id, caption_id of the caption nearest above each block of its page: a vertical gap of at most
-    ``max_gap`` and a share of at least ``min_overlap`` of the narrower width in common. Joined within pages,
-    which are small."""
-    c = captions.select(*[F.col(k).alias(f"_{k}") for k in page], F.col("id").alias("caption_id"), *[F.col(k).alias(f"c{k}") for k in ("x0", "y0", "x1", "y1")])
-    same = [F.col(k) == F.col(f"_{k}") for k in page]
+    ``max_gap`` and a share of at least ``min_overlap`` of the narrower width in common; of equal gaps the
+    least id. A page may hold many blocks: equal boxes are compared once, and only with boxes whose lower edge
+    is within a band or two of ``max_gap`` above. Of a box's captions the two least ids do, as a block is not
+    its own caption."""
+    box, least = ["x0", "y0", "x1", "y1"], Window.partitionBy(*page, "x0", "y0", "x1", "y1").orderBy("id")
+    band = lambda y: F.floor(F.col(y).cast("double") / (max_gap or 1.0))
+    c = captions.filter("id IS NOT NULL").select(*page, *box, "id").withColumn("_n", F.dense_rank().over(least)).filter("_n <= 2")
+    c = c.select(*[F.col(k).alias(f"_{k}") for k in page], F.col("id").alias("caption_id"), *[F.col(k).alias(f"c{k}") for k in box], band("y1").alias("cband")).distinct()
+    b = blocks.select(*page, *box).distinct().withColumn("band", F.explode(F.sequence(band("y0") - 2, band("y0") + 1)))
     gap = F.col("y0") - F.col("cy1")
     shared = F.least("x1", "cx1") - F.greatest("x0", "cx0")
     overlap = shared / F.least(F.col("x1") - F.col("x0"), F.col("cx1") - F.col("cx0"))
-    met = blocks.join(c, same).filter((gap >= 0) & (gap <= max_gap) & (overlap >= min_overlap) & (F.col("id") != F.col("caption_id")))
-    return met.groupBy("id").agg(F.min_by("caption_id", F.struct(gap, "caption_id")).alias("caption_id"))
+    same = [F.col(k) == F.col(f"_{k}") for k in page] + [F.col("band") == F.col("cband")]
+    met = b.join(c, same).filter((gap >= 0) & (gap <= max_gap) & (overlap >= min_overlap)).groupBy(*page, *box, "caption_id").agg(F.min(gap).alias("gap"))
+    near = Window.partitionBy(*page, *box).orderBy("gap", "caption_id")
+    near = met.withColumn("_n", F.row_number().over(near)).filter("_n <= 2").select(*[F.col(k).alias(f"_{k}") for k in (*page, *box)], "gap", "caption_id")
+    all_ = blocks.filter("id IS NOT NULL").join(near, [F.col(k) == F.col(f"_{k}") for k in (*page, *box)]).filter("id <> caption_id")
+    return all_.groupBy("id").agg(F.min_by("caption_id", F.struct("gap", "caption_id")).alias("caption_id"))
 
 
 def bound_rows(rows: DataFrame, key: str, row: str, satisfied: Column) -> DataFrame:

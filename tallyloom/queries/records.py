@@ -63,7 +63,7 @@ def caption_join(spark, sf_dir) -> DataFrame:
     """The nearest caption above a block of the same page; blocks of a user's events."""
     i = F.col("event_id")
     dec = lambda c: c.cast("decimal(18,6)")
-    b = table(spark, sf_dir, "events").filter("user_id % 3 = user_id % 2").select(i.alias("id"), "user_id", dec((i % 5) / 10).alias("x0"), dec((i % 5) / 10 + 0.4).alias("x1"), dec((i % 20) / 20).alias("y0"), dec((i % 20) / 20 + 0.03).alias("y1"))
+    b = table(spark, sf_dir, "events").select(i.alias("id"), "user_id", dec((i % 5) / 10).alias("x0"), dec((i % 5) / 10 + 0.4).alias("x1"), dec((i % 20) / 20).alias("y0"), dec((i % 20) / 20 + 0.03).alias("y1"))
     return layout.nearest_above(b, b, ["user_id"], 0.045, 0.45)
 
 
