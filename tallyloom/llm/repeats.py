@@ -259,7 +259,7 @@ def _merge(depth: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows = _undeal(table, dtype)
-        rows = _once(rows, "fp")
+        rows = _once(rows, "fp", "lo", "hi")  # an anchor at a cut of a long text is two rows, of different strings
         bounds = np.concatenate([[0], np.flatnonzero(rows["fp"][1:] != rows["fp"][:-1]) + 1, [len(rows)]])
         out, at = [], 0
         while at < len(bounds) - 1:

@@ -276,3 +276,14 @@ def test_quality(spark):
     odd = quality.quality_scores(cases.frame(spark), labels.limit(0)).collect()
     assert len(odd) == len(cases.rows()) and all(r.predicted == 1 for r in odd)
     assert quality.quality_scores(cases.empty(spark), labels).count() == 0
+
+
+def test_repeats_at_a_cut_of_a_long_text(spark):
+    import random
+
+    rng, cut = random.Random(4), repeats._CHUNK
+    text = "".join(rng.choices("abcdefgh", k=cut + 2000))
+    data = [(0, text)] + [(k, text[p : p + 100]) for k, p in enumerate(range(cut - 90, cut + 90, 3), 1)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(df).select("doc_id", "n_removed").collect()}
+    assert got == {k: 100 if k else 0 for k, _ in data}
