@@ -47,7 +47,8 @@ def compaction_ranges(spark, sf_dir) -> DataFrame:
 
 @query("SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'reply' ELSE 'note' END AS kind, left(text, 200) AS content FROM conversations WHERE text <> ''")
 def event_messages(spark, sf_dir) -> DataFrame:
-    """Events as messages by kind."""
-    c = table(spark, sf_dir, "conversations").filter("text <> ''")
+    """Events as messages by kind, with their whole content; a user's is stripped, and left out if blank."""
+    c = table(spark, sf_dir, "conversations")
+    stripped = F.regexp_replace("text", r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
     kind = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "reply").otherwise("note")
-    return c.select("conv_id", "turn", kind.alias("kind"), F.substring("text", 1, 200).alias("content"))
+    return c.select("conv_id", "turn", kind.alias("kind"), F.when(F.col("role") == "user", stripped).otherwise(F.col("text")).alias("content")).filter("content <> ''")

@@ -38,3 +38,11 @@ def test_nearest_above_by_pairs(spark, max_gap):
     b = spark.createDataFrame(rows, "id long, page long, x0 long, y0 long, x1 long, y1 long")
     got = layout.nearest_above(b, b, ["page"], max_gap, 0.5).collect()
     assert {r.id: r.caption_id for r in got} == {i: j for i, (_, j) in want.items()}
+
+
+def test_event_messages_whole(spark, tmp_path):
+    text = " \n\u3000" + "long turn " * 50 + "end\x1f\t"
+    rows = [(1, 0, "user", text), (1, 1, "assistant", text), (1, 2, "user", " \n"), (1, 3, "system", ""), (1, 4, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.queries()["event_messages"](spark, str(tmp_path)).select("conv_id", "turn", "kind", "content").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, "human", text.strip()), (1, 1, "reply", text)]
