@@ -46,3 +46,10 @@ def test_event_messages_whole(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = queries.queries()["event_messages"](spark, str(tmp_path)).select("conv_id", "turn", "kind", "content").collect()
     assert sorted(map(tuple, got)) == [(1, 0, "human", text.strip()), (1, 1, "reply", text)]
+
+
+def test_custom_order_of_all_orders(spark):
+    sql = f"""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END AS rank
+        FROM {read("orders")} ORDER BY rank, o_orderkey"""
+    got = queries.queries()["custom_order"](spark, SF).select("o_orderkey", "rank").collect()
+    assert list(map(tuple, got)) == duckdb.sql(sql).fetchall()
