@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -36,19 +38,45 @@ def bound_rows(rows: DataFrame, key: str, row: str, satisfied: Column) -> DataFr
     return rows.filter(satisfied).groupBy(key).agg(F.min(row).alias("r"), F.count(F.lit(1)).alias("n")).select(key, F.when(F.col("n") == 1, F.col("r")).alias(row), (F.col("n") == 1).alias("matched"))
 
 
+def dedupe_key(text: str | None) -> str:
+    """The text in lower case without tags, entities decoded, of word characters only."""
+    return re.sub(r"\W+", "", unescape(re.sub(r"<[^>]+>", "", text or "")).lower())
+
+
+def _places(text: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def _common(a: str, size: int, places: dict[str, int]) -> int:
+    """Length of the longest common subsequence of ``a`` and a text of ``size``; a match ratio has no more."""
+    full = left = (1 << size) - 1
+    for c in a:
+        if at := left & places.get(c, 0):
+            left = (left + at | left - at) & full
+    return size - left.bit_count()
+
+
 def similar_texts(rows: DataFrame, block: list[str], ratio: float = 0.95) -> DataFrame:
-    """block, id, similar_to: the first earlier text of the block whose match ratio reaches ``ratio``. Blocks
-    are pages of a file, so what is compared is small; lengths rule most pairs out."""
+    """block, id, similar_to: the first earlier text of the block whose match ratio, of dedupe keys, reaches
+    ``ratio``; an empty key is like no other. Blocks are pages of a file, so what is compared is small; lengths,
+    letters and common subsequences rule most pairs out."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out = pdf.sort_values("id"), []
-        texts = list(zip(pdf["id"], pdf["text"].fillna("")))
-        for i, (_, b) in enumerate(texts):
+        pdf, out, earlier = pdf.sort_values("id"), [], []
+        for i, a in zip(pdf["id"], pdf["text"].map(dedupe_key)):
             found = None
-            for j, a in texts[:i]:
-                if 2 * min(len(a), len(b)) >= ratio * (len(a) + len(b)) and (a == b or SequenceMatcher(None, a, b, autojunk=False).quick_ratio() >= ratio and SequenceMatcher(None, a, b, autojunk=False).ratio() >= ratio):
-                    found = j
-                    break
+            for j, b, places, m in earlier if a else ():
+                least = ratio * (len(a) + len(b))
+                if 2 * min(len(a), len(b)) >= least:
+                    m.set_seq1(a)
+                    if a == b or m.quick_ratio() >= ratio and 2 * _common(a, len(b), places) >= least and m.ratio() >= ratio:
+                        found = j
+                        break
+            if a:
+                earlier.append((i, a, _places(a), SequenceMatcher(None, "", a, autojunk=False)))
             out.append(found)
         return pdf[[*block, "id"]].assign(similar_to=pd.array(out, dtype="Int64"))
 
@@ -58,9 +86,6 @@ def similar_texts(rows: DataFrame, block: list[str], ratio: float = 0.95) -> Dat
 
 def table_grid(html: str) -> list[list[str]]:
     """Cells of a table by row, those that span rows or columns repeated."""
-    import re
-    from html import unescape
-
     rows, held = [], {}
     for r, tr in enumerate(re.findall(r"(?is)<tr[^>]*>(.*?)</tr>", html or "")):
         line, col = [], 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import records
@@ -60,7 +60,7 @@ def row_binding(spark, sf_dir) -> DataFrame:
 
 @query("WITH b AS (SELECT event_id AS id, user_id, (event_id % 5) / 10.0 AS x0, (event_id % 5) / 10.0 + 0.4 AS x1, (event_id % 20) / 20.0 AS y0, (event_id % 20) / 20.0 + 0.03 AS y1 FROM events WHERE user_id % 3 = user_id % 2), m AS (SELECT b.id, c.id AS caption_id, row_number() OVER (PARTITION BY b.id ORDER BY b.y0 - c.y1, c.id) AS r FROM b JOIN b c ON b.user_id = c.user_id AND b.id <> c.id AND b.y0 - c.y1 >= 0 AND b.y0 - c.y1 <= 0.045 AND (least(b.x1, c.x1) - greatest(b.x0, c.x0)) / 0.4 >= 0.45) SELECT id, caption_id FROM m WHERE r = 1")
 def caption_join(spark, sf_dir) -> DataFrame:
-    """The nearest caption above a block of the same page; blocks of a user's events."""
+    """The nearest caption above a block of the same page; blocks of a user's events."""
     i = F.col("event_id")
     dec = lambda c: c.cast("decimal(18,6)")
     b = table(spark, sf_dir, "events").select(i.alias("id"), "user_id", dec((i % 5) / 10).alias("x0"), dec((i % 5) / 10 + 0.4).alias("x1"), dec((i % 20) / 20).alias("y0"), dec((i % 20) / 20 + 0.03).alias("y1"))
@@ -108,9 +108,14 @@ def locator_resolution(spark, sf_dir) -> DataFrame:
 
 @query()
 def similar_chunks(spark, sf_dir) -> DataFrame:
-    """Texts like an earlier one of their block; benchmark items in blocks of four."""
-    b = table(spark, sf_dir, "benchmark").select(F.floor(F.col("item_id") / 4).alias("page"), F.col("item_id").alias("id"), "text")
-    return layout.similar_texts(b, ["page"], 0.6)
+    """Chunks like an earlier one of their file and page; a document's lines, on pages of 3,000
+    characters by where they start."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("text_hash")).dropDuplicates(["doc_id", "text_hash"])
+    lines = d.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("id", "text"))
+    before = Window.partitionBy("doc_id", "text_hash").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("text").cast("long") + 1).over(before), F.lit(0))
+    chunks = lines.withColumn("page", F.floor(start / 3000))
+    return layout.similar_texts(chunks, ["doc_id", "text_hash", "page"], 0.6).drop("text_hash")
 
 
 @query()

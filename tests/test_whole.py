@@ -53,3 +53,25 @@ def test_custom_order_of_all_orders(spark):
         FROM {read("orders")} ORDER BY rank, o_orderkey"""
     got = queries.queries()["custom_order"](spark, SF).select("o_orderkey", "rank").collect()
     assert list(map(tuple, got)) == duckdb.sql(sql).fetchall()
+
+
+def test_similar_chunks_of_documents(spark, tmp_path):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(6)
+    lines = ["".join(rng.choices("abcdefghij ", k=rng.randrange(5, 90))) for _ in range(60)]
+    lines += ["<b>Fish &amp; Chips</b>", "fish chips", "FISH, chips!", "", "", "--"] + [x[: len(x) // 2] + "q" + x[len(x) // 2 :] for x in lines[-9:]]
+    rows = [(1, "\n".join(lines)), (None, "same\nsame"), (None, "other\nwords"), (1, "\n".join(lines)), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.queries()["similar_chunks"](spark, str(tmp_path)).select("doc_id", "page", "id", "similar_to").collect()), key=repr)
+    keys, start, want = [layout.dedupe_key(x) for x in lines], 0, []
+    pages = []
+    for i, line in enumerate(lines):
+        pages.append(start // 3000)
+        start += len(line) + 1
+        like = (j for j in range(i) if pages[j] == pages[i] and keys[j] and keys[i] and SequenceMatcher(None, keys[i], keys[j], autojunk=False).ratio() >= 0.6)
+        want.append((1, pages[i], i, next(like, None)))
+    want += [(None, 0, 0, None), (None, 0, 1, 0), (None, 0, 0, None), (None, 0, 1, None)]
+    assert got == sorted(want, key=repr)
+    assert keys[60:66] == ["fishchips"] * 3 + [""] * 3 and pages[-1] > 0
