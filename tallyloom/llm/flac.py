@@ -129,7 +129,8 @@ def _encode_frames(x: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> tup
     for m in range(4):
         at = np.flatnonzero(more == m)
         v = numbers[at]
-        head[at, 4] = v if m == 0 else (0xF00 >> m & 0xFF) | v >> 6 * m
+        # The lead byte says by its leading ones how many bytes the number has: 110, 1110, 11110.
+        head[at, 4] = v if m == 0 else (0xF80 >> m & 0xFF) | v >> 6 * m
         for j in range(m):
             head[at, 5 + j] = 0x80 | v >> 6 * (m - 1 - j) & 0x3F
         head[at, 5 + m], head[at, 6 + m] = sizes[at] - 1 >> 8, sizes[at] - 1 & 255
@@ -359,34 +360,46 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
 
 
+def _decoded(media: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+    """For each stream its place in ``media`` and its PCM blocks: (sample offset, byte offset, PCM), one a frame,
+    checksums verified. Streams of a few megabytes are decoded at once."""
+    for g in _groups([len(x) for x in media]):
+        for i, x, (starts, _, samples, sizes) in zip(range(g.start, g.stop), *decode_streams(media[g])):
+            pcm = (x + 128).astype(np.uint8)
+            yield i, [(a, b, pcm[a : a + n].tobytes()) for a, b, n in zip(samples.tolist(), starts.tolist(), sizes.tolist())]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        media = batch.column("media").to_pylist()
-        for g in _groups([len(x) for x in media]):
-            ids, samples, pcm, seek = [], [], [], []
-            for i, (x, f) in zip(range(g.start, g.stop), zip(*decode_streams(media[g]))):
-                pcm += [(x[a : a + n] + 128).astype(np.uint8).tobytes() for a, n in zip(f[2].tolist(), f[3].tolist())]
-                ids += [i] * len(f[2])
-                samples += f[2].tolist()
-                seek += f[0].tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(samples, pa.int64()), pa.array(seek, pa.int64()), pa.array(pcm, pa.binary())], names=["doc_id", "sample_offset", "byte_offset", "pcm"])
+        for i, blocks in _decoded(batch.column("media").to_pylist()):
+            samples, seek, pcm = zip(*blocks)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([i] * len(pcm), pa.int64())), pa.array(samples, pa.int64()), pa.array(seek, pa.int64()), pa.array(pcm, pa.binary())], names=["doc_id", "sample_offset", "byte_offset", "pcm"])
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
     """doc_id, sample_offset, byte_offset, pcm: one row a frame, checksums verified, with where the frame
-    starts in samples and in the stream, so that a reader can seek to it."""
+    starts in samples and in the stream, so that a reader can seek to it. ``media`` holds streams as
+    encode_media() makes them: no stream is null or empty, null ids and repeated rows stay, and an empty
+    table gives an empty result."""
     return media.select("doc_id", "media").mapInArrow(_blocks, "doc_id long, sample_offset long, byte_offset long, pcm binary")
 
 
+def write_pcm_blocks(media: DataFrame, path: str) -> DataFrame:
+    """pcm_blocks() as a Parquet table in order of id and sample within each file, so that row-group
+    statistics lead a reader to the blocks of a document and offset. The table as read back."""
+    pcm_blocks(media).sortWithinPartitions("doc_id", "sample_offset").write.option("compression", "zstd").parquet(path)
+    return media.sparkSession.read.parquet(path)
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         media, rows = batch.column("media").to_pylist(), []
-        for g in _groups([len(x) for x in media]):
-            for m, x in zip(media[g], decode_streams(media[g])[0]):
-                p, size = (x + 128).astype(np.uint8).tobytes(), np.abs(x)
-                turns = int(np.count_nonzero(np.signbit(x[1:]) != np.signbit(x[:-1])))
-                feature = f"peak={int(size.max())} level={int(size.sum()) // len(x)} energy={int(np.square(x).sum()) // len(x)} turns={turns}"
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature))
+        for i, blocks in _decoded(media):
+            p = b"".join(pcm for _, _, pcm in blocks)
+            x = np.frombuffer(p, np.uint8).astype(np.int32) - 128
+            turns, size = int(np.count_nonzero(np.signbit(x[1:]) != np.signbit(x[:-1]))), np.abs(x)
+            feature = f"peak={int(size.max())} level={int(size.sum()) // len(x)} energy={int(np.square(x).sum()) // len(x)} turns={turns}"
+            rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(media[i]), hashlib.sha256(media[i]).hexdigest(), feature))
         cols = list(zip(*rows)) or [[]] * 6
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "n_bytes", *_COLUMNS])
@@ -396,10 +409,13 @@ _COLUMNS = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "med
 
 
 def media_digest(media: DataFrame) -> DataFrame:
-    """What the decoded samples hold: digests, and peak, mean level, energy and sign changes."""
+    """What the decoded PCM blocks of each row hold, joined in order: digests, and peak, mean level, energy and
+    sign changes. Null ids and repeated rows stay; an empty table gives an empty result."""
     return media.mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_round_trip(docs: DataFrame) -> DataFrame:
-    """Encodes, stores the media column as a table, reads it back, decodes and digests."""
+    """Encodes, stores the media column as a table, reads it back, decodes its PCM blocks and digests them. A null
+    or empty text is 192 spaces, a text of any length is one stream, equal texts get equal values; rows with
+    null or repeated ids stay, columns beside id and text are left out, an empty table gives an empty result."""
     return media_digest(written(encode_media(docs), "flac", compression="zstd"))

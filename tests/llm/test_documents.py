@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -259,6 +260,33 @@ def test_flac(spark):
     assert flac.media_round_trip(cases.empty(spark)).count() == 0
 
 
+def test_flac_frame_numbers():
+    """Numbers from 128, 2,048 and 65,536 on have two, three and four bytes, as UTF-8 has them."""
+    x = [0] * 192
+    _, lengths = flac._encode_frames(np.array(x * 8, np.int32), np.full(8, 192), np.array([0, 127, 128, 2047, 2048, 65535, 65536, 2097151]))
+    raw, _ = flac._encode_frames(np.array(x * 8, np.int32), np.full(8, 192), np.array([0, 127, 128, 2047, 2048, 65535, 65536, 2097151]))
+    at = np.cumsum(lengths) - lengths
+    got = [bytes(raw[a + 4 : a + 4 + n]) for a, n in zip(at, (1, 1, 2, 2, 3, 3, 4, 4))]
+    assert got == [b"\x00", b"\x7f", b"\xc2\x80", b"\xdf\xbf", b"\xe0\xa0\x80", b"\xef\xbf\xbf", b"\xf0\x90\x80\x80", b"\xf7\xbf\xbf\xbf"]
+
+
+@pytest.mark.parametrize("size", [192, 147_456, 147_648, 3_000_000 // 192 * 192])
+def test_flac_of_long_texts(size):
+    import random
+
+    p = " ".join(random.Random(size).choices(["tion", "word", "A", "12"], k=size // 3)).encode()[:size]
+    (x,), (frames,) = flac.decode_streams(flac.encode_streams([p]))
+    assert (x + 128).astype(np.uint8).tobytes() == p and frames[2].tolist() == list(range(0, size, 1152))
+
+
+def test_flac_pcm_files(spark, tmp_path):
+    media = flac.encode_media(cases.frame(spark))
+    got = flac.write_pcm_blocks(media, f"{tmp_path}/pcm").filter("doc_id = 10 AND sample_offset >= 1152").orderBy("sample_offset").collect()
+    raw = cases.rows()[10][1].encode()
+    raw += b" " * (-len(raw) % 192)
+    assert b"".join(r.pcm for r in got) == raw[1152:]
+
+
 def test_flac_checksums():
     stream = flac.encode_streams([bytes(range(192)) * 9])[0]
     bad = bytearray(stream)
