@@ -18,8 +18,8 @@ def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
     return packed.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
-def _mix(c: Column) -> Column:
-    return F.md5(c.cast("string"))
+#: Parts that the conversations of one opening are dealt over when they meet their opening's number.
+_SALTS = 64
 
 
 def pair_up(convs: DataFrame, group_rows: int = 512) -> DataFrame:
@@ -27,28 +27,45 @@ def pair_up(convs: DataFrame, group_rows: int = 512) -> DataFrame:
 
     Conversations that open with the same turn are answers to one prompt: in a fixed pseudo-random order of
     ids each is chosen over the next, rejected whole. One without a next (most openings occur once) is
-    chosen over itself with its last reply replaced by that of the next conversation in another such
-    order, or by an empty reply if there is none. Groups of openings are dealt into parts of about
-    ``group_rows``, so a common opening is no hot key, and no group's pairs are all made.
+    chosen over itself with its last reply replaced by the last reply of another conversation, its donor;
+    the turns after it stay on both sides. Only if there is no other conversation is the reply replaced
+    by an empty one, with a null other_id. If the replies are equal, so are both sides, a tie.
+
+    Conversations of an opening are dealt into parts of about ``group_rows``, so a common opening is no hot
+    key, and no group's pairs are all made. For donors all conversations are dealt into such parts, whose
+    number comes from how many there are; within a part each takes the next one's reply and the last one
+    the first's. One alone in its part takes that of the least conversation of all or, being that itself, of
+    the greatest.
     """
     last = F.expr("transform(filter(sequence(1, greatest(size(turns), 1)), i -> i <= size(turns) and turns[i - 1].role = 'assistant'), i -> i)")
     usable = convs.withColumn("ends", last).filter(F.size("ends") > 0).withColumn("last", F.element_at("ends", -1)).drop("ends")
-    keyed = usable.withColumn("opening", F.md5(F.concat(F.col("turns")[0]["role"], F.lit("\n"), F.col("turns")[0]["text"]))).withColumn("mixed", _mix(F.col("conv_id")))
-    counts = keyed.groupBy("opening").agg(F.count(F.lit(1)).alias("n"))
+    opening = F.md5(F.concat(F.col("turns")[0]["role"], F.lit("\n"), F.col("turns")[0]["text"]))
+    keyed = usable.withColumn("opening", opening).withColumn("mixed", F.md5(F.col("conv_id").cast("string")))
     number = F.conv(F.substring("mixed", 1, 8), 16, 10).cast("long")
-    dealt = keyed.join(counts, "opening").withColumn("part", F.pmod(number, F.ceil(F.col("n") / group_rows)))
-    same = Window.partitionBy("opening", "part").orderBy("mixed", "conv_id")
-    dealt = dealt.withColumn("peer", F.lead(F.struct("conv_id", "turns")).over(same))
-    reply = F.element_at("turns", F.col("last"))["text"]
-    near = Window.partitionBy(F.substring("mixed", 1, 3)).orderBy("mixed", "conv_id")
-    dealt = dealt.withColumn("donor", F.lead(F.struct(F.col("conv_id").alias("id"), reply.alias("reply"))).over(near))
-    swapped = F.expr("concat(slice(turns, 1, last - 1), array(struct('assistant' as role, coalesce(donor.reply, '') as text)))")
-    own = F.expr("slice(turns, 1, last)")
+    keyed = keyed.withColumn("number", number).withColumn("salt", F.pmod(number, F.lit(_SALTS)))
+    # Openings of more than one part, at most one in group_rows conversations.
+    many = keyed.groupBy("opening").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_rows)
+    many = many.select("opening", F.ceil(F.col("n") / group_rows).alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    dealt = keyed.join(many, ["opening", "salt"], "left")
+    part = F.pmod(F.floor(F.col("number") / _SALTS), F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("cell", F.concat("opening", F.lit("-"), part.cast("string")))  # one key, so that parts are dealt apart
+    dealt = dealt.withColumn("peer", F.lead(F.struct("conv_id", "turns")).over(Window.partitionBy("cell").orderBy("mixed", "conv_id")))
+    given = F.struct("mixed", F.col("conv_id").alias("id"), F.element_at("turns", F.col("last"))["text"].alias("reply"))
+    whole = keyed.agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("buckets"), F.min(given).alias("least"), F.max(given).alias("most"), (F.max("salt") >= 0).alias("any"))
+    dealt = dealt.join(F.broadcast(whole), (F.col("salt") >= 0) == F.col("any"))  # one row
+    dealt = dealt.withColumn("bucket", F.pmod("number", F.col("buckets")))
+    near = Window.partitionBy("bucket").orderBy("mixed", "conv_id")
+    around = near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dealt = dealt.withColumn("following", F.lead(given).over(near)).withColumn("leading", F.first(given).over(around))
+    others = [F.when(F.col(c)["id"] != F.col("conv_id"), F.col(c)) for c in ("following", "leading", "least", "most")]
+    dealt = dealt.withColumn("donor", F.coalesce(*others))
+    swapped = F.expr("concat(slice(turns, 1, last - 1), array(struct('assistant' as role, coalesce(donor.reply, '') as text)), slice(turns, last + 1, size(turns)))")
+    paired = F.col("peer").isNotNull()
     return dealt.select(
         "conv_id",
-        F.when(F.col("peer").isNotNull(), F.col("turns")).otherwise(own).cast(TURN).alias("chosen"),
-        F.when(F.col("peer").isNotNull(), F.col("peer.conv_id")).otherwise(F.col("donor.id")).alias("other_id"),
-        F.when(F.col("peer").isNotNull(), F.col("peer.turns")).otherwise(swapped).cast(TURN).alias("rejected"),
+        F.col("turns").cast(TURN).alias("chosen"),
+        F.when(paired, F.col("peer.conv_id")).otherwise(F.col("donor.id")).alias("other_id"),
+        F.when(paired, F.col("peer.turns")).otherwise(swapped).cast(TURN).alias("rejected"),
     )
 
 
@@ -94,5 +111,7 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
 
 
 def preference_rows(turns: DataFrame) -> DataFrame:
-    """Pairs of a table of turns, formatted. An empty table gives an empty result."""
+    """Pairs of a table of turns, formatted: conv_id, other_id and what format_preferences() adds. Columns of
+    ``turns`` beside conv_id, turn, role and text are left out, whatever their names. An empty table gives an
+    empty result."""
     return format_preferences(pair_up(conversations(turns)))

@@ -80,5 +80,22 @@ x AS (SELECT d.*, source_size, target, whole, rem, sum(size) OVER (PARTITION BY
 SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN rem > 0 AND (upper <= rem OR upper - own <= rem AND upper - rem < rem - (upper - own)) THEN 1 ELSE 0 END))::BIGINT AS taken FROM x"""
 
 
+_RENDER = "array_to_string(list_transform({0}, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), '')"
+_SPANS = "array_to_string(list_transform(list_filter(range(1, len({0}) + 1), lambda i: {0}[i].role = 'assistant'), lambda i: (coalesce(list_sum(list_transform({0}[1:i - 1], lambda x: length(x.role) + length(x.text) + 13)), 0)::BIGINT + length({0}[i].role) + 5)::VARCHAR || '+' || (length({0}[i].text) + 7)::VARCHAR), ',')"
+
+_PAIRS = f"""WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS turns, md5(conv_id::VARCHAR) AS mixed FROM t GROUP BY conv_id),
+u AS (SELECT *, ('0x' || substr(mixed, 1, 8))::BIGINT AS number, list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')) AS last FROM c),
+k AS (SELECT *, turns[1] AS opening, {{'mixed': mixed, 'id': conv_id, 'reply': turns[last].text}} AS given, count(*) OVER (PARTITION BY turns[1]) AS n, count(*) OVER () AS total FROM u WHERE last IS NOT NULL),
+d AS (SELECT *, lead({{'id': conv_id, 'turns': turns}}) OVER (PARTITION BY opening, number // 64 % ceil(n / 512)::BIGINT ORDER BY mixed, conv_id) AS peer,
+  lead(given) OVER b AS following, first_value(given) OVER b AS foremost, min(given) OVER () AS least, max(given) OVER () AS most FROM k WINDOW b AS (PARTITION BY number % ceil(total / 512)::BIGINT ORDER BY mixed, conv_id)),
+e AS (SELECT *, CASE WHEN following IS NOT NULL THEN following WHEN foremost.id <> conv_id THEN foremost WHEN least.id <> conv_id THEN least WHEN most.id <> conv_id THEN most END AS donor FROM d),
+p AS (SELECT conv_id, CASE WHEN peer IS NOT NULL THEN peer.id ELSE donor.id END AS other_id, turns AS chosen,
+  CASE WHEN peer IS NOT NULL THEN peer.turns ELSE list_concat(list_concat(turns[1:last - 1], [{{'role': 'assistant', 'text': coalesce(donor.reply, '')}}]), turns[last + 1:]) END AS rejected FROM e),
+q AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(chosen), len(rejected)) + 1), lambda i: chosen[i] <> rejected[i])) - 1, least(len(chosen), len(rejected)))::INT AS n_common FROM p),
+f AS (SELECT *, chosen[n_common + 1:] AS a, rejected[n_common + 1:] AS b FROM q)
+SELECT conv_id, other_id, n_common, {_RENDER.format("chosen[1:n_common]")} AS prompt, {_RENDER.format("a")} AS chosen_text, {_RENDER.format("b")} AS rejected_text, {_SPANS.format("a")} AS chosen_spans, {_SPANS.format("b")} AS rejected_spans FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_segment_top_k": _TOP_K, "op4_line_dedup": _LINES, "op7_source_mix": _MIX}
+    return {"op1_segment_top_k": _TOP_K, "op4_line_dedup": _LINES, "op7_source_mix": _MIX, "op10_preference_chat": _PAIRS}

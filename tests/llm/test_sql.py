@@ -11,7 +11,7 @@ from ..conftest import SF
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.queries()[name](spark, SF)
     rel = con.sql(queries.oracle_sql()[name])

@@ -1,7 +1,9 @@
+import hashlib
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from tallyloom.llm import chat, topk
 
@@ -57,17 +59,75 @@ def test_preferences(spark):
     assert got[5].n_common == 2 and got[5].chosen_text == ""
 
 
-def test_pairs(spark):
+def brute_pairs(turns, group_rows):
+    """conv_id to (other_id, chosen, rejected)."""
+    convs = defaultdict(set)
+    for c, turn, role, text in turns:
+        if c is not None:
+            convs[c].add((turn is not None, turn or 0, "user" if role is None else role, text or ""))
+    convs = {c: [(r, x) for _, _, r, x in sorted(t)] for c, t in convs.items()}
+    convs = {c: t for c, t in convs.items() if any(r == "assistant" for r, _ in t)}
+    mixed = {c: hashlib.md5(str(c).encode()).hexdigest() for c in convs}
+    order = sorted(convs, key=lambda c: (mixed[c], c))
+    number = {c: int(mixed[c][:8], 16) for c in convs}
+    n = Counter(t[0] for t in convs.values())
+    cell = {c: (t[0], number[c] // 64 % -(-n[t[0]] // group_rows)) for c, t in convs.items()}
+    bucket = {c: number[c] % -(-len(convs) // group_rows) for c in convs}
+    out = {}
+    for at, c in enumerate(order):
+        t = convs[c]
+        peer = next((x for x in order[at + 1 :] if cell[x] == cell[c]), None)
+        if peer is not None:
+            out[c] = peer, t, convs[peer]
+            continue
+        others = [x for x in order if x != c]
+        near = [x for x in others if bucket[x] == bucket[c]]
+        donor = next((x for x in order[at + 1 :] if x in near), near[0] if near else others[0] if others and order[0] != c else others[-1] if others else None)
+        last = max(i for i, (r, _) in enumerate(t) if r == "assistant")
+        reply = "" if donor is None else [x for r, x in convs[donor] if r == "assistant"][-1]
+        out[c] = donor, t, [*t[:last], ("assistant", reply), *t[last + 1 :]]
+    return out
+
+
+def formatted(chosen, rejected):
+    n = next((i for i, (a, b) in enumerate(zip(chosen, rejected)) if a != b), min(len(chosen), len(rejected)))
+    render = lambda turns: "".join(f"<|{r}|>\n{x}<|end|>\n" for r, x in turns)
+
+    def spans(turns):
+        marks, at = [], 0
+        for r, x in turns:
+            if r == "assistant":
+                marks.append((at + len(f"<|{r}|>\n"), len(f"{x}<|end|>")))
+            at += len(render([(r, x)]))
+        return marks
+
+    return n, render(chosen[:n]), render(chosen[n:]), render(rejected[n:]), spans(chosen[n:]), spans(rejected[n:])
+
+
+def many_turns():
     turns = []
     for c in range(40):
         turns += [(c, 0, "user", "same" if c % 2 else f"own {c}"), (c, 1, "assistant", f"a{c}"), (c, 1, "assistant", f"a{c}"), (c, 2, None, None)]
-    turns += [(99, 0, "user", "no reply"), (None, 0, "user", "x"), (98, None, "assistant", "only")]
-    df = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, n int")
-    got = {r.conv_id: r for r in chat.preference_rows(df).collect()}
-    assert set(got) == {*range(40), 98}
-    groups = defaultdict(int)
-    for c in range(40):
-        groups[got[c].n_common] += 1
-        assert got[c].prompt.startswith("<|user|>\n")
-        assert got[c].chosen_text != got[c].rejected_text
-    assert chat.preference_rows(df.limit(0)).count() == 0
+    turns += [(99, 0, "user", "no reply"), (None, 0, "user", "x"), (98, None, "assistant", "only"), (97, 0, "user", "日本 é" * 9000), (97, 1, "assistant", "x"), (97, 2, "user", "thanks")]
+    return turns + [(200 + c, i, r, x) for c in range(9) for i, r, x in ((0, "user", "one prompt"), (1, "assistant", "tie"))]
+
+
+@pytest.mark.parametrize("group_rows", [512, 8, 2, 1])
+def test_pairs(spark, group_rows):
+    turns = many_turns()
+    df = spark.createDataFrame([(*t, 1, "x", 2, 3) for t in turns], "conv_id long, turn long, role string, text string, n int, t string, last int, turns int").repartition(3)
+    want = {c: (o, *formatted(a, b)) for c, (o, a, b) in brute_pairs(turns, group_rows).items()}
+    rows = chat.format_preferences(chat.pair_up(chat.conversations(df), group_rows)).collect()
+    got = {r.conv_id: (r.other_id, r.n_common, r.prompt, r.chosen_text, r.rejected_text, [tuple(s) for s in r.chosen_spans], [tuple(s) for s in r.rejected_spans]) for r in rows}
+    assert len(rows) == len(got) and got == want
+    assert all(v[0] is not None for v in got.values())
+
+
+def test_pairs_of_few(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    one = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "thanks")]
+    (r,) = chat.preference_rows(spark.createDataFrame(one, schema)).collect()
+    assert (r.other_id, r.rejected_text) == (None, "<|assistant|>\n<|end|>\n<|user|>\nthanks<|end|>\n") and r.chosen_text.endswith("thanks<|end|>\n")
+    two = {r.conv_id: r.other_id for r in chat.preference_rows(spark.createDataFrame([*one, (2, 0, "assistant", "b")], schema)).collect()}
+    assert two == {1: 2, 2: 1}
+    assert chat.preference_rows(spark.createDataFrame([], schema)).count() == 0
