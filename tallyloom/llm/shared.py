@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where it is unset: a temporary folder on a local
-    master, else one beside the warehouse, since executors share no local folder."""
+    master, removed at exit; on a cluster an error, since executors share no local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if spark.sparkContext.master.startswith("local"):
-            root = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tallyloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -35,6 +39,28 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key's rows are dealt over as many tasks as it has 2,000ths of all of them.
+_SHARES = 2000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], item: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined on the columns ``on`` with ``table``, which has a row for each key and in ``n`` how many
+    of ``rows`` have it. The columns of ``table`` beside n are added.
+
+    A key of more than a 2,000th of the sum of n is hot. There are fewer than 2,000 such keys, whatever the
+    size, so they are broadcast, and a hot key's rows are salted by a hash of ``item``: none of its parts is
+    above a 2,000th. ``table`` is read three times and should be a written one.
+    """
+    whole = table.agg(F.sum("n").alias("s")).first()["s"] or 0
+    parts = F.greatest(F.ceil(F.col("n") * _SHARES / max(whole, 1)), F.lit(1)).cast("int")
+    keys = [F.col(c).alias(f"_{c}") for c in on]
+    hot = table.filter(parts > 1).select(*keys, parts.alias("_parts"))
+    same = [F.col(c) == F.col(f"_{c}") for c in on]
+    salted = rows.join(F.broadcast(hot), same, "left").withColumn("_salt", F.pmod(F.xxhash64(item), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts", *[f"_{c}" for c in on])
+    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return salted.join(spread, [*on, "_salt"], how).drop("_salt")
+
+
 def binary_list(column: pa.Array) -> list[bytes]:
     """A string column's UTF-8 values; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

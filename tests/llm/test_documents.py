@@ -21,19 +21,25 @@ def collected(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
+def line_key(line):
+    return line.strip(BLANK).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def brute_lines(data):
+    """For each row: its lines and those that stay."""
+    docs = Counter(k for _, k in {(r[0], line_key(x)) for r in data for x in (r[1] or "").split("\n")})
+    return [(x := (r[1] or "").split("\n"), [y for y in x if not (line_key(y) and docs[line_key(y)] >= 10)]) for r in data]
+
+
 def test_line_dedup(spark):
     data = cases.rows()
-    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    key = lambda line: line.strip(BLANK).translate(lower)
-    docs = Counter(k for r in data for k in {key(x) for x in (r[1] or "").split("\n")})
-    want = []
-    for r in data:
-        lines = (r[1] or "").split("\n")
-        kept = [x for x in lines if not (key(x) and docs[key(x)] >= 10)]
-        want.append((r[0], len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
-    got = line_dedup.line_digest(line_dedup.dedup_lines(cases.frame(spark)))
+    data += [(500, "only here\nand here", *data[0][2:])] * 10  # ten rows of one document
+    data += [(600 + i, None if i % 2 else f"nine\n{i}", *data[0][2:]) for i in range(18)] + [(None, "nine\nnull id", *data[0][2:])] * 3
+    want = [(r[0], len(x), len(x) - len(y), hashlib.sha256("\n".join(y).encode()).hexdigest()) for r, (x, y) in zip(data, brute_lines(data))]
+    got = line_dedup.line_digest(line_dedup.dedup_lines(spark.createDataFrame(data, cases.SCHEMA).repartition(3)))
     assert collected(got) == sorted(want, key=repr)
-    assert any(w[2] for w in want)
+    dropped = Counter({w[0]: w[2] for w in want})
+    assert dropped[500] == 0 and dropped[600] == dropped[None] == 1 and any(w[2] for w in want if w[0] is not None and w[0] < 500)
     assert line_dedup.line_digest(line_dedup.dedup_lines(cases.empty(spark))).count() == 0
 
 
