@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import text_bytes, written
+from .shared import group_count, grouped, spread_join, text_bytes, written
 
 _U = np.uint64
 PLAIN, SUBSETS, DELETIONS = 0, 1, 2
@@ -132,6 +132,12 @@ def allocate(counts: dict[int, int], percent: int) -> dict[int, tuple[int, int,
     return plan
 
 
+def signature_count(plan: dict, band: int) -> int:
+    """The most signatures a set of the band has, in its own and the next."""
+    count = lambda first, following, kind, segments, c: segments + following - 1 if kind == DELETIONS else segments - c
+    return count(*plan[band]) + count(*plan[band + 1])
+
+
 def signatures(sets: list[np.ndarray], plan: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of all sets, and which set each is of."""
     starts = np.array([p[0] for p in plan.values()])
@@ -302,26 +308,28 @@ def _compare_many(percent: int):
     return run
 
 
-def _blocks(rows: DataFrame, key: str, blocks: DataFrame, item: str) -> DataFrame:
-    """``rows`` with i and j, the pairs of a group's blocks that each row takes part in. ``blocks``: key and
-    their number."""
-    joined = rows.join(blocks.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"))
-    own = joined.withColumn("_own", F.pmod(F.xxhash64(item), F.col("blocks")).cast("int"))
+def _blocks(rows: DataFrame, sizes: DataFrame, key: str, item: str) -> DataFrame:
+    """``rows`` with i and j, the pairs of a group's blocks that each row takes part in. ``sizes``: key, n rows
+    of it, and its number of blocks."""
+    own = spread_join(rows, sizes, [key], item).withColumn("_own", F.pmod(F.xxhash64(item), F.col("blocks")).cast("int"))
     spread = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return spread.withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other")).drop("_key", "_own", "_other", "blocks")
+    return spread.withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other")).drop("_own", "_other", "blocks")
 
 
-def candidate_edges(met: DataFrame, classes: DataFrame, percent: int, bundles: int) -> DataFrame:
+def candidate_edges(met: DataFrame, classes: DataFrame, percent: int, sketch_bytes: float) -> DataFrame:
     """a, b: enough of the classes' possible links to join each family. ``classes``: cls, n, sketch."""
     side = lambda x: classes.select(F.col("cls").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     pairs = met.filter("not many").select("a", "b").distinct()
     both = pairs.join(side("a"), F.col("a") == F.col("ca")).join(side("b"), F.col("b") == F.col("cb"))
     few = both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible(percent), "a long, b long")
     many = met.filter("many").select(F.col("a").alias("sig"), F.col("b").alias("cls"))
-    sized = many.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
-    dealt = _blocks(many, "sig", sized, "cls").withColumnRenamed("cls", "m").join(classes, F.col("m") == F.col("cls"))
+    sizes = many.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    sizes = written(sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK_SETS).cast("int")), "signature-sizes")
+    dealt = _blocks(many, sizes, "sig", "cls").withColumnRenamed("cls", "m").join(classes, F.col("m") == F.col("cls"))
+    copies = sizes.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    bundles = group_count(met.sparkSession, copies * (sketch_bytes + 40))
     bundle = F.pmod(F.xxhash64("sig", "i", "j"), F.lit(bundles)).cast("int").alias("bundle")
-    return few.unionAll(dealt.select(bundle, "sig", "i", "j", "cls", "n", "sketch").groupBy("bundle").applyInArrow(_compare_many(percent), "a long, b long"))
+    return few.unionAll(grouped(dealt.select(bundle, "sig", "i", "j", "cls", "n", "sketch"), "bundle", bundles).applyInArrow(_compare_many(percent), "a long, b long"))
 
 
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -376,23 +384,26 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     keys = written(base.mapInArrow(_keys(width, percent), "doc_id long, text_hash long, n long, band int, cls long, sketch binary"), "shingle-keys")
-    counts = {r["band"]: r["n"] for r in keys.filter("n > 0").groupBy("band").agg(F.count_distinct("cls").alias("n")).collect()}  # a row a band: a logarithm of the largest size
-    plan = allocate(counts, percent)
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bands = keys.filter("n > 0").groupBy("band").agg(F.count_distinct("cls").alias("n"), F.count(F.lit(1)).alias("rows"), F.sum(F.length("sketch")).alias("marks")).collect()  # a row a band: a logarithm of the largest size
+    plan = allocate({r["band"]: r["n"] for r in bands}, percent)
+    parts = group_count(spark, sum(16 * r["rows"] * signature_count(plan, r["band"]) for r in bands))
     blobs = base.mapInArrow(_index(width, percent, plan, parts), "part int, blob binary")
-    met = written(blobs.groupBy("part").applyInArrow(_meet, "a long, b long, many boolean"), "met")
+    met = written(grouped(blobs, "part", parts).applyInArrow(_meet, "a long, b long, many boolean"), "met")
     # One document stands for each class.
     reps = keys.filter("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash", "n", "sketch")).alias("r"))
     reps = reps.select("cls", "r.doc_id", "r.text_hash", "r.n", "r.sketch")
-    candidates = components(candidate_edges(met, reps.select("cls", "n", "sketch"), percent, 4 * parts))
-    family = candidates.join(reps, candidates["node"] == reps["cls"]).select("cls", F.col("root").alias("family"), F.col("doc_id").alias("rep"), F.col("text_hash").alias("rep_hash"), "n")
+    sketch_bytes = sum(r["marks"] for r in bands) / max(sum(r["rows"] for r in bands), 1)
+    candidates = components(candidate_edges(met, reps.select("cls", "n", "sketch"), percent, sketch_bytes))
+    family = candidates.join(reps, candidates["node"] == reps["cls"]).select("cls", F.col("root").alias("family"), F.col("doc_id").alias("rep"), F.col("text_hash").alias("rep_hash"), F.col("n").alias("size"))
     family = written(family, "families")
-    blocks = family.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY_SHINGLES).cast("int").alias("blocks"))
-    dealt = _blocks(family, "family", blocks, "cls").select("cls", "family", "rep", "rep_hash", "i", "j")
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("size") / FAMILY_SHINGLES).cast("int").alias("blocks"), F.sum("size").alias("shingles"))
+    sizes = written(sizes, "family-sizes")
+    dealt = _blocks(family, sizes.drop("shingles"), "family", "cls").select("cls", "family", "rep", "rep_hash", "i", "j")
     # Merged at every size: the families grow with the documents, so neither side is one to broadcast.
     texts = dealt.hint("merge").join(base.withColumnRenamed("doc_id", "d"), F.col("rep").eqNullSafe(F.col("d")) & (F.col("rep_hash") == F.col("text_hash"))).dropDuplicates(["cls", "family", "i", "j"])
-    bundle = F.pmod(F.xxhash64("family", "i", "j"), F.lit(4 * parts)).cast("int").alias("bundle")
-    edges = texts.select(bundle, "cls", "family", "i", "j", "text").groupBy("bundle").applyInArrow(_verify(width, percent), "a long, b long")
+    bundles = group_count(spark, 8 * (sizes.agg(F.sum(F.col("shingles") * F.col("blocks"))).first()[0] or 0))  # a shingle is a word of text
+    bundle = F.pmod(F.xxhash64("family", "i", "j"), F.lit(bundles)).cast("int").alias("bundle")
+    edges = grouped(texts.select(bundle, "cls", "family", "i", "j", "text"), "bundle", bundles).applyInArrow(_verify(width, percent), "a long, b long")
     roots = components(edges)
     classes = keys.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import split_ranges, text_bytes, written
+from .shared import group_count, grouped, split_ranges, text_bytes, written
 
 GRAM = 24
 _CHUNK = 2 << 20
@@ -137,7 +137,9 @@ def _list(depth: int, parts: int):
                 # at = -1 says so. This keeps a passage of many documents from being a hot key.
                 rows = _once(rows, "fp", "ctx")
                 rows["at"][~_heads(rows)] = -1
-                yield _deal(parts, ((rows["fp"] >> _U(33)) % _U(parts)).astype(np.int64), rows)
+                # Where nothing is left to find out, a row may go anywhere.
+                meet = np.where(rows["at"] < 0, _mix(rows["text"].view(np.uint64)), rows["fp"])
+                yield _deal(parts, ((meet >> _U(33)) % _U(parts)).astype(np.int64), rows)
 
     return run
 
@@ -303,13 +305,18 @@ def _remove(depth: int):
 def repeat_ranges(docs: DataFrame, depth: int = 100) -> DataFrame:
     """doc_id, text_hash, lo, hi: starts of strings that start earlier too, for ``docs`` with doc_id, text
     and text_hash."""
-    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark, side = docs.sparkSession, depth - GRAM
+    # A hash is least among a string's grams at two of side + 2 places.
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = group_count(spark, size * 2 / (side + 2) * _AT.itemsize)
     listed = docs.mapInArrow(_list(depth, parts), "part int, blob binary")
-    rows = written(listed.groupBy("part").applyInArrow(_same_surroundings, _ROW), "anchors")
+    rows = written(grouped(listed, "part", parts).applyInArrow(_same_surroundings, _ROW), "anchors")
     null = F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id"))  # ids that are null travel as the least
-    asked = rows.filter("kind = 1").groupBy(null.alias("d"), F.col("text_hash").alias("t")).agg(F.collect_list(F.struct("fp", "at", "lo", "hi")).alias("asked"))
+    compared = rows.filter("kind = 1")
+    asked = compared.groupBy(null.alias("d"), F.col("text_hash").alias("t")).agg(F.collect_list(F.struct("fp", "at", "lo", "hi")).alias("asked"))
     met = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).select("doc_id", "text_hash", "text", "asked")
-    merged = met.mapInArrow(_surroundings(depth, parts), "part int, blob binary").groupBy("part").applyInArrow(_merge(depth), _RANGE)
+    sides = group_count(spark, compared.count() * _side_dtype(depth).itemsize)
+    merged = grouped(met.mapInArrow(_surroundings(depth, sides), "part int, blob binary"), "part", sides).applyInArrow(_merge(depth), _RANGE)
     return rows.filter("kind = 0").select("doc_id", "text_hash", "lo", "hi").unionAll(merged).withColumn("doc_id", null)
 
 

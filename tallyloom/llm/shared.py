@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
@@ -39,6 +40,21 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a group that a task holds at once.
+_GROUP_BYTES = 32 << 20
+
+
+def group_count(spark: SparkSession, size: float) -> int:
+    """Groups to deal ``size`` bytes into, so that one is held by a task whatever the size: as many as shuffle
+    partitions, or more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / _GROUP_BYTES))
+
+
+def grouped(rows: DataFrame, key: str, groups: int):
+    """``rows`` grouped by ``key``, a number under ``groups``, in that many tasks."""
+    return rows.repartition(groups, key).groupBy(key)
+
+
 #: A key's rows are dealt over as many tasks as it has 2,000ths of all of them.
 _SHARES = 2000
 
