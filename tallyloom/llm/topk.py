@@ -9,6 +9,8 @@ whose bound reaches the k-th best exact score found so far go on, and exact scor
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,90 +40,171 @@ def _segments(x: np.ndarray, count: int) -> np.ndarray:
     return np.concatenate([mean * np.sqrt(n), deviation * np.sqrt(n)], axis=1)
 
 
-def _kth(score: np.ndarray, row: np.ndarray, n: int, k: int) -> np.ndarray:
-    """The k-th best score of each of ``n`` rows; minus infinity where there are fewer."""
-    order = np.lexsort((-score, row))
-    counts = np.bincount(row, minlength=n)
-    out = np.full(n, -np.inf)
-    full = counts >= k
-    out[full] = score[order][(np.cumsum(counts) - counts + k - 1)[full]]
-    return out
+def _widths(d: int) -> list[int]:
+    return [2 * min(level, d) for level in LEVELS]
 
 
-def block_top_k(q_ids, q, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, score) of the k best candidates of each query, ties to smaller ids."""
-    qf, cf = q.astype(np.float64), c.astype(np.float64)
-    # A bound is taken a little high, by more than rounding can have cost.
-    slack = 1e-9 * np.linalg.norm(qf, axis=1)[:, None] * np.linalg.norm(cf, axis=1)[None, :].max(initial=0) + 1e-6
-    bound = _segments(qf, LEVELS[0]) @ _segments(cf, LEVELS[0]).T + slack
-    bound[q_ids[:, None] == c_ids[None, :]] = -np.inf
-    exact = lambda i, j: np.einsum("ij,ij->i", q[i], c[j])
-    # The best by the coarsest bound are scored at once, for a threshold to start from.
-    m = min(k + 1, len(c))
-    j = np.argpartition(-bound, m - 1, axis=1)[:, :m]
-    i = np.repeat(np.arange(len(q)), m)
-    j = j.ravel()
-    own = q_ids[i] != c_ids[j]
-    least = _kth(exact(i[own], j[own]).astype(np.float64), i[own], len(q), k)
-    i, j = np.nonzero((bound >= least[:, None]) & (bound > -np.inf))
-    for level in LEVELS[1:]:
-        a, b = _segments(qf, level), _segments(cf, level)
-        kept = []
-        for s in range(0, len(i), 100_000):
-            u, v = i[s : s + 100_000], j[s : s + 100_000]
-            kept.append(np.einsum("ij,ij->i", a[u], b[v]) + slack[u, 0] >= least[u])
-        kept = np.concatenate(kept) if kept else np.zeros(0, bool)
-        i, j = i[kept], j[kept]
-    score = np.concatenate([exact(i[s : s + 100_000], j[s : s + 100_000]) for s in range(0, len(i), 100_000)] or [np.zeros(0, np.int64)])
-    order = np.lexsort((c_ids[j], -score, i))
-    i, j, score = i[order], j[order], score[order]
-    counts = np.bincount(i, minlength=len(q))
-    best = np.arange(len(i)) - (np.cumsum(counts) - counts)[i] < k
-    return i[best], j[best], score[best]
-
-
-def _matrix(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors by dimension."""
-    ids = table.column("vec_id").to_numpy()
-    lists = table.column("v").combine_chunks()
+def _matrix(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Of lists: their lengths, and by length a matrix of those of it."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
     size = np.diff(ends)
-    return {int(d): (ids[size == d], values[ends[:-1][size == d][:, None] + np.arange(d)]) for d in np.unique(size)}
+    return size, {int(d): values[ends[:-1][size == d][:, None] + np.arange(d)] for d in np.unique(size)}
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        size, by_size = _matrix(batch.column("v"))
+        ids = batch.column("vec_id")
+        for d, v in by_size.items():
+            x = v.astype(np.float64)
+            stats = np.concatenate([_segments(x, level) for level in LEVELS], axis=1)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, stats.size + 1, stats.shape[1], dtype=np.int32)), pa.array(stats.ravel()))
+            at = pa.array(np.flatnonzero(size == d))
+            yield pa.RecordBatch.from_arrays([ids.take(at), batch.column("v").take(at), flat], names=["vec_id", "v", "stats"])
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """vec_id, v and stats, the segment statistics of all levels, computed once a vector."""
+    return rows.mapInArrow(_describe, "vec_id long, v array<long>, stats array<double>")
+
+
+class Block(NamedTuple):
+    """Vectors of one length: ids, components, and for each level the columns of its bound."""
+
+    ids: np.ndarray
+    v: np.ndarray
+    levels: list[np.ndarray]
+
+    def part(self, a: int, b: int) -> Block:
+        return Block(self.ids[a:b], self.v[a:b], [s[a:b] for s in self.levels])
+
+
+def _load(table: pa.Table) -> dict[int, Block]:
+    ids, out = table.column("vec_id").to_numpy(), {}
+    size, by_size = _matrix(table.column("v"))
+    _, stats = _matrix(table.column("stats"))
+    for d, v in by_size.items():
+        of = stats[sum(_widths(d))]
+        if len(of) != len(v):  # lengths under 16 may share a width
+            of = np.concatenate([_segments(v.astype(np.float64), level) for level in LEVELS], axis=1)
+        out[d] = Block(ids[size == d], v, np.split(of, np.cumsum(_widths(d))[:-1], axis=1))
+    return out
+
+
+class Best:
+    """The k best (score, id) of each query so far, and how many exact scores were taken."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.row, self.id, self.score = k, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.least, self.exact = np.full(n, -np.inf), np.zeros(n, np.int64)
+
+    def add(self, row: np.ndarray, id_: np.ndarray, score: np.ndarray) -> None:
+        row, id_, score = np.concatenate([self.row, row]), np.concatenate([self.id, id_]), np.concatenate([self.score, score])
+        order = np.lexsort((id_, -score, row))
+        row, id_, score = row[order], id_[order], score[order]
+        counts = np.bincount(row, minlength=len(self.least))
+        best = np.arange(len(row)) - (np.cumsum(counts) - counts)[row] < self.k
+        self.row, self.id, self.score = row[best], id_[best], score[best]
+        full = np.flatnonzero(counts >= self.k)
+        self.least[full] = np.maximum(self.least[full], self.score[np.cumsum(np.minimum(counts, self.k))[full] - 1])
+
+
+def _products(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of rows i of q with rows j of c."""
+    out = [np.einsum("ij,ij->i", q[i[s : s + 100_000]], c[j[s : s + 100_000]]) for s in range(0, len(i), 100_000)]
+    return np.concatenate(out) if out else np.zeros(0, q.dtype)
+
+
+def _exact(q: Block, c: Block, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Integer scores of pairs. Where most pairs are asked for and doubles hold the sums, all are multiplied."""
+    if len(i) > len(q.ids) * len(c.ids) / 4 and float(np.abs(q.v).max(initial=0)) * float(np.abs(c.v).max(initial=0)) * q.v.shape[1] < 2**53:
+        return (q.v.astype(np.float64) @ c.v.astype(np.float64).T)[i, j].astype(np.int64)
+    return _products(q.v, c.v, i, j)
+
+
+def refine(best: Best, q: Block, c: Block) -> None:
+    """Adds what is better among the pairs of two blocks. The coarsest bound is taken of every pair; each
+    finer one only of pairs that still reach the query's k-th best exact score; exact scores of the rest."""
+    # A bound is taken a little high, by more than rounding can have cost. The coarsest columns hold the norm.
+    slack = 1e-9 * np.linalg.norm(q.levels[0], axis=1) * np.linalg.norm(c.levels[0], axis=1).max(initial=0) + 1e-6
+    other = q.ids[:, None] != c.ids[None, :]
+    alive, bound = other, q.levels[0] @ c.levels[0].T + slack[:, None]
+    if np.isinf(best.least).any():
+        # The best by the coarsest bound are scored at once, for a threshold to start from.
+        m = min(best.k + 1, len(c.ids))
+        j = np.argpartition(-bound, m - 1, axis=1)[:, :m].ravel()
+        i = np.repeat(np.arange(len(q.ids)), m)
+        own = other[i, j]
+        first = Best(len(q.ids), best.k)
+        first.add(i[own], c.ids[j[own]], _products(q.v, c.v, i[own], j[own]))
+        best.least = np.maximum(best.least, first.least)
+        best.exact += np.bincount(i[own], minlength=len(q.ids))
+    alive = other & (bound >= best.least[:, None])
+    i = j = None
+    for a, b in zip(q.levels[1:], c.levels[1:]):
+        if i is None and np.count_nonzero(alive) > alive.size / 4:
+            alive &= a @ b.T + slack[:, None] >= best.least[:, None]
+            continue
+        if i is None:
+            i, j = np.nonzero(alive)
+        kept = _products(a, b, i, j) + slack[i] >= best.least[i]
+        i, j = i[kept], j[kept]
+    if i is None:
+        i, j = np.nonzero(alive)
+    best.exact += np.bincount(i, minlength=len(q.ids))
+    best.add(i, c.ids[j], _exact(q, c, i, j))
 
 
-def _search(k: int, rows_at_once: int = 256):
+def _search(k: int, queries_at_once: int = 512, rows_at_once: int = 4096):
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         out = []
         if queries.num_rows and rows.num_rows:
-            by_size = _matrix(rows)
-            for d, (ids, q) in _matrix(queries).items():
-                c_ids, c = by_size.get(d, (np.zeros(0, np.int64), np.zeros((0, d), np.int64)))
-                for s in range(0, len(ids) if len(c_ids) else 0, rows_at_once):
-                    i, j, score = block_top_k(ids[s : s + rows_at_once], q[s : s + rows_at_once], c_ids, c, k)
-                    out.append((ids[s : s + rows_at_once][i], c_ids[j], score))
-        cols = [np.concatenate(x) for x in zip(*out)] or [np.zeros(0, np.int64)] * 3
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, cols))))
+            by_size = _load(rows)
+            for d, q in _load(queries).items():
+                for s in range(0, len(q.ids) if d in by_size else 0, queries_at_once):
+                    some, c = q.part(s, s + queries_at_once), by_size[d]
+                    best = Best(len(some.ids), k)
+                    for t in range(0, len(c.ids), rows_at_once):
+                        refine(best, some, c.part(t, t + rows_at_once))
+                    first = np.concatenate([[True], best.row[1:] != best.row[:-1]])[: len(best.row)]
+                    out.append((some.ids[best.row], best.id, best.score, np.where(first, best.exact[best.row], 0)))
+        cols = [np.concatenate(x) for x in zip(*out)] or [np.zeros(0, np.int64)] * 4
+        return pa.table(dict(zip(("query_id", "vec_id", "score", "exact"), map(pa.array, cols))))
 
     return run
 
 
-def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 256, query_block: int = 1024, row_block: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row whose id is divisible by ``query_every`` the k best of all
-    other rows by integer inner product, ties to smaller ids; fewer rows where there are fewer.
+def searched(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 256, block_bytes: int = 64 << 20) -> DataFrame:
+    """top_k() with n_exact, how many of a query's exact scores the bounds did not rule out.
 
-    Both sides are dealt into blocks by a hash of the id, so equal vectors are no hot key, and each pair of
-    blocks is one task: its k best of each query go on, and those are ranked. Only vectors of a query's own
-    length are compared with it. Inner products must fit 64 bits. An empty table gives an empty result.
+    Both sides are dealt into blocks by a hash of the id, so equal vectors are no hot key. A block holds
+    as many vectors as ``block_bytes`` do with their statistics, so a table of n vectors is sent n / block
+    times over 50 and its queries n / block times. Each pair of blocks is one task: it takes the rows a few
+    thousand at a time, with the thresholds found so far, and its k best of each query go on to be ranked.
     """
-    rows = scaled(vectors, scale)
-    queries = rows.filter(F.col("vec_id") % query_every == 0)
-    n, m = vectors.count(), vectors.filter(F.col("vec_id") % query_every == 0).count()
-    row_blocks = max(math.ceil(n / row_block), min(64, math.ceil(n / 256)), 1)
-    query_blocks = max(math.ceil(m / query_block), 1)
+    rows = described(scaled(vectors, scale))
+    # Columns of its own: a cogroup can't tell the two sides of one mapInArrow apart.
+    queries = rows.filter(F.col("vec_id") % query_every == 0).select(*[F.col(c).alias(c) for c in rows.columns])
+    asked = F.col("vec_id") % query_every == 0
+    n, m, d = vectors.agg(F.count(F.lit(1)), F.count_if(asked), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    block = max(block_bytes // (8 * (max(d, 1) + 2 * sum(LEVELS))), 256)
+    row_blocks, query_blocks = max(math.ceil(n / block), min(64, math.ceil(n / 256)), 1), max(math.ceil(m / block), 1)
     place = lambda b: F.pmod(F.xxhash64("vec_id"), F.lit(b)).cast("int")
     every = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
     left = queries.withColumn("qb", place(query_blocks)).withColumn("rb", every(row_blocks))
     right = rows.withColumn("rb", place(row_blocks)).withColumn("qb", every(query_blocks))
-    best = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(_search(k), "query_id long, vec_id long, score long, exact long")
+    own = Window.partitionBy("query_id")
+    ranked = best.withColumn("n_exact", F.sum("exact").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.col("score").desc(), "vec_id")))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "n_exact")
+
+
+def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 256, block_bytes: int = 64 << 20) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row whose id is divisible by ``query_every`` the k best of all
+    other rows by integer inner product, ties to smaller ids; fewer rows where there are fewer.
+
+    Only vectors of a query's own length are compared with it. Inner products must fit 64 bits. Columns
+    beside vec_id and embedding are left out, whatever their names. An empty table gives an empty result.
+    """
+    return searched(vectors, k, query_every, scale, block_bytes).drop("n_exact")

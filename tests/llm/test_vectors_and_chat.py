@@ -28,20 +28,38 @@ def test_top_k(spark):
     rows = [(i, rng.normal(size=24).astype(np.float32).tolist()) for i in range(300)]
     rows += [(400 + i, rows[50][1]) for i in range(8)] + [(500, None), (550, []), (600, [float("nan")] * 24), (650, [None] * 24), (None, [1.0] * 24), (700, [1.0, 2.0]), (701, [3.0, -1.0]), (50, rows[50][1])]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, v int, rank int")
-    for blocks in ({}, {"query_block": 2, "row_block": 40}):
-        assert sorted(map(tuple, topk.top_k(df, **blocks).collect())) == brute(rows)
+    for size in (64 << 20, 1 << 10):
+        found = topk.searched(df, block_bytes=size).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == brute(rows)
+        assert all(0 < r.n_exact < 2 * len(rows) for r in found)
+    assert sorted(map(tuple, topk.top_k(df).collect())) == brute(rows)
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def block(ids, v):
+    return topk.Block(np.array(ids), v, [topk._segments(v.astype(float), level) for level in topk.LEVELS])
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     q, c = rng.integers(-200, 200, (20, 50)), rng.integers(-200, 200, (30, 50))
     exact = q @ c.T
-    last = None
     for level in topk.LEVELS:
         bound = topk._segments(q.astype(float), level) @ topk._segments(c.astype(float), level).T
         assert (bound >= exact - 1e-6).all()
-        last = bound.mean() if last is None else min(last, bound.mean() + 1e-6)
+
+
+def test_bounds_rule_out():
+    """Vectors whose segments differ in level: most pairs need no exact score."""
+    rng = np.random.default_rng(2)
+    level = np.repeat(rng.integers(-300, 300, (400, 16)), 4, axis=1)
+    v = level + rng.integers(-5, 6, level.shape)
+    best = topk.Best(8, 5)
+    for a in range(0, 400, 50):
+        topk.refine(best, block(range(8), v[:8]), block(range(a, a + 50), v[a : a + 50]))
+    want = [sorted((-int(v[i] @ v[j]), j) for j in range(400) if j != i)[:5] for i in range(8)]
+    assert [list(zip((-best.score[best.row == i]).tolist(), best.id[best.row == i].tolist())) for i in range(8)] == want
+    assert best.exact.sum() < 8 * 400 / 4
 
 
 def test_preferences(spark):
