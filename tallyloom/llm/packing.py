@@ -20,7 +20,7 @@ from .tokens import encoder, ids_crc32, with_end
 
 CAPACITY = 4096
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PLACED = PIECE + ", sequence_id long, offset long, free long"
+_PLACED = PIECE + ", sequence_id long, offset long, free long, part_sequences long, part_bound long"
 
 
 def _cut(tokenizer_path: str, end_id: int, capacity: int):
@@ -93,8 +93,9 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
 def _placed(table: pa.Table, seq: np.ndarray, offset: np.ndarray, base: int, capacity: int) -> pa.Table:
     length = table.column("length").to_numpy()
     used = np.bincount(seq, weights=length).astype(np.int64)
+    proof = lower_bound(np.bincount(length), capacity)
     cols = {c: table.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
-    return pa.table(cols | {"sequence_id": pa.array(seq + base), "offset": pa.array(offset), "free": pa.array(capacity - used[seq])})
+    return pa.table(cols | {"sequence_id": pa.array(seq + base), "offset": pa.array(offset), "free": pa.array(capacity - used[seq]), "part_sequences": pa.array(np.full(len(seq), len(used))), "part_bound": pa.array(np.full(len(seq), proof))})
 
 
 def _pack_partition(round_: int, capacity: int):
@@ -125,7 +126,9 @@ def _repack(round_: int, capacity: int):
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_part: int = 20_000, spare: int = 16, rounds: int = 6) -> tuple[DataFrame, int, int]:
-    """``pieces`` with sequence_id and offset, the number of sequences, and the lower bound for all.
+    """``pieces`` with sequence_id, offset, and the certificate of the partition that the sequence was last
+    packed in: part_sequences and part_bound, which no packing of its pieces stays under; beside it the
+    number of sequences and the lower bound for all.
 
     Pieces of full length are sequences as they are. The rest go round robin into partitions of about
     ``rows_per_part``. After each round sequences with ``spare`` free tokens or fewer stand; the others
@@ -137,7 +140,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_part: int = 20_00
     for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # capacity rows at most
         counts[r["length"]] = r["n"]
     bound, rest = lower_bound(counts, capacity), int(counts.sum() - counts[capacity])
-    full = pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": (F.lit(127 << 56) + F.monotonically_increasing_id()), "offset": F.lit(0).cast("long"), "free": F.lit(0).cast("long")})
+    full = pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": (F.lit(127 << 56) + F.monotonically_increasing_id()), "offset": F.lit(0).cast("long"), "free": F.lit(0).cast("long"), "part_sequences": F.lit(1).cast("long"), "part_bound": F.lit(1).cast("long")})
     done, total = [full], int(counts[capacity])
     parts = max(1, -(-rest // rows_per_part))
     left = written(pieces.filter(F.col("length") < capacity).repartition(parts).mapInArrow(_pack_partition(1, capacity), _PLACED), "packed")
@@ -158,6 +161,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_part: int = 20_00
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """A row for each piece of each row of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id,
-    offset. Null ids and repeated rows are packed like others; an empty table gives an empty result; other
-    columns are left out."""
-    return pack(token_pieces(docs, tokenizer_path, end_id, capacity), capacity)[0]
+    offset; then the certificates: part_sequences and part_bound of its partition, n_sequences and lower_bound
+    of the whole. Null ids and repeated rows are packed like others; an empty table gives an empty result;
+    other columns are left out."""
+    out, total, bound = pack(token_pieces(docs, tokenizer_path, end_id, capacity), capacity)
+    return out.withColumns({"n_sequences": F.lit(total).cast("long"), "lower_bound": F.lit(bound).cast("long")})
