@@ -3,6 +3,9 @@
 Each pair of a good and a poor labelled document says that the first beats the second with probability
 sigmoid(w . (x1 - x2)); w is fitted by logistic loss on the differences of features. A document's strength
 is w . x. The threshold is the quantile of the training documents' strengths at the share of poor labels.
+
+Features are shares of kinds of characters, lengths and repetition of words and lines, and the shares of words
+in buckets of a hash, which let the model learn words of any language.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,15 +29,32 @@ for _i, _c in enumerate(_CLASSES):
     _BYTES[list(_c), _i] = 1
 
 
+#: Buckets of words, and words whose bucket a worker remembers.
+WORD_BUCKETS, _KNOWN_WORDS = 64, 100_000
+
+
+class _Buckets(dict):
+    def __missing__(self, word: bytes) -> int:
+        b = self[word] = xxhash.xxh3_64_intdigest(word.lower().strip(b".,!?;:")) % WORD_BUCKETS
+        return b
+
+
+_buckets = _Buckets()
+
+
 def features(texts: list[bytes]) -> np.ndarray:
     """A row of shares and means for each text: characters by kind, repeated and adjacent equal words, word
-    and line lengths, capitals; of whole texts."""
-    out = []
-    for text in texts:
+    and line lengths, capitals, words by bucket; of whole texts."""
+    out, lexical = [], np.zeros((len(texts), WORD_BUCKETS))
+    if len(_buckets) > _KNOWN_WORDS:
+        _buckets.clear()
+    for i, text in enumerate(texts):
         raw = np.frombuffer(text, np.uint8)
         chars = (np.bincount(raw, minlength=256) if len(raw) else np.zeros(256)) @ _BYTES / max(len(raw), 1)
         words, lines = text.split(), text.split(b"\n")
         n, distinct = max(len(words), 1), len(set(words))
+        if words:
+            lexical[i] = np.bincount(np.fromiter(map(_buckets.__getitem__, words), np.int64, len(words)), minlength=WORD_BUCKETS) / n
         step = max(1, len(words) // 2)
         half = len(set(words[:step])) / step if words else 0.0
         same = sum(map(eq, words, words[1:])) / n
@@ -42,7 +63,7 @@ def features(texts: list[bytes]) -> np.ndarray:
         out.append([*chars, distinct / n**0.8, half, same, caps, title, min(len(text) / n, 40) / 10, np.log1p(len(words)) / 10, np.log1p(len(lines)) / 10, np.log1p(len(words) / len(lines)) / 5, ended, len(set(lines)) / len(lines)])
     x = np.array(out, np.float64).reshape(len(texts), -1)
     # Square roots tell small shares apart; squares let the middle of a range win.
-    return np.concatenate([x, np.sqrt(np.abs(x)), x * x], axis=1)
+    return np.concatenate([x, np.sqrt(np.abs(x)), x * x, np.sqrt(lexical)], axis=1)
 
 
 def fit_bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int = 40_000, ridge: float = 1e-3, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -80,13 +101,14 @@ def _collectable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, label_col: str = "quality") -> tuple:
-    """A model of labels 0 and 1, from at most ``max_rows`` labelled documents, those first by a hash of the
-    id; other labels and null ids are passed over. The bound keeps what is sent and fitted the same at
-    every size of ``docs``."""
-    sample = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
+    """A model of labels 0 and 1, from ``max_rows`` labels at most, those first by a hash of the id; other
+    labels and null ids are passed over, and a label repeated for an id counts once. What documents of
+    repeated ids bring beyond ``max_rows`` rows is cut again, by a hash of the features. The bound keeps
+    what is sent and fitted the same at every size of ``docs``."""
+    sample = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).distinct().orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
     # Broadcast: max_rows rows of two numbers at most.
     met = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("label", "text")
-    got = met.mapInArrow(_collectable, "label int, x array<double>").orderBy(F.xxhash64("x"), "label").limit(2 * max_rows).toArrow()
+    got = met.mapInArrow(_collectable, "label int, x array<double>").orderBy(F.xxhash64("x"), "label").limit(max_rows).toArrow()
     size = features([b""]).shape[1]
     x = np.array(got.column("x").to_pylist(), np.float64).reshape(-1, size)
     return fit_bradley_terry(x, got.column("label").to_numpy())
@@ -119,6 +141,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``."""
+    """doc_id, held_out, score, predicted for every row of ``docs``, from its whole text alone: null and empty
+    texts are scored as empty, rows with null or repeated ids stay, other columns are left out whatever
+    their names. An empty table gives an empty result; without labels of both kinds all documents pass."""
     model = train(docs, labels)
     return classify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
