@@ -371,8 +371,14 @@ def _verify(width: int, percent: int):
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``: rows whose sets have a similarity of
-    ``percent`` or more are linked, and component_id is the least doc_id that links lead to.
+    """doc_id, n_shingles, component_id for every row of ``docs``: as jaccard_members() has them."""
+    return jaccard_members(docs, width, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_members(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and family for every row of ``docs``: rows whose sets have
+    a similarity of ``percent`` or more are linked, component_id is the least doc_id that links lead to, and
+    family a name of the component that no other has; null for rows without shingles.
 
     Null, empty and blank texts have no shingles and link with nothing, not even with each other. Rows with
     equal sets are one class, compared once. Null ids take part and are never a component's id unless all
@@ -408,5 +414,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     classes = keys.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "r")
-    named = named.join(least, F.col("root") == F.col("r")).select(F.col("cls").alias("c"), "component")
-    return keys.join(named, (F.col("cls") == F.col("c")) & (F.col("n") > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    named = named.join(least, F.col("root") == F.col("r")).select(F.col("cls").alias("c"), "component", F.col("root").alias("family"))
+    joined = keys.join(named, (F.col("cls") == F.col("c")) & (F.col("n") > 0), "left")
+    return joined.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "family")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) without those that another row of their component
+    stands for: the one of the least id, null ids last, and of that id's texts the first by hash. Rows of one
+    id and text are one document, of which one row stays, the first by a hash of its columns; texts without
+    shingles stay."""
+    members = jaccard_members(docs, width, percent).select("doc_id", "text_hash", "family").filter("family IS NOT NULL")
+    members = written(members, "members")
+    own = lambda: F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")
+    first = written(members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min(own()).alias("first")), "first")
+    gone = spread_join(members, first, ["family"], "text_hash").filter(own() != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    kept = hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_t")), "left_anti")
+    one = kept.groupBy("doc_id", "_hash").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+    return one.select("_row.*")

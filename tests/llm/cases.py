@@ -15,8 +15,9 @@ def texts(seed=3, n=60):
     long = " ".join(f"w{i % 977}" for i in range(9000))
     near = out[0].split(" ")
     near[len(near) // 2] = "changed"
+    huge = "\n".join(" ".join(f"{rng.choice(words)}{rng.randrange(5000)}" for _ in range(40)) for _ in range(8000))  # 2.5 MB
     common = "Common  Line"
-    out += [None, "", " ", "\n", "\n\n", "one", "two words", out[0], out[0], " ".join(near), long, long + " tail", "a" * 700, "ab" * 300]
+    out += [None, "", " ", "\n", "\n\n", "one", "two words", out[0], out[0], " ".join(near), long, long + " tail", "a" * 700, "ab" * 300, huge]
     out += [f"{common}\nbody {i} {out[i]}" for i in range(12)] + ["  common  line \t"] * 2
     return out
 
