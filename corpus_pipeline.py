@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return
 the columns of ``documents``; the last returns the packed pieces. Between stages the documents are written as
-Parquet and read again.
+Parquet and read again. Columns beside those of ``documents`` are left out, whatever their names, and an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the Bradley-Terry classifier passes; it learns from the labelled ones among them."""
+    """Documents that the Bradley-Terry classifier passes; it learns from the labelled ones among them. Null
+    and empty texts are scored as empty, rows with null or repeated ids stay rows of their own."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.classify(docs.select(*COLUMNS), model).filter("predicted = 1").select(*COLUMNS)
 
@@ -31,20 +33,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more in shingles of five words: the one of
-    the smallest id."""
-    found = jaccard.jaccard_components(docs, width=5, percent=80)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    return kept.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"]).select(*COLUMNS)
+    the smallest id. Null ids come last; empty texts stay; rows of one id and text are one document."""
+    return jaccard.one_of_each(docs.select(*COLUMNS), width=5, percent=80)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them: none to three times."""
+    """Documents as often as the mix of sources takes them: none to three times. Texts without words are never
+    taken; null sources are one source; repeated rows are taken together."""
     return mixing.mixed_documents(docs.select(*COLUMNS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece, with its sequence and place."""
+    """A row for each piece, with its sequence and place; a null text is the end id alone."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -56,7 +56,7 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: Tokenizers, a fitted model and set joins are beyond SQL; tests hold run() against a brute-force version.
+#: Tokenizers, a fitted model and set joins are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
