@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Unit, base unit and scale (fixed values).
 UNITS = {
     "w": ("w", 1.0), "kw": ("w", 1e3), "mw": ("w", 1e6), "va": ("va", 1.0), "kva": ("va", 1e3), "mva": ("va", 1e6), "v": ("v", 1.0), "kv": ("v", 1e3), "a": ("a", 1.0), "ka": ("a", 1e3), "ma": ("a", 1e-3),
@@ -19,12 +21,16 @@ def numbers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(tight, F.lit(r"[-+]?\d+(?:[.,]\d+)?"), F.lit(0)), lambda n: F.replace(n, F.lit(","), F.lit(".")).cast("double"))
 
 
+#: Signs and words of comparisons, looked for in this order (fixed values).
+COMPARATORS = (("le", "≤|<=|不大于|不应超过"), ("ge", "≥|>=|不小于|不低于"), ("lt", "<"), ("gt", ">"), ("between", "至|到|~|～"))
+
+
 def comparator(text: Column) -> Column:
     """'le', 'ge', 'lt', 'gt', 'between' or 'eq'."""
-    return (
-        F.when(text.rlike(r"≤|<=|不大于|不超过|不应大于|至多"), "le").when(text.rlike(r"≥|>=|不小于|不低于|不应小于|至少"), "ge")
-        .when(text.rlike(r"<|小于|低于"), "lt").when(text.rlike(r">|大于|高于|超过"), "gt").when(text.rlike(rf"{_NUM}\s*[~～]\s*{_NUM}"), "between").otherwise("eq")
-    )
+    out = F.lit("eq")
+    for name, signs in reversed(COMPARATORS):
+        out = F.when(text.rlike(signs), name).otherwise(out)
+    return out
 
 
 def _unit_map(i: int) -> Column:
@@ -62,13 +68,13 @@ def near(a: Column, b: Column) -> Column:
 
 
 def bound_tightness(report: Column, standard: Column, operator: Column) -> Column:
-    """How a reported bound stands to the standard's: 'equal', 'stricter', 'looser' or 'different'. Strict
-    comparisons are never equal."""
-    low = operator.isin("le", "lt")
+    """How a reported bound stands to the standard's: 'equal' (to one part in 10^9), 'stricter', 'looser' or
+    'different'. Strict comparisons are never equal, and an equal value is outside of them."""
+    same = F.abs(report - standard) <= F.greatest(F.lit(1e-12), F.greatest(F.abs(report), F.abs(standard)) * 1e-9)
+    low, high = operator.isin("le", "lt"), operator.isin("ge", "gt")
     return (
-        F.when(operator.isin("le", "ge", "eq") & near(report, standard), "equal")
-        .when(low & (report <= standard) | operator.isin("ge", "gt") & (report >= standard), "stricter")
-        .when(operator == "eq", "different").otherwise("looser")
+        F.when(~operator.isin("lt", "gt") & same, "equal").when(low & (report < standard) | high & (report > standard), "stricter")
+        .when(low | high, "looser").otherwise("different")
     )
 
 
@@ -77,40 +83,52 @@ def _interval(low: Column | None, high: Column | None, form: str, center: Column
     return F.struct(d(low).alias("low"), d(high).alias("high"), F.lit(form).alias("form"), d(center).alias("center"))
 
 
+#: Forms of an interval in the order they are tried: what a match is called, and its pattern.
+_WORD = r"[A-Za-zα-ω\x{4e00}-\x{9fff}]+"
+INTERVAL_FORMS = (
+    ("two_sided_comparator", rf"{_NUM}\s*[^\d<≤>≥]{{0,8}}[<≤]\s*{_WORD}\s*[<≤]\s*{_NUM}"),
+    ("relative_symmetric", rf"{_NUM}\s*\(\s*1\s*±\s*{_NUM}\s*%\s*\)"),
+    ("relative_one_sided", rf"{_NUM}\s*\(\s*1\s*[+-]\s*\d+(?:\.\d+)?\s*%\s*\)"),
+    ("relative_symmetric", rf"{_NUM}\s*\D{{0,6}}?±\s*{_NUM}\s*%"),
+    ("absolute_symmetric", rf"{_NUM}\s*\D{{0,6}}?±\s*{_NUM}"),
+    ("range", rf"{_NUM}\s*[^\d~]{{0,6}}~\s*{_NUM}"),
+)
+
+
 def interval(raw: Column, operator: Column | None = None) -> Column:
     """A claimed value as (low, high, form, center), or null where there is no one number. Forms are tried in
     order: a two-sided comparison, base(1±p%), base(1+p%) or base(1-p%), base±p%, base±d, a range, and last a
-    single number as a bound or scalar."""
-    text = F.regexp_replace(F.translate(raw, "（）％～–—", "()%~~~"), r"(?i)(GB|JB|DL)\s*/?\s*T?\s*[\d.]+\s*-\s*\d{4}", "")
-    # Values in brackets explain a value; only (1...) is part of one.
-    text = F.regexp_replace(text, r"\((?!\s*1\s*[±+-])[^)]*\)", "")
-    formula = text.rlike(r"[*×].*[(/]|/.*\)")
-    group = lambda p, i: F.nullif(F.regexp_extract(text, p, i), F.lit("")).cast("double")
-    two = rf"({_NUM})\s*[^\d<≤>≥]{{0,8}}[<≤]\s*[A-Za-zα-ω\x{{4e00}}-\x{{9fff}}]+\s*[<≤]\s*({_NUM})"
-    rel = rf"({_NUM})\s*\(\s*1\s*±\s*({_NUM})\s*%\s*\)"
-    one = rf"({_NUM})\s*\(\s*1\s*([+-])\s*(\d+(?:\.\d+)?)\s*%\s*\)"
-    pct, dev = rf"({_NUM})\s*\D{{0,6}}?±\s*({_NUM})\s*%", rf"({_NUM})\s*\D{{0,6}}?±\s*({_NUM})"
-    rng = rf"({_NUM})\s*[^\d~]{{0,6}}~\s*({_NUM})"
+    single number as a bound or scalar. Each pattern is searched once; its numbers come from what it found."""
     op = comparator(raw) if operator is None else F.coalesce(operator, comparator(raw))
-    span = lambda p: F.abs(group(p, 1)) * group(p, 2) / 100
-    side = F.abs(group(one, 1)) * group(one, 3) / 100
-    up, down = group(one, 1) + side, group(one, 1) - side
-    plus = F.regexp_extract(text, one, 2) == "+"
-    values = F.array_distinct(F.transform(numbers(text), lambda n: F.round(n, 9)))
-    v = F.try_element_at(values, F.lit(1))
     null = F.lit(None).cast("double")
-    return (
-        F.when(raw.isNull() | (F.trim(raw) == "") | formula, F.lit(None))
-        .when(text.rlike(two), _interval(F.least(group(two, 1), group(two, 2)), F.greatest(group(two, 1), group(two, 2)), "two_sided_comparator"))
-        .when(text.rlike(rel), _interval(group(rel, 1) - span(rel), group(rel, 1) + span(rel), "relative_symmetric", group(rel, 1)))
-        .when(text.rlike(one) & plus, _interval(F.when(op.isin("le", "lt"), null).otherwise(F.least(group(one, 1), up)), up, "relative_one_sided", group(one, 1)))
-        .when(text.rlike(one), _interval(down, F.when(op.isin("ge", "gt"), null).otherwise(F.greatest(group(one, 1), down)), "relative_one_sided", group(one, 1)))
-        .when(text.rlike(pct), _interval(group(pct, 1) - span(pct), group(pct, 1) + span(pct), "relative_symmetric", group(pct, 1)))
-        .when(text.rlike(dev), _interval(group(dev, 1) - F.abs(group(dev, 2)), group(dev, 1) + F.abs(group(dev, 2)), "absolute_symmetric", group(dev, 1)))
-        .when(text.rlike(rng), _interval(F.least(group(rng, 1), group(rng, 2)), F.greatest(group(rng, 1), group(rng, 2)), "range"))
-        .when(F.size(values) != 1, F.lit(None))
-        .when(op.isin("le", "lt"), _interval(null, v, "bound")).when(op.isin("ge", "gt"), _interval(v, null, "bound")).otherwise(_interval(v, v, "scalar", v))
-    )
+
+    def of_match(form: Column, m: Column, ns: Column, o: Column) -> Column:
+        first, last = F.element_at(ns, 1), F.element_at(ns, -1)
+        share = F.abs(first) * F.abs(last) / 100
+        one = lambda low, high: _interval(low, high, "relative_one_sided", first)
+        far = F.when(F.contains(m, F.lit("+")), first + share).otherwise(first - share)
+        spread = lambda d, name: _interval(first - d, first + d, name, first)
+        return (
+            F.when(form.isin(1, 6), F.when(form == 1, _interval(F.least(first, last), F.greatest(first, last), "two_sided_comparator")).otherwise(_interval(F.least(first, last), F.greatest(first, last), "range")))
+            .when(form == 3, F.when(far >= first, one(F.when(o.isin("le", "lt"), null).otherwise(first), far)).otherwise(one(far, F.when(o.isin("ge", "gt"), null).otherwise(first))))
+            .when(form == 5, spread(F.abs(last), "absolute_symmetric")).otherwise(spread(share, "relative_symmetric"))
+        )
+
+    def of_number(text: Column, o: Column) -> Column:
+        bound = lambda v: F.when(o.isin("le", "lt"), _interval(null, v, "bound")).when(o.isin("ge", "gt"), _interval(v, null, "bound")).otherwise(_interval(v, v, "scalar", v))
+        values = F.array_distinct(F.transform(numbers(text), lambda n: F.round(n, 9)))
+        return let(values, lambda vs: F.when(F.size(vs) == 1, bound(F.element_at(vs, 1))))
+
+    def of_text(r: Column) -> Column:
+        text, o = r["text"], r["op"]
+        found = F.array(*[F.regexp_extract(text, p, 0) for _, p in INTERVAL_FORMS])
+        which = lambda ms: F.array_position(F.transform(ms, lambda m: m != ""), True)
+        matched = lambda ms: let(F.struct(which(ms).alias("i"), F.concat_ws("", F.slice(ms, F.greatest(which(ms), F.lit(1)).cast("int"), 1)).alias("m")), lambda k: F.when(k["i"] > 0, of_match(k["i"], k["m"], numbers(k["m"]), o)).otherwise(of_number(text, o)))
+        return F.when(r["formula"], F.lit(None)).otherwise(let(found, matched))
+
+    text = F.regexp_replace(F.translate(raw, "（）％～–—", "()%~~~"), r"(?i)(GB|JB|DL)\s*/?\s*T?\s*[\d.]+\s*-\s*\d{4}", "")
+    cleaned = F.struct(F.regexp_replace(text, r"\((?!\s*1\s*[±+-])[^)]*\)", "").alias("text"), text.rlike(r"[*×].*[(/]|/.*\)").alias("formula"), op.alias("op"))  # a bracket explains a value; only (1...) is part of one
+    return F.when(raw.isNull() | (F.trim(raw) == ""), F.lit(None)).otherwise(let(cleaned, of_text))
 
 
 def interval_relation(low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Column:

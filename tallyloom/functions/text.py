@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,20 +35,27 @@ def dedupe_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(plain(text)), r"(?U)[^\w\x{4e00}-\x{9fff}]+", "")
 
 
-def standard_no(filename: Column) -> Column:
-    """A standard's number such as GB/T 6451-2023 from a file name, with separators in one form; else null."""
-    stem = F.regexp_replace(filename, r"\.[^.]+$", "")
-    prefix = r"Q[\s+]*[/∕／][\s+]*GDW|GB[\s+]*[/∕／]?[\s+]*T?|JB[\s+]*[/∕／]?[\s+]*T?|JGJ|DBJ|DB|HJ|DL|YY|JT|BB"
-    found = F.upper(F.regexp_extract(stem, rf"(?i)(?:{prefix})[\s+]*[\d.]+[\s+]*[-—－][\s+]*\d{{4}}", 0))
-    steps = (("[∕／]", "/"), (r"\+", " "), (r"\s*/\s*", "/"), (r"^(GB|JB)\s*/?\s*T\b", "$1/T"), (r"\s+", " "), (r"\s*-\s*", "-"))
-    for pattern, to in steps:
-        found = F.regexp_replace(found, pattern, to)
-    return F.nullif(F.trim(found), F.lit(""))
+#: Prefixes of standards' numbers (fixed values). A slash before T may be left out.
+STANDARD_PREFIXES = ("Q/GDW", "GB/T", "GB", "JB/T", "JB", "JGJ", "DBJ", "DB", "HJ", "DL", "YY", "JT", "BB")
+
+
+def _folded(value: Column) -> Column:
+    """In capitals, with plain slashes and hyphens, and single spaces for white space and plus signs."""
+    return F.upper(F.trim(F.regexp_replace(F.translate(value, "∕／—－+", "//-- "), r"\s+", " ")))
 
 
 def normal_standard_no(value: Column) -> Column:
-    out = F.upper(F.trim(F.regexp_replace(F.translate(value, "∕／—－", "//--"), r"\s+", " ")))
-    return F.regexp_replace(F.regexp_replace(out, r"\s*-\s*", "-"), r"^GB\s*/?\s*T\b", "GB/T")
+    """A standard's number with separators in one form: no space around slash and hyphen, GB/T and JB/T with
+    their slash."""
+    tight = F.regexp_replace(_folded(value), " ?([/-]) ?", "$1")
+    return F.regexp_replace(tight, r"^(GB|JB)[/ ]?T\b", "$1/T")
+
+
+def standard_no(filename: Column) -> Column:
+    """A standard's number such as GB/T 6451-2023 from a file name, in normal form; else null."""
+    shapes = [x.replace("/T", " ?/? ?T").replace("Q/", "Q ?/ ?") for x in STANDARD_PREFIXES]
+    found = F.regexp_extract(_folded(F.regexp_replace(filename, r"\.[^.]+$", "")), rf"(?:{'|'.join(shapes)}) ?[0-9.]+ ?- ?[0-9]{{4}}", 0)
+    return F.nullif(normal_standard_no(found), F.lit(""))
 
 
 def table_references(text: Column) -> Column:
@@ -74,17 +83,24 @@ def first_row_columns(html: Column) -> Column:
     return F.filter(F.transform(cells, plain), lambda c: c != "")
 
 
-def latex(text: Column) -> Column:
-    """Simple LaTeX as plain text; nested fractions to three levels."""
-    out = F.regexp_replace(text, r"\\[()\[\]]|\\(?=\s|$)", " ")
-    out = F.regexp_replace(out, r"\\mathrm\s*\{\{?([^{}]+)\}?\}", " $1")
-    for _ in range(3):
-        out = F.regexp_replace(out, r"\\text\s*\{\s*([^{}]+?)\s*\}", "$1")
-        out = F.regexp_replace(out, r"\\sqrt\s*\{\s*([^{}]+?)\s*\}", "sqrt($1)")
-        out = F.regexp_replace(out, r"\\frac\s*\{\s*([^{}]+?)\s*\}\s*\{\s*([^{}]+?)\s*\}", "($1)/($2)")
-    for name, char in ((r"\times", "×"), (r"\sim", "～"), (r"\leqslant", "≤"), (r"\geqslant", "≥"), (r"\leq", "≤"), (r"\geq", "≥"), (r"\%", "%")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return canonical(F.regexp_replace(F.regexp_replace(out, r"\\[a-zA-Z]+", ""), "[{}]", ""))
+#: What commands with one argument, and those without, become (fixed values).
+LATEX_WRAPPERS = {"text": "$1", "mathrm": " $1", "sqrt": "sqrt($1)"}
+LATEX_SYMBOLS = {"times": "×", "sim": "～", "leqslant": "≤", "geqslant": "≥", "leq": "≤", "geq": "≥"}
+
+
+def latex(text: Column, depth: int = 3) -> Column:
+    """Simple LaTeX as plain text. Groups are opened from the inside, to ``depth`` levels: a group without
+    braces in it gives way to its command's shape; commands not known go, their arguments stay."""
+    group = r"\s*\{\s*([^{}]*?)\s*\}"
+    out = F.regexp_replace(text, r"\{(\{[^{}]*\})\}", "$1")
+    for _ in range(depth):
+        out = F.regexp_replace(out, rf"\\frac{group}{group}", "($1)/($2)")
+        for command, shape in LATEX_WRAPPERS.items():
+            out = F.regexp_replace(out, rf"\\{command}{group}", shape)
+    for command, symbol in LATEX_SYMBOLS.items():
+        out = F.regexp_replace(out, rf"\\{command}(?![a-z])", symbol)
+    out = F.regexp_replace(F.regexp_replace(out, r"\\[a-zA-Z]+", ""), r"\\[()\[\]]", " ")  # other commands, delimiters
+    return canonical(F.regexp_replace(out, r"[{}\\]", ""))
 
 
 def formula_density(text: Column) -> Column:
@@ -115,14 +131,42 @@ def bigrams(text: Column) -> Column:
     return F.when(n >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr(text, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
 
 
+#: Units as they are looked for in a text, those that hold another one first (fixed values).
+UNIT_WORDS = "kva|mva|khz|mhz|kv|ka|kw|mw|ms|μs|us|ma|va|dba|db|hz|s|%|v|a|w"
+
+
+def concept(text: Column) -> Column:
+    """Plain text in lower case without spaces and underscores, as concepts are compared."""
+    return F.translate(F.lower(plain(text)), " _", "")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def concept_tokens(concept_: Column) -> Column:
+    """Of a concept(): words of two letters or more and pairs of neighbouring Han characters, units left out."""
+
+    def of(bare: Column) -> Column:
+        words = F.filter(F.regexp_extract_all(bare, F.lit("[a-z][a-z0-9_]*"), F.lit(0)), lambda t: F.length(t) > 1)
+        pairs = let(F.regexp_replace(bare, r"[^\x{4e00}-\x{9fff}]", ""), lambda han: F.when(F.length(han) == 1, F.array(han)).otherwise(bigrams(han)))
+        return F.array_distinct(F.concat(words, pairs))
+
+    return let(F.regexp_replace(concept_, UNIT_WORDS, ""), of)
+
+
 def concept_similarity(a: Column, b: Column) -> Column:
-    """Shared words and Han bigrams over the smaller number; 0.9 at least where one text holds the other."""
-    parts = lambda t: F.array_distinct(F.concat(F.regexp_extract_all(F.lower(t), F.lit("[a-z][a-z0-9_]*"), F.lit(0)), F.flatten(F.transform(F.regexp_extract_all(t, F.lit(r"[\x{4e00}-\x{9fff}]+"), F.lit(0)), bigrams))))
-    x, y = parts(a), parts(b)
-    least = F.least(F.size(x), F.size(y))
-    share = F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise(F.lit(0.0))
-    within = (F.length(a) > 0) & (F.length(b) > 0) & (F.contains(F.lower(a), F.lower(b)) | F.contains(F.lower(b), F.lower(a)))
-    return F.when(within, F.greatest(share, F.lit(0.9))).otherwise(share)
+    """Shared tokens over the smaller number; 0.9 at least where one text holds the other, 0 where one has none."""
+
+    def of(x: Column) -> Column:
+        least = F.least(F.size(x["s"]), F.size(x["t"]))
+        share = F.size(F.array_intersect(x["s"], x["t"])) / least
+        within = F.contains(x["a"], x["b"]) | F.contains(x["b"], x["a"])
+        return F.when(least == 0, F.lit(0.0)).when(within, F.greatest(share, F.lit(0.9))).otherwise(share)
+
+    tokens = lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), concept_tokens(x["a"]).alias("s"), concept_tokens(x["b"]).alias("t"))
+    return let(let(F.struct(concept(a).alias("a"), concept(b).alias("b")), tokens), of)
 
 
 def is_empty(c: Column, kind: str = "string") -> Column:

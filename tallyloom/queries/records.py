@@ -58,7 +58,7 @@ def row_binding(spark, sf_dir) -> DataFrame:
     return layout.bound_rows(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", ok)
 
 
-@query("WITH b AS (SELECT event_id AS id, user_id, (event_id % 5) / 10.0 AS x0, (event_id % 5) / 10.0 + 0.4 AS x1, (event_id % 20) / 20.0 AS y0, (event_id % 20) / 20.0 + 0.03 AS y1 FROM events WHERE user_id % 3 = user_id % 2), m AS (SELECT b.id, c.id AS caption_id, row_number() OVER (PARTITION BY b.id ORDER BY b.y0 - c.y1, c.id) AS r FROM b JOIN b c ON b.user_id = c.user_id AND b.id <> c.id AND b.y0 - c.y1 >= 0 AND b.y0 - c.y1 <= 0.045 AND (least(b.x1, c.x1) - greatest(b.x0, c.x0)) / 0.4 >= 0.45) SELECT id, caption_id FROM m WHERE r = 1")
+@query("WITH b AS (SELECT event_id AS id, user_id, (event_id % 5) / 10.0 AS x0, (event_id % 5) / 10.0 + 0.4 AS x1, (event_id % 20) / 20.0 AS y0, (event_id % 20) / 20.0 + 0.03 AS y1 FROM events), m AS (SELECT b.id, c.id AS caption_id, row_number() OVER (PARTITION BY b.id ORDER BY b.y0 - c.y1, c.id) AS r FROM b JOIN b c ON b.user_id = c.user_id AND b.id <> c.id AND b.y0 - c.y1 >= 0 AND b.y0 - c.y1 <= 0.045 AND (least(b.x1, c.x1) - greatest(b.x0, c.x0)) / 0.4 >= 0.45) SELECT id, caption_id FROM m WHERE r = 1")
 def caption_join(spark, sf_dir) -> DataFrame:
     """The nearest caption above a block of the same page; blocks of a user's events."""
     i = F.col("event_id")
@@ -74,7 +74,7 @@ def best_page(spark, sf_dir) -> DataFrame:
     return best.filter("score >= 40")
 
 
-@query("SELECT o_orderkey FROM orders ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o_orderkey LIMIT 300")
+@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END AS rank FROM orders ORDER BY rank, o_orderkey")
 def custom_order(spark, sf_dir) -> DataFrame:
     """All rows by a listed order, then by key, with their rank in it."""
     rank = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)

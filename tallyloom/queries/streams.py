@@ -45,7 +45,10 @@ def compaction_ranges(spark, sf_dir) -> DataFrame:
     return state.compaction_ranges(table(spark, sf_dir, "conversations"), "conv_id", "turn", 4, 2)
 
 
-@query("SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'reply' ELSE 'note' END AS kind, left(text, 200) AS content FROM conversations WHERE text <> ''")
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query(f"SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'reply' ELSE 'note' END AS kind, content FROM (SELECT conv_id, turn, role, CASE role WHEN 'user' THEN regexp_replace(text, '^{_SPACE}|{_SPACE}$', '', 'g') ELSE text END AS content FROM conversations) WHERE content <> ''")
 def event_messages(spark, sf_dir) -> DataFrame:
     """Events as messages by kind, with their whole content; a user's is stripped, and left out if blank."""
     c = table(spark, sf_dir, "conversations")

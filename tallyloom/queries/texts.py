@@ -10,7 +10,7 @@ from ..operators import lexical, matching
 from .registry import query, table
 
 _CANON = r"regexp_replace(regexp_replace({0}, '[ \t\n\r\x0b\f]+', ' ', 'g'), '^ | $', '', 'g')"
-_PLAIN = _CANON.format("replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')")
+PLAIN = _CANON.format("replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')")
 
 
 @query(f"SELECT doc_id, sha256({_CANON.format('text')}) AS sha FROM documents")
@@ -25,7 +25,7 @@ def content_fingerprint_dedupe(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(text.fingerprint(F.col("text")).alias("sha")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
 
 
-@query(f"SELECT page_id, {_PLAIN.format('html')} AS plain FROM pages")
+@query(f"SELECT page_id, {PLAIN.format('html')} AS plain FROM pages")
 def markup_to_text(spark, sf_dir) -> DataFrame:
     """Text of pages."""
     return table(spark, sf_dir, "pages").select("page_id", text.plain(F.col("html")).alias("plain"))
@@ -39,36 +39,43 @@ def page_structure(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(links, " ").alias("links"), F.regexp_count(h, F.lit("(?i)<h[1-6][ >]")).cast("long").alias("headings"))
 
 
-_REF = "'see 见表' || (doc_id % 12) || ' and 如表 0' || (doc_id % 7) || '; 表' || (doc_id % 5) || '所示'"
+_CITED = "substr(text, 1, 60) || CASE doc_id % 4 WHEN 0 THEN ' 见表' || CAST(doc_id % 12 AS STRING) WHEN 1 THEN ' 如表 0' || CAST(doc_id % 7 AS STRING) || '; 表' || CAST(doc_id % 5 AS STRING) || '所示' WHEN 2 THEN ' 表' || CAST(doc_id % 9 AS STRING) || ' 见 表 3' ELSE '' END || substr(text, 61, 40)"
+_CUE = r"(?:详见|参见|见|如)\s*表\s*0*\d+|表\s*0*\d+\s*(?:所示|所列|中|如下)"
 
 
-@query(f"SELECT doc_id, list_distinct(['a']) IS NOT NULL AS ok, array_to_string(CASE WHEN doc_id % 12 = doc_id % 7 AND doc_id % 7 = doc_id % 5 THEN [doc_id % 12] WHEN doc_id % 12 = doc_id % 7 THEN [doc_id % 12, doc_id % 5] WHEN doc_id % 12 = doc_id % 5 THEN [doc_id % 12, doc_id % 7] WHEN doc_id % 7 = doc_id % 5 THEN [doc_id % 12, doc_id % 7] ELSE [doc_id % 12, doc_id % 7, doc_id % 5] END, ',') AS refs FROM documents")
+def _kept(xs: str) -> str:
+    """A list without later repeats."""
+    return f"list_filter({xs}, lambda x, i: list_position({xs}, x) = i)"
+
+
+@query(rf"SELECT doc_id, array_to_string({_kept('refs')}, ',') AS refs FROM (SELECT doc_id, list_transform(regexp_extract_all(t, '{_CUE}'), lambda m: regexp_extract(m, '0*(\d+)', 1)) AS refs FROM (SELECT doc_id, {_CITED} AS t FROM documents))")
 def table_ref_extract(spark, sf_dir) -> DataFrame:
     """C17: tables that a text refers to."""
-    d = table(spark, sf_dir, "documents").withColumn("t", F.expr(_REF))
-    return d.select("doc_id", F.lit(True).alias("ok"), F.array_join(text.table_references(F.col("t")), ",").alias("refs"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.table_references(F.expr(_CITED)), ",").alias("refs"))
+
 
+_FILE = "lang || CASE doc_id % 6 WHEN 0 THEN ' GBT ' WHEN 1 THEN ' gb/t+' WHEN 2 THEN ' GB／T  ' WHEN 3 THEN ' Q ∕ GDW ' WHEN 4 THEN ' DL' ELSE ' XX ' END || CAST(1000 + doc_id AS STRING) || CASE doc_id % 3 WHEN 0 THEN '-' WHEN 1 THEN ' - ' ELSE '—' END || '2023 ' || source || '.pdf'"
 
-@query("SELECT doc_id, 'GB/T ' || (1000 + doc_id) || '-2023' AS no FROM documents")
+
+@query(rf"SELECT doc_id, CASE WHEN n <> '' THEN regexp_replace(regexp_replace(n, ' ?([/-]) ?', '\1', 'g'), '^(GB|JB)[/ ]?T\b', '\1/T') END AS no FROM (SELECT doc_id, regexp_extract(regexp_replace(upper(translate(regexp_replace({_FILE}, '\.[^.]+$', ''), '∕／—－+', '//-- ')), '\s+', ' ', 'g'), '(?:Q ?/ ?GDW|GB ?/? ?T|GB|JB ?/? ?T|JB|JGJ|DBJ|DB|HJ|DL|YY|JT|BB) ?[0-9.]+ ?- ?[0-9]{{4}}') AS n FROM documents)")
 def standard_number(spark, sf_dir) -> DataFrame:
-    """Numbers of standards from file names in several spellings."""
-    name = F.expr("concat(element_at(array('GBT ', 'gb/t+', 'GB／T  ', 'GB ∕ T '), cast(doc_id % 4 + 1 as int)), cast(1000 + doc_id as string), element_at(array('-', ' - '), cast(doc_id % 2 + 1 as int)), '2023 title.pdf')")
-    return table(spark, sf_dir, "documents").select("doc_id", text.normal_standard_no(text.standard_no(name)).alias("no"))
+    """Numbers of standards from file names in several spellings, and from those without one."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.standard_no(F.expr(_FILE)).alias("no"))
+
+
+_CLAUSES = "substr(text, 1, 80) || ' clause ' || CAST(doc_id % 9 + 1 AS STRING) || CASE doc_id % 3 WHEN 0 THEN '~' || CAST(doc_id % 9 + 1 + doc_id % 4 AS STRING) WHEN 1 THEN '' ELSE ' - 70' END || ', clause 7'"
 
 
-@query("SELECT doc_id, array_to_string(list_transform(range(doc_id % 9 + 1, doc_id % 9 + 2 + doc_id % 4), lambda x: x::VARCHAR), ',') AS numbers FROM documents")
+@query(rf"WITH m AS (SELECT doc_id, regexp_extract_all({_CLAUSES}, 'clause\s*\d+(?:\s*[~～-]\s*\d+)?') AS ms FROM documents), r AS (SELECT doc_id, list_transform(ms, lambda m: list_transform(regexp_extract_all(m, '\d+'), lambda x: x::INT)) AS ns FROM m), f AS (SELECT doc_id, flatten(list_transform(ns, lambda n: range(n[1], CASE WHEN n[len(n)] >= n[1] THEN least(n[len(n)], n[1] + 49) ELSE n[1] END + 1))) AS xs FROM r) SELECT doc_id, array_to_string({_kept('xs')}, ',') AS numbers FROM f")
 def numbered_ranges(spark, sf_dir) -> DataFrame:
-    """N~M as each number."""
-    t = F.expr("concat('clause ', cast(doc_id % 9 + 1 as string), '~', cast(doc_id % 9 + 1 + doc_id % 4 as string))")
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.numbered_references(t, "clause"), ",").alias("numbers"))
+    """N~M as each number, fifty of them at most."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.numbered_references(F.expr(_CLAUSES), "clause"), ",").alias("numbers"))
 
 
-@query("SELECT item_id, array_to_string(list_slice(list_distinct_ordered, 1, 8), '|') AS keywords FROM (SELECT item_id, list_filter(list_transform(string_split(regexp_replace(text, '[，;；、\n]', ' ', 'g'), ','), lambda x: left(trim(x), 80)), lambda x: x <> '') AS parts, [p FOR p, i IN parts IF list_position(parts, p) = i] AS list_distinct_ordered FROM benchmark)")
+@query("WITH k AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[,，;；、\n]'), lambda x: left(trim(x), 80)), lambda x: x <> '') AS parts FROM benchmark) SELECT item_id, array_to_string(list_slice(" + _kept("parts") + ", 1, 8), '|') AS keywords FROM k")
 def keyword_lists(spark, sf_dir) -> DataFrame:
     """Parts of a list, distinct, cut and limited."""
-    only_commas = F.regexp_replace("text", "[，;；、\n]", " ")
-    parts = text.keyword_list(only_commas)
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(parts, "|").alias("keywords"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.keyword_list(F.col("text")), "|").alias("keywords"))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license') OR contains(lower(text), '100%') OR contains(lower(text), 'the_')")
@@ -91,19 +98,23 @@ def formula_density(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.round(text.formula_density(F.col("text")), 6).alias("density"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 50)::VARCHAR ELSE 'A.' || (doc_id % 50) END AS no FROM documents")
+_TOKEN = "CASE doc_id % 3 WHEN 0 THEN ' 00' || CAST(doc_id % 50 AS STRING) WHEN 1 THEN 'a . ' || CAST(doc_id % 50 AS STRING) ELSE substr(text, 1, 6) END"
+
+
+@query(rf"SELECT doc_id, CASE WHEN regexp_full_match(t, '[0-9]+') THEN CASE WHEN ltrim(t, '0') = '' THEN '0' ELSE ltrim(t, '0') END ELSE t END AS no FROM (SELECT doc_id, upper(replace(regexp_replace({_TOKEN}, '\s+', '', 'g'), 'ß', 'ss')) AS t FROM documents)")
 def number_tokens(spark, sf_dir) -> DataFrame:
-    """C28."""
-    raw = F.expr("if(doc_id % 3 = 0, concat(' 00', cast(doc_id % 50 as string)), concat('a . ', cast(doc_id % 50 as string)))")
-    return table(spark, sf_dir, "documents").select("doc_id", text.number_token(raw).alias("no"))
+    """Numbers and the first letters of texts as tokens."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.number_token(F.expr(_TOKEN)).alias("no"))
+
 
+_QUOTE = "CASE doc_id % 4 WHEN 0 THEN substr(text, 11, 20) WHEN 1 THEN replace(replace(substr(text, 5, 30), ' ', '  '), 'e', 'E') WHEN 2 THEN 'no such <b>words</b>' ELSE substr(text, 3, 9) || ' <i>' || substr(text, 12, 9) || '</i>' END"
+_KEY = r"regexp_replace(lower(regexp_replace({0}, '<[^>]+>', ' ', 'g')), '[^\pL\pM\pN_]+', '', 'g')"
 
-@query(r"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'exact' WHEN doc_id % 3 = 1 THEN 'format_only' ELSE 'unmatched' END AS match FROM documents")
+
+@query(f"SELECT doc_id, CASE WHEN contains(text, q) THEN 'exact' WHEN contains({_KEY.format('text')}, {_KEY.format('q')}) THEN 'format_only' ELSE 'unmatched' END AS match FROM (SELECT doc_id, text, {_QUOTE} AS q FROM documents)")
 def quote_provenance(spark, sf_dir) -> DataFrame:
-    """A quote as it is, with other spacing, or not at all."""
-    d = table(spark, sf_dir, "documents").withColumn("source", F.concat(F.lit("Alpha beta, <b>gamma</b> 12 kV "), F.col("doc_id").cast("string")))
-    quote = F.expr("element_at(array('beta, <b>gamma', 'ALPHA  beta gamma', 'delta'), cast(doc_id % 3 + 1 as int))")
-    return d.select("doc_id", text.quote_match(quote, F.col("source")).alias("match"))
+    """Quotes from a document as they are, with other spacing and markup, or from nowhere."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.quote_match(F.expr(_QUOTE), F.col("text")).alias("match"))
 
 
 @query("SELECT doc_id, sha256(CASE WHEN h = '' THEN text ELSE h || chr(10) || chr(10) || text END) AS sha FROM (SELECT doc_id, text, concat_ws(' | ', CASE WHEN doc_id % 2 = 0 THEN source END, lang) AS h FROM documents)")
@@ -127,7 +138,12 @@ def snippets(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"), F.length("text").cast("long").alias("chars"))
 
 
-@query()
+_UNITS = text.UNIT_WORDS
+_BARE = f"regexp_replace(regexp_replace(lower({{0}}), '[ _]', '', 'g'), '{_UNITS}', '', 'g')"
+_TOKENS = f"list_distinct(list_filter(regexp_extract_all({_BARE}, '[a-z][a-z0-9_]*'), lambda t: length(t) > 1))"
+
+
+@query(f"WITH p AS (SELECT item_id, {PLAIN.format('text')} AS t FROM benchmark), n AS (SELECT a.item_id, regexp_replace(lower(a.t), '[ _]', '', 'g') AS x, regexp_replace(lower(b.t), '[ _]', '', 'g') AS y, {_TOKENS.format('a.t')} AS u, {_TOKENS.format('b.t')} AS v FROM p a JOIN p b ON b.item_id = a.item_id + 1), s AS (SELECT *, len(list_intersect(u, v)) / least(len(u), len(v)) AS share FROM n) SELECT item_id, round(CASE WHEN least(len(u), len(v)) = 0 THEN 0 WHEN contains(x, y) OR contains(y, x) THEN greatest(share, 0.9) ELSE share END, 6) AS similarity FROM s")
 def concept_similarity(spark, sf_dir) -> DataFrame:
     """Neighbouring benchmark items."""
     b = table(spark, sf_dir, "benchmark")
