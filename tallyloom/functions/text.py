@@ -188,6 +188,13 @@ def snippet(text: Column, chars: int = 500) -> Column:
 
 
 def windows(text: Column, term: Column, radius: int = 100, most: int = 3) -> Column:
-    """Up to ``most`` stretches around a term, each ``radius`` characters to both sides."""
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.lower(F.substr(text, i, F.length(term))) == F.lower(term))
-    return F.transform(F.slice(places, 1, most), lambda i: F.substr(text, F.greatest(i - radius, F.lit(1)), F.length(term) + F.least(i - 1, F.lit(radius)) + radius))
+    """Up to ``most`` stretches around a term, each ``radius`` characters to both sides. Places come from the
+    lengths of what the term cuts the text into, so a long text is read once."""
+    pieces = F.split(F.lower(text), F.concat(F.lit("\\Q"), F.lower(term), F.lit("\\E")), most + 1)
+
+    def around(ps: Column) -> Column:
+        start = lambda k: F.aggregate(F.slice(ps, 1, k), F.lit(0), lambda a, p: a + F.length(p)) + (k - 1) * F.length(term) + 1
+        cut = lambda i: F.substr(text, F.greatest(i - radius, F.lit(1)), F.length(term) + F.least(i - 1, F.lit(radius)) + radius)
+        return F.when(F.size(ps) > 1, F.transform(F.sequence(F.lit(1), F.size(ps) - 1), lambda k: let(start(k), cut))).otherwise(F.array().cast("array<string>"))
+
+    return let(pieces, around)

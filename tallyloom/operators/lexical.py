@@ -24,10 +24,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, token, tf, length: a row for each distinct token of a document."""
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """id, token, tf, length: a row for each distinct token of a document; with ``terms`` (token) only for those
+    among them, so that what is shuffled grows with what is asked. Routes over the same columns and
+    terms have one plan and share the shuffle."""
     tokens = docs.select(F.col(id_col).alias("id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    return tokens.select("id", F.size("w").cast("long").alias("length"), F.explode("w").alias("token")).groupBy("id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
+    each = tokens.select("id", F.size("w").cast("long").alias("length"), F.explode("w").alias("token"))
+    if terms is not None:
+        each = each.join(terms.select("token").distinct(), "token", "left_semi")
+    return each.groupBy("id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def statistics(posts: DataFrame) -> DataFrame:
@@ -45,23 +50,48 @@ def _terms(queries: DataFrame) -> DataFrame:
     return postings(queries, "query_id", "text").select(F.col("id").alias("query_id"), "token", F.col("tf").alias("qtf"))
 
 
+def _totals(docs: DataFrame, *columns: str) -> DataFrame:
+    """n documents and the mean number of words of those that have any: one row, without exploding."""
+    length = sum((F.size(words(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0))
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(length > 0, length)).alias("mean"))
+
+
+def _saturated(tf: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, id, score, rank of the k best documents of each query. ``queries`` have query_id and text.
 
-    Only tokens of queries pass the join with postings, and scores are summed before they are shuffled by
-    query and document."""
-    posts, terms = postings(docs), _terms(queries)
-    totals = posts.select("id", "length").distinct().agg(F.avg("length").alias("mean"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    met = posts.join(terms, "token").join(statistics(posts), "token").join(F.broadcast(totals)).join(F.broadcast(n))  # each one row
+    Only tokens of queries are counted, and scores are summed before they are shuffled by query and document."""
+    terms = _terms(queries)
+    posts = postings(docs, terms=terms)
+    met = posts.join(terms, "token").join(statistics(posts), "token").join(F.broadcast(_totals(docs, "text")))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return _ranked(met.groupBy("query_id", "id").agg(F.sum(idf * tf).alias("score")), k)
+    return _ranked(met.groupBy("query_id", "id").agg(F.sum(idf * _saturated(F.col("tf"))).alias("score")), k)
+
+
+def field_bm25(docs: DataFrame, weights: dict[str, float], queries: DataFrame, k: int) -> DataFrame:
+    """As bm25(), over several columns as a full-text index has it: a token's count is the weighted sum of its
+    counts by column, a document's length that of all columns, and the weight of a token that most
+    documents have is just above zero."""
+    terms = _terms(queries)
+    posts = None
+    for column, weight in weights.items():
+        one = postings(docs, text_col=column, terms=terms).select("id", "token", (F.col("tf") * float(weight)).alias("tf"))
+        posts = one if posts is None else posts.unionAll(one)
+    posts = posts.groupBy("id", "token").agg(F.sum("tf").alias("tf"))
+    length = sum((F.size(words(F.coalesce(F.col(c), F.lit("")))) for c in weights), F.lit(0))
+    lengths = docs.select(F.col("doc_id").alias("id"), length.alias("length"))
+    met = posts.join(terms, "token").join(statistics(posts), "token").join(lengths, "id").join(F.broadcast(_totals(docs, *weights)))  # one row
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    return _ranked(met.groupBy("query_id", "id").agg(F.sum(idf * _saturated(F.col("tf"))).alias("score")), k)
 
 
 def tf_idf(docs: DataFrame, queries: DataFrame, k: int, weight: float = 1.0) -> DataFrame:
     """As bm25(), with weight * min(tf, 3) * idf * min(query tf, 2) and idf = ln((N + 1) / (df + 1)) + 1."""
-    posts, terms = postings(docs), _terms(queries)
+    terms = _terms(queries)
+    posts = postings(docs, terms=terms)
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     met = posts.join(terms, "token").join(statistics(posts), "token").join(F.broadcast(n))  # one row
     score = weight * F.least("tf", F.lit(3)) * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1) * F.least("qtf", F.lit(2))
@@ -71,11 +101,11 @@ def tf_idf(docs: DataFrame, queries: DataFrame, k: int, weight: float = 1.0) ->
 def weighted_overlap(docs: DataFrame, fields: dict[str, float], queries: DataFrame, k: int) -> DataFrame:
     """As bm25(), with the sum over fields of weight times shared distinct tokens. No rows are cut before
     scoring."""
-    posts = None
+    posts, terms = None, _terms(queries)
     for column, weight in fields.items():
-        one = postings(docs, text_col=column).select("id", "token", F.lit(float(weight)).alias("w"))
+        one = postings(docs, text_col=column, terms=terms).select("id", "token", F.lit(float(weight)).alias("w"))
         posts = one if posts is None else posts.unionAll(one)
-    return _ranked(posts.join(_terms(queries), "token").groupBy("query_id", "id").agg(F.sum("w").alias("score")), k)
+    return _ranked(posts.join(terms, "token").groupBy("query_id", "id").agg(F.sum("w").alias("score")), k)
 
 
 def stale(index: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import business, claims, evaluation, evidence, ledger, ranking, records, retrieval, statements, streams, texts  # noqa: F401
+from . import business, checks, claims, evaluation, evidence, ledger, ranking, records, retrieval, statements, streams, texts  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 

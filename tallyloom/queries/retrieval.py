@@ -50,6 +50,21 @@ def bm25_topk(spark, sf_dir) -> DataFrame:
     return lexical.bm25(table(spark, sf_dir, "documents"), _queries(spark, sf_dir), 10)
 
 
+_FIELDED = f"""WITH {_WORDS}, f AS (SELECT doc_id AS id, unnest([{{'w': 1.0::DOUBLE, 't': text}}, {{'w': 4.0::DOUBLE, 't': source}}, {{'w': 2.0::DOUBLE, 't': lang}}]) AS f FROM documents),
+fw AS (SELECT id, f.w AS weight, list_filter(regexp_split_to_array(lower(coalesce(f.t, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM f),
+lens AS (SELECT id, sum(len(w)) AS length FROM fw GROUP BY id), fm AS (SELECT avg(length) AS mean FROM lens WHERE length > 0),
+fp AS (SELECT id, token, sum(weight) AS tf FROM (SELECT id, weight, unnest(w) AS token FROM fw) GROUP BY id, token), fd AS (SELECT token, count(*) AS df FROM fp GROUP BY token),
+asked AS (SELECT DISTINCT query_id, token FROM (SELECT query_id, token FROM terms UNION ALL SELECT item_id, 'en' FROM benchmark)),
+s AS (SELECT query_id, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM fp JOIN asked USING (token) JOIN fd USING (token) JOIN lens USING (id), n, fm GROUP BY query_id, id) """
+
+
+@query(_FIELDED + ranked_sql("SELECT * FROM s", 10))
+def field_bm25_topk(spark, sf_dir) -> DataFrame:
+    """BM25 over text, source and language with weights 1, 4 and 2; queries are in English and say so."""
+    asked = _queries(spark, sf_dir).withColumn("text", F.concat_ws(" ", "text", F.lit("en")))
+    return lexical.field_bm25(table(spark, sf_dir, "documents"), {"text": 1, "source": 4, "lang": 2}, asked, 10)
+
+
 @query(f"WITH {_WORDS}, s AS (SELECT query_id, id, round(sum(least(tf, 3) * (ln((n + 1) / (df + 1)) + 1) * least(qtf, 2)), 6) AS score FROM posts JOIN terms USING (token) JOIN dfs USING (token), n GROUP BY query_id, id) " + ranked_sql("SELECT * FROM s", 10))
 def tf_idf_topk(spark, sf_dir) -> DataFrame:
     """Capped term counts times smoothed idf."""
