@@ -39,8 +39,9 @@ def pair_up(convs: DataFrame, group_rows: int = 512) -> DataFrame:
     """
     last = F.expr("transform(filter(sequence(1, greatest(size(turns), 1)), i -> i <= size(turns) and turns[i - 1].role = 'assistant'), i -> i)")
     usable = convs.withColumn("ends", last).filter(F.size("ends") > 0).withColumn("last", F.element_at("ends", -1)).drop("ends")
+    # Who goes with whom is found on narrow rows; turns are moved once, to meet their conversation.
     opening = F.md5(F.concat(F.col("turns")[0]["role"], F.lit("\n"), F.col("turns")[0]["text"]))
-    keyed = usable.withColumn("opening", opening).withColumn("mixed", F.md5(F.col("conv_id").cast("string")))
+    keyed = usable.select("conv_id", opening.alias("opening"), F.md5(F.col("conv_id").cast("string")).alias("mixed"))
     number = F.conv(F.substring("mixed", 1, 8), 16, 10).cast("long")
     keyed = keyed.withColumn("number", number).withColumn("salt", F.pmod(number, F.lit(_SALTS)))
     # Openings of more than one part, at most one in group_rows conversations.
@@ -49,24 +50,20 @@ def pair_up(convs: DataFrame, group_rows: int = 512) -> DataFrame:
     dealt = keyed.join(many, ["opening", "salt"], "left")
     part = F.pmod(F.floor(F.col("number") / _SALTS), F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("cell", F.concat("opening", F.lit("-"), part.cast("string")))  # one key, so that parts are dealt apart
-    dealt = dealt.withColumn("peer", F.lead(F.struct("conv_id", "turns")).over(Window.partitionBy("cell").orderBy("mixed", "conv_id")))
-    given = F.struct("mixed", F.col("conv_id").alias("id"), F.element_at("turns", F.col("last"))["text"].alias("reply"))
-    whole = keyed.agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("buckets"), F.min(given).alias("least"), F.max(given).alias("most"), (F.max("salt") >= 0).alias("any"))
+    dealt = dealt.withColumn("peer", F.lead("conv_id").over(Window.partitionBy("cell").orderBy("mixed", "conv_id")))
+    ends = (F.min(F.struct("mixed", "conv_id")).alias("least"), F.max(F.struct("mixed", "conv_id")).alias("most"))
+    whole = keyed.agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("buckets"), *ends, (F.max("salt") >= 0).alias("any"))
     dealt = dealt.join(F.broadcast(whole), (F.col("salt") >= 0) == F.col("any"))  # one row
     dealt = dealt.withColumn("bucket", F.pmod("number", F.col("buckets")))
     near = Window.partitionBy("bucket").orderBy("mixed", "conv_id")
-    around = near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    dealt = dealt.withColumn("following", F.lead(given).over(near)).withColumn("leading", F.first(given).over(around))
-    others = [F.when(F.col(c)["id"] != F.col("conv_id"), F.col(c)) for c in ("following", "leading", "least", "most")]
-    dealt = dealt.withColumn("donor", F.coalesce(*others))
-    swapped = F.expr("concat(slice(turns, 1, last - 1), array(struct('assistant' as role, coalesce(donor.reply, '') as text)), slice(turns, last + 1, size(turns)))")
-    paired = F.col("peer").isNotNull()
-    return dealt.select(
-        "conv_id",
-        F.col("turns").cast(TURN).alias("chosen"),
-        F.when(paired, F.col("peer.conv_id")).otherwise(F.col("donor.id")).alias("other_id"),
-        F.when(paired, F.col("peer.turns")).otherwise(swapped).cast(TURN).alias("rejected"),
-    )
+    dealt = dealt.withColumn("following", F.lead("conv_id").over(near)).withColumn("leading", F.first("conv_id").over(near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    others = [F.when(F.col(c) != F.col("conv_id"), F.col(c)) for c in ("peer", "following", "leading", "least.conv_id", "most.conv_id")]
+    pairs = dealt.select(F.col("conv_id").alias("of"), F.coalesce(*others).alias("other_id"), F.col("peer").isNotNull().alias("paired"))
+    found = usable.select(F.col("conv_id").alias("found"), F.col("turns").alias("other_turns"), F.element_at("turns", F.col("last"))["text"].alias("reply"))
+    given = pairs.join(found, F.col("other_id") == F.col("found"), "left").select("of", "other_id", "paired", F.when(F.col("paired"), F.col("other_turns")).alias("other_turns"), F.when(~F.col("paired"), F.col("reply")).alias("reply"))
+    met = usable.join(given, F.col("conv_id") == F.col("of"))
+    swapped = F.expr("concat(slice(turns, 1, last - 1), array(struct('assistant' as role, coalesce(reply, '') as text)), slice(turns, last + 1, size(turns)))")
+    return met.select("conv_id", F.col("turns").cast(TURN).alias("chosen"), "other_id", F.when(F.col("paired"), F.col("other_turns")).otherwise(swapped).cast(TURN).alias("rejected"))
 
 
 def _render(turns: Column) -> Column:
