@@ -26,6 +26,12 @@ def decimals(value: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(value, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), lambda n: n.cast("decimal(30,10)")))
 
 
+def decimal_tokens(value: Column) -> Column:
+    """Numbers as texts without trailing zeros, each once."""
+    found = F.regexp_extract_all(value, F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda n: F.regexp_replace(F.regexp_replace(n, r"(\.\d*?)0+$", "$1"), r"\.$", "")))
+
+
 def anchors(query: Column) -> Column:
     """Terms of four Han characters or more that a rewrite of the query must keep."""
 
@@ -140,6 +146,27 @@ def role_issues(status: Column, kind: Column, roles: Column) -> Column:
     return F.filter(F.when(numeric, F.array(nominal, tolerance)).otherwise(F.array().cast("array<string>")), lambda i: i.isNotNull())
 
 
+def applicability_issues(definite: Column, given: Column, sources: Column, standards: Column) -> Column:
+    """Distinct issues of the conditions (role, condition, source, state, quote) that a definite verdict rests on:
+    each must be confirmed and quoted from its kind of source, and one of them must be a fact of the sample."""
+    some = lambda xs, q: F.exists(xs, lambda x: text.quote_match(q, x) != "unmatched")
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+
+    def of(c: Column) -> Column:
+        role = F.coalesce(c["role"], F.lit("sample_fact"))
+        found = F.when(blank(c["quote"]), F.lit(False)).when(role == "standard_condition", some(standards, F.trim(c["quote"]))).otherwise(some(sources, F.trim(c["quote"])))
+        return F.array(
+            F.when(~role.isin("sample_fact", "standard_condition"), "invalid_applicability_evidence_role"), F.when(blank(c["condition"]) | blank(c["source"]), "missing_condition_source"),
+            F.when(~F.coalesce(c["state"], F.lit("")).isin("confirmed"), "unresolved_applicability_condition"), F.when(~found, "unverified_applicability_quote"),
+        )
+
+    fact = F.exists(given, lambda c: F.coalesce(c["role"], F.lit("sample_fact")) == "sample_fact")
+    all_ = F.concat(F.flatten(F.transform(given, of)), F.array(F.when(~fact, "missing_sample_parameter_evidence")))
+    none = F.array().cast("array<string>")
+    listed = F.array_distinct(F.filter(all_, lambda i: i.isNotNull()))
+    return F.when(~definite, none).when(F.size(F.coalesce(given, F.array().cast("array<struct<role:string,condition:string,source:string,state:string,quote:string>>"))) == 0, F.array(F.lit("missing_applicability_checks"))).otherwise(listed)
+
+
 #: Older names of verdicts, and those allowed (fixed values).
 LEGACY_STATUS = {"match": "supported", "unevaluable": "insufficient_context", "out_of_scope": "not_audited"}
 STATUSES = ("supported", "mismatch", "insufficient_context", "not_audited")

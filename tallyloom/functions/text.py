@@ -183,6 +183,13 @@ def document_text(*labels: Column, body: Column) -> Column:
     return F.when(head == "", body).otherwise(F.concat(head, F.lit("\n\n"), body))
 
 
+def rerank_text(*labels: Column, body: Column, most: int = 2400) -> Column:
+    """Labels that aren't empty joined by ' | ', a line break, and the plain body, cut to ``most`` characters."""
+    parts = F.struct(F.concat_ws(" | ", *[F.when(~is_empty(c), F.trim(c)) for c in labels]).alias("head"), F.coalesce(plain(body), F.lit("")).alias("body"))
+    both = lambda x: F.when((x["head"] != "") & (x["body"] != ""), F.concat(x["head"], F.lit("\n"), x["body"])).otherwise(F.concat(x["head"], x["body"]))
+    return F.substring(let(parts, both), 1, most)
+
+
 def snippet(text: Column, chars: int = 500) -> Column:
     return F.substring(text, 1, chars)
 

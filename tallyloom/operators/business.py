@@ -29,7 +29,8 @@ def status_shares(rows: DataFrame, status: str, known: tuple[str, ...]) -> DataF
     """status ('other' where unknown), value, denominator."""
     named = rows.select(F.when(F.col(status).isin(*known), F.col(status)).otherwise("other").alias("status"))
     counts = named.groupBy("status").agg(F.count(F.lit(1)).alias("value"))
-    return counts.withColumn("denominator", F.sum("value").over(Window.partitionBy(F.lit(0))))
+    whole = named.agg(F.count(F.lit(1)).alias("denominator"))
+    return counts.join(F.broadcast(whole))  # one row
 
 
 def exactly_one(rows: DataFrame, key: str, value: str) -> DataFrame:

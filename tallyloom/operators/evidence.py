@@ -11,7 +11,8 @@ BLOCKING = ("missing_standard_no", "missing_content_type", "missing_source_trace
 
 
 def grouped_tables(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, members (ids in page order) and text, the members' texts in that order with empty lines between."""
+    """keys, members (ids in page order) and text, the members' texts in that order with empty lines between.
+    ``keys`` name one table of one file, whose parts are few; a row holds them together."""
     parts = F.array_sort(F.collect_list(F.struct("page", "id", "text")))
     g = chunks.groupBy(*keys).agg(parts.alias("m"))
     return g.select(*keys, F.transform("m", lambda x: x["id"]).alias("members"), F.array_join(F.transform("m", lambda x: x["text"]), "\n\n").alias("text"))

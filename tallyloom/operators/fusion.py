@@ -28,6 +28,13 @@ def merge_lists(dense: DataFrame, lexical: DataFrame, keys: list[str]) -> DataFr
     return both.groupBy(*keys, "id").agg(F.round(F.sum("rrf"), 9).alias("rrf"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
 
 
+def concatenated(routes: DataFrame, keys: list[str], order: dict[str, int]) -> DataFrame:
+    """keys, id, route, place: routes one after another by ``order``, each in its ranks; the first of an id counts."""
+    at = F.struct(F.try_element_at(F.create_map(*[F.lit(x) for p in order.items() for x in p]), F.col("route")), "rank")
+    first = routes.groupBy(*keys, "id").agg(F.min_by("route", at).alias("route"), F.min(at).alias("at"))
+    return rank_in(first, keys, ["at"], "place").drop("at")
+
+
 def with_reserves(pool: DataFrame, special: DataFrame, keys: list[str], reserve: int, double_count: bool = False) -> DataFrame:
     """``pool`` (keys, id, rrf) and the first ``reserve`` of ``special`` (keys, id, rrf, route_rank, score) by
     route rank, score and id. A reserved candidate that the pool has already counts once, or twice with

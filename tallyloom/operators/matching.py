@@ -8,8 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns carried to the tasks at once; more are matched in several passes.
-BLOCK, BLOCK_CHARS = 2_000, 8_000_000
+#: White space between words of texts and patterns.
+_SPACE = r"[\x20\x09-\x0D]+"
+#: Short patterns carried to the tasks at once; more are matched in several passes.
+BLOCK = 2_000
 
 
 def _scan(patterns: list[tuple[int, str]]):
@@ -23,18 +25,31 @@ def _scan(patterns: list[tuple[int, str]]):
 
 
 def containing(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """pattern_id, id: rows whose text contains the pattern as it is. ``patterns`` (pattern_id, text) are a
-    stated set of queries; they are read in blocks of bounded size and each block is one pass over ``docs``.
-    Empty and null patterns match nothing."""
-    rows, out, block, size = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), None, [], 0
-    for r in [*patterns.filter("text <> ''").orderBy("pattern_id").toLocalIterator(), None]:
-        if r is None or len(block) == BLOCK or size > BLOCK_CHARS:
-            part = rows.mapInArrow(_scan(block), "pattern_id long, id long")
-            out, block, size = part if out is None else out.unionAll(part), [], 0
+    """pattern_id, id: rows whose text contains the pattern as it is. ``patterns``: pattern_id, text. Empty and
+    null patterns match nothing; rows of one id each count.
+
+    A word within a pattern, with white space on both sides, is a word of every text that contains it. Each
+    pattern of three words or more is keyed by its rarest such word; texts meet the patterns of their words,
+    and contains() decides. Patterns of fewer words have no such word: they are scanned for in blocks, each
+    a pass over ``docs``.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    words = rows.select("id", "text", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), _SPACE))).alias("word"))
+    parts = F.split("text", _SPACE)
+    inner = patterns.filter("text <> ''").select("pattern_id", F.col("text").alias("pattern"), F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))).alias("inner"))
+    asked = inner.select("pattern_id", "pattern", F.explode("inner").alias("word"))
+    often = words.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # A word that no text has rules its pattern out.
+    keys = asked.join(often, "word", "left").groupBy("pattern_id", "pattern").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    found = words.join(keys, "word").filter(F.contains("text", F.col("pattern"))).select("pattern_id", "id")
+    block, short = [], inner.filter(F.size("inner") == 0).select("pattern_id", "pattern")
+    for r in [*short.toLocalIterator(), None]:
+        if block and (r is None or len(block) == BLOCK):
+            found = found.unionAll(rows.mapInArrow(_scan(block), "pattern_id long, id long"))
+            block = []
         if r is not None:
-            block.append((r["pattern_id"], r["text"]))
-            size += len(r["text"])
-    return out
+            block.append((r["pattern_id"], r["pattern"]))
+    return found
 
 
 def any_term(text: Column, terms: list[str]) -> Column:

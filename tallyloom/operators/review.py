@@ -82,3 +82,23 @@ def sufficiency(hits: DataFrame, key: str, wants: dict[str, Column], threshold:
     for kind, name in (("table", "missing_structured_evidence"), ("numeric", "missing_numeric_evidence"), ("clause", "missing_clause_evidence")):
         gap = gap.when(wants[kind] & ~F.col(kind), name)
     return g.select(key, gap.otherwise("").alias("gap"))
+
+
+def selected(array: str, keys: Column) -> Column:
+    """Of an array of structs with ``key`` those whose key is among ``keys``."""
+    return F.filter(array, lambda x: F.array_contains(keys, x["key"]))
+
+
+def checked_cards(cards: DataFrame, sources: DataFrame, most_chars: int = 600) -> DataFrame:
+    """``cards`` (case_id, position, key, role, quote, value) with ``issue``, the first reason to refuse one, or
+    null: a source (key, source, roles) that is not known, a role it has not, a quote that is empty, too long
+    or not in it, a number of the value that is not in the quote, a quote given before."""
+    digits = lambda c: F.regexp_extract_all(c, F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
+    met = cards.join(sources, "key", "left")
+    issue = (
+        F.when(F.col("source").isNull(), "unknown_key").when(~F.array_contains("roles", F.col("role")), "role").when((F.col("quote") == "") | (F.length("quote") > most_chars), "quote_length")
+        .when(~F.contains("source", F.col("quote")), "not_in_source").when(F.size(F.array_except(digits(F.col("value")), digits(F.col("quote")))) > 0, "number")
+    )
+    met = met.withColumn("issue", issue)
+    place = F.row_number().over(Window.partitionBy("case_id", "key", "quote", "issue").orderBy("position", "value"))
+    return met.withColumn("place", place).withColumn("issue", F.when(F.col("issue").isNull() & (F.col("place") > 1), "repeated").otherwise(F.col("issue"))).drop("place", "source", "roles")

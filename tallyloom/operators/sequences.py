@@ -91,17 +91,11 @@ def packed(rows: DataFrame, key: str, order: str, size: str, most_size: int, mos
 
 
 def budget_prefix(rows: DataFrame, key: str, order: str, size: str, limit: int, least: int) -> DataFrame:
-    """taken: what each row gets of a budget in order, while more than ``least`` is left of it."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, left, taken = pdf.sort_values(order), limit, []
-        for s in pdf[size]:
-            got = min(int(s), left) if left > least else 0
-            left -= got
-            taken.append(got)
-        return pdf.assign(taken=taken)
-
-    return rows.groupBy(key).applyInPandas(walk, rows.withColumn("taken", F.lit(0).cast("long")).schema)
+    """taken: what each row gets of a budget in order, while more than ``least`` is left of it. What is left is
+    the budget less the running sum of sizes, as after a stop nothing is left to take."""
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.lit(limit) - F.coalesce(F.sum(size).over(before), F.lit(0))
+    return rows.withColumn("left", left).withColumn("taken", F.when(F.col("left") > least, F.least(F.col(size), F.col("left"))).otherwise(0).cast("long")).drop("left")
 
 
 def preferred(rows: DataFrame, key: str, rank: Column, order: str) -> DataFrame:

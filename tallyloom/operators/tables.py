@@ -15,7 +15,10 @@ def bound_columns(asked: DataFrame, headers: DataFrame) -> DataFrame:
     A header that is alike enough (0.35) and by a margin (0.1) is 'unique', one without the margin 'ambiguous'.
     Where only the table's title is alike, the one qualified or only header does. A table's headers are
     few, so they are ranked as an array."""
-    scored = asked.join(headers, "table_id").withColumn("score", statements.header_similarity(F.col("property"), F.col("header")))
+    met = asked.join(headers, "table_id")
+    # A pair of texts is compared once, however many tables it is in.
+    pairs = met.select(F.col("property").alias("p"), F.col("header").alias("h")).distinct().withColumn("score", statements.header_similarity(F.col("p"), F.col("h")))
+    scored = met.join(pairs, (F.col("property") == F.col("p")) & (F.col("header") == F.col("h")))
     ranked = F.sort_array(F.collect_list(F.struct("score", "header")), asc=False)
     g = scored.groupBy("claim_id", "table_id").agg(ranked.alias("r"), F.first(text.concept_similarity(F.col("property"), F.coalesce("title", F.lit("")))).alias("t"))
     best, qualified = F.element_at("r", 1), F.filter("r", lambda x: x["score"] >= 1)
@@ -51,7 +54,10 @@ def table_claims(requirements: DataFrame, cells: DataFrame, profile: DataFrame,
     ``requirements``: claim_id, table_id, title, text, unit, project. The property picks the column, the
     sample's parameters the row, and the claim is compared with the cell under its header. Where a step has
     no one answer the mode is 'fallback' and the reason names the step."""
-    r = requirements.withColumn("r", statements.requirement(F.col("text"), F.col("unit"), F.col("project"))).select("claim_id", "table_id", "title", "r.*")
+    said = [F.col(c).alias(f"_{c}") for c in ("text", "unit", "project")]
+    parsed = requirements.select(*said).distinct().withColumn("r", statements.requirement(F.col("_text"), F.col("_unit"), F.col("_project")))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("text", "unit", "project")]
+    r = requirements.join(parsed, same).select("claim_id", "table_id", "title", "r.*")
     ready = r.filter("ready").select("claim_id", "table_id", "title", F.col("claim.property").alias("property"))
     headers = cells.filter(~F.col("header").isin(conditions)).select("table_id", "header").distinct()
     columns = bound_columns(ready, headers).select("claim_id", "state", F.col("header").alias("target_header"))
@@ -59,8 +65,9 @@ def table_claims(requirements: DataFrame, cells: DataFrame, profile: DataFrame,
     target = cells.select(F.col("table_id").alias("t"), F.col("row").alias("cell_row"), F.col("header").alias("h"), F.col("value").alias("cell"))
     met = r.join(columns, "claim_id", "left").join(rows, "table_id", "left")
     met = met.join(target, (F.col("table_id") == F.col("t")) & (F.col("bound_row") == F.col("cell_row")) & (F.col("target_header") == F.col("h")) & (F.col("rows") == 1), "left")
-    result = statements.compared(F.col("claim"), statements.claim(F.concat("h", F.lit(": "), "cell")))
-    met = met.withColumn("result", F.when(F.col("cell").isNotNull(), result))
+    cases = met.filter("cell IS NOT NULL").select(F.col("claim").alias("_claim"), F.col("h").alias("_h"), F.col("cell").alias("_cell")).distinct()
+    results = cases.withColumn("result", statements.compared(F.col("_claim"), statements.claim(F.concat("_h", F.lit(": "), "_cell"))))
+    met = met.join(results, (F.col("claim") == F.col("_claim")) & (F.col("h") == F.col("_h")) & (F.col("cell") == F.col("_cell")), "left")
     status = F.when(F.col("result.relation").isin("supports", "equal"), "supported").when(F.col("result.relation").isin("conflicts", "different"), "mismatch")
     reason = (
         F.when(~F.col("ready"), "requirement_not_program_ready").when(F.coalesce("state", F.lit("unbound")) != "unique", "property_not_bound")

@@ -21,11 +21,13 @@ def chunks(spark, sf_dir) -> DataFrame:
 _CHUNKS = "c AS (SELECT doc_id AS id, source AS file, CASE WHEN doc_id // 20 % 4 = 0 THEN 'table' ELSE 'section' END AS type, CASE WHEN doc_id // 20 % 4 = 0 THEN doc_id // 80 % 9 END AS table_no, doc_id % 13 AS page, text, [doc_id % 9, (doc_id + 3) % 9] AS refs, CASE WHEN doc_id % 5 <> 0 THEN 'approved' ELSE 'pending' END AS status FROM documents)"
 
 
-@query(f"WITH {_CHUNKS} SELECT file, table_no, string_agg(id::VARCHAR, ',' ORDER BY page, id) AS members, sha256(string_agg(text, chr(10) || chr(10) ORDER BY page, id)) AS sha FROM c WHERE type = 'table' GROUP BY file, table_no")
+@query(f"WITH {_CHUNKS} SELECT id // 80 AS volume, file, table_no, string_agg(id::VARCHAR, ',' ORDER BY page, id) AS members, sha256(string_agg(text, chr(10) || chr(10) ORDER BY page, id)) AS sha FROM c WHERE type = 'table' GROUP BY id // 80, file, table_no")
 def group_concat_ordered(spark, sf_dir) -> DataFrame:
-    """Continued tables as one, in page order."""
-    g = evidence.grouped_tables(chunks(spark, sf_dir).filter("type = 'table'"), ["file", "table_no"])
-    return g.select("file", "table_no", F.array_join(F.transform("members", lambda i: i.cast("string")), ",").alias("members"), F.sha2("text", 256).alias("sha"))
+    """Continued tables as one, in page order. A volume is eighty chunks, so a table's parts stay few
+    however many documents there are."""
+    c = chunks(spark, sf_dir).filter("type = 'table'").withColumn("volume", F.floor(F.col("id") / 80))
+    g = evidence.grouped_tables(c, ["volume", "file", "table_no"])
+    return g.select("volume", "file", "table_no", F.array_join(F.transform("members", lambda i: i.cast("string")), ",").alias("members"), F.sha2("text", 256).alias("sha"))
 
 
 @query(f"WITH {_WORDS}, {_CHUNKS}, m AS (SELECT avg(len(w)) AS mean FROM docs WHERE len(w) > 0), rk AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, round({_BM25}, 6) AS score FROM posts JOIN terms USING (token) JOIN dfs USING (token), n, m GROUP BY query_id, id)), k AS (SELECT query_id, rk.id, rank, file, refs, type FROM rk JOIN c ON c.id = rk.id WHERE rank <= 10), a AS (SELECT query_id, rank, file, unnest(refs) AS table_no, unnest([0, 1]) AS pos FROM k WHERE type = 'section'), e AS (SELECT query_id, t.id, min(rank * 10 + pos) AS best FROM a JOIN c t ON t.type = 'table' AND t.file = a.file AND t.table_no = a.table_no WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.query_id = a.query_id AND k.id = t.id AND k.type = 'section') GROUP BY query_id, t.id) SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY best, id) AS place FROM e) WHERE place <= 5")

@@ -122,14 +122,17 @@ def novelty_runs(spark, sf_dir) -> DataFrame:
     return sequences.novelty(e, "user_id", "day", "item")
 
 
-@query()
+_OVER = "p.held + r.chars > 600 OR p.n >= 3"
+
+
+@query(f"WITH RECURSIVE r AS (SELECT conv_id, turn, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), p AS (SELECT conv_id, turn, chars, i, 0 AS part, chars AS held, 1 AS n FROM r WHERE i = 1 UNION ALL SELECT r.conv_id, r.turn, r.chars, r.i, CASE WHEN {_OVER} THEN p.part + 1 ELSE p.part END, CASE WHEN {_OVER} THEN r.chars ELSE p.held + r.chars END, CASE WHEN {_OVER} THEN 1 ELSE p.n + 1 END FROM p JOIN r ON r.conv_id = p.conv_id AND r.i = p.i + 1) SELECT conv_id, turn, chars, part::BIGINT AS part FROM p")
 def char_budget_packing(spark, sf_dir) -> DataFrame:
     """Turns of a conversation in parts of at most 600 characters and three turns."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("chars"))
     return sequences.packed(c, "conv_id", "turn", "chars", 600, 3)
 
 
-@query()
+@query("SELECT conv_id, turn, chars, CASE WHEN left_ > 200 THEN least(chars, left_) ELSE 0 END::BIGINT AS taken FROM (SELECT conv_id, turn, length(text) AS chars, 900 - coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_ FROM conversations)")
 def budget_prefix(spark, sf_dir) -> DataFrame:
     """What each turn gets of 900 characters."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("chars"))
@@ -143,7 +146,7 @@ def section_subtrees(spark, sf_dir) -> DataFrame:
     return sequences.subtree_ends(c, "conv_id", "turn", "level")
 
 
-@query()
+@query("WITH c AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 END::DOUBLE AS level, role || turn::VARCHAR AS title FROM conversations), h AS (SELECT c.conv_id, c.turn, h.turn AS at, h.title FROM c JOIN c h ON h.conv_id = c.conv_id AND h.turn <= c.turn AND h.level IS NOT NULL WHERE NOT EXISTS (SELECT 1 FROM c g WHERE g.conv_id = h.conv_id AND g.turn > h.turn AND g.turn <= c.turn AND g.level <= h.level)) SELECT c.conv_id, c.turn, c.level, c.title, coalesce(string_agg(h.title, ' / ' ORDER BY h.at), '') AS path FROM c LEFT JOIN h ON h.conv_id = c.conv_id AND h.turn = c.turn GROUP BY ALL")
 def section_paths(spark, sf_dir) -> DataFrame:
     """The headings that enclose each turn; user turns head, assistant turns are text."""
     c = table(spark, sf_dir, "conversations")

@@ -9,13 +9,25 @@ from ..streaming import state
 from .registry import query, table
 
 
-@query()
+_LIMITED = """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, event_id, ts::TIMESTAMP AS ts FROM events),
+w AS (SELECT key, min(ts) AS start FROM e GROUP BY key UNION ALL SELECT w.key, min(e.ts) FROM w JOIN e ON e.key = w.key AND e.ts >= w.start + INTERVAL 6 HOUR GROUP BY w.key)
+SELECT key, event_id, n <= 5 AS allowed, n AS used FROM (SELECT e.key, event_id, row_number() OVER (PARTITION BY e.key, w.start ORDER BY e.ts, event_id) AS n FROM e ASOF JOIN w ON e.key = w.key AND e.ts >= w.start)"""
+
+
+@query(_LIMITED)
 def rate_limiter(spark, sf_dir) -> DataFrame:
     """Five events a user in windows that open at the user's first event."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
     return state.rate_limited(e, 5, 6 * 3600)
 
 
+@query(_LIMITED.replace("SELECT key, event_id, n <= 5 AS allowed, n AS used", "SELECT key, event_id").replace("6 HOUR", "24 HOUR") + " WHERE n = 1")
+def idempotency_keys(spark, sf_dir) -> DataFrame:
+    """Events that reserve their user for a day."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return state.reserved(e, 24 * 3600)
+
+
 @query("SELECT event_id, status, CASE WHEN o AND attempts >= 3 THEN 'dead' WHEN o THEN 'queued' ELSE status END AS next_status, CASE WHEN o AND attempts < 3 THEN least(300, 5 * pow(2, attempts - 1))::BIGINT END AS delay FROM (SELECT *, status = 'running' AND ts < TIMESTAMP '2024-01-15' AS o FROM (SELECT event_id, ts, CASE event_id % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'queued' ELSE 'done' END AS status, event_id % 4 + 1 AS attempts FROM events))")
 def lease_expiry(spark, sf_dir) -> DataFrame:
     """What becomes of leases that are over."""

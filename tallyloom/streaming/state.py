@@ -52,6 +52,11 @@ def rate_limited_stream(events: DataFrame, limit: int, seconds: int) -> DataFram
     return events.withWatermark("ts", "0 seconds").groupBy("key").applyInPandasWithState(step, _DECISION, "start string, used long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def reserved(events: DataFrame, seconds: int) -> DataFrame:
+    """key, event_id of events that reserve their key: those with no reservation of it in the ``seconds`` before."""
+    return rate_limited(events, 1, seconds).filter("used = 1").select("key", "event_id")
+
+
 def reserved_once(events: DataFrame, ttl: str) -> DataFrame:
     """First events of a key within ``ttl``, for a stream (id, key, ts)."""
     return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["key"])
