@@ -8,6 +8,10 @@ transforms are: the interleave starts in shard order, and each round refines the
 symbols to the right, or by the preceding ones to the left (those a transform holds). The symbol at which
 two neighbours part is their common prefix; intervals of neighbours with enough in common, left and right of
 the anchor together, are repeated strings, of which all but the first occurrence are marked.
+
+A gram of more surroundings than one task is to hold is refined before: of a string of ``depth`` bytes around it,
+half of the rest is to the left of it or to the right, so its strings are dealt by those 38 bytes. What is
+still too many then, the edges of a passage that very many documents hold, goes string by string.
 """
 
 from __future__ import annotations
@@ -17,15 +21,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import group_count, grouped, split_ranges, text_bytes, written
+from .shared import group_count, grouped, split_ranges, spread_join, text_bytes, written
 
 GRAM = 24
 _CHUNK = 2 << 20
 _U = np.uint64
 _AT = np.dtype([("fp", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("at", "<i8"), ("lo", "<i8"), ("hi", "<i8")])
+#: Surroundings of a gram that one task holds, about 200 bytes each.
+HOT = 1 << 18
 _ROW = "kind int, fp long, doc_id long, text_hash long, at long, lo long, hi long"
 _RANGE = "doc_id long, text_hash long, lo long, hi long"
 
@@ -137,9 +143,7 @@ def _list(depth: int, parts: int):
                 # at = -1 says so. This keeps a passage of many documents from being a hot key.
                 rows = _once(rows, "fp", "ctx")
                 rows["at"][~_heads(rows)] = -1
-                # Where nothing is left to find out, a row may go anywhere.
-                meet = np.where(rows["at"] < 0, _mix(rows["text"].view(np.uint64)), rows["fp"])
-                yield _deal(parts, ((meet >> _U(33)) % _U(parts)).astype(np.int64), rows)
+                yield _deal(parts, (_mix(rows["fp"] ^ _mix(rows["ctx"])) >> _U(33)).astype(np.int64) % parts, rows)
 
     return run
 
@@ -149,15 +153,12 @@ def _rows(kind: int, r: np.ndarray) -> list:
 
 
 def _same_surroundings(table: pa.Table) -> pa.Table:
-    """kind 0: ranges of string starts known to be repeats; kind 1: anchors to be compared with others."""
+    """kind 0: ranges of string starts known to be repeats; kind 1: the first anchor of each surroundings."""
     rows = _undeal(table, _AT)
     known, rows = rows[rows["at"] < 0], rows[rows["at"] >= 0]
     r = _once(rows, "fp", "ctx")
     first = _heads(r)
-    again, heads = r[~first], r[first]
-    _, place, many = np.unique(heads["fp"], return_inverse=True, return_counts=True)
-    heads = heads[many[place] > 1]
-    cols = [np.concatenate(x) for x in zip(_rows(0, known), _rows(0, again), _rows(1, heads))]
+    cols = [np.concatenate(x) for x in zip(_rows(0, known), _rows(0, r[~first]), _rows(1, r[first]))]
     return pa.table(dict(zip(("kind", "fp", "doc_id", "text_hash", "at", "lo", "hi"), map(pa.array, cols))))
 
 
@@ -166,32 +167,69 @@ def _side_dtype(depth: int) -> np.dtype:
     return np.dtype([("fp", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("at", "<i8"), ("lo", "<i8"), ("hi", "<i8"), ("left", "u1", (side,)), ("right", "u1", (side,))])
 
 
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """For each document its id (the least for null), text hash, text and the columns fp, at, lo, hi asked of it;
+    a repeated row of a document once, as the join brings them one after another."""
+    seen = None
+    for batch in batches:
+        texts, lists = text_bytes(batch), batch.column("asked")
+        ends, flat = lists.offsets.to_numpy(), lists.values
+        cols = [flat.field(f).to_numpy() for f in ("fp", "at", "lo", "hi")]
+        doc, hash_ = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy(), batch.column("text_hash").to_numpy()
+        for i, text in enumerate(texts):
+            if seen != (doc[i], hash_[i]):
+                seen = doc[i], hash_[i]
+                yield doc[i], hash_[i], text, *(c[ends[i] : ends[i + 1]] for c in cols)
+
+
 def _surroundings(depth: int, parts: int):
     dtype, side = _side_dtype(depth), depth - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = None
-        for batch in batches:
-            texts = text_bytes(batch)
-            lists = batch.column("asked")
-            ends, flat = lists.offsets.to_numpy(), lists.values
-            fp, at, lo, hi = (flat.field(f).to_numpy() for f in ("fp", "at", "lo", "hi"))
-            doc, hash_ = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy(), batch.column("text_hash").to_numpy()
-            for i in range(len(texts)):
-                if seen == (doc[i], hash_[i]):  # the join brings repeated rows one after another
-                    continue
-                seen = doc[i], hash_[i]
-                s = slice(ends[i], ends[i + 1])
-                rows = np.zeros(s.stop - s.start, dtype)
-                rows["fp"], rows["at"], rows["lo"], rows["hi"] = fp[s].view(np.uint64), at[s], lo[s], hi[s]
-                rows["doc"], rows["text"] = doc[i], hash_[i]
-                t = np.concatenate([np.zeros(side, np.uint8), np.frombuffer(texts[i], np.uint8), np.zeros(side, np.uint8)])
-                near = np.arange(side)
-                p = at[s][:, None] + side
-                # The left side is read away from the anchor. What no string of the anchor holds is zero.
-                rows["left"] = np.where(near < (at[s] - lo[s])[:, None], t[p - 1 - near], 0)
-                rows["right"] = np.where(near < (hi[s] + depth - GRAM - at[s])[:, None], t[p + GRAM + near], 0)
-                yield _deal(parts, ((rows["fp"] >> _U(17)) % _U(parts)).astype(np.int64), rows)
+        for doc, hash_, text, fp, at, lo, hi in _asked(batches):
+            rows = np.zeros(len(fp), dtype)
+            rows["fp"], rows["at"], rows["lo"], rows["hi"] = fp.view(np.uint64), at, lo, hi
+            rows["doc"], rows["text"] = doc, hash_
+            t = np.concatenate([np.zeros(side, np.uint8), np.frombuffer(text, np.uint8), np.zeros(side, np.uint8)])
+            near = np.arange(side)
+            p = at[:, None] + side
+            # The left side is read away from the anchor. What no string of the anchor holds is zero.
+            rows["left"] = np.where(near < (at - lo)[:, None], t[p - 1 - near], 0)
+            rows["right"] = np.where(near < (hi + depth - GRAM - at)[:, None], t[p + GRAM + near], 0)
+            yield _deal(parts, ((rows["fp"] >> _U(17)) % _U(parts)).astype(np.int64), rows)
+
+    return run
+
+
+def _halves(depth: int):
+    """Anchors by a longer gram: those of the strings that have half of the rest to the left of it, and those
+    that have more than half to the right."""
+    half = (depth - GRAM) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, hash_, text, _, at, lo, hi in _asked(batches):
+            rows = [], [], [], []
+            for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist()):
+                for low, high, start, seed in ((a, min(b, p - half), p - half, 1), (max(a, p - half + 1), b, p, 2)):
+                    if low <= high:
+                        key = xxhash.xxh3_64_intdigest(text[start : start + GRAM + half], seed) - (1 << 63)
+                        for c, v in zip(rows, (key, p, low, high)):
+                            c.append(v)
+            n = len(rows[0])
+            cols = [np.full(n, doc), np.full(n, hash_), *(np.array(c, np.int64) for c in rows)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["doc_id", "text_hash", "fp", "at", "lo", "hi"])
+
+    return run
+
+
+def _strings(depth: int):
+    """Each string of the anchors by a hash of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, hash_, text, _, _, lo, hi in _asked(batches):
+            at = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi)])
+            h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[p : p + depth]) for p in at.tolist()), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc)), pa.array(np.full(len(at), hash_)), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(at)], names=["doc_id", "text_hash", "h1", "h2", "at"])
 
     return run
 
@@ -302,6 +340,25 @@ def _remove(depth: int):
     return run
 
 
+def _null(doc: str = "doc_id") -> Column:
+    """Ids that are null travel as the least."""
+    return F.when(F.col(doc) > -(1 << 63), F.col(doc))
+
+
+def _texts(docs: DataFrame, anchors_: DataFrame) -> DataFrame:
+    asked = anchors_.groupBy(_null().alias("d"), F.col("text_hash").alias("t")).agg(F.collect_list(F.struct("fp", "at", "lo", "hi")).alias("asked"))
+    return docs.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).select("doc_id", "text_hash", "text", "asked")
+
+
+def _shared(anchors_: DataFrame, name: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """Of anchors (fp, doc_id, text_hash, at, lo, hi) those whose gram others have too: of grams that a task
+    holds, of grams with more surroundings than that, and how many of each there are."""
+    grams = written(anchors_.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("hot", F.col("n") > HOT), f"{name}-grams")
+    met = written(spread_join(anchors_, grams, ["fp"], "text_hash").select("hot", "fp", "doc_id", "text_hash", "at", "lo", "hi"), f"{name}-shared")
+    sums = {r["hot"]: r["n"] for r in grams.groupBy("hot").agg(F.sum("n").alias("n")).collect()}
+    return met.filter("not hot"), met.filter("hot"), sums.get(False, 0), sums.get(True, 0)
+
+
 def repeat_ranges(docs: DataFrame, depth: int = 100) -> DataFrame:
     """doc_id, text_hash, lo, hi: starts of strings that start earlier too, for ``docs`` with doc_id, text
     and text_hash."""
@@ -311,13 +368,24 @@ def repeat_ranges(docs: DataFrame, depth: int = 100) -> DataFrame:
     parts = group_count(spark, size * 2 / (side + 2) * _AT.itemsize)
     listed = docs.mapInArrow(_list(depth, parts), "part int, blob binary")
     rows = written(grouped(listed, "part", parts).applyInArrow(_same_surroundings, _ROW), "anchors")
-    null = F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id"))  # ids that are null travel as the least
-    compared = rows.filter("kind = 1")
-    asked = compared.groupBy(null.alias("d"), F.col("text_hash").alias("t")).agg(F.collect_list(F.struct("fp", "at", "lo", "hi")).alias("asked"))
-    met = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).select("doc_id", "text_hash", "text", "asked")
-    sides = group_count(spark, compared.count() * _side_dtype(depth).itemsize)
-    merged = grouped(met.mapInArrow(_surroundings(depth, sides), "part int, blob binary"), "part", sides).applyInArrow(_merge(depth), _RANGE)
-    return rows.filter("kind = 0").select("doc_id", "text_hash", "lo", "hi").unionAll(merged).withColumn("doc_id", null)
+
+    def compared(anchors_: DataFrame, n: int) -> DataFrame:
+        groups = group_count(spark, n * _side_dtype(depth).itemsize)
+        return grouped(_texts(docs, anchors_).mapInArrow(_surroundings(depth, groups), "part int, blob binary"), "part", groups).applyInArrow(_merge(depth), _RANGE)
+
+    few, many, n_few, n_many = _shared(rows.filter("kind = 1"), "anchor")
+    out = rows.filter("kind = 0").select("doc_id", "text_hash", "lo", "hi").unionAll(compared(few, n_few))
+    if n_many:
+        halves = written(_texts(docs, many).mapInArrow(_halves(depth), "doc_id long, text_hash long, fp long, at long, lo long, hi long"), "halves")
+        few, many, n_few, n_many = _shared(halves, "half")
+        out = out.unionAll(compared(few, n_few))
+    if n_many:
+        strings = written(_texts(docs, many).mapInArrow(_strings(depth), "doc_id long, text_hash long, h1 long, h2 long, at long"), "strings")
+        place = lambda: F.struct("doc_id", "text_hash", "at")
+        first = written(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place()).alias("first")).filter("n > 1"), "first-strings")
+        later = spread_join(strings, first, ["h1", "h2"], "at").filter(place() != F.col("first"))
+        out = out.unionAll(later.select("doc_id", "text_hash", F.col("at").alias("lo"), F.col("at").alias("hi")))
+    return out.withColumn("doc_id", _null())
 
 
 def remove_repeats(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

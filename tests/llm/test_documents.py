@@ -133,6 +133,23 @@ def test_repeats(spark, depth):
     assert repeats.remove_repeats(cases.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2, 12])
+def test_repeats_of_grams_with_many_surroundings(spark, monkeypatch, hot):
+    """Grams above the bound are refined to halves, and those above it again to strings."""
+    import random
+
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefgh ", k=260))
+    data = [(i, "".join(rng.choices("xyz ", k=150 + i)) + passage[i % 7 :] + "".join(rng.choices("uvw ", k=150))) for i in range(60)]
+    data += [(None, passage + "tail of a null id" * 9), (3, data[3][1]), (100, passage[:130] + passage[:130])]
+    monkeypatch.setattr(repeats, "HOT", hot)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = repeats.repeat_digest(repeats.remove_repeats(df)).collect()
+    least = [(-1 if i is None else i, t) for i, t in data]
+    want = [(None if r[0] == -1 else r[0], *r[1:]) for r in brute_repeats(least, 100)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_repeats_over_chunks(spark, monkeypatch):
     import random
 
