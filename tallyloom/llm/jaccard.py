@@ -189,6 +189,7 @@ def _keys(width: int, percent: int):
                 key = [set_key(s) for s in sets]
                 marks = [sketch(s, percent) if len(s) else b"" for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n), pa.array((np.searchsorted(starts, n, side="right") - 1).astype(np.int32)), pa.array(key, pa.int64()), pa.array(marks, pa.binary())], names=["doc_id", "text_hash", "n", "band", "cls", "sketch"])
+        _words.clear()  # workers live on, and later stages need the room
 
     return run
 
@@ -211,6 +212,7 @@ def _index(width: int, percent: int, plan: dict, parts: int):
                     cuts = np.flatnonzero(np.diff(part)) + 1 if len(part) else np.zeros(0, int)
                     blobs = [a.tobytes() + b.tobytes() for a, b in zip(np.split(sig, cuts), np.split(cls, cuts))] if len(sig) else []
                     yield pa.RecordBatch.from_arrays([pa.array(part[np.concatenate([[0], cuts])].astype(np.int32) if len(sig) else [], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+        _words.clear()
 
     return run
 
@@ -364,6 +366,7 @@ def _verify(width: int, percent: int):
                 if len(rows) > 1:
                     sets = shingle_sets([x or b"" for x in texts.take(pa.array(rows)).cast(pa.binary()).to_pylist()], width)
                     edges += [(int(cls[rows[a]]), int(cls[rows[b]])) for a, b in linked(sets, percent)]
+        _words.clear()
         a, b = zip(*edges) if edges else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 

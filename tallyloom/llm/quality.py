@@ -30,7 +30,7 @@ for _i, _c in enumerate(_CLASSES):
 
 
 #: Buckets of words, and words whose bucket a worker remembers.
-WORD_BUCKETS, _KNOWN_WORDS = 64, 100_000
+WORD_BUCKETS, _KNOWN_WORDS = 64, 20_000
 
 
 class _Buckets(dict):
@@ -98,6 +98,7 @@ def _collectable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = features(text_bytes(batch))
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
+    _buckets.clear()  # workers live on, and later stages need the room
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, label_col: str = "quality") -> tuple:
@@ -119,6 +120,7 @@ def _score(model: tuple):
         for batch in batches:
             s = scores(features(text_bytes(batch)), model)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= PASS).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+        _buckets.clear()  # workers live on, and later stages need the room
 
     return run
 
