@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import group_count, grouped, spread_join, text_bytes, written
+from .shared import BUNDLES, group_count, grouped, spread_join, text_bytes, written
 
 _U = np.uint64
 PLAIN, SUBSETS, DELETIONS = 0, 1, 2
@@ -329,9 +329,9 @@ def candidate_edges(met: DataFrame, classes: DataFrame, percent: int, sketch_byt
     sizes = written(sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK_SETS).cast("int")), "signature-sizes")
     dealt = _blocks(many, sizes, "sig", "cls").withColumnRenamed("cls", "m").join(classes, F.col("m") == F.col("cls"))
     copies = sizes.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
-    bundles = group_count(met.sparkSession, copies * (sketch_bytes + 40))
-    bundle = F.pmod(F.xxhash64("sig", "i", "j"), F.lit(bundles)).cast("int").alias("bundle")
-    return few.unionAll(grouped(dealt.select(bundle, "sig", "i", "j", "cls", "n", "sketch"), "bundle", bundles).applyInArrow(_compare_many(percent), "a long, b long"))
+    tasks = group_count(met.sparkSession, copies * (sketch_bytes + 40))
+    bundle = F.pmod(F.xxhash64("sig", "i", "j"), F.lit(BUNDLES * tasks)).cast("int").alias("bundle")
+    return few.unionAll(grouped(dealt.select(bundle, "sig", "i", "j", "cls", "n", "sketch"), "bundle", tasks).applyInArrow(_compare_many(percent), "a long, b long"))
 
 
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -410,9 +410,9 @@ def jaccard_members(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     dealt = _blocks(family, sizes.drop("shingles"), "family", "cls").select("cls", "family", "rep", "rep_hash", "i", "j")
     # Merged at every size: the families grow with the documents, so neither side is one to broadcast.
     texts = dealt.hint("merge").join(base.withColumnRenamed("doc_id", "d"), F.col("rep").eqNullSafe(F.col("d")) & (F.col("rep_hash") == F.col("text_hash"))).dropDuplicates(["cls", "family", "i", "j"])
-    bundles = group_count(spark, 8 * (sizes.agg(F.sum(F.col("shingles") * F.col("blocks"))).first()[0] or 0))  # a shingle is a word of text
-    bundle = F.pmod(F.xxhash64("family", "i", "j"), F.lit(bundles)).cast("int").alias("bundle")
-    edges = grouped(texts.select(bundle, "cls", "family", "i", "j", "text"), "bundle", bundles).applyInArrow(_verify(width, percent), "a long, b long")
+    tasks = group_count(spark, 8 * (sizes.agg(F.sum(F.col("shingles") * F.col("blocks"))).first()[0] or 0))  # a shingle is a word of text
+    bundle = F.pmod(F.xxhash64("family", "i", "j"), F.lit(BUNDLES * tasks)).cast("int").alias("bundle")
+    edges = grouped(texts.select(bundle, "cls", "family", "i", "j", "text"), "bundle", tasks).applyInArrow(_verify(width, percent), "a long, b long")
     roots = components(edges)
     classes = keys.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("root", "cls").alias("root"))

@@ -41,7 +41,7 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 #: Bytes of a group that a task holds at once.
-_GROUP_BYTES = 32 << 20
+_GROUP_BYTES = 16 << 20
 
 
 def group_count(spark: SparkSession, size: float) -> int:
@@ -50,9 +50,13 @@ def group_count(spark: SparkSession, size: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / _GROUP_BYTES))
 
 
-def grouped(rows: DataFrame, key: str, groups: int):
-    """``rows`` grouped by ``key``, a number under ``groups``, in that many tasks."""
-    return rows.repartition(groups, key).groupBy(key)
+def grouped(rows: DataFrame, key: str, tasks: int):
+    """``rows`` grouped by ``key`` in that many tasks. Keys may be more; a task holds one group at a time."""
+    return rows.repartition(tasks, key).groupBy(key)
+
+
+#: Bundles of small groups a task works through one after another, so that two large ones seldom share one.
+BUNDLES = 16
 
 
 #: A key's rows are dealt over as many tasks as it has 2,000ths of all of them.
