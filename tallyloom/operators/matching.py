@@ -34,14 +34,16 @@ def containing(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id", tex
     a pass over ``docs``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    words = rows.select("id", "text", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), _SPACE))).alias("word"))
+    # Narrow, and merged: what exploding makes of a table is many times what the planner takes it for.
+    words = rows.select("id", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), _SPACE))).alias("word"))
     parts = F.split("text", _SPACE)
     inner = patterns.filter("text <> ''").select("pattern_id", F.col("text").alias("pattern"), F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))).alias("inner"))
     asked = inner.select("pattern_id", "pattern", F.explode("inner").alias("word"))
-    often = words.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    often = words.hint("merge").join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     # A word that no text has rules its pattern out.
     keys = asked.join(often, "word", "left").groupBy("pattern_id", "pattern").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
-    found = words.join(keys, "word").filter(F.contains("text", F.col("pattern"))).select("pattern_id", "id")
+    pairs = words.hint("merge").join(keys, "word").select("pattern_id", "pattern", F.col("id").alias("d")).distinct()
+    found = pairs.hint("merge").join(rows, F.col("d").eqNullSafe(F.col("id"))).filter(F.contains("text", F.col("pattern"))).select("pattern_id", "id")
     block, short = [], inner.filter(F.size("inner") == 0).select("pattern_id", "pattern")
     for r in [*short.toLocalIterator(), None]:
         if block and (r is None or len(block) == BLOCK):
