@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, flac, jaccard, line_dedup, mixing, packing, quality, repeats, token_files, topk
+from . import chat, divergence, flac, interpolation, jaccard, line_dedup, mixing, packing, quality, repeats, token_files, topk, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,20 @@ def op10_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("chosen_spans", spans("chosen_spans")).withColumn("rejected_spans", spans("rejected_spans"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.interpolated_scores(_table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_segment_top_k, op2_bradley_terry_quality, op3_token_orc, op4_line_dedup, op5_certified_packing, op6_jaccard_join, op7_source_mix, op8_flac_media, op9_bwt_repeats, op10_preference_chat)}
+    return {f.__name__: f for f in (op1_segment_top_k, op2_bradley_terry_quality, op3_token_orc, op4_line_dedup, op5_certified_packing, op6_jaccard_join, op7_source_mix, op8_flac_media, op9_bwt_repeats, op10_preference_chat, op11_embedding_whitening, op12_deleted_interpolation, op13_source_divergence)}
 
 
 _TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -97,5 +109,19 @@ f AS (SELECT *, chosen[n_common + 1:] AS a, rejected[n_common + 1:] AS b FROM q)
 SELECT conv_id, other_id, n_common, {_RENDER.format("chosen[1:n_common]")} AS prompt, {_RENDER.format("a")} AS chosen_text, {_RENDER.format("b")} AS rejected_text, {_SPANS.format("a")} AS chosen_spans, {_SPANS.format("b")} AS rejected_spans FROM f"""
 
 
+_SHARE = "1 + 1000000000::HUGEINT * ({0} + 5) // ({1} + 5 * v)"
+
+_DIVERGENCE = rf"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text, row_number() OVER () AS r FROM documents),
+w AS (SELECT lang, source, r, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+l AS (SELECT g.lang, count(k.term) AS v, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang FROM d) g LEFT JOIN k USING (lang) GROUP BY g.lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT s.lang, s.source, l.v, l.n AS all_n, coalesce(sum(c.c), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) s JOIN l USING (lang) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, {_SHARE.format("coalesce(c.c, 0)", "g.n")} AS p, {_SHARE.format("k.c", "g.all_n")} AS q FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = a.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+o AS (SELECT lang, source, 'pair' AS part, item, value FROM f UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM o) WHERE part = 'pair' OR rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_segment_top_k": _TOP_K, "op4_line_dedup": _LINES, "op7_source_mix": _MIX, "op10_preference_chat": _PAIRS}
+    return {"op13_source_divergence": _DIVERGENCE, "op1_segment_top_k": _TOP_K, "op4_line_dedup": _LINES, "op7_source_mix": _MIX, "op10_preference_chat": _PAIRS}
