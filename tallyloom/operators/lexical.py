@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.segment import bigram_words as words
+
+Tokenizer = Callable[[Column], Column]
 #: BM25 parameters (fixed values).
 K1, B = 1.2, 0.75
-#: Dotted or slashed identifiers, numbers with units, dotted numbers, words, runs of Han characters.
-_TOKEN = r"[a-z0-9]+(?:[./\-][a-z0-9]+)*"
-
+#: Units that stay with their number, and tokens that are never searched for (fixed values).
+UNITS = ("kva", "kv", "kw", "hz", "db", "mω", "μs", "ms", "w", "v", "a", "s", "%")
+STOP_TOKENS = ("nbsp", "table", "tr", "td", "th", "tbody", "thead", "colspan", "rowspan", "以及", "或者", "进行", "应按", "符合", "规定", "要求", "试验", "标准")
+#: Dotted, slashed or dashed identifiers; numbers with a unit; dotted numbers.
+_EXACT = r"[a-z][a-z0-9]*(?:[./\-][a-z0-9]+)+|[0-9]+(?:\.[0-9]+)?\s*(?:" + "|".join(UNITS) + r")|[0-9]+(?:\.[0-9]+)*"
+#: Documents and queries of a block.
+DOCS, QUERIES = 4096, 1024
 
-def search_tokens(text: Column) -> Column:
-    """Lower-case tokens in order of first occurrence, of two characters or more or with a digit. Markup is
-    left out, and identifiers are squeezed to letters and digits."""
-    plain = F.lower(F.regexp_replace(text, "<[^>]+>", " "))
-    squeezed = F.transform(F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(0)), lambda t: F.regexp_replace(t, "[^a-z0-9]", ""))
-    return F.array_distinct(F.filter(squeezed, lambda t: (F.length(t) >= 2) | t.rlike("[0-9]")))
 
+def search_tokens(text: Column, tokenize: Tokenizer = words) -> Column:
+    """Distinct lower-case tokens in order: words, then identifiers and measures squeezed to letters and digits.
+    Markup and the stop list are left out, and single characters that are no digits."""
+    plain = F.lower(F.translate(F.regexp_replace(text, "<[^>]+>", " "), "（）％", "()%"))
+    exact = F.transform(F.regexp_extract_all(plain, F.lit(_EXACT), F.lit(0)), lambda t: F.regexp_replace(t, r"[^0-9a-z\p{IsHan}]+", ""))
+    both = F.array_distinct(F.concat(tokenize(plain), exact))
+    return F.filter(both, lambda t: ((F.length(t) >= 2) | t.rlike("^[0-9]$")) & ~t.isin(*STOP_TOKENS))
 
-def words(text: Column) -> Column:
-    """Runs of a-z and 0-9 of the lower-case text, in order, with repeats."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
-
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None, tokenize: Tokenizer = words) -> DataFrame:
     """id, token, tf, length: a row for each distinct token of a document; with ``terms`` (token) only for those
     among them, so that what is shuffled grows with what is asked. Routes over the same columns and
     terms have one plan and share the shuffle."""
-    tokens = docs.select(F.col(id_col).alias("id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+    tokens = docs.select(F.col(id_col).alias("id"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
     each = tokens.select("id", F.size("w").cast("long").alias("length"), F.explode("w").alias("token"))
     if terms is not None:
         each = each.join(terms.select("token").distinct(), "token", "left_semi")
@@ -40,19 +50,13 @@ def statistics(posts: DataFrame) -> DataFrame:
     return posts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _ranked(scores: DataFrame, k: int) -> DataFrame:
-    """Rounded before ranking, so that the order of a sum's terms decides no tie."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-    return scores.withColumn("score", F.round("score", 6)).withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
-def _terms(queries: DataFrame) -> DataFrame:
-    return postings(queries, "query_id", "text").select(F.col("id").alias("query_id"), "token", F.col("tf").alias("qtf"))
+def _terms(queries: DataFrame, tokenize: Tokenizer) -> DataFrame:
+    return postings(queries, "query_id", "text", tokenize=tokenize).select(F.col("id").alias("query_id"), "token", F.col("tf").alias("qtf"))
 
 
-def _totals(docs: DataFrame, *columns: str) -> DataFrame:
+def _totals(docs: DataFrame, tokenize: Tokenizer, *columns: str) -> DataFrame:
     """n documents and the mean number of words of those that have any: one row, without exploding."""
-    length = sum((F.size(words(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0))
+    length = sum((F.size(tokenize(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0))
     return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(length > 0, length)).alias("mean"))
 
 
@@ -60,52 +64,113 @@ def _saturated(tf: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _best(k: int, digits: int):
+    """Of a block of documents and one of queries: each query's k best. A query adds up the lists of its tokens over
+    all documents of the block, so a frequent token makes no rows."""
+
+    def run(posts: pa.Table, terms: pa.Table) -> pa.Table:
+        out = []
+        if posts.num_rows and terms.num_rows:
+            tokens = pc.unique(terms.column("token"))
+            code = pc.index_in(posts.column("token"), value_set=tokens).fill_null(-1).to_numpy()
+            ids, doc = np.unique(posts.column("id").to_numpy(), return_inverse=True)
+            weight = posts.column("w").to_numpy()
+            order = np.argsort(code, kind="stable")
+            cuts = np.searchsorted(code[order], np.arange(len(tokens) + 1))
+            doc, weight = doc[order], weight[order]
+            asked = pc.index_in(terms.column("token"), value_set=tokens).to_numpy()
+            names, query = np.unique(terms.column("query_id").to_numpy(), return_inverse=True)
+            by = np.argsort(query, kind="stable")
+            ends = np.searchsorted(query[by], np.arange(len(names) + 1))
+            times = terms.column("q").to_numpy()
+            for i, name in enumerate(names):
+                total = np.zeros(len(ids))
+                for t in by[ends[i] : ends[i + 1]]:
+                    a, b = cuts[asked[t]], cuts[asked[t] + 1]
+                    np.add.at(total, doc[a:b], times[t] * weight[a:b])
+                some = np.flatnonzero(total > 0)
+                score = np.round(total[some], digits)
+                if len(some) > k:
+                    near = score >= np.partition(score, -k)[-k]
+                    some, score = some[near], score[near]
+                top = np.lexsort((some, -score))[:k]
+                out.append(([name] * len(top), ids[some[top]].tolist(), score[top].tolist()))
+        cols = [[x for c in cs for x in c] for cs in zip(*out)] or [[], [], []]
+        types = terms.schema.field("query_id").type, posts.schema.field("id").type, pa.float64()
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "id", "score"), cols, types)})
+
+    return run
+
+
+def scored(posts: DataFrame, terms: DataFrame, docs: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """query_id, id, score, rank: the k best documents of each query by the sum over its tokens of q * w, rounded
+    before ranking so that the order of a sum's terms decides no tie; ties to smaller ids. ``posts``: id, token, w, one
+    row for each; ``terms``: query_id, token, q.
+
+    Documents and queries are dealt into blocks by a hash of the id; a pair of blocks is a task that keeps k rows a
+    query, so postings are sent once for each block of queries and no row is made for a document and a query."""
+    n, m = docs.count(), queries.count()
+    parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    doc_blocks, query_blocks = max(1, math.ceil(n / DOCS), min(parallel, math.ceil(n / 512))), max(1, math.ceil(m / QUERIES))
+    deal = lambda c, b: F.pmod(F.xxhash64(c), F.lit(b)).cast("int")
+    every = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
+    left = posts.select("id", "token", F.col("w").cast("double").alias("w")).withColumn("db", deal("id", doc_blocks)).withColumn("qb", every(query_blocks))
+    # Columns of its own: a cogroup can't tell the sides apart where both come from the terms.
+    right = terms.select(F.col("query_id").alias("query_id"), F.col("token").alias("token"), F.col("q").cast("double").alias("q")).withColumn("qb", deal("query_id", query_blocks)).withColumn("db", every(doc_blocks))
+    kinds = {c: f.schema[c].dataType.simpleString() for f, c in ((terms, "query_id"), (posts, "id"))}
+    found = left.groupBy("db", "qb").cogroup(right.groupBy("db", "qb")).applyInArrow(_best(k, digits), f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, tokenize: Tokenizer = words) -> DataFrame:
     """query_id, id, score, rank of the k best documents of each query. ``queries`` have query_id and text.
 
-    Only tokens of queries are counted, and scores are summed before they are shuffled by query and document."""
-    terms = _terms(queries)
-    posts = postings(docs, terms=terms)
-    met = posts.join(terms, "token").join(statistics(posts), "token").join(F.broadcast(_totals(docs, "text")))  # one row
+    Only tokens of queries are counted. A tokenizer with a dictionary comes from functions.segment."""
+    terms = _terms(queries, tokenize)
+    posts = postings(docs, terms=terms, tokenize=tokenize)
+    met = posts.join(statistics(posts), "token").join(F.broadcast(_totals(docs, tokenize, "text")))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return _ranked(met.groupBy("query_id", "id").agg(F.sum(idf * _saturated(F.col("tf"))).alias("score")), k)
+    return scored(met.select("id", "token", (idf * _saturated(F.col("tf"))).alias("w")), terms.withColumn("q", F.lit(1.0)), docs, queries, k)
 
 
-def field_bm25(docs: DataFrame, weights: dict[str, float], queries: DataFrame, k: int) -> DataFrame:
+def field_bm25(docs: DataFrame, weights: dict[str, float], queries: DataFrame, k: int, tokenize: Tokenizer = words) -> DataFrame:
     """As bm25(), over several columns as a full-text index has it: a token's count is the weighted sum of its
     counts by column, a document's length that of all columns, and the weight of a token that most
     documents have is just above zero."""
-    terms = _terms(queries)
+    terms = _terms(queries, tokenize)
     posts = None
     for column, weight in weights.items():
-        one = postings(docs, text_col=column, terms=terms).select("id", "token", (F.col("tf") * float(weight)).alias("tf"))
+        one = postings(docs, text_col=column, terms=terms, tokenize=tokenize).select("id", "token", (F.col("tf") * float(weight)).alias("tf"))
         posts = one if posts is None else posts.unionAll(one)
     posts = posts.groupBy("id", "token").agg(F.sum("tf").alias("tf"))
-    length = sum((F.size(words(F.coalesce(F.col(c), F.lit("")))) for c in weights), F.lit(0))
+    length = sum((F.size(tokenize(F.coalesce(F.col(c), F.lit("")))) for c in weights), F.lit(0))
     lengths = docs.select(F.col("doc_id").alias("id"), length.alias("length"))
-    met = posts.join(terms, "token").join(statistics(posts), "token").join(lengths, "id").join(F.broadcast(_totals(docs, *weights)))  # one row
+    met = posts.join(statistics(posts), "token").join(lengths, "id").join(F.broadcast(_totals(docs, tokenize, *weights)))  # one row
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    return _ranked(met.groupBy("query_id", "id").agg(F.sum(idf * _saturated(F.col("tf"))).alias("score")), k)
+    return scored(met.select("id", "token", (idf * _saturated(F.col("tf"))).alias("w")), terms.withColumn("q", F.lit(1.0)), docs, queries, k)
 
 
-def tf_idf(docs: DataFrame, queries: DataFrame, k: int, weight: float = 1.0) -> DataFrame:
+def tf_idf(docs: DataFrame, queries: DataFrame, k: int, weight: float = 1.0, tokenize: Tokenizer = words) -> DataFrame:
     """As bm25(), with weight * min(tf, 3) * idf * min(query tf, 2) and idf = ln((N + 1) / (df + 1)) + 1."""
-    terms = _terms(queries)
-    posts = postings(docs, terms=terms)
+    terms = _terms(queries, tokenize)
+    posts = postings(docs, terms=terms, tokenize=tokenize)
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    met = posts.join(terms, "token").join(statistics(posts), "token").join(F.broadcast(n))  # one row
-    score = weight * F.least("tf", F.lit(3)) * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1) * F.least("qtf", F.lit(2))
-    return _ranked(met.groupBy("query_id", "id").agg(F.sum(score).alias("score")), k)
+    met = posts.join(statistics(posts), "token").join(F.broadcast(n))  # one row
+    w = weight * F.least("tf", F.lit(3)) * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
+    return scored(met.select("id", "token", w.alias("w")), terms.withColumn("q", F.least("qtf", F.lit(2))), docs, queries, k)
 
 
-def weighted_overlap(docs: DataFrame, fields: dict[str, float], queries: DataFrame, k: int) -> DataFrame:
+def weighted_overlap(docs: DataFrame, fields: dict[str, float], queries: DataFrame, k: int, tokenize: Tokenizer = words) -> DataFrame:
     """As bm25(), with the sum over fields of weight times shared distinct tokens. No rows are cut before
     scoring."""
-    posts, terms = None, _terms(queries)
+    posts, terms = None, _terms(queries, tokenize)
     for column, weight in fields.items():
-        one = postings(docs, text_col=column, terms=terms).select("id", "token", F.lit(float(weight)).alias("w"))
+        one = postings(docs, text_col=column, terms=terms, tokenize=tokenize).select("id", "token", F.lit(float(weight)).alias("w"))
         posts = one if posts is None else posts.unionAll(one)
-    return _ranked(posts.join(terms, "token").groupBy("query_id", "id").agg(F.sum("w").alias("score")), k)
+    if len(fields) > 1:
+        posts = posts.groupBy("id", "token").agg(F.sum("w").alias("w"))
+    return scored(posts, terms.withColumn("q", F.lit(1.0)), docs, queries, k)
 
 
 def stale(index: DataFrame, chunks: DataFrame) -> DataFrame:

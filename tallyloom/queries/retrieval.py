@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import segment
 from ..operators import fusion, lexical, vectors
 from ..plans import hybrid
 from .registry import query, table
 
-_WORDS = """docs AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+_WORDS = """docs AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\pL\\pM\\pN]+'), lambda x: x <> '') AS w FROM documents),
 posts AS (SELECT id, len(w) AS length, token, count(*) AS tf FROM (SELECT id, w, unnest(w) AS token FROM docs) GROUP BY id, len(w), w, token),
 dfs AS (SELECT token, count(*) AS df FROM posts GROUP BY token),
-terms AS (SELECT item_id AS query_id, token, count(*) AS qtf FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS token FROM benchmark) GROUP BY ALL),
+terms AS (SELECT item_id AS query_id, token, count(*) AS qtf FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pM\\pN]+'), lambda x: x <> '')) AS token FROM benchmark) GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM documents)"""
 _BM25 = "sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)))"
 _KNN = """SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
@@ -51,13 +52,51 @@ def bm25_topk(spark, sf_dir) -> DataFrame:
 
 
 _FIELDED = f"""WITH {_WORDS}, f AS (SELECT doc_id AS id, unnest([{{'w': 1.0::DOUBLE, 't': text}}, {{'w': 4.0::DOUBLE, 't': source}}, {{'w': 2.0::DOUBLE, 't': lang}}]) AS f FROM documents),
-fw AS (SELECT id, f.w AS weight, list_filter(regexp_split_to_array(lower(coalesce(f.t, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM f),
+fw AS (SELECT id, f.w AS weight, list_filter(regexp_split_to_array(lower(coalesce(f.t, '')), '[^\\pL\\pM\\pN]+'), lambda x: x <> '') AS w FROM f),
 lens AS (SELECT id, sum(len(w)) AS length FROM fw GROUP BY id), fm AS (SELECT avg(length) AS mean FROM lens WHERE length > 0),
 fp AS (SELECT id, token, sum(weight) AS tf FROM (SELECT id, weight, unnest(w) AS token FROM fw) GROUP BY id, token), fd AS (SELECT token, count(*) AS df FROM fp GROUP BY token),
 asked AS (SELECT DISTINCT query_id, token FROM (SELECT query_id, token FROM terms UNION ALL SELECT item_id, 'en' FROM benchmark)),
 s AS (SELECT query_id, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM fp JOIN asked USING (token) JOIN fd USING (token) JOIN lens USING (id), n, fm GROUP BY query_id, id) """
 
 
+#: Han text that is derived from the tables: letters become characters (fixed values of these queries).
+_LATIN, _CHARS = "etaoinshrdlu", "电压器变流温升试验标准线"
+_HAN_WORDS = f"""flatten(list_transform(list_filter(regexp_split_to_array(translate(lower(coalesce(text, '')), '{_LATIN}', '{_CHARS}'), '[^\\pL\\pM\\pN]+'), lambda x: x <> ''),
+lambda w: flatten(list_transform(regexp_extract_all(w, '\\p{{Han}}+|\\P{{Han}}+'), lambda p: CASE WHEN regexp_matches(p, '^\\p{{Han}}') AND length(p) > 1 THEN list_transform(range(1, length(p)), lambda i: substr(p, i, 2)) ELSE [p] END))))"""
+
+
+def _in_han(df: DataFrame) -> DataFrame:
+    return df.withColumn("text", F.translate(F.lower("text"), _LATIN, _CHARS))
+
+
+@query(f"SELECT doc_id, len(w) AS words, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {_HAN_WORDS} AS w FROM documents)")
+def han_bigrams(spark, sf_dir) -> DataFrame:
+    """Words of texts in Han characters without a dictionary, as bigrams."""
+    w = lexical.words(F.coalesce("text", F.lit("")))
+    return _in_han(table(spark, sf_dir, "documents")).select("doc_id", F.size(w).cast("long").alias("words"), F.md5(F.array_join(w, " ").cast("binary")).alias("digest"))
+
+
+@query(f"""WITH docs AS (SELECT doc_id AS id, {_HAN_WORDS} AS w FROM documents), posts AS (SELECT id, len(w) AS length, token, count(*) AS tf FROM (SELECT id, w, unnest(w) AS token FROM docs) GROUP BY id, len(w), w, token),
+dfs AS (SELECT token, count(*) AS df FROM posts GROUP BY token), terms AS (SELECT DISTINCT item_id AS query_id, unnest({_HAN_WORDS}) AS token FROM benchmark), n AS (SELECT count(*) AS n FROM documents), m AS (SELECT avg(len(w)) AS mean FROM docs WHERE len(w) > 0),
+s AS (SELECT query_id, id, round({_BM25}, 6) AS score FROM posts JOIN terms USING (token) JOIN dfs USING (token), n, m GROUP BY query_id, id) """ + ranked_sql("SELECT * FROM s", 10))
+def han_bm25_topk(spark, sf_dir) -> DataFrame:
+    """BM25 over texts and queries in Han characters."""
+    return lexical.bm25(_in_han(table(spark, sf_dir, "documents")), _in_han(_queries(spark, sf_dir)), 10)
+
+
+def dictionary(spark, sf_dir) -> list[tuple[str, int]]:
+    """The words of benchmark items in Han characters with their counts, of which a segmenter takes a million."""
+    words = _in_han(table(spark, sf_dir, "benchmark")).select(F.explode(segment.pieces(F.col("text"))).alias("word")).filter(r"word RLIKE '^\\p{IsHan}'")
+    return [(r["word"], r["n"]) for r in words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).limit(segment.MAX_WORDS + 1).collect()]
+
+
+@query()
+def segmented_words(spark, sf_dir) -> DataFrame:
+    """Texts in Han characters segmented by a dictionary, the words of the benchmark items."""
+    w = segment.segmenter(dictionary(spark, sf_dir))(F.coalesce("text", F.lit("")))
+    return _in_han(table(spark, sf_dir, "documents")).select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("long").alias("words"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest"))
+
+
 @query(_FIELDED + ranked_sql("SELECT * FROM s", 10))
 def field_bm25_topk(spark, sf_dir) -> DataFrame:
     """BM25 over text, source and language with weights 1, 4 and 2; queries are in English and say so."""

@@ -125,11 +125,17 @@ def embedding_documents(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", F.sha2(text.document_text(label, F.col("lang"), body=F.col("text")), 256).alias("sha"))
 
 
-@query("WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(regexp_replace(text, '<[^>]+>', ' ', 'g')), '[a-z0-9]+(?:[./\\-][a-z0-9]+)*')) AS w FROM documents) SELECT doc_id, count(DISTINCT regexp_replace(w, '[^a-z0-9]', '', 'g')) AS tokens FROM t WHERE length(regexp_replace(w, '[^a-z0-9]', '', 'g')) >= 2 OR regexp_matches(w, '[0-9]') GROUP BY doc_id")
+_EXACT_SQL = r"[a-z][a-z0-9]*(?:[./\-][a-z0-9]+)+|[0-9]+(?:\.[0-9]+)?[\x20\x09-\x0D]*(?:kva|kv|kw|hz|db|mω|μs|ms|w|v|a|s|%)|[0-9]+(?:\.[0-9]+)*"
+_STOPS = "'nbsp', 'table', 'tr', 'td', 'th', 'tbody', 'thead', 'colspan', 'rowspan', '以及', '或者', '进行', '应按', '符合', '规定', '要求', '试验', '标准'"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, lower(translate(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), '（）％', '()%')) AS p FROM documents),
+k AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_concat(regexp_split_to_array(p, '[^\p{{L}}\p{{M}}\p{{N}}]+'), list_transform(regexp_extract_all(p, '{_EXACT_SQL}'), lambda x: regexp_replace(x, '[^0-9a-z\p{{Han}}]+', '', 'g'))), lambda x: (length(x) >= 2 OR regexp_matches(x, '^[0-9]$')) AND x NOT IN ({_STOPS})))) AS tokens FROM t)
+SELECT doc_id, len(tokens)::BIGINT AS tokens, md5(array_to_string(tokens, ' ')) AS digest FROM k""")
 def search_tokens(spark, sf_dir) -> DataFrame:
-    """Distinct search tokens, identifiers squeezed."""
-    n = F.size(lexical.search_tokens(F.col("text"))).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", n.alias("tokens")).filter("tokens > 0")
+    """Distinct search tokens: words, identifiers and measures squeezed, without the stop list."""
+    t = table(spark, sf_dir, "documents").select("doc_id", lexical.search_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("tokens"), F.md5(F.array_join(F.array_sort("t"), " ").cast("binary")).alias("digest"))
 
 
 @query("SELECT doc_id, text[1:500] AS snippet, length(text) AS chars FROM documents")
