@@ -139,11 +139,14 @@ def _list(depth: int, parts: int):
                 for f, c in zip(("fp", "ctx", "at", "lo", "hi"), cols):
                     rows[f] = c
                 rows["doc"], rows["text"] = doc[at:][of], hash_[at:][of]
-                # Of equal surroundings here only the first goes on as an anchor. For the rest all is known:
-                # at = -1 says so. This keeps a passage of many documents from being a hot key.
+                # Of equal surroundings here only the first goes on as an anchor, to the part of its surroundings.
+                # For the rest all is known: at = -1 says so, and their parts go by document and place, so that a
+                # passage of many documents is no hot key.
                 rows = _once(rows, "fp", "ctx")
-                rows["at"][~_heads(rows)] = -1
-                yield _deal(parts, (_mix(rows["fp"] ^ _mix(rows["ctx"])) >> _U(33)).astype(np.int64) % parts, rows)
+                later = ~_heads(rows)
+                rows["at"][later] = -1
+                by = np.where(later, rows["doc"].view(_U) ^ _mix(rows["text"].view(_U) ^ _mix(rows["lo"].view(_U))), rows["fp"] ^ _mix(rows["ctx"]))
+                yield _deal(parts, (_mix(by) >> _U(33)).astype(np.int64) % parts, rows)
 
     return run
 
