@@ -226,6 +226,19 @@ def test_token_files(spark, tmp_path):
     assert token_files.token_file_round_trip(cases.empty(spark), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_token_files_of_repeated_and_null_ids(spark, tmp_path):
+    data = [(None, "one two three"), (None, "x"), (4, "b b"), (4, "a much longer text than that"), (4, None), (4, "b b"), (1, ""), (9, "last")]
+    path = f"file://{tmp_path}/t"
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    got = token_files.token_file_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), path=path).collect()
+    start, want = 0, []
+    for r in token_files.read_token_files(spark, path).orderBy("part", "place").collect():
+        want.append((r.doc_id, start, len(r.ids), crc(r.ids)))
+        start += len(r.ids)
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and len(want) == len(data)
+    assert [r[0] for r in want] == [None, None, 1, 4, 4, 4, 4, 9]
+
+
 def rows_scanned(df):
     """Rows that the file scan handed on, before Spark's own filter."""
     df.collect()
