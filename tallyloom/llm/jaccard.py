@@ -39,6 +39,10 @@ PLAIN, SUBSETS, DELETIONS = 0, 1, 2
 FAMILY_SHINGLES, _KNOWN_WORDS = 1_500_000, 150_000
 #: Sets with one signature that are written as pairs; more are compared in a task, in blocks of BLOCK_SETS.
 PAIR_SETS, BLOCK_SETS = 6, 2048
+#: Classes that a task remembers to have indexed.
+_KNOWN_CLASSES = 200_000
+#: A row of a signature: with its others; so too, and its task has many more; one of those, on its own.
+PLAIN_ROW, MANY_HERE, APART = 0, 1, 2
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -194,23 +198,40 @@ def _keys(width: int, percent: int):
     return run
 
 
+def _marked(sig: np.ndarray, cls: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kinds of rows, and the signatures of ``many`` with those that have more than PAIR_SETS rows here."""
+    _, first, at, n = np.unique(sig, return_index=True, return_inverse=True, return_counts=True)
+    kind = np.where(n[at] > PAIR_SETS, APART, PLAIN_ROW).astype(np.uint8)
+    kind[first[n > PAIR_SETS]] = MANY_HERE
+    kind[np.isin(sig, many)] = APART
+    return kind, np.union1d(many, sig[kind == MANY_HERE])
+
+
 def _index(width: int, percent: int, plan: dict, parts: int):
+    """Rows of signature, class and kind, by part. Rows of one signature go to one part, but a task sends there no
+    more than one batch's few and a mark once it has more of them; the others go by signature and class, so that a
+    signature of a third of all documents is no hot key. A class is indexed once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        many = np.zeros(0, np.uint64)
         with np.errstate(over="ignore"):
             for batch in batches:
                 texts = text_bytes(batch)
                 for at in range(0, len(texts), 2000):
                     own = {}
                     for s in shingle_sets(texts[at : at + 2000], width):
-                        if len(s):
-                            own.setdefault(set_key(s), s)  # copies in a batch are indexed once
+                        if len(s) and (key := set_key(s)) not in done:
+                            own.setdefault(key, s)
+                    done = done | own.keys() if len(done) < _KNOWN_CLASSES else set(own)
                     sig, of = signatures(list(own.values()), plan, percent)
                     cls = np.array(list(own), np.int64)[of] if own else np.zeros(0, np.int64)
-                    part = (sig >> _U(40)) % _U(parts)
+                    kind, many = _marked(sig, cls, many)
+                    part = (np.where(kind == APART, mix(sig ^ mix(cls.view(np.uint64))), sig) >> _U(40)) % _U(parts)
                     order = np.argsort(part, kind="stable")
-                    sig, cls, part = sig[order], cls[order], part[order]
+                    sig, cls, kind, part = sig[order], cls[order], kind[order], part[order]
                     cuts = np.flatnonzero(np.diff(part)) + 1 if len(part) else np.zeros(0, int)
-                    blobs = [a.tobytes() + b.tobytes() for a, b in zip(np.split(sig, cuts), np.split(cls, cuts))] if len(sig) else []
+                    blobs = [b"".join(x.tobytes() for x in cols) for cols in zip(*(np.split(x, cuts) for x in (sig, cls, kind)))] if len(sig) else []
                     yield pa.RecordBatch.from_arrays([pa.array(part[np.concatenate([[0], cuts])].astype(np.int32) if len(sig) else [], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
         _words.clear()
 
@@ -219,26 +240,29 @@ def _index(width: int, percent: int, plan: dict, parts: int):
 
 def _meet(table: pa.Table) -> pa.Table:
     """Classes that share a signature: each pair (a, b) of a few, or rows (a: signature, b: class) of many."""
-    sig, cls = [], []
+    sig, cls, kind = [], [], []
     for blob in table.column("blob").to_pylist():
-        n = len(blob) // 16
+        n = len(blob) // 17
         sig.append(np.frombuffer(blob, np.uint64, n))
         cls.append(np.frombuffer(blob, np.int64, n, 8 * n))
-    sig, cls = np.concatenate(sig), np.concatenate(cls)
-    order = np.lexsort((cls, sig))
-    sig, cls = sig[order], cls[order]
-    new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])])[: len(sig)]  # copies came from several batches
-    sig, cls = sig[new], cls[new]
-    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)])
-    size = np.diff(np.append(start, len(sig)))
-    of = np.repeat(size, size)
+        kind.append(np.frombuffer(blob, np.uint8, n, 16 * n))
+    sig, cls, kind = np.concatenate(sig), np.concatenate(cls), np.concatenate(kind)
+    order = np.lexsort((kind, cls, sig))
+    sig, cls, kind = sig[order], cls[order], kind[order]
+    marked = np.isin(sig, sig[kind == MANY_HERE])
+    new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])])[: len(sig)]  # copies came from several tasks
+    apart = new & (kind == APART)
+    own, own_cls = sig[new & ~apart], cls[new & ~apart]
+    start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+    size = np.diff(np.append(start, len(own)))
+    many = (np.repeat(size, size) > PAIR_SETS) | marked[new & ~apart]
     pairs = [np.zeros((0, 2), np.int64)]
     for step in range(1, PAIR_SETS):
-        near = np.flatnonzero((of[step:] <= PAIR_SETS) & (sig[step:] == sig[:-step]))
-        pairs.append(np.stack([cls[near], cls[near + step]], 1))
+        near = np.flatnonzero(~many[step:] & (own[step:] == own[:-step]))
+        pairs.append(np.stack([own_cls[near], own_cls[near + step]], 1))
     few = np.unique(np.concatenate(pairs), axis=0)
-    many = of > PAIR_SETS
-    a, b = np.concatenate([few[:, 0], sig[many].view(np.int64)]), np.concatenate([few[:, 1], cls[many]])
+    a = np.concatenate([few[:, 0], own[many].view(np.int64), sig[apart].view(np.int64)])
+    b = np.concatenate([few[:, 1], own_cls[many], cls[apart]])
     return pa.table({"a": pa.array(a), "b": pa.array(b), "many": pa.array(np.arange(len(a)) >= len(few))})
 
 
@@ -395,7 +419,7 @@ def jaccard_members(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     keys = written(base.mapInArrow(_keys(width, percent), "doc_id long, text_hash long, n long, band int, cls long, sketch binary"), "shingle-keys")
     bands = keys.filter("n > 0").groupBy("band").agg(F.count_distinct("cls").alias("n"), F.count(F.lit(1)).alias("rows"), F.sum(F.length("sketch")).alias("marks")).collect()  # a row a band: a logarithm of the largest size
     plan = allocate({r["band"]: r["n"] for r in bands}, percent)
-    parts = group_count(spark, sum(16 * r["rows"] * signature_count(plan, r["band"]) for r in bands))
+    parts = group_count(spark, sum(17 * r["rows"] * signature_count(plan, r["band"]) for r in bands))
     blobs = base.mapInArrow(_index(width, percent, plan, parts), "part int, blob binary")
     met = written(grouped(blobs, "part", parts).applyInArrow(_meet, "a long, b long, many boolean"), "met")
     # One document stands for each class.
