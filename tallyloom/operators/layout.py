@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 from html import unescape
 
 import pandas as pd
@@ -38,50 +37,43 @@ def bound_rows(rows: DataFrame, key: str, row: str, satisfied: Column) -> DataFr
     return rows.filter(satisfied).groupBy(key).agg(F.min(row).alias("r"), F.count(F.lit(1)).alias("n")).select(key, F.when(F.col("n") == 1, F.col("r")).alias(row), (F.col("n") == 1).alias("matched"))
 
 
-def dedupe_key(text: str | None) -> str:
-    """The text in lower case without tags, entities decoded, of word characters only."""
-    return re.sub(r"\W+", "", unescape(re.sub(r"<[^>]+>", "", text or "")).lower())
-
-
-def _places(text: str) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for i, c in enumerate(text):
-        out[c] = out.get(c, 0) | 1 << i
-    return out
-
-
-def _common(a: str, size: int, places: dict[str, int]) -> int:
-    """Length of the longest common subsequence of ``a`` and a text of ``size``; a match ratio has no more."""
-    full = left = (1 << size) - 1
-    for c in a:
-        if at := left & places.get(c, 0):
-            left = (left + at | left - at) & full
-    return size - left.bit_count()
-
-
-def similar_texts(rows: DataFrame, block: list[str], ratio: float = 0.95) -> DataFrame:
-    """block, id, similar_to: the first earlier text of the block whose match ratio, of dedupe keys, reaches
-    ``ratio``; an empty key is like no other. Blocks are pages of a file, so what is compared is small; lengths,
-    letters and common subsequences rule most pairs out."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out, earlier = pdf.sort_values("id"), [], []
-        for i, a in zip(pdf["id"], pdf["text"].map(dedupe_key)):
-            found = None
-            for j, b, places, m in earlier if a else ():
-                least = ratio * (len(a) + len(b))
-                if 2 * min(len(a), len(b)) >= least:
-                    m.set_seq1(a)
-                    if a == b or m.quick_ratio() >= ratio and 2 * _common(a, len(b), places) >= least and m.ratio() >= ratio:
-                        found = j
-                        break
-            if a:
-                earlier.append((i, a, _places(a), SequenceMatcher(None, "", a, autojunk=False)))
-            out.append(found)
-        return pdf[[*block, "id"]].assign(similar_to=pd.array(out, dtype="Int64"))
-
-    types = dict(rows.dtypes)
-    return rows.groupBy(*block).applyInPandas(walk, ", ".join([*(f"{b} {types[b]}" for b in block), "id long", "similar_to long"]))
+def next_caption(images: DataFrame, blocks: DataFrame, max_gap: float, is_caption: Column, window: int = 4, slack: float = 0.005, min_overlap: float = 0.35) -> DataFrame:
+    """page, at, caption_at: of the ``window`` blocks after an image in the order of its page, the caption nearest
+    below it; of equal gaps the later. A caption begins at most ``slack`` above the image's lower edge and at most
+    ``max_gap`` below it, and shares ``min_overlap`` of the narrower width. Both sides have page, at and a box."""
+    box = ("x0", "y0", "x1", "y1")
+    near = images.select("page", "at", *box, F.explode(F.sequence(F.col("at") + 1, F.col("at") + window)).alias("caption_at"))
+    c = blocks.filter(is_caption).select("page", F.col("at").alias("caption_at"), *[F.col(k).alias(f"c{k}") for k in box])
+    gap = F.col("cy0") - F.col("y1")
+    shared = F.greatest(F.lit(0), F.least("x1", "cx1") - F.greatest("x0", "cx0")) / F.greatest(F.lit(0.001), F.least(F.col("x1") - F.col("x0"), F.col("cx1") - F.col("cx0")))
+    met = near.join(c, ["page", "caption_at"]).filter((gap >= -slack) & (gap <= max_gap) & (shared >= min_overlap))
+    return met.groupBy("page", "at").agg(F.min_by("caption_at", F.struct(gap.alias("gap"), (-F.col("caption_at")).alias("later"))).alias("caption_at"))
+
+
+def stacked_captions(primaries: DataFrame, captions: DataFrame, max_gap: float = 0.04, min_overlap: float = 0.45, slack: float = 0.005) -> DataFrame:
+    """page, item, text and box (x0, y0, x1, y1) of each item's caption with those that are stacked with it.
+
+    ``primaries``: page, item, top (of the item that the caption is of), at, text and a box; ``captions``: page, at,
+    text and a box. A caption is stacked with a primary one if it ends above the item, shares ``min_overlap`` of the
+    narrower width and is at most ``max_gap`` above or below it. Texts are joined in the order of their upper
+    edges, of equals the primary first and then by place; boxes are united. A page's blocks meet only within bands of
+    ``max_gap`` by y, and a pair in one of them."""
+    box = ("x0", "y0", "x1", "y1")
+    band = lambda y: F.floor(y / max_gap).cast("long")
+    p = primaries.withColumn("low", band(F.col("y0") - max_gap)).withColumn("band", F.explode(F.sequence("low", band(F.col("y1") + max_gap))))
+    c = captions.filter("trim(text) <> ''").select("page", F.col("at").alias("cat"), F.col("text").alias("ctext"), *[F.col(k).alias(f"c{k}") for k in box], band(F.col("y0")).alias("clow"))
+    c = c.withColumn("band", F.explode(F.sequence("clow", F.greatest("clow", band(F.col("cy1"))))))
+    shared = F.greatest(F.lit(0), F.least("x1", "cx1") - F.greatest("x0", "cx0")) / F.greatest(F.lit(0.001), F.least(F.col("x1") - F.col("x0"), F.col("cx1") - F.col("cx0")))
+    gap = F.greatest(F.lit(0), F.greatest("y0", "cy0") - F.least("y1", "cy1"))
+    met = p.join(c, ["page", "band"]).filter((F.col("band") == F.greatest("low", "clow")) & (F.col("cat") != F.col("at")) & (F.col("cy1") <= F.col("top") + slack) & (shared >= min_overlap) & (gap <= max_gap))
+    part = lambda first, at, text, *b: F.struct(b[1].alias("y0"), F.lit(first).alias("first"), at.alias("at"), F.trim(text).alias("text"), b[0].alias("x0"), b[2].alias("x1"), b[3].alias("y1"))
+    col = lambda *names: [F.col(n) for n in names]
+    own = primaries.select("page", "item", part(0, *col("at", "text", *box)).alias("part"))
+    other = met.select("page", "item", part(1, *col("cat", "ctext", *[f"c{k}" for k in box])).alias("part"))
+    parts = F.sort_array(F.collect_list("part"))
+    ends = [F.min("part.x0").alias("x0"), F.min("part.y0").alias("y0"), F.max("part.x1").alias("x1"), F.max("part.y1").alias("y1")]
+    united = own.unionAll(other).groupBy("page", "item").agg(parts.alias("parts"), *ends)
+    return united.select("page", "item", F.array_join(F.transform("parts", lambda x: x["text"]), "\n").alias("text"), *box)
 
 
 def table_grid(html: str) -> list[list[str]]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import records
-from ..operators import layout, ops
+from ..operators import layout, ops, similar
 from .registry import query, table
 
 
@@ -106,6 +106,47 @@ def locator_resolution(spark, sf_dir) -> DataFrame:
     return c.join(d, (F.col("doc_id") == F.col("conv_id")) & (F.col("lang") == F.col("want"))).groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.min("doc_id").alias("doc"))
 
 
+_BLOCKS = "SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place, l_returnflag AS kind, (l_partkey % 10) / 20.0::DOUBLE AS x0, (l_partkey % 10) / 20.0::DOUBLE + 0.3::DOUBLE + (l_suppkey % 3) / 10.0::DOUBLE AS x1, (l_linenumber * 8 + l_partkey % 4) / 100.0::DOUBLE AS y0, (l_linenumber * 8 + l_partkey % 4 + 2 + l_suppkey % 6) / 100.0::DOUBLE AS y1, l_linestatus || ' ' || l_quantity::BIGINT AS text FROM lineitem"
+
+
+def _blocks(spark, sf_dir) -> DataFrame:
+    """Lines of an order as blocks of a page, from the top down, some of which overlap."""
+    p, s, n, double = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber"), lambda c: c.cast("double")
+    x0, y0 = double(p % 10) / 20.0, double(n * 8 + p % 4) / 100.0
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    text = F.concat_ws(" ", "l_linestatus", F.col("l_quantity").cast("long").cast("string"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), place.alias("at"), F.col("l_returnflag").alias("kind"), x0.alias("x0"), (x0 + 0.3 + double(s % 3) / 10.0).alias("x1"), y0.alias("y0"), (double(n * 8 + p % 4 + 2 + s % 6) / 100.0).alias("y1"), text.alias("text"))
+
+
+@query(f"""WITH b AS ({_BLOCKS}), m AS (SELECT i.page, i.place, c.place AS caption_at, row_number() OVER (PARTITION BY i.page, i.place ORDER BY c.y0 - i.y1, c.place DESC) AS r FROM b i JOIN b c ON c.page = i.page AND c.place BETWEEN i.place + 1 AND i.place + 4
+WHERE i.kind = 'R' AND c.kind <> 'R' AND c.text LIKE 'O %' AND c.y0 - i.y1 BETWEEN -0.005 AND 0.2 AND greatest(0, least(i.x1, c.x1) - greatest(i.x0, c.x0)) / greatest(0.001, least(i.x1 - i.x0, c.x1 - c.x0)) >= 0.35) SELECT page, place, caption_at FROM m WHERE r = 1""")
+def image_captions(spark, sf_dir) -> DataFrame:
+    """The caption among the four blocks that follow an image; lines of an order as blocks."""
+    b = _blocks(spark, sf_dir)
+    return layout.next_caption(b.filter("kind = 'R'"), b, 0.2, (F.col("kind") != "R") & F.col("text").startswith("O ")).withColumnRenamed("at", "place")
+
+
+@query(f"""WITH b AS ({_BLOCKS}), p AS (SELECT *, y1 + 0.01 AS top FROM b WHERE kind = 'A'), c AS (SELECT * FROM b WHERE kind <> 'R'),
+m AS (SELECT p.page, p.place AS item, 1 AS f, c.place, c.text, c.x0, c.y0, c.x1, c.y1 FROM p JOIN c ON c.page = p.page AND c.place <> p.place AND c.y1 <= p.top + 0.005 AND greatest(0, least(p.x1, c.x1) - greatest(p.x0, c.x0)) / greatest(0.001, least(p.x1 - p.x0, c.x1 - c.x0)) >= 0.45 AND greatest(0, greatest(p.y0, c.y0) - least(p.y1, c.y1)) <= 0.04
+UNION ALL SELECT page, place, 0, place, text, x0, y0, x1, y1 FROM p) SELECT page, item, string_agg(text, chr(10) ORDER BY y0, f, place) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM m GROUP BY page, item""")
+def stacked_captions(spark, sf_dir) -> DataFrame:
+    """Captions above a block joined with those stacked with them; lines of an order as blocks."""
+    b = _blocks(spark, sf_dir)
+    p = b.filter("kind = 'A'").withColumn("item", F.col("at")).withColumn("top", F.col("y1") + 0.01)
+    return layout.stacked_captions(p, b.filter("kind <> 'R'"))
+
+
+@query()
+def caption_cursor(spark, sf_dir) -> DataFrame:
+    """Each line of a document, without every seventh character, matched with one of two thirds of its
+    lines by a cursor that never goes back."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("h"), "text").dropDuplicates(["doc_id", "h"])
+    lines = d.select(F.concat_ws("/", "doc_id", "h").alias("doc"), F.posexplode(F.split("text", "\n")).alias("id", "text"))
+    items = lines.withColumn("text", F.regexp_replace("text", "(?s)(.{6}).", "$1"))
+    found = similar.cursor_matches(items, lines.filter("crc32(text) % 3 <> 0"))
+    return found.select(F.split_part("doc", F.lit("/"), F.lit(1)).cast("long").alias("doc_id"), "id", "entry", F.round("score", 6).alias("score"))
+
+
 @query()
 def similar_chunks(spark, sf_dir) -> DataFrame:
     """Chunks like an earlier one of their file and page; a document's lines, on pages of 3,000
@@ -115,7 +156,7 @@ def similar_chunks(spark, sf_dir) -> DataFrame:
     before = Window.partitionBy("doc_id", "text_hash").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("text").cast("long") + 1).over(before), F.lit(0))
     chunks = lines.withColumn("page", F.floor(start / 3000))
-    return layout.similar_texts(chunks, ["doc_id", "text_hash", "page"], 0.6).drop("text_hash")
+    return similar.similar_texts(chunks, ["doc_id", "text_hash", "page"], 0.6).drop("text_hash")
 
 
 @query()

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from tallyloom import queries
-from tallyloom.operators import layout
+from tallyloom.operators import layout, similar
 
 from .conftest import SF
 
@@ -65,7 +65,7 @@ def test_similar_chunks_of_documents(spark, tmp_path):
     rows = [(1, "\n".join(lines)), (None, "same\nsame"), (None, "other\nwords"), (1, "\n".join(lines)), (3, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(map(tuple, queries.queries()["similar_chunks"](spark, str(tmp_path)).select("doc_id", "page", "id", "similar_to").collect()), key=repr)
-    keys, start, want = [layout.dedupe_key(x) for x in lines], 0, []
+    keys, start, want = [similar.dedupe_key(x) for x in lines], 0, []
     pages = []
     for i, line in enumerate(lines):
         pages.append(start // 3000)
