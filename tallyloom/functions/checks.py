@@ -229,12 +229,13 @@ def split_caption(number: Column, title: Column, greatest: Column) -> Column:
 
 
 #: Marks of text in the wrong encoding (fixed values).
-MOJIBAKE = "[ÃÂâæçèé]"
+MOJIBAKE, REPLACED = "[ÃÂâæçèé]", "[ÃÂâæçèé\uFFFD]"
 
 
 def repaired(value: Column) -> Column:
-    """Text that was UTF-8 and was read as Latin-1, read again, where it has three marks or more and fewer after."""
+    """Text that was UTF-8 and was read as Latin-1, read again, where it has three marks or more and fewer marks
+    and replacement characters after."""
     again = F.decode(F.encode(value, "ISO-8859-1"), "UTF-8")
     fits = ~value.rlike(r"[^\x00-\x{ff}]") & F.is_valid_utf8(F.encode(value, "ISO-8859-1").cast("string"))
-    marks = lambda t: F.regexp_count(t, F.lit(MOJIBAKE))
-    return F.when((marks(value) >= 3) & fits, F.when(marks(again) < marks(value), again).otherwise(value)).otherwise(value)
+    marks = lambda t: F.regexp_count(t, F.lit(REPLACED))
+    return F.when((F.regexp_count(value, F.lit(MOJIBAKE)) >= 3) & fits, F.when(marks(again) < marks(value), again).otherwise(value)).otherwise(value)

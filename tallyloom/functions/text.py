@@ -88,15 +88,22 @@ LATEX_WRAPPERS = {"text": "$1", "mathrm": " $1", "sqrt": "sqrt($1)"}
 LATEX_SYMBOLS = {"times": "×", "sim": "～", "leqslant": "≤", "geqslant": "≥", "leq": "≤", "geq": "≥"}
 
 
-def latex(text: Column, depth: int = 3) -> Column:
-    """Simple LaTeX as plain text. Groups are opened from the inside, to ``depth`` levels: a group without
-    braces in it gives way to its command's shape; commands not known go, their arguments stay."""
+def latex(text: Column) -> Column:
+    """Simple LaTeX as plain text. Groups are opened from the inside until nothing changes, so at any depth: a group
+    without braces in it gives way to its command's shape; commands not known go, their arguments stay."""
     group = r"\s*\{\s*([^{}]*?)\s*\}"
-    out = F.regexp_replace(text, r"\{(\{[^{}]*\})\}", "$1")
-    for _ in range(depth):
-        out = F.regexp_replace(out, rf"\\frac{group}{group}", "($1)/($2)")
+
+    def opened(t: Column) -> Column:
+        t = F.regexp_replace(t, rf"\\frac{group}{group}", "($1)/($2)")
         for command, shape in LATEX_WRAPPERS.items():
-            out = F.regexp_replace(out, rf"\\{command}{group}", shape)
+            t = F.regexp_replace(t, rf"\\{command}{group}", shape)
+        return F.regexp_replace(t, r"\{(\{[^{}]*\})\}", "$1")
+
+    # No more rounds than there are groups; once a round changes nothing the rest is passed over.
+    state = lambda t, done: F.struct(t.alias("t"), done.alias("done"))
+    rounds = F.sequence(F.lit(1), F.greatest(F.regexp_count(text, F.lit(r"\{")), F.lit(1)))
+    step = lambda a, _: F.when(a["done"], a).otherwise(let(opened(a["t"]), lambda new: state(new, new == a["t"])))
+    out = F.aggregate(rounds, state(F.regexp_replace(text, r"\{(\{[^{}]*\})\}", "$1"), F.lit(False)), step)["t"]
     for command, symbol in LATEX_SYMBOLS.items():
         out = F.regexp_replace(out, rf"\\{command}(?![a-z])", symbol)
     out = F.regexp_replace(F.regexp_replace(out, r"\\[a-zA-Z]+", ""), r"\\[()\[\]]", " ")  # other commands, delimiters

@@ -6,6 +6,7 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ROWS = 200
 #: Words that no statement may hold, not even in a literal (fixed values).
@@ -67,10 +68,21 @@ def schema(tables: dict[str, DataFrame]) -> dict[str, list[str]]:
     return {name: df.columns for name, df in tables.items()}
 
 
+def chart_points(df: DataFrame, kind: str = "bar") -> DataFrame:
+    """type, label, value and denominator: a metric for a single value, else a point for each of the first rows, of
+    their first two columns, with the sum of the values."""
+    rows = df.limit(ROWS)
+    label, value = (F.col(df.columns[0]).cast("string"), F.col(df.columns[1])) if len(df.columns) > 1 else (F.lit(None).cast("string"), F.col(df.columns[0]))
+    points = rows.select(label.alias("label"), value.cast("double").alias("value"))
+    total = points.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("denominator"), F.count(F.lit(1)).alias("_n"))
+    single = (F.col("_n") == 1) & F.lit(len(df.columns) == 1)
+    out = points.join(F.broadcast(total))  # one row
+    return out.select(F.when(single, "metric").otherwise(kind).alias("type"), "label", "value", F.when(~single, F.col("denominator")).alias("denominator"))
+
+
 def chart(df: DataFrame, kind: str = "bar") -> dict:
-    """A metric for one value, else pie or bar points from the first two columns with their total."""
-    rows = df.limit(ROWS).collect()
-    if len(rows) == 1 and len(df.columns) == 1:
-        return {"type": "metric", "value": rows[0][0]}
-    points = [{"label": str(r[0]), "value": r[1]} for r in rows]
-    return {"type": kind, "points": points, "denominator": sum(p["value"] or 0 for p in points)}
+    """The points as a drawing takes them: ROWS rows at most reach the driver."""
+    rows = chart_points(df, kind).collect()
+    if rows and rows[0]["type"] == "metric":
+        return {"type": "metric", "value": rows[0]["value"]}
+    return {"type": kind, "points": [{"label": r["label"], "value": r["value"]} for r in rows], "denominator": rows[0]["denominator"] if rows else 0}

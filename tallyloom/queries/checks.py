@@ -3,10 +3,12 @@ both engines read."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from ..functions import checks, text
+from ..functions import checks, decoding, text
 from ..operators import review
 from .registry import query, table
 
@@ -216,9 +218,26 @@ def evidence_sufficiency(spark, sf_dir) -> DataFrame:
     return review.sufficiency(hits, "k", {"table": k % 2 == 0, "numeric": k % 3 == 0, "clause": k % 5 == 0})
 
 
-@query("SELECT doc_id, md5(text) AS h FROM documents")
+_MARKS = "len(regexp_extract_all({0}, '[ÃÂâæçèé]'))"
+
+
+@query(f"""WITH s AS (SELECT doc_id, text, array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: chr(('0x' || h)::INT)), '') AS wrong FROM documents)
+SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 AND {_MARKS.format("wrong")} >= 3 AND len(regexp_extract_all(text, '[ÃÂâæçèé�]')) >= {_MARKS.format("wrong")} THEN wrong ELSE text END) AS h FROM s""")
 def mojibake_repair(spark, sf_dir) -> DataFrame:
-    """Texts read in the wrong encoding come back as they were."""
+    """Texts read in the wrong encoding come back as they were, but those whose own letters are as many marks."""
     wrong = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     spoilt = F.when((F.col("doc_id") % 2 == 0) & (F.regexp_count(wrong, F.lit(checks.MOJIBAKE)) >= 3), wrong).otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(checks.repaired(spoilt)).alias("h"))
+
+
+@F.pandas_udf(BinaryType())
+def _in_gb18030(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else t.encode("gb18030"))
+
+
+@query("SELECT doc_id, md5(CASE doc_id % 4 WHEN 1 THEN chr(65279) || text WHEN 3 THEN text || 'é' || chr(65533) || chr(65533) ELSE text END) AS h FROM documents")
+def decode_chain(spark, sf_dir) -> DataFrame:
+    """Texts from bytes in UTF-8, with a byte order mark, in GB18030, and in no encoding."""
+    utf8, kind = F.encode(F.col("text"), "UTF-8"), F.col("doc_id") % 4
+    raw = F.when(kind == 1, F.concat(F.unhex(F.lit("EFBBBF")), utf8)).when(kind == 2, _in_gb18030(F.col("text"))).when(kind == 3, F.concat(utf8, F.unhex(F.lit("C3A9FFFF")))).otherwise(utf8)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(decoding.decoded(raw).cast("binary")).alias("h"))

@@ -39,7 +39,7 @@ def page_structure(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(links, " ").alias("links"), F.regexp_count(h, F.lit("(?i)<h[1-6][ >]")).cast("long").alias("headings"))
 
 
-_CITED = "substr(text, 1, 60) || CASE doc_id % 4 WHEN 0 THEN ' 见表' || CAST(doc_id % 12 AS STRING) WHEN 1 THEN ' 如表 0' || CAST(doc_id % 7 AS STRING) || '; 表' || CAST(doc_id % 5 AS STRING) || '所示' WHEN 2 THEN ' 表' || CAST(doc_id % 9 AS STRING) || ' 见 表 3' ELSE '' END || substr(text, 61, 40)"
+_CITED = "coalesce(text, '') || CASE doc_id % 4 WHEN 0 THEN ' 见表' || CAST(doc_id % 12 AS STRING) WHEN 1 THEN ' 如表 0' || CAST(doc_id % 7 AS STRING) || '; 表' || CAST(doc_id % 5 AS STRING) || '所示' WHEN 2 THEN ' 表' || CAST(doc_id % 9 AS STRING) || ' 见 表 3' ELSE '' END"
 _CUE = r"(?:详见|参见|见|如)\s*表\s*0*\d+|表\s*0*\d+\s*(?:所示|所列|中|如下)"
 
 
@@ -63,7 +63,7 @@ def standard_number(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.standard_no(F.expr(_FILE)).alias("no"))
 
 
-_CLAUSES = "substr(text, 1, 80) || ' clause ' || CAST(doc_id % 9 + 1 AS STRING) || CASE doc_id % 3 WHEN 0 THEN '~' || CAST(doc_id % 9 + 1 + doc_id % 4 AS STRING) WHEN 1 THEN '' ELSE ' - 70' END || ', clause 7'"
+_CLAUSES = "coalesce(text, '') || ' clause ' || CAST(doc_id % 9 + 1 AS STRING) || CASE doc_id % 3 WHEN 0 THEN '~' || CAST(doc_id % 9 + 1 + doc_id % 4 AS STRING) WHEN 1 THEN '' ELSE ' - 70' END || ', clause 7'"
 
 
 @query(rf"WITH m AS (SELECT doc_id, regexp_extract_all({_CLAUSES}, 'clause\s*\d+(?:\s*[~～-]\s*\d+)?') AS ms FROM documents), r AS (SELECT doc_id, list_transform(ms, lambda m: list_transform(regexp_extract_all(m, '\d+'), lambda x: x::INT)) AS ns FROM m), f AS (SELECT doc_id, flatten(list_transform(ns, lambda n: range(n[1], CASE WHEN n[len(n)] >= n[1] THEN least(n[len(n)], n[1] + 49) ELSE n[1] END + 1))) AS xs FROM r) SELECT doc_id, array_to_string({_kept('xs')}, ',') AS numbers FROM f")
@@ -74,7 +74,7 @@ def numbered_ranges(spark, sf_dir) -> DataFrame:
 
 @query("WITH k AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[,，;；、\n]'), lambda x: left(trim(x), 80)), lambda x: x <> '') AS parts FROM benchmark) SELECT item_id, array_to_string(list_slice(" + _kept("parts") + ", 1, 8), '|') AS keywords FROM k")
 def keyword_lists(spark, sf_dir) -> DataFrame:
-    """Parts of a list, distinct, cut and limited."""
+    """Parts of a list, distinct, cut and limited."""
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.keyword_list(F.col("text")), "|").alias("keywords"))
 
 
@@ -98,12 +98,12 @@ def formula_density(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.round(text.formula_density(F.col("text")), 6).alias("density"))
 
 
-_TOKEN = "CASE doc_id % 3 WHEN 0 THEN ' 00' || CAST(doc_id % 50 AS STRING) WHEN 1 THEN 'a . ' || CAST(doc_id % 50 AS STRING) ELSE substr(text, 1, 6) END"
+_TOKEN = "CASE doc_id % 3 WHEN 0 THEN ' 00' || CAST(doc_id % 50 AS STRING) WHEN 1 THEN 'a . ' || CAST(doc_id % 50 AS STRING) ELSE text END"
 
 
 @query(rf"SELECT doc_id, CASE WHEN regexp_full_match(t, '[0-9]+') THEN CASE WHEN ltrim(t, '0') = '' THEN '0' ELSE ltrim(t, '0') END ELSE t END AS no FROM (SELECT doc_id, upper(replace(regexp_replace({_TOKEN}, '\s+', '', 'g'), 'ß', 'ss')) AS t FROM documents)")
 def number_tokens(spark, sf_dir) -> DataFrame:
-    """Numbers and the first letters of texts as tokens."""
+    """Numbers and whole texts as tokens."""
     return table(spark, sf_dir, "documents").select("doc_id", text.number_token(F.expr(_TOKEN)).alias("no"))
 
 
