@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let
+from .intervals import close, interval, plain_expression  # noqa: F401
 
 #: Unit, base unit and scale (fixed values).
 UNITS = {
     "w": ("w", 1.0), "kw": ("w", 1e3), "mw": ("w", 1e6), "va": ("va", 1.0), "kva": ("va", 1e3), "mva": ("va", 1e6), "v": ("v", 1.0), "kv": ("v", 1e3), "a": ("a", 1.0), "ka": ("a", 1e3), "ma": ("a", 1e-3),
     "hz": ("hz", 1.0), "khz": ("hz", 1e3), "mhz": ("hz", 1e6), "s": ("s", 1.0), "ms": ("s", 1e-3), "us": ("s", 1e-6), "μs": ("s", 1e-6), "%": ("ratio", 0.01), "db": ("db", 1.0), "dba": ("db", 1.0),
 }
-_NUM = r"[-+]?\d+(?:\.\d+)?"
+#: Signs of units that are shown in several ways (fixed values).
+UNIT_VARIANTS = (("℃", "c"), ("°c", "c"), ("㎡", "m2"), ("ω", "ohm"), ("μ", "u"), ("µ", "u"))
 
 
 def numbers(text: Column) -> Column:
@@ -37,19 +38,27 @@ def _unit_map(i: int) -> Column:
     return F.create_map(*[F.lit(x) for u, v in UNITS.items() for x in (u, v[i])])
 
 
+def folded_unit(unit: Column) -> Column:
+    """A unit in lower case without spaces and brackets, its display variants made one."""
+    out = F.regexp_replace(F.lower(plain_expression(unit)), r"[ \[\](){}]", "")
+    for shown, meant in UNIT_VARIANTS:
+        out = F.replace(out, F.lit(shown), F.lit(meant))
+    return out
+
+
 def base_unit(unit: Column) -> Column:
-    return F.try_element_at(_unit_map(0), F.lower(F.trim(unit)))
+    return F.try_element_at(_unit_map(0), folded_unit(unit))
 
 
 def unit_scale(unit: Column) -> Column:
-    return F.try_element_at(_unit_map(1), F.lower(F.trim(unit)))
+    return F.try_element_at(_unit_map(1), folded_unit(unit))
 
 
 def unit_alignment(a: Column, b: Column) -> Column:
     """'unitless', 'one_sided', 'same', 'converted' or 'unavailable'."""
     none = lambda u: u.isNull() | (F.trim(u) == "")
     return (
-        F.when(none(a) & none(b), "unitless").when(none(a) | none(b), "one_sided").when(F.lower(F.trim(a)) == F.lower(F.trim(b)), "same")
+        F.when(none(a) & none(b), "unitless").when(none(a) | none(b), "one_sided").when(folded_unit(a) == folded_unit(b), "same")
         .when(base_unit(a) == base_unit(b), "converted").otherwise("unavailable")
     )
 
@@ -78,67 +87,14 @@ def bound_tightness(report: Column, standard: Column, operator: Column) -> Colum
     )
 
 
-def _interval(low: Column | None, high: Column | None, form: str, center: Column | None = None) -> Column:
-    d = lambda c: F.lit(None).cast("double") if c is None else c.cast("double")
-    return F.struct(d(low).alias("low"), d(high).alias("high"), F.lit(form).alias("form"), d(center).alias("center"))
-
-
-#: Forms of an interval in the order they are tried: what a match is called, and its pattern.
-_WORD = r"[A-Za-zα-ω\x{4e00}-\x{9fff}]+"
-INTERVAL_FORMS = (
-    ("two_sided_comparator", rf"{_NUM}\s*[^\d<≤>≥]{{0,8}}[<≤]\s*{_WORD}\s*[<≤]\s*{_NUM}"),
-    ("relative_symmetric", rf"{_NUM}\s*\(\s*1\s*±\s*{_NUM}\s*%\s*\)"),
-    ("relative_one_sided", rf"{_NUM}\s*\(\s*1\s*[+-]\s*\d+(?:\.\d+)?\s*%\s*\)"),
-    ("relative_symmetric", rf"{_NUM}\s*\D{{0,6}}?±\s*{_NUM}\s*%"),
-    ("absolute_symmetric", rf"{_NUM}\s*\D{{0,6}}?±\s*{_NUM}"),
-    ("range", rf"{_NUM}\s*[^\d~]{{0,6}}~\s*{_NUM}"),
-)
-
-
-def interval(raw: Column, operator: Column | None = None) -> Column:
-    """A claimed value as (low, high, form, center), or null where there is no one number. Forms are tried in
-    order: a two-sided comparison, base(1±p%), base(1+p%) or base(1-p%), base±p%, base±d, a range, and last a
-    single number as a bound or scalar. Each pattern is searched once; its numbers come from what it found."""
-    op = comparator(raw) if operator is None else F.coalesce(operator, comparator(raw))
-    null = F.lit(None).cast("double")
-
-    def of_match(form: Column, m: Column, ns: Column, o: Column) -> Column:
-        first, last = F.element_at(ns, 1), F.element_at(ns, -1)
-        share = F.abs(first) * F.abs(last) / 100
-        one = lambda low, high: _interval(low, high, "relative_one_sided", first)
-        far = F.when(F.contains(m, F.lit("+")), first + share).otherwise(first - share)
-        spread = lambda d, name: _interval(first - d, first + d, name, first)
-        return (
-            F.when(form.isin(1, 6), F.when(form == 1, _interval(F.least(first, last), F.greatest(first, last), "two_sided_comparator")).otherwise(_interval(F.least(first, last), F.greatest(first, last), "range")))
-            .when(form == 3, F.when(far >= first, one(F.when(o.isin("le", "lt"), null).otherwise(first), far)).otherwise(one(far, F.when(o.isin("ge", "gt"), null).otherwise(first))))
-            .when(form == 5, spread(F.abs(last), "absolute_symmetric")).otherwise(spread(share, "relative_symmetric"))
-        )
-
-    def of_number(text: Column, o: Column) -> Column:
-        bound = lambda v: F.when(o.isin("le", "lt"), _interval(null, v, "bound")).when(o.isin("ge", "gt"), _interval(v, null, "bound")).otherwise(_interval(v, v, "scalar", v))
-        values = F.array_distinct(F.transform(numbers(text), lambda n: F.round(n, 9)))
-        return let(values, lambda vs: F.when(F.size(vs) == 1, bound(F.element_at(vs, 1))))
-
-    def of_text(r: Column) -> Column:
-        text, o = r["text"], r["op"]
-        found = F.array(*[F.regexp_extract(text, p, 0) for _, p in INTERVAL_FORMS])
-        which = lambda ms: F.array_position(F.transform(ms, lambda m: m != ""), True)
-        matched = lambda ms: let(F.struct(which(ms).alias("i"), F.concat_ws("", F.slice(ms, F.greatest(which(ms), F.lit(1)).cast("int"), 1)).alias("m")), lambda k: F.when(k["i"] > 0, of_match(k["i"], k["m"], numbers(k["m"]), o)).otherwise(of_number(text, o)))
-        return F.when(r["formula"], F.lit(None)).otherwise(let(found, matched))
-
-    text = F.regexp_replace(F.translate(raw, "（）％～–—", "()%~~~"), r"(?i)(GB|JB|DL)\s*/?\s*T?\s*[\d.]+\s*-\s*\d{4}", "")
-    cleaned = F.struct(F.regexp_replace(text, r"\((?!\s*1\s*[±+-])[^)]*\)", "").alias("text"), text.rlike(r"[*×].*[(/]|/.*\)").alias("formula"), op.alias("op"))  # a bracket explains a value; only (1...) is part of one
-    return F.when(raw.isNull() | (F.trim(raw) == ""), F.lit(None)).otherwise(let(cleaned, of_text))
-
-
 def interval_relation(low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Column:
     """'equal', 'subset', 'disjoint', 'superset' or 'overlap' of a to b; a null end is open."""
     inf = float("inf")
+    # As displayed: the standard's end says how near is near.
     la, ha, lb, hb = F.coalesce(low_a, F.lit(-inf)), F.coalesce(high_a, F.lit(inf)), F.coalesce(low_b, F.lit(-inf)), F.coalesce(high_b, F.lit(inf))
-    same = lambda x, y: (x == y) | near(x, y)
     tl, th = F.when(F.abs(lb) == inf, 0.0).otherwise(tolerance(lb)), F.when(F.abs(hb) == inf, 0.0).otherwise(tolerance(hb))
     return (
-        F.when(same(la, lb) & same(ha, hb), "equal").when((la >= lb - tl) & (ha <= hb + th), "subset").when((ha < lb - tl) | (la > hb + th), "disjoint")
+        F.when(close(la, lb) & close(ha, hb), "equal").when((la >= lb - tl) & (ha <= hb + th), "subset").when((ha < lb - tl) | (la > hb + th), "disjoint")
         .when((la <= lb + tl) & (ha >= hb - th), "superset").otherwise("overlap")
     )
 

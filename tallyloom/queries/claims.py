@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import claims
+from ..functions import claims, intervals
 from .registry import query, table
 
 _UNIT = "CASE l_linenumber % 4 WHEN 0 THEN 'W' WHEN 1 THEN 'kW' WHEN 2 THEN 'Hz' ELSE '' END"
@@ -25,7 +25,7 @@ _REL = """WITH r AS (SELECT l_linenumber % 5 AS k, l_quantity AS la, l_quantity
 x AS (SELECT la, ha, coalesce(lb, -INF) AS lb, coalesce(hb, INF) AS hb, CASE WHEN lb IS NULL THEN 0 ELSE greatest(1e-6, abs(lb) * 1e-4) END AS tl, CASE WHEN hb IS NULL THEN 0 ELSE greatest(1e-6, abs(hb) * 1e-4) END AS th FROM r)""".replace("INF", _INF)
 
 
-@query(_REL + " SELECT CASE WHEN abs(la - lb) <= greatest(1e-6, greatest(abs(la), abs(lb)) * 1e-4) AND lb > -'infinity'::DOUBLE AND abs(ha - hb) <= greatest(1e-6, greatest(abs(ha), abs(hb)) * 1e-4) AND hb < 'infinity'::DOUBLE THEN 'equal' WHEN la >= lb - tl AND ha <= hb + th THEN 'subset' WHEN ha < lb - tl OR la > hb + th THEN 'disjoint' WHEN la <= lb + tl AND ha >= hb - th THEN 'superset' ELSE 'overlap' END AS relation, count(*) AS n FROM x GROUP BY 1")
+@query(_REL + " SELECT CASE WHEN abs(la - lb) <= greatest(1e-6, abs(lb) * 1e-4) AND lb > -'infinity'::DOUBLE AND abs(ha - hb) <= greatest(1e-6, abs(hb) * 1e-4) AND hb < 'infinity'::DOUBLE THEN 'equal' WHEN la >= lb - tl AND ha <= hb + th THEN 'subset' WHEN ha < lb - tl OR la > hb + th THEN 'disjoint' WHEN la <= lb + tl AND ha >= hb - th THEN 'superset' ELSE 'overlap' END AS relation, count(*) AS n FROM x GROUP BY 1")
 def interval_relation(spark, sf_dir) -> DataFrame:
     """lines' intervals against [10, 30], open at some ends."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
@@ -34,14 +34,15 @@ def interval_relation(spark, sf_dir) -> DataFrame:
     return l.groupBy(rel.alias("relation")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_RAW = "CASE l_partkey % 7 WHEN 0 THEN CAST(CAST(l_quantity AS BIGINT) AS STRING) || '(1±10%) kV' WHEN 1 THEN '≤' || CAST(CAST(l_quantity AS BIGINT) AS STRING) WHEN 2 THEN CAST(CAST(l_quantity AS BIGINT) AS STRING) || '±2' WHEN 3 THEN '5≤t≤' || CAST(CAST(l_quantity AS BIGINT) AS STRING) WHEN 4 THEN CAST(CAST(l_quantity AS BIGINT) AS STRING) || 'μs～60μs' WHEN 5 THEN '≥' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || '（1-20％）' ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) || '，' || l_returnflag || '3' END"
-_FOUND = r"""WITH r AS (SELECT raw, count(*) AS n, translate(raw, '（）％～', '()%~') AS t FROM (SELECT RAW AS raw FROM lineitem) GROUP BY raw),
-m AS (SELECT raw, n, CASE WHEN t LIKE '%≤%≤%' THEN 'two_sided_comparator' WHEN t LIKE '%(1±%' THEN 'relative_symmetric' WHEN t LIKE '%(1-%' THEN 'relative_one_sided' WHEN t LIKE '%±%' THEN 'absolute_symmetric' WHEN t LIKE '%~%' THEN 'range' WHEN t LIKE '≤%' THEN 'bound' END AS form,
+_Q = "CAST(l_partkey + CAST(l_quantity AS BIGINT) AS STRING)"
+_RAW = f"CASE (l_partkey + l_linenumber) % 10 WHEN 0 THEN {_Q} || '(1±10%) kV' WHEN 1 THEN '≤' || {_Q} WHEN 2 THEN {_Q} || '±2' WHEN 3 THEN '5≤t≤' || {_Q} WHEN 4 THEN {_Q} || 'μs～60μs' WHEN 5 THEN '≥' || {_Q} || '（1-20％）' WHEN 6 THEN {_Q} || '，' || l_returnflag || '3' WHEN 7 THEN {_Q} || '至' || CAST(l_partkey + 70 AS STRING) || ' kV' WHEN 8 THEN {_Q} || '(允许偏差+5%)' ELSE 'IEC 60076 ≤ ' || {_Q} END"
+_FOUND = r"""WITH r AS (SELECT raw, count(*) AS n, replace(translate(raw, '（）％～', '()%~'), 'IEC 60076 ', '') AS t FROM (SELECT RAW AS raw FROM lineitem) GROUP BY raw),
+m AS (SELECT raw, n, CASE WHEN t LIKE '%≤%≤%' THEN 'two_sided_comparator' WHEN t LIKE '%(1±%' THEN 'relative_symmetric' WHEN t LIKE '%(1-%' THEN 'relative_one_sided' WHEN t LIKE '%(允许偏差+%' THEN 'above' WHEN t LIKE '%±%' THEN 'absolute_symmetric' WHEN t LIKE '%~%' OR t LIKE '%至%' THEN 'range' WHEN t LIKE '≤%' THEN 'bound' END AS form,
   list_transform(regexp_extract_all(t, '[0-9]+'), lambda x: x::DOUBLE) AS v FROM r),
 k AS (SELECT *, v[1] AS a, v[len(v)] AS z FROM m)
-SELECT raw, n, coalesce(form, CASE WHEN len(list_distinct(v)) = 1 THEN 'scalar' END) AS form,
-  round(CASE form WHEN 'relative_symmetric' THEN a * 0.9::DOUBLE WHEN 'relative_one_sided' THEN a * 0.8::DOUBLE WHEN 'absolute_symmetric' THEN a - z WHEN 'bound' THEN NULL ELSE CASE WHEN form IS NULL THEN CASE WHEN len(list_distinct(v)) = 1 THEN a END ELSE least(a, z) END END, 6) AS low,
-  round(CASE form WHEN 'relative_symmetric' THEN a * 1.1::DOUBLE WHEN 'relative_one_sided' THEN NULL WHEN 'absolute_symmetric' THEN a + z WHEN 'bound' THEN a ELSE CASE WHEN form IS NULL THEN CASE WHEN len(list_distinct(v)) = 1 THEN a END ELSE greatest(a, z) END END, 6) AS high FROM k""".replace("RAW", _RAW)
+SELECT raw, n, CASE form WHEN 'above' THEN 'relative_one_sided' ELSE coalesce(form, CASE WHEN len(list_distinct(v)) = 1 THEN 'scalar' END) END AS form,
+  round(CASE form WHEN 'relative_symmetric' THEN a * 0.9::DOUBLE WHEN 'relative_one_sided' THEN a * 0.8::DOUBLE WHEN 'above' THEN a WHEN 'absolute_symmetric' THEN a - z WHEN 'bound' THEN NULL ELSE CASE WHEN form IS NULL THEN CASE WHEN len(list_distinct(v)) = 1 THEN a END ELSE least(a, z) END END, 6) AS low,
+  round(CASE form WHEN 'relative_symmetric' THEN a * 1.1::DOUBLE WHEN 'relative_one_sided' THEN NULL WHEN 'above' THEN a * 1.05::DOUBLE WHEN 'absolute_symmetric' THEN a + z WHEN 'bound' THEN a ELSE CASE WHEN form IS NULL THEN CASE WHEN len(list_distinct(v)) = 1 THEN a END ELSE greatest(a, z) END END, 6) AS high FROM k""".replace("RAW", _RAW)
 
 
 @query(_FOUND)
@@ -89,3 +90,58 @@ def number_extraction(spark, sf_dir) -> DataFrame:
     found = claims.numbers(t)
     total = F.aggregate(found, F.lit(0.0), lambda a, x: a + x)
     return table(spark, sf_dir, "orders").select("o_orderkey", F.size(found).alias("n"), F.round(total, 6).alias("total"), claims.comparator(t).alias("comparator"))
+
+
+_COMPARED = r"""WITH b AS (SELECT (l_partkey % 5)::INT AS k, (l_orderkey % 4)::INT AS r, floor(l_quantity) AS a, (20 + l_suppkey % 5 * 5)::DOUBLE AS s, CASE WHEN l_partkey % 5 = 0 AND l_returnflag = 'R' THEN -floor(l_quantity) ELSE floor(l_quantity) END AS c FROM lineitem),
+i AS (SELECT *, CASE k WHEN 0 THEN c - abs(c) * 0.05::DOUBLE WHEN 1 THEN NULL ELSE a END AS l0, CASE k WHEN 0 THEN c + abs(c) * 0.05::DOUBLE WHEN 2 THEN a + 10 WHEN 4 THEN NULL ELSE a END AS h0, CASE WHEN k IN (0, 3) THEN c END AS lc0,
+  CASE r WHEN 0 THEN s * 0.95::DOUBLE WHEN 1 THEN NULL ELSE s END AS l1, CASE r WHEN 0 THEN s * 1.05::DOUBLE WHEN 3 THEN NULL ELSE s END AS h1, k = 0 AND r <> 0 AND abs(c - s) <= greatest(1e-6, s * 1e-4) AS unrecorded, r = 2 AND k IN (1, 4) AS to_right, k = 3 AND r IN (1, 3) AS to_left FROM b),
+d AS (SELECT *, CASE WHEN to_left AND r = 1 THEN NULL ELSE l0 END AS la, CASE WHEN to_left AND r = 3 THEN NULL ELSE h0 END AS ha, CASE WHEN to_right AND k = 1 THEN NULL ELSE l1 END AS lb, CASE WHEN to_right AND k = 4 THEN NULL ELSE h1 END AS hb FROM i),
+p AS (SELECT *, (k IN (0, 2) OR k = 3 AND NOT to_left) AND coalesce(ha < 0, false) AND coalesce(lb >= 0, false) AS mirrored FROM d),
+m AS (SELECT * REPLACE (CASE WHEN mirrored THEN -ha ELSE la END AS la, CASE WHEN mirrored THEN -la ELSE ha END AS ha), CASE WHEN mirrored THEN -lc0 ELSE lc0 END AS lc FROM p),
+x AS (SELECT *, coalesce(la, -INF) AS x0, coalesce(ha, INF) AS x1, coalesce(lb, -INF) AS y0, coalesce(hb, INF) AS y1, coalesce(lc, (la + ha) / 2, la, ha) AS lm, coalesce(CASE WHEN r IN (0, 2) THEN s END, (lb + hb) / 2, lb, hb) AS rm FROM m),
+t AS (SELECT *, CASE WHEN lb IS NULL THEN 0 ELSE greatest(1e-6, abs(lb) * 1e-4) END AS tl, CASE WHEN hb IS NULL THEN 0 ELSE greatest(1e-6, abs(hb) * 1e-4) END AS th FROM x),
+q AS (SELECT *, CASE WHEN (CASE WHEN isinf(x0) OR isinf(y0) THEN x0 = y0 ELSE abs(x0 - y0) <= tl END) AND (CASE WHEN isinf(x1) OR isinf(y1) THEN x1 = y1 ELSE abs(x1 - y1) <= th END) THEN 'equal' WHEN x0 >= y0 - tl AND x1 <= y1 + th THEN 'subset' WHEN x1 < y0 - tl OR x0 > y1 + th THEN 'disjoint' WHEN x0 <= y0 + tl AND x1 >= y1 - th THEN 'superset' ELSE 'overlap' END AS sets,
+  CASE WHEN k = 0 AND r = 0 THEN CASE WHEN abs(lc - s) <= greatest(1e-6, s * 1e-4) THEN 'equal' ELSE 'different' END END AS center FROM t),
+v AS (SELECT *, coalesce(center = 'different', false) AS off, CASE WHEN center = 'different' THEN lc ELSE lm END AS da, CASE WHEN center = 'different' THEN s ELSE rm END AS db FROM q),
+o AS (SELECT CASE WHEN unrecorded THEN 'not_comparable' WHEN off THEN 'different' WHEN sets = 'equal' THEN 'equal' WHEN sets = 'subset' THEN 'supports' ELSE 'conflicts' END AS relation, CASE WHEN unrecorded THEN NULL WHEN off THEN 'different' WHEN sets = 'equal' THEN 'equal' WHEN sets = 'subset' THEN 'stricter' ELSE 'looser' END AS tightness,
+  CASE WHEN NOT unrecorded THEN sets END AS interval_relation, CASE WHEN NOT unrecorded THEN center END AS center_relation, CASE WHEN unrecorded THEN NULL WHEN abs(da - db) <= greatest(1e-6, abs(db) * 1e-4) THEN 'within_display_tolerance' WHEN da = 0 OR db = 0 THEN 'other' WHEN abs(da) / abs(db) >= 10 OR abs(da) / abs(db) <= 0.1 THEN 'magnitude' ELSE 'other' END AS delta,
+  NOT unrecorded AND NOT off AND sets IN ('superset', 'overlap') AS band_decides, NOT unrecorded AND (to_left OR to_right) AS direction_resolved, NOT unrecorded AND mirrored AS polarity_normalized, CASE WHEN unrecorded THEN 'standard_tolerance_not_recorded' END AS reason FROM v)
+SELECT *, CASE WHEN relation = 'not_comparable' THEN 'applicability_undetermined' WHEN relation IN ('equal', 'supports') THEN CASE WHEN interval_relation = 'subset' THEN 'exact' WHEN tightness = 'stricter' THEN 'within_standard' ELSE 'exact' END WHEN delta = 'magnitude' THEN 'magnitude_error' WHEN band_decides THEN 'bandwidth_exceeded' ELSE 'numeric_looser' END AS kind, count(*) AS n FROM o GROUP BY ALL""".replace("INF", _INF)
+
+
+@query(_COMPARED)
+def interval_comparison(spark, sf_dir) -> DataFrame:
+    """Reported bands, bounds, ranges and numbers against recorded ones with and without tolerance. A pair
+    of texts is compared once, however many lines have it."""
+    a, k, r = F.floor("l_quantity").cast("string"), F.col("l_partkey") % 5, F.col("l_orderkey") % 4
+    sign = F.when(F.col("l_returnflag") == "R", "-").otherwise("")
+    raw = F.when(k == 0, F.concat(sign, a, F.lit("（1±5％）"))).when(k == 1, F.concat(F.lit("≤"), a)).when(k == 2, F.concat(a, F.lit("~"), (F.floor("l_quantity") + 10).cast("string"))).when(k == 3, a).otherwise(F.concat(F.lit("≥"), a))
+    op = F.when(r == 1, "le").when(r == 3, "ge").otherwise("eq")
+    rows = table(spark, sf_dir, "lineitem").groupBy(raw.alias("raw"), (20 + F.col("l_suppkey") % 5 * 5).alias("s"), op.alias("op"), F.when(r == 0, "±5%").alias("tolerance")).agg(F.count(F.lit(1)).alias("n"))
+    own = claims.comparator(F.col("raw"))
+    right = intervals.standard_interval(F.col("s").cast("string"), F.col("s").cast("double"), F.col("tolerance"), F.col("op"))
+    got = rows.select("n", intervals.compare_intervals(intervals.interval(F.col("raw"), own), right, own, F.col("op"), F.col("tolerance").isNotNull()).alias("c")).select("n", "c.*")
+    kind = intervals.verdict(*[F.col(c) for c in ("relation", "tightness", "interval_relation", "delta")], F.lit(False), F.col("band_decides"), F.lit("same"))["kind"]
+    kept = [c for c in got.columns if c != "n"]
+    return got.withColumn("kind", kind).groupBy(*kept, "kind").agg(F.sum("n").alias("n"))
+
+
+_SCALARS = """WITH b AS (SELECT CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS a0, (l_suppkey % 5 * 10)::DOUBLE AS b, list_extract(['le', 'ge', 'eq', 'between', 'lt', 'gt'], (l_partkey % 6 + 1)::INT) AS lo, coalesce(list_extract(['le', 'ge', 'eq', NULL, 'tolerance'], (l_orderkey % 5 + 1)::INT), 'eq') AS ro FROM lineitem),
+d AS (SELECT *, lo IN ('eq', 'between') AND ro IN ('eq', 'tolerance') AND a0 < 0 AND b >= 0 AS flip, CASE WHEN lo IN ('le', 'lt') THEN 'upper' WHEN lo IN ('ge', 'gt') THEN 'lower' WHEN lo = 'eq' THEN 'exact' END AS ld, CASE ro WHEN 'le' THEN 'upper' WHEN 'ge' THEN 'lower' WHEN 'eq' THEN 'exact' END AS rd FROM b),
+e AS (SELECT *, CASE WHEN flip THEN abs(a0) ELSE a0 END AS a, coalesce(ld = 'exact' AND rd IN ('upper', 'lower'), false) AS br, coalesce(rd = 'exact' AND ld IN ('upper', 'lower'), false) AS bl FROM d),
+f AS (SELECT *, NOT br AND NOT bl AND coalesce(ld <> rd, false) AS against, CASE WHEN bl THEN lo ELSE ro END AS op FROM e),
+g AS (SELECT *, CASE WHEN op NOT IN ('lt', 'gt') AND abs(a - b) <= greatest(1e-12, greatest(abs(a), abs(b)) * 1e-9) THEN 'equal' WHEN op IN ('le', 'lt') AND a < b OR op IN ('ge', 'gt') AND a > b THEN 'stricter' WHEN op IN ('le', 'lt', 'ge', 'gt') THEN 'looser' ELSE 'different' END AS t0,
+  CASE WHEN abs(a - b) <= greatest(1e-6, abs(b) * 1e-4) THEN 'within_display_tolerance' WHEN a = 0 OR b = 0 THEN 'other' WHEN abs(a) / abs(b) >= 10 OR abs(a) / abs(b) <= 0.1 THEN 'magnitude' ELSE 'other' END AS delta FROM f),
+h AS (SELECT *, NOT against AND t0 IN ('looser', 'different') AND delta = 'within_display_tolerance' AS near, CASE WHEN near THEN 'equal' ELSE t0 END AS t FROM g)
+SELECT CASE WHEN against THEN 'conflicts' WHEN op IN ('le', 'lt', 'ge', 'gt') THEN CASE WHEN t IN ('equal', 'stricter') THEN 'supports' ELSE 'conflicts' END ELSE CASE WHEN t = 'equal' THEN 'equal' ELSE 'different' END END AS relation, CASE WHEN NOT against THEN t END AS tightness, CASE WHEN against THEN 'flipped' WHEN br OR bl OR ld IS NOT DISTINCT FROM rd THEN 'aligned' ELSE 'mixed' END AS comparator_state,
+  CASE WHEN NOT against THEN op END AS operator, delta, flip AS polarity_normalized, near AS display_tolerance, NULL::VARCHAR AS reason, count(*) AS n FROM h GROUP BY ALL"""
+
+
+@query(_SCALARS)
+def scalar_comparison(spark, sf_dir) -> DataFrame:
+    """Numbers with borrowed and opposite directions, polarity and display tolerance."""
+    a = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    pick = lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names]), (i + 1).cast("int"))
+    c = intervals.compare_scalars(a, (F.col("l_suppkey") % 5 * 10).cast("double"), pick(("le", "ge", "eq", "between", "lt", "gt"), F.col("l_partkey") % 6), pick(("le", "ge", "eq", None, "tolerance"), F.col("l_orderkey") % 5))
+    got = table(spark, sf_dir, "lineitem").select(c.alias("c")).select("c.*")
+    return got.groupBy(*got.columns).agg(F.count(F.lit(1)).alias("n"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.functions import checks, claims, statements, text
+from tallyloom.functions import checks, claims, intervals, statements, text
 from tallyloom.operators import evalmetrics, evidence, fusion, ledger, matching, ops, review, sequences, tables, vectors
 from tallyloom.plans import readonly_sql
 from tallyloom.sources import merges, readers
@@ -19,7 +19,9 @@ def value(spark, column, **given):
     "raw,low,high,form",
     [
         ("15≤t≤60", 15, 60, "two_sided_comparator"), ("3μs~6μs", 3, 6, "range"), ("4.0(1±10%)", 3.6, 4.4, "relative_symmetric"), ("≤0.16(1+30%)", None, 0.208, "relative_one_sided"),
-        ("0.3（构造值：0.3m）", 0.3, 0.3, "scalar"), ("≤1.8", None, 1.8, "bound"), ("5±0.5", 4.5, 5.5, "absolute_symmetric"),
+        ("0.3（构造值：0.3m）", 0.3, 0.3, "scalar"), ("≤1.8", None, 1.8, "bound"), ("5±0.5", 4.5, 5.5, "absolute_symmetric"), ("10至20 kV", 10, 20, "range"), ("20 kV 到 -10", -10, 20, "range"), ("100(允许偏差+5%)", 100, 105, "relative_one_sided"),
+        ("IEC 60076 ≤ 15", None, 15, "bound"), ("GB/T 1094.1-2013 ≥3", 3, None, "bound"), ("≥10（1-20％）", 8, None, "relative_one_sided"), ("80 ± 5 %", 76, 84, "relative_symmetric"), ("-75.0（1±3％）", -77.25, -72.75, "relative_symmetric"), ("3 < x <= 9 mm", 3, 9, "two_sided_comparator"),
+        ("4(2±10%)", 1.8, 2.2, "relative_symmetric"), ("1±0.5", 0.5, 1.5, "absolute_symmetric"), ("100（公差 - 4%）", 96, 100, "relative_one_sided"), ("-2.5", -2.5, -2.5, "scalar"), ("12 dB(A)", 12, 12, "scalar"),
     ],
 )
 def test_intervals(spark, raw, low, high, form):
@@ -29,7 +31,7 @@ def test_intervals(spark, raw, low, high, form):
     assert (got.high is None) == (high is None) and (high is None or abs(got.high - high) < 1e-9)
 
 
-@pytest.mark.parametrize("raw", ["120*(额定频率/试验频率),但不少于15s", "", None, "no number", "1 and 2"])
+@pytest.mark.parametrize("raw", ["120*(额定频率/试验频率),但不少于15s", "", None, "no number", "1, 2", "15（约 20）", "10-20"])
 def test_no_interval(spark, raw):
     assert value(spark, claims.interval(F.col("x").cast("string")), x=raw) is None
 
@@ -40,6 +42,57 @@ def test_interval_relation(spark, a, b, relation):
     assert value(spark, claims.interval_relation(*map(F.lit, (float(a[0]), float(a[1]), low, high)))) == relation
 
 
+def comparison(spark, raw, value_=None, operator="eq", tolerance=None, report_operator=None, scale=1.0):
+    i = lambda c, o=None: intervals.interval(F.lit(c), o)
+    rop = claims.comparator(F.lit(raw)) if report_operator is None else F.lit(report_operator)
+    number = F.lit(value_).cast("double")
+    right = intervals.standard_interval(number.cast("string"), number, F.lit(tolerance).cast("string"), F.lit(operator))
+    return value(spark, intervals.compare_intervals(i(raw, rop), right, rop, F.lit(operator), F.lit(tolerance is not None), F.lit(scale)))
+
+
+def test_interval_comparison(spark):
+    got = comparison(spark, "-75.0（1±3％）", 75.0, tolerance="±3%")
+    assert (got.relation, got.polarity_normalized, got.center_relation) == ("equal", True, "equal")
+    got = comparison(spark, "-76.0（1±3％）", 75.0, tolerance="±3%")
+    assert (got.relation, got.center_relation, got.band_decides, got.delta) == ("different", "different", False, "other")
+    got = comparison(spark, "≤0.18（1+30%）", 0.8)
+    assert (got.relation, got.interval_relation, got.direction_resolved) == ("supports", "subset", True)
+    got = comparison(spark, "≤0.18（1+30%）", 0.18, "le")
+    assert (got.relation, got.reason) == ("not_comparable", "standard_tolerance_not_recorded")
+    assert comparison(spark, "≤0.18（1+30%）", 0.18, "le", "+30%").relation == "equal"
+    assert comparison(spark, "10~30", 20.0, "ge").interval_relation == "overlap" and comparison(spark, "10~30", 20.0, "ge").band_decides
+    assert comparison(spark, "10~30", 5000.0, "le", scale=1000.0).interval_relation == "disjoint"
+    assert comparison(spark, "words", 5.0).reason == "left_interval_unparseable" and comparison(spark, "1~2").reason == "right_interval_unparseable"
+
+
+def test_scalar_comparison(spark):
+    got = lambda a, b, o, p: value(spark, intervals.compare_scalars(F.lit(a), F.lit(b), F.lit(o), F.lit(p).cast("string")))
+    flipped = got(1000.0, 1000.0, "le", "ge")
+    assert (flipped.relation, flipped.comparator_state, flipped.delta) == ("conflicts", "flipped", "within_display_tolerance")
+    assert got(-75.0, 75.0, "eq", "eq").polarity_normalized and got(-75.0, 75.0, "eq", "eq").relation == "equal"
+    borrowed = got(1.8, 2.0, "eq", "le")
+    assert (borrowed.relation, borrowed.tightness, borrowed.operator) == ("supports", "stricter", "le")
+    assert got(2.5, 2.0, "le", "eq").operator == "le" and got(2.5, 2.0, "le", None).relation == "conflicts"
+    near = got(60.001, 60.0, "eq", "eq")
+    assert (near.relation, near.display_tolerance) == ("equal", True)
+    assert got(2700.0, 270.0, "le", "le").delta == "magnitude" and got(None, 1.0, "eq", "eq").relation == "not_comparable"
+
+
+def test_verdicts_of_comparisons(spark):
+    v = lambda *c: tuple(value(spark, intervals.verdict(*[F.lit(x) for x in c])))
+    assert v("supports", "stricter", "subset", "other", False, False, "same") == ("match", "exact", True)
+    assert v("supports", "stricter", None, "other", False, False, "same") == ("match", "within_standard", True)
+    assert v("equal", "equal", None, None, False, False, "converted") == ("match", "unit_equivalent", False)
+    assert v("conflicts", "looser", "overlap", "other", False, True, "same") == ("mismatch", "bandwidth_exceeded", False)
+    assert v("conflicts", None, None, "within_display_tolerance", True, False, "same")[1] == "comparator_flip"
+    assert v("not_comparable", None, None, None, None, None, "same")[:2] == ("unevaluable", "applicability_undetermined")
+
+
+def test_units_fold(spark):
+    how = lambda a, b: value(spark, claims.unit_alignment(F.lit(a), F.lit(b)))
+    assert [how(*p) for p in (("℃", "°C"), ("dB(A)", "dB（A）"), ("μs", "us"), ("μs", "ms"), ("MΩ", "MΩ"), ("℃", "K"), (" kV ", "V"))] == ["same", "same", "same", "converted", "same", "unavailable", "converted"]
+
+
 def test_verdicts(spark):
     verdict = lambda r, ru, s, su: tuple(value(spark, claims.scalar_verdict(F.lit(r), F.lit(ru), F.lit(s), F.lit(su), F.lit("le"))))
     assert verdict(1.8, "%", 2.0, "%") == ("match", "within_standard")
