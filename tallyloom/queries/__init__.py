@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import business, checks, claims, evaluation, evidence, ledger, operations, ranking, records, retrieval, statements, stores, streams, texts  # noqa: F401
+from . import business, checks, claims, evaluation, evidence, judgments, ledger, operations, ranking, records, retrieval, statements, stores, streams, texts  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 
