@@ -28,7 +28,7 @@ _U = np.uint64
 #: What a document's rows are for: scored only, weights are learned on them, counted only.
 TEST, DELETED, COUNTED = 0, 1, 2
 #: Bytes of text in a bundle, and words whose hashes a worker remembers.
-BUNDLE_BYTES, _KNOWN_WORDS = 8 << 20, 150_000
+BUNDLE_BYTES, _KNOWN_WORDS = 4 << 20, 100_000
 #: A blank is in no word, so these are the hashes of no word.
 _END, _START = _U(xxhash.xxh3_64_intdigest(b" end")), _U(xxhash.xxh3_64_intdigest(b" start"))
 #: Buckets of context frequency; estimates are told apart by quarters of a power of two when weights are learned.
@@ -93,7 +93,9 @@ def _place(unique: np.ndarray, parts: int) -> np.ndarray:
     return ((unique >> _U(20)) % _U(parts)).astype(np.int64)
 
 
-def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bundle(size: int):
+    """Documents of a kind together, about ``size`` bytes of text, or one that is longer."""
+
     def sent(kind: int, ids: list, texts: list) -> pa.RecordBatch:
         name, blob = uuid.uuid4().int >> 65, zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
         return pa.RecordBatch.from_arrays(
@@ -101,17 +103,20 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["bundle", "kind", "ids", "sizes", "blob"],
         )
 
-    held: dict[int, list] = {}
-    for batch in batches:
-        for kind, id_, text in zip(batch.column("kind").to_pylist(), batch.column("doc_id").to_pylist(), text_bytes(batch)):
-            own = held.setdefault(kind, [0, [], []])
-            own[0] += len(text) + 16
-            own[1].append(id_)
-            own[2].append(text)
-            if own[0] >= BUNDLE_BYTES:
-                yield sent(kind, *held.pop(kind)[1:])
-    for kind, (_, ids, texts) in held.items():
-        yield sent(kind, ids, texts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for kind, id_, text in zip(batch.column("kind").to_pylist(), batch.column("doc_id").to_pylist(), text_bytes(batch)):
+                own = held.setdefault(kind, [0, [], []])
+                own[0] += len(text) + 16
+                own[1].append(id_)
+                own[2].append(text)
+                if own[0] >= size:
+                    yield sent(kind, *held.pop(kind)[1:])
+        for kind, (_, ids, texts) in held.items():
+            yield sent(kind, ids, texts)
+
+    return run
 
 
 def _texts(row: dict) -> list[bytes]:
@@ -280,7 +285,7 @@ def _score(order: int, parts: int, model: Model):
     return run
 
 
-def interpolated_scores(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def interpolated_scores(docs: DataFrame, order: int = 2, bundle_bytes: int = BUNDLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of ``docs``.
 
     Rows whose crc32 of the id as text is divisible by 10 are held out and give no counts; those that leave 1 are
@@ -298,7 +303,7 @@ def interpolated_scores(docs: DataFrame, order: int = 2, id_col: str = "doc_id",
     rest = F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % 10
     kind = F.when(rest == 0, TEST).when(rest == 1, DELETED).otherwise(COUNTED).cast("int")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), kind.alias("kind"))
-    bundles = written(base.mapInArrow(_bundle, "bundle long, kind int, ids array<long>, sizes array<long>, blob binary"), "bundles", compression="none")
+    bundles = written(base.mapInArrow(_bundle(bundle_bytes), "bundle long, kind int, ids array<long>, sizes array<long>, blob binary"), "bundles", compression="none")
     size = bundles.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x + 8))).first()[0] or 0
     parts = group_count(spark, size * 8 / 6 * order)
     asked = bundles.mapInArrow(_ask(order, parts), "part int, bundle long, kind int, grams array<binary>, counts array<binary>")

@@ -121,12 +121,11 @@ def brute_scores(data, order):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
-def test_scores(spark, order, monkeypatch):
-    monkeypatch.setattr(interpolation, "BUNDLE_BYTES", 4000)
+def test_scores(spark, order):
     data = [r for r in cases.rows() if len(r[1] or "") < 100_000] + [(None, "of a x.y1", *cases.rows()[0][2:])]
     df = spark.createDataFrame(data, cases.SCHEMA).repartition(3)
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
-    got, want = (sorted(map(tuple, x), key=key) for x in (interpolation.interpolated_scores(df, order).collect(), brute_scores(data, order)))
+    got, want = (sorted(map(tuple, x), key=key) for x in (interpolation.interpolated_scores(df, order, 4000).collect(), brute_scores(data, order)))
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5] for g in got], [w[5] for w in want], rtol=1e-9)
     # Weights are learned from cells of about equal estimates, so scores are close, not equal.
