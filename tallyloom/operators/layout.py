@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,35 +77,35 @@ def stacked_captions(primaries: DataFrame, captions: DataFrame, max_gap: float =
     return united.select("page", "item", F.array_join(F.transform("parts", lambda x: x["text"]), "\n").alias("text"), *box)
 
 
-def table_grid(html: str) -> list[list[str]]:
-    """Cells of a table by row, those that span rows or columns repeated."""
-    rows, held = [], {}
-    for r, tr in enumerate(re.findall(r"(?is)<tr[^>]*>(.*?)</tr>", html or "")):
-        line, col = [], 0
-        cells = re.findall(r"(?is)<t[dh]([^>]*)>(.*?)</t[dh]>", tr)
-        while cells or (r, col) in held:
-            if (r, col) in held:
-                line.append(held.pop((r, col)))
-                col += 1
-                continue
-            attrs, body = cells.pop(0)
-            value = " ".join(unescape(re.sub(r"<[^>]+>", " ", body)).split())
-            span = lambda name: int((re.search(rf'{name}\s*=\s*"?(\d+)', attrs) or [0, 1])[1])  # noqa: B023, E731
-            for c in range(col, col + span("colspan")):
-                for down in range(1, span("rowspan")):
-                    held[r + down, c] = value
-                line.append(value)
-            col += span("colspan")
-        rows.append(line)
-    return rows
-
-
-def table_cells(tables: DataFrame) -> DataFrame:
-    """id, row, col, value for each cell of ``tables`` (id, html)."""
-
-    def cells(batches):
-        for pdf in batches:
-            out = [(i, r, c, v) for i, h in zip(pdf["id"], pdf["html"]) for r, line in enumerate(table_grid(h)) for c, v in enumerate(line)]
-            yield pd.DataFrame(out, columns=["id", "row", "col", "value"])
-
-    return tables.select("id", "html").mapInPandas(cells, "id long, row long, col long, value string")
+_TABLE, _ROW = re.compile(r"(?is)<table\b[^>]*>(.*?)</table>"), re.compile(r"(?is)<tr\b[^>]*>(.*?)</tr>")
+_CELL, _SPAN = re.compile(r"(?is)<t[dh]\b([^>]*)>(.*?)</t[dh]>"), re.compile(r"""(?i)\b(row|col)span\s*=\s*["']?(\d+)""")
+_TAG = re.compile(r"<[^>]+>")
+
+
+def table_grid(html: str) -> list[tuple[int, int, str]]:
+    """(row, column, value) of a table's cells; one that spans rows or columns has its value in each place."""
+    out, taken = [], set()
+    for r, row in enumerate(_ROW.findall(html)):
+        c = 0
+        for attributes, body in _CELL.findall(row):
+            while (r, c) in taken:
+                c += 1
+            span = {name.lower(): max(int(n), 1) for name, n in _SPAN.findall(attributes)}
+            value = " ".join(unescape(_TAG.sub(" ", body)).split())
+            places = [(r + down, c + right) for down in range(span.get("row", 1)) for right in range(span.get("col", 1))]
+            taken.update(places)
+            out += [(*p, value) for p in places]
+    return sorted(out)
+
+
+def table_cells(pages: DataFrame) -> DataFrame:
+    """id, tab, row, col, value for each cell of each table of ``pages`` (id, html), spans filled. A table's rows are
+    read in order, as a span decides where later cells lie."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, t, *cell) for i, html in zip(batch.column("id").to_pylist(), batch.column("html").to_pylist()) for t, table in enumerate(_TABLE.findall(html or "")) for cell in table_grid(table)]
+            cols = list(zip(*found)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], names=["id", "tab", "row", "col", "value"])
+
+    return pages.select(F.col("id").cast("long").alias("id"), "html").mapInArrow(cells, "id long, tab long, row long, col long, value string")

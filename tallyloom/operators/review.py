@@ -30,16 +30,36 @@ def active_job(jobs: DataFrame, wanted: DataFrame, path: str) -> DataFrame:
     return live.join(wanted, "report").groupBy("report").agg(F.min("job_id").alias("job_id"))
 
 
-def peers(requirements: DataFrame, asked: DataFrame, k: int = 12) -> DataFrame:
-    """asked_id, id, score, place: requirements beside an asked one of the same report: three for each term they
-    hold, two for the same item, one for the same phase; zeros and the asked itself are left out. A
-    report's requirements are few. ``asked``: asked_id, report, item, phase, text, terms."""
-    a = asked.select("asked_id", F.col("report").alias("r"), F.col("item").alias("i"), F.col("phase").alias("p"), F.replace("text", F.lit(" "), F.lit("")).alias("t"), "terms")
-    met = requirements.join(a, F.col("report") == F.col("r")).filter(F.size("terms") > 0)
-    same = (F.col("item") == F.col("i")) & (F.col("phase") == F.col("p")) & (F.replace("text", F.lit(" "), F.lit("")) == F.col("t"))
-    whole = F.concat_ws(" ", "project", "text")
-    score = 3 * F.size(F.filter("terms", lambda t: (t != "") & F.contains(whole, t))) + F.when(F.col("item") == F.col("i"), 2).otherwise(0) + F.when(F.col("phase") == F.col("p"), 1).otherwise(0)
-    scored = met.filter(~same).withColumn("score", score).filter("score > 0")
+Rules = list[tuple[tuple[str, ...], tuple[str, ...]]]
+
+
+def peer_terms(whole: Column, rules: Rules) -> Column:
+    """The related terms of all rules (triggers, related) of which a trigger is in the text, in order, each once."""
+    of = [F.when(F.exists(F.array(*map(F.lit, triggers)), lambda t: F.contains(whole, t)), F.array(*map(F.lit, related))).otherwise(F.array().cast("array<string>")) for triggers, related in rules]
+    return F.filter(F.array_distinct(F.concat(*of)), lambda t: t != "")
+
+
+def peers(requirements: DataFrame, asked: DataFrame, rules: Rules, k: int = 12) -> DataFrame:
+    """asked_id, id, score, place: requirements beside an asked one of the same report: three for each of the asked's
+    terms that they hold, two for the same item, one for the same phase; zeros and the asked itself are left out, and
+    so are all of its item, phase and text. Terms come from ``rules``, by what the asked one says. Both sides have
+    report, item, phase, project and text; ``asked`` has asked_id, ``requirements`` id.
+
+    What decides a score are report, item, phase and the terms held, so requirements of equal ones are a class. Of a
+    text a class needs no more than k rows, and then 2 k rows in all, for whichever text is left out: a report of very
+    many requirements is as many rows for an asked one as it has classes."""
+    whole = lambda: F.concat_ws(" ", "project", "text")
+    bare = lambda: F.replace(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(""))
+    terms = sorted({t for _, related in rules for t in related if t})
+    held = F.filter(F.array(*[F.when(F.contains(whole(), F.lit(t)), F.lit(t)) for t in terms]), lambda t: t.isNotNull())
+    cls = ["report", "item", "phase", "held"]
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("id"))
+    few = requirements.select("id", "report", "item", "phase", held.alias("held"), bare().alias("bare"))
+    few = few.withColumn("_n", first(*cls, "bare")).filter(F.col("_n") <= k).withColumn("_n", first(*cls)).filter(F.col("_n") <= 2 * k)
+    a = asked.select("asked_id", F.col("report").alias("r"), F.col("item").alias("i"), F.col("phase").alias("p"), bare().alias("t"), peer_terms(whole(), rules).alias("terms")).filter(F.size("terms") > 0)
+    same_item, same_phase = F.coalesce("item", F.lit("")) == F.coalesce("i", F.lit("")), F.coalesce("phase", F.lit("")) == F.coalesce("p", F.lit(""))
+    score = 3 * F.size(F.array_intersect("terms", "held")) + F.when(same_item, 2).otherwise(0) + F.when(same_phase, 1).otherwise(0)
+    scored = few.join(a, F.col("report") == F.col("r")).filter(~(same_item & same_phase & (F.col("bare") == F.col("t")))).withColumn("score", score).filter("score > 0")
     place = F.row_number().over(Window.partitionBy("asked_id").orderBy(F.col("score").desc(), "id"))
     return scored.withColumn("place", place).filter(F.col("place") <= k).select("asked_id", "id", "score", "place")
 

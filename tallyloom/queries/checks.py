@@ -168,17 +168,18 @@ def active_jobs(spark, sf_dir) -> DataFrame:
 
 
 _PEERS = """WITH r AS (SELECT o_orderkey AS id, o_custkey AS report, o_orderstatus AS item, o_orderpriority AS phase, o_orderpriority || ' ' || (o_orderkey % 10)::VARCHAR AS text FROM orders),
-a AS (SELECT id AS asked_id, report AS r, item AS i, phase AS p, replace(text, ' ', '') AS t, ['HIGH', right(text, 1)] AS terms FROM r WHERE id % 20 = 0),
+a AS (SELECT id AS asked_id, report AS r, item AS i, phase AS p, replace(text, ' ', '') AS t, list_distinct(list_concat(CASE WHEN contains(text, 'HIGH') OR contains(text, '7') THEN ['HIGH', '5'] ELSE [] END, CASE WHEN contains(text, '0') THEN ['0', 'URGENT'] ELSE [] END)) AS terms FROM r WHERE id % 20 < 2 AND len(terms) > 0),
 s AS (SELECT asked_id, id, 3 * len(list_filter(terms, lambda x: contains('project ' || text, x))) + CASE WHEN item = i THEN 2 ELSE 0 END + CASE WHEN phase = p THEN 1 ELSE 0 END AS score FROM r JOIN a ON report = r.r WHERE NOT (item = i AND phase = p AND replace(text, ' ', '') = t))
 SELECT asked_id, id, score::INT AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY asked_id ORDER BY score DESC, id)::INT AS place FROM s WHERE score > 0) WHERE place <= 12""".replace("JOIN a ON report = r.r", "JOIN a ON r.report = a.r")
 
 
 @query(_PEERS)
 def peer_context(spark, sf_dir) -> DataFrame:
-    """Requirements of the same report that tell most about an asked one; every twentieth order asks."""
+    """Requirements of the same report that tell most about an asked one; one order in ten asks,
+    by terms that rules give."""
     r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("report"), F.col("o_orderstatus").alias("item"), F.col("o_orderpriority").alias("phase"), F.lit("project").alias("project"), F.concat_ws(" ", "o_orderpriority", (F.col("o_orderkey") % 10).cast("string")).alias("text"))
-    asked = r.filter("id % 20 = 0").select(F.col("id").alias("asked_id"), "report", "item", "phase", "text", F.array(F.lit("HIGH"), F.substr("text", F.length("text"))).alias("terms"))
-    return review.peers(r, asked)
+    asked = r.filter("id % 20 < 2").withColumnRenamed("id", "asked_id")
+    return review.peers(r, asked, [(("HIGH", "7"), ("HIGH", "5")), (("0",), ("0", "URGENT"))])
 
 
 @query("SELECT p_partkey, s.s_suppkey AS case_id, CASE WHEN s.s_suppkey % 3 = 0 THEN 'mismatch' ELSE a END AS shadow, coalesce(CASE WHEN s.s_suppkey % 3 = 0 THEN 'mismatch' ELSE a END = e, false) AS shadow_correct FROM (SELECT p_partkey, p_size, CASE WHEN p_partkey % 2 = 0 THEN 'match' ELSE 'mismatch' END AS a, CASE WHEN p_partkey % 5 = 0 THEN 'match' ELSE 'mismatch' END AS e FROM part) p LEFT JOIN supplier s ON s.s_suppkey = p.p_partkey % 40")

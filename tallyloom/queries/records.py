@@ -159,8 +159,16 @@ def similar_chunks(spark, sf_dir) -> DataFrame:
     return similar.similar_texts(chunks, ["doc_id", "text_hash", "page"], 0.6).drop("text_hash")
 
 
-@query()
+_ITEMS = "regexp_extract_all(html, '<li>(.*?)</li>', 1)"
+
+
+@query(rf"""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)', 1), '\s+', ' ', 'g')) AS h, list_transform({_ITEMS}, lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS li FROM pages),
+c AS (SELECT page_id, 0 AS row, unnest(range(0, len(li) + 1)) AS col, h, li FROM p UNION ALL SELECT page_id, 1, unnest(range(0, 2 * len(li) + 1)), h, li FROM p)
+SELECT page_id AS id, 0 AS tab, row, col, CASE WHEN col = 0 THEN h WHEN row = 0 THEN li[col] ELSE li[(col + 1) // 2] END AS value FROM c""")
 def table_grids(spark, sf_dir) -> DataFrame:
-    """C14: cells of tables with spans; each page's heading as a table of two rows."""
-    html = F.concat(F.lit('<table><tr><td rowspan="2">'), F.col("page_id").cast("string"), F.lit('</td><th colspan="2">a</th></tr><tr><td>b</td><td>c</td></tr></table>'))
+    """C14: cells of tables with spans: a page's heading over two rows, its list items beside it, then each over two
+    columns."""
+    items = F.regexp_extract_all("html", F.lit("<li>(.*?)</li>"), F.lit(1))
+    td = lambda attributes: F.array_join(F.transform(items, lambda x: F.concat(F.lit(f"<td{attributes}>"), x, F.lit("</td>"))), "")
+    html = F.concat(F.lit('<TABLE class="a"><tr><th rowspan="2">'), F.regexp_extract("html", "<h1>([^<]*)", 1), F.lit("</th>"), td(""), F.lit("</tr>\n<tr>"), td(" colspan=2"), F.lit("</tr></TABLE>"))
     return layout.table_cells(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), html.alias("html")))

@@ -1,13 +1,14 @@
 """Judgments, selections, profiles, gold sets and replays: literal cases."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tallyloom.functions import judgments
-from tallyloom.operators import gold
+from tallyloom.operators import gold, review
 
 
 def issues(spark, status, evidence=(), **comparison):
@@ -116,3 +117,25 @@ def test_replay(spark):
     got = [tuple(r.r)[:3] for r in df.collect()]
     assert got == [("mismatch", "supported", "caliber"), ("supported", "mismatch", "caliber"), ("mismatch", "mismatch", "unit_conversion_unavailable"), ("supported", "supported", "no_candidates_recorded"), ("x", "x", "left_interval_unparseable"), (None, None, "no_candidates_recorded")]
     assert {(r.old, r.new, r.changed) for r in gold.ledger(df).collect()} >= {("mismatch", "supported", True), (None, None, False)}
+
+
+def test_peers(spark):
+    rng = random.Random(3)
+    rules = [(("oil", "air"), ("tank", "load")), (("load",), ("loss", "oil")), (("none",), ("x",))]
+    words = ["oil", "air", "tank", "load", "loss", "of", "the"]
+    rows = [(i, i % 2, rng.choice(["1", "2", None]), rng.choice("ab"), rng.choice(words), rng.choice(words) + rng.choice([" ", "  "]) + rng.choice(words)) for i in range(200)]
+    rows += [(1000 + i, 1, "1", "a", "load", "tank oil") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, report long, item string, phase string, project string, text string")
+    asked = df.filter("id % 9 = 1").withColumnRenamed("id", "asked_id")
+    want = []
+    for i, report, item, phase, project, text in rows:
+        if i % 9 == 1:
+            terms = list(dict.fromkeys(t for tr, rel in rules if any(x in f"{project} {text}" for x in tr) for t in rel))
+            near = []
+            for j, r, it, ph, pr, tx in rows:
+                if terms and r == report and ((it or ""), ph, tx.replace(" ", "")) != ((item or ""), phase, text.replace(" ", "")):
+                    score = 3 * sum(t in f"{pr} {tx}" for t in terms) + 2 * ((it or "") == (item or "")) + (ph == phase)
+                    if score:
+                        near.append((-score, j))
+            want += [(i, j, -s, n + 1) for n, (s, j) in enumerate(sorted(near)[:12])]
+    assert sorted(map(tuple, review.peers(df, asked, rules).collect())) == sorted(want)

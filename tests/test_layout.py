@@ -129,3 +129,10 @@ def test_a_page_of_many_blocks(spark):
     began = time.time()
     got = layout.stacked_captions(p, blocks).collect()
     assert len(got) == 20 and all(r.text == f"t{r['item']}" for r in got) and time.time() - began < 60
+
+
+def test_grids(spark):
+    html = '<p>x</p><table><tr><td rowspan="2">a</td><th colspan="2">b &amp; c</th></tr><tr><td>d</td><td rowspan=3>e<br>f</td></tr><tr><td colspan="0">g</td><td>h</td></tr></table><table></table><TABLE><TR><TD>z</TD></TR></TABLE>'
+    got = sorted(map(tuple, layout.table_cells(spark.createDataFrame([(1, html), (2, None), (3, "no table")], "id long, html string")).collect()))
+    grid = [["a", "b & c", "b & c"], ["a", "d", "e f"], ["g", "h", "e f"], [None, None, "e f"]]
+    assert got == [(1, 0, r, c, v) for r, row in enumerate(grid) for c, v in enumerate(row) if v] + [(1, 2, 0, 0, "z")]
