@@ -21,7 +21,7 @@ from .shared import text_bytes, written
 #: A-Z to lower case, other ASCII that is no letter to a space.
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i > 127 else 32 for i in range(256))
 #: Terms that a task counts before it sends them.
-_HELD = 200_000
+_HELD = 500_000
 #: Sources of a block, and distinct columns that a pair of blocks is compared by at once.
 SOURCES, COLUMNS = 128, 4096
 
@@ -35,8 +35,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), terms, pa.array([x for _, x in n], pa.int64()), pa.array(docs, pa.int64())], names=["lang", "source", "term", "n", "docs"])
 
     held: dict = defaultdict(lambda: (Counter(), Counter()))
+    before = 0
     for batch in batches:
-        before = 0
         for text, lang, source in zip(text_bytes(batch), batch.column("lang").to_pylist(), batch.column("source").to_pylist()):
             n, docs = held[lang, source]
             before += -len(n)
@@ -48,8 +48,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield sent()
                 held.clear()
                 before = 0
-        yield sent()
-        held.clear()
+    yield sent()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -130,18 +129,18 @@ def divergence(docs: DataFrame, min_docs: int = 30, most_terms: int = 50) -> Dat
     langs = groups.select("lang").distinct().join(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("all")), "lang", "left").fillna(0)
     sums = cells.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("m")).alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
-    sources = groups.join(sums, ["lang", "source"], "left").join(langs, "lang").select("lang", "source", place.cast("long").alias("at"), "v", (F.coalesce("n", F.lit(0)) + 5 * F.col("v")).alias("total"))
-    sources = written(sources.withColumn("block", F.floor(F.col("at") / SOURCES)), "sources")
+    sources = groups.join(sums, ["lang", "source"], "left").join(langs, "lang").select("lang", "source", place.cast("long").alias("at"), "v", (F.coalesce("n", F.lit(0)) + 5 * F.col("v")).alias("total"), (F.col("all") + 5 * F.col("v")).alias("all_total"))
+    block = F.floor(F.col("at") / SOURCES)
+    sources = written(sources.withColumn("block", block).withColumn("blocks", F.max("block").over(Window.partitionBy("lang")) + 1), "sources")
 
     shards = max(1, math.ceil(distinct.count() / COLUMNS))
-    blocks = sources.groupBy("lang").agg((F.max("block") + 1).alias("blocks"))
 
     def dealt(rows: DataFrame, block: str) -> DataFrame:
-        other = rows.join(blocks, "lang").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        other = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         return other.withColumn("i", F.least(block, "other")).withColumn("j", F.greatest(block, "other"))
 
     # Columns of its own: a cogroup can't tell the two sides of one table apart.
-    named = sources.select("lang", "source", F.col("at").alias("place"), F.col("block").alias("own"))
+    named = sources.select("lang", "source", F.col("at").alias("place"), F.col("block").alias("own"), F.col("blocks").alias("blocks"))
     columns = dealt(cells.join(named, ["lang", "source"]), "own").select("lang", "i", "j", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "m", F.col("place").alias("at"), "n")
     each = dealt(sources, "block").select("lang", "i", "j", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", F.col("at").alias("at"), "total", "v").distinct()
     keys = ["lang", "i", "j", "shard"]
@@ -153,8 +152,7 @@ def divergence(docs: DataFrame, min_docs: int = 30, most_terms: int = 50) -> Dat
     own = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     first = kept.withColumn("place", F.row_number().over(Window.partitionBy("lang", "column").orderBy("term"))).filter(F.col("place") <= most_terms)
     once = first.groupBy("lang", "column", "n").agg(F.collect_list("term").alias("terms")).select("lang", F.col("n").alias("all_n"), "terms", F.inline("column").alias("source", "n"))
-    valued = once.join(sources, ["lang", "source"]).join(langs.select("lang", (F.col("all") + 5 * F.col("v")).alias("all_total")), "lang")
-    valued = valued.withColumn("value", F.expr(share("(n + 5)", "total")) - F.expr(share("(all_n + 5)", "all_total"))).filter("value > 0")
+    valued = once.join(sources, ["lang", "source"]).withColumn("value", F.expr(share("(n + 5)", "total")) - F.expr(share("(all_n + 5)", "all_total"))).filter("value > 0")
     terms = valued.select("lang", "source", "value", F.explode("terms").alias("item"))
     ranked = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.row_number().over(own).alias("rank"))
     return ranked(pairs, "pair").unionAll(ranked(terms, "term").filter(F.col("rank") <= most_terms))
