@@ -159,10 +159,11 @@ def similar_chunks(spark, sf_dir) -> DataFrame:
     return similar.similar_texts(chunks, ["doc_id", "text_hash", "page"], 0.6).drop("text_hash")
 
 
+_UNESCAPED = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
 _ITEMS = "regexp_extract_all(html, '<li>(.*?)</li>', 1)"
 
 
-@query(rf"""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)', 1), '\s+', ' ', 'g')) AS h, list_transform({_ITEMS}, lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS li FROM pages),
+@query(rf"""WITH p AS (SELECT page_id, trim(regexp_replace({_UNESCAPED.format("regexp_extract(html, '<h1>([^<]*)', 1)")}, '\s+', ' ', 'g')) AS h, list_transform({_ITEMS}, lambda x: trim(regexp_replace({_UNESCAPED.format("regexp_replace(x, '<[^>]+>', ' ', 'g')")}, '\s+', ' ', 'g'))) AS li FROM pages),
 c AS (SELECT page_id, 0 AS row, unnest(range(0, len(li) + 1)) AS col, h, li FROM p UNION ALL SELECT page_id, 1, unnest(range(0, 2 * len(li) + 1)), h, li FROM p)
 SELECT page_id AS id, 0 AS tab, row, col, CASE WHEN col = 0 THEN h WHEN row = 0 THEN li[col] ELSE li[(col + 1) // 2] END AS value FROM c""")
 def table_grids(spark, sf_dir) -> DataFrame:
