@@ -15,19 +15,21 @@ def bound_columns(asked: DataFrame, headers: DataFrame) -> DataFrame:
     A header that is alike enough (0.35) and by a margin (0.1) is 'unique', one without the margin 'ambiguous'.
     Where only the table's title is alike, the one qualified or only header does. A table's headers are
     few, so they are ranked as an array."""
-    met = asked.join(headers, "table_id")
-    # A pair of texts is compared once, however many tables it is in.
-    pairs = met.select(F.col("property").alias("p"), F.col("header").alias("h")).distinct().withColumn("score", statements.header_similarity(F.col("p"), F.col("h")))
-    scored = met.join(pairs, (F.col("property") == F.col("p")) & (F.col("header") == F.col("h")))
-    ranked = F.sort_array(F.collect_list(F.struct("score", "header")), asc=False)
-    g = scored.groupBy("claim_id", "table_id").agg(ranked.alias("r"), F.first(text.concept_similarity(F.col("property"), F.coalesce("title", F.lit("")))).alias("t"))
+    lists = headers.groupBy("table_id").agg(F.sort_array(F.collect_set("header")).alias("headers"))
+    met = asked.select("claim_id", "table_id", "property", F.coalesce("title", F.lit("")).alias("title")).join(lists, "table_id")
+    # A property meets a title and a list of headers once, however many tables have them.
+    alike = F.transform("headers", lambda h: F.struct(statements.header_similarity(F.col("p"), h).alias("score"), h.alias("header")))
+    g = met.select(F.col("property").alias("p"), F.col("title").alias("of"), F.col("headers").alias("hs"), "headers").distinct()
+    g = g.withColumn("r", F.sort_array(alike, asc=False)).withColumn("t", text.concept_similarity(F.col("p"), F.col("of")))
     best, qualified = F.element_at("r", 1), F.filter("r", lambda x: x["score"] >= 1)
     clear = (F.size("r") == 1) | (best["score"] - F.try_element_at("r", F.lit(2))["score"] >= 0.1)
     pick = lambda c: F.struct(F.lit("unique").alias("state"), c["header"].alias("header"), c["score"].alias("score"))
     none = lambda s: F.struct(F.lit(s).alias("state"), F.lit(None).cast("string").alias("header"), F.lit(None).cast("double").alias("score"))
     by_title = (F.col("t") >= 0.5) & ((F.size(qualified) == 1) | (F.size("r") == 1))
     chosen = F.when(best["score"] >= 0.35, F.when(clear, pick(best)).otherwise(none("ambiguous"))).when(by_title, pick(best)).otherwise(none("unbound"))
-    return g.select("claim_id", "table_id", chosen.alias("c")).select("claim_id", "table_id", "c.*")
+    found = g.select("p", "of", "hs", chosen.alias("c"))
+    same = (F.col("property") == F.col("p")) & (F.col("title") == F.col("of")) & (F.col("headers") == F.col("hs"))
+    return met.join(found, same).select("claim_id", "table_id", "c.*")
 
 
 def sample_rows(cells: DataFrame, profile: DataFrame) -> DataFrame:
