@@ -55,5 +55,6 @@ def unique_status(statuses: Column) -> Column:
 
 
 def closed(cited: Column, read: Column) -> Column:
-    """Something is cited, and all of it has been read."""
-    return (F.size(cited) > 0) & (F.size(F.array_except(cited, read)) == 0)
+    """An aggregate of rows: something is cited, and all that is cited has been read. ``cited`` and ``read`` are of a
+    row; nothing is collected."""
+    return F.coalesce(F.bool_or(cited), F.lit(False)) & F.coalesce(F.bool_and(F.when(cited, read)), F.lit(False))

@@ -88,4 +88,5 @@ def merge_pools(pools: DataFrame, keys: list[str], k: int = RRF_K) -> DataFrame:
 
 def round_robin(rows: DataFrame, group: str, order: str, limit: int) -> DataFrame:
     """One row of each group a round, groups in order, ``limit`` in all."""
-    return rank_in(rows, [group], [F.col(order)], "round").orderBy("round", group).limit(limit)
+    # No later round than the limit can be reached, so a large group is cut before it is sorted.
+    return rank_in(rows, [group], [F.col(order)], "round").filter(F.col("round") <= limit).orderBy("round", group).limit(limit)

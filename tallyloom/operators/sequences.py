@@ -2,11 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], Any], step: Callable[[pd.DataFrame, Any], tuple[pd.DataFrame, Any]], schema) -> DataFrame:
+    """A fold over each key's rows in order: ``step`` takes some of them and the state that the rows before left, and
+    gives their result and the state after. A task streams sorted rows, so of a key of any length it holds a batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state, begun = None, None, False
+        for pdf in batches:
+            own, out = pdf[key], []
+            new = ~(own.eq(own.shift()) | own.isna() & own.shift().isna())
+            for _, part in pdf.groupby(new.cumsum(), sort=False):
+                k = part[key].iloc[0]
+                if not begun or not (k == now or pd.isna(k) and pd.isna(now)):
+                    state = start()
+                now, begun = k, True
+                made, state = step(part, state)
+                out.append(made)
+            if out:
+                yield pd.concat(out)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 def carried_titles(rows: DataFrame, keys: list[str], order: str, title: str, continued: Column) -> Column:
     """A continued row's title is the last one before it of a row that is not continued."""
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -61,33 +86,35 @@ def subtree_ends(rows: DataFrame, key: str, order: str, level: str) -> DataFrame
 
 
 def section_paths(rows: DataFrame, key: str, order: str, level: str, title: str) -> DataFrame:
-    """path: the titles of the headings that enclose each row; a row of null level is text under the last."""
+    """path: the titles of the headings that enclose each row; a row of null level is text under the last. What is held
+    of a key are the headings that are open."""
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, stack, paths = pdf.sort_values(order), [], []
+    def step(pdf: pd.DataFrame, stack: list) -> tuple[pd.DataFrame, list]:
+        paths = []
         for depth, name in zip(pdf[level], pdf[title]):
             if pd.notna(depth):
                 stack = [s for s in stack if s[0] < depth] + [(depth, name)]
             paths.append(" / ".join(s[1] for s in stack))
-        return pdf.assign(path=paths)
+        return pdf.assign(path=paths), stack
 
-    return rows.groupBy(key).applyInPandas(walk, rows.withColumn("path", F.lit("")).schema)
+    return folded(rows, key, [order], list, step, rows.withColumn("path", F.lit("")).schema)
 
 
 def packed(rows: DataFrame, key: str, order: str, size: str, most_size: int, most_rows: int = 1 << 30) -> DataFrame:
     """part: rows of a key in order, a new part where size or number would pass its limit. What a part holds
     decides where the next begins, so each document is walked in order."""
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, part, held, n, parts = pdf.sort_values(order), 0, 0, 0, []
+    def step(pdf: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
+        part, held, n = state
+        parts = []
         for s in pdf[size]:
             if n and (held + s > most_size or n >= most_rows):
                 part, held, n = part + 1, 0, 0
             held, n = held + s, n + 1
             parts.append(part)
-        return pdf.assign(part=parts)
+        return pdf.assign(part=parts), (part, held, n)
 
-    return rows.groupBy(key).applyInPandas(walk, rows.withColumn("part", F.lit(0).cast("long")).schema)
+    return folded(rows, key, [order], lambda: (0, 0, 0), step, rows.withColumn("part", F.lit(0).cast("long")).schema)
 
 
 def budget_prefix(rows: DataFrame, key: str, order: str, size: str, limit: int, least: int) -> DataFrame:

@@ -47,8 +47,8 @@ def claim_decision(spark, sf_dir) -> DataFrame:
 @query("SELECT o_custkey, bool_and(o_orderstatus <> 'P') AS closed, count(*) AS cited FROM orders GROUP BY o_custkey")
 def evidence_closure(spark, sf_dir) -> DataFrame:
     """All that is cited has been read."""
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderkey").alias("cited"), F.collect_set(F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey"))).alias("read"))
-    return o.select("o_custkey", records.closed(F.col("cited"), F.col("read")).alias("closed"), F.size("cited").cast("long").alias("cited"))
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey")
+    return o.agg(records.closed(F.lit(True), F.col("o_orderstatus") != "P").alias("closed"), F.count_distinct("o_orderkey").alias("cited"))
 
 
 @query("SELECT l_orderkey, CASE WHEN count(*) = 1 THEN min(l_linenumber) END AS l_linenumber, count(*) = 1 AS matched FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_returnflag = 'N' GROUP BY l_orderkey")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.sequences import folded
+
 _DECISION = "key string, event_id long, allowed boolean, used long"
 
 
@@ -25,12 +27,14 @@ def _decide(rows: pd.DataFrame, start, used: int, limit: int, window: pd.Timedel
 
 
 def rate_limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """key, event_id, allowed, used for ``events`` (key, event_id, ts), by fixed windows of each key."""
+    """key, event_id, allowed, used for ``events`` (key, event_id, ts), by fixed windows of each key: a fold whose
+    state is a window's start and what is used of it, however many events a key has."""
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _decide(pdf.sort_values(["ts", "event_id"]), None, 0, limit, pd.Timedelta(seconds=seconds))[0]
+    def step(pdf: pd.DataFrame, held: tuple) -> tuple[pd.DataFrame, tuple]:
+        out, start, used = _decide(pdf, *held, limit, pd.Timedelta(seconds=seconds))
+        return out, (start, used)
 
-    return events.groupBy("key").applyInPandas(walk, _DECISION)
+    return folded(events, "key", ["ts", "event_id"], lambda: (None, 0), step, _DECISION)
 
 
 def rate_limited_stream(events: DataFrame, limit: int, seconds: int) -> DataFrame:
