@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import readonly_sql
+from ..plans import chunking, readonly_sql
 from ..sources import archives, readers, reports
 from ..sources.scratch import scratch_path
 from .registry import query, table
@@ -87,3 +87,17 @@ def chart_points(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     bars = readonly_sql.chart_points(o.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")))
     return bars.unionByName(readonly_sql.chart_points(o.agg(F.count(F.lit(1)).alias("n"))))
+
+
+@query()
+def chunk_pipeline(spark, sf_dir) -> DataFrame:
+    """Sections, tables and images of documents; lines are blocks from the top of a page down, twelve a page."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    k = F.col("i") % 6
+    kind = F.when(k == 0, "title").when(k == 1, "table_caption").when(k == 2, "table").when(k == 3, "image").when(k == 4, "image_caption").otherwise("text")
+    said = F.when(k == 0, F.concat(F.lit("1."), (F.col("i") % 4).cast("string"), F.lit(" "), F.col("line"))).when(k == 1, F.concat(F.lit("表"), F.col("i").cast("string"), F.lit(" "), F.col("line"))).when(k == 4, F.concat(F.lit("图 "), F.col("i").cast("string"))).otherwise(F.col("line"))
+    y = F.col("i") % 12 / 12.0
+    block = F.struct(kind.alias("type"), said.alias("content"), F.array(F.lit(0.1), y, F.when(k == 1, 0.4).otherwise(0.9), y + 0.07).alias("bbox"))
+    pages = d.groupBy("file", F.floor(F.col("i") / 12).cast("int").alias("page")).agg(F.sort_array(F.collect_list(F.struct("i", block.alias("b")))).alias("bs"))  # twelve blocks
+    found = chunking.chunks(pages.select("file", "page", F.transform("bs", lambda x: x["b"]).alias("blocks")), {"sections": {"max_chars": 2000}})
+    return found.select("file", "kind", "page", "place", "part", "title", "sha")
