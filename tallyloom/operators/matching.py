@@ -2,26 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space between words of texts and patterns.
 _SPACE = r"[\x20\x09-\x0D]+"
-#: Short patterns carried to the tasks at once; more are matched in several passes.
-BLOCK = 2_000
+#: Short patterns of a block, bytes of text of one, and patterns that are looked for one by one.
+BLOCK, TEXT_BYTES, FEW = 20_000, 16 << 20, 64
 
 
-def _scan(patterns: list[tuple[int, str]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(p, i) for i, text in enumerate(batch.column("text").to_pylist()) if text for p, t in patterns if t in text]
-            at = pa.array([i for _, i in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), batch.column("id").take(at)], names=["pattern_id", "id"])
-
-    return run
+def _scan(patterns: pa.Table, rows: pa.Table) -> pa.Table:
+    """The texts of a block that hold patterns of another: by an automaton over all of them."""
+    same: dict[str, list[int]] = {}
+    for i, t in zip(patterns.column("pattern_id").to_pylist(), patterns.column("pattern").to_pylist()):
+        same.setdefault(t, []).append(i)
+    automaton = None
+    if len(same) > FEW:
+        automaton = ahocorasick.Automaton()
+        for t in same:
+            automaton.add_word(t, t)
+        automaton.make_automaton()
+    found, at = [], []
+    for row, text in enumerate(rows.column("text").to_pylist() if same else ()):
+        held = {t for t in same if t in text} if automaton is None else {t for _, t in automaton.iter(text)}
+        for t in held:
+            found += same[t]
+            at += [row] * len(same[t])
+    return pa.table({"pattern_id": pa.array(found, pa.int64()), "id": rows.column("id").take(pa.array(at, pa.int64()))})
 
 
 def containing(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -30,8 +41,8 @@ def containing(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id", tex
 
     A word within a pattern, with white space on both sides, is a word of every text that contains it. Each
     pattern of three words or more is keyed by its rarest such word; texts meet the patterns of their words,
-    and contains() decides. Patterns of fewer words have no such word: they are scanned for in blocks, each
-    a pass over ``docs``.
+    and contains() decides. Patterns of fewer words have no such word: they and the texts are dealt into blocks,
+    and each pair of blocks is a task, so texts are sent once for each BLOCK of such patterns.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # Narrow, and merged: what exploding makes of a table is many times what the planner takes it for.
@@ -44,14 +55,18 @@ def containing(docs: DataFrame, patterns: DataFrame, id_col: str = "doc_id", tex
     keys = asked.join(often, "word", "left").groupBy("pattern_id", "pattern").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
     pairs = words.hint("merge").join(keys, "word").select("pattern_id", "pattern", F.col("id").alias("d")).distinct()
     found = pairs.hint("merge").join(rows, F.col("d").eqNullSafe(F.col("id"))).filter(F.contains("text", F.col("pattern"))).select("pattern_id", "id")
-    block, short = [], inner.filter(F.size("inner") == 0).select("pattern_id", "pattern")
-    for r in [*short.toLocalIterator(), None]:
-        if block and (r is None or len(block) == BLOCK):
-            found = found.unionAll(rows.mapInArrow(_scan(block), "pattern_id long, id long"))
-            block = []
-        if r is not None:
-            block.append((r["pattern_id"], r["pattern"]))
-    return found
+    short = inner.filter(F.size("inner") == 0).select(F.col("pattern_id").cast("long").alias("pattern_id"), "pattern")
+    n = short.count()
+    if not n:
+        return found
+    texts = rows.filter("text <> ''")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    many, parts = math.ceil(n / BLOCK), max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TEXT_BYTES))
+    every = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
+    deal = lambda b, *c: F.pmod(F.xxhash64(*c), F.lit(b)).cast("int")
+    left = short.withColumn("pb", deal(many, "pattern_id", "pattern")).withColumn("tb", every(parts))
+    right = texts.select(F.col("id").alias("id"), F.col("text").alias("text")).withColumn("tb", deal(parts, "id", "text")).withColumn("pb", every(many))
+    return found.unionAll(left.groupBy("pb", "tb").cogroup(right.groupBy("pb", "tb")).applyInArrow(_scan, "pattern_id long, id long"))
 
 
 def any_term(text: Column, terms: list[str]) -> Column:

@@ -278,6 +278,21 @@ def test_patterns_of_words_and_of_none(spark):
     assert got == [(10, 1), (10, 1), (11, 1), (11, 1), (11, 2), (14, 1), (14, 1), (16, 1), (16, 1), (16, 2)]
 
 
+def test_many_short_patterns(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abé \n") for _ in range(rng.randrange(60))) for _ in range(50)] + [None, "aé"]
+    short = ["".join(rng.choice("abé ") for _ in range(rng.randrange(1, 4))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    patterns = spark.createDataFrame([(i, t) for i, t in enumerate(short)], "pattern_id long, text string")
+    want = sorted((p, d) for p, t in enumerate(short) for d, x in enumerate(texts) if x and t in x)
+    assert sorted(map(tuple, matching.containing(docs, patterns).collect())) == want
+    monkeypatch.setattr(matching, "BLOCK", 40)
+    monkeypatch.setattr(matching, "TEXT_BYTES", 300)
+    assert sorted(map(tuple, matching.containing(docs, patterns).collect())) == want
+
+
 def test_checks(spark):
     q = "变压器空载损耗限值 GB/T 6451-2023 24.0 kV"
     issue = lambda w: value(spark, checks.rewrite_issue(F.lit(q), F.col("w")), w=w)
