@@ -21,6 +21,7 @@ ROLES = {
 }
 #: Signs of a constraint between its field and value (fixed values).
 SIGNS = "<=|>=|≤|≥|<|>|=|等于|不大于|不小于|不超过|至少"
+#: A field, a sign and a number; an entity of a scope; totals and counts for each (fixed patterns).
 _CONSTRAINT = rf"(?i)([A-Za-z_][A-Za-z0-9_]*|[{_HAN}]{{2,20}})\s*({SIGNS})\s*({_NUMBER})\s*([A-Za-zμ%]+)?"
 _ENTITY = rf"[{_HAN}A-Za-z][{_HAN}A-Za-z_-]{{0,15}}"
 _SCOPE = rf"(?:总(?:计|共|数|数量|次数)?|共)\s*\d+(?:\.\d+)?|(?:每|各)\s*{_ENTITY}(?:\s*\d+(?:\.\d+)?)?"
@@ -81,6 +82,7 @@ def _claim(prop: Column, value: Column, whole: Column, operator: Column) -> Colu
     )
 
 
+#: What is before and after a colon, or a word of prescription (fixed patterns).
 _AFTER_COLON, _AFTER_WORD = r"(?s)^([^:：]*)[:：]\s*(.+)$", rf"^(.{{1,120}}?)(?:{PRESCRIBED})\s*(.+)$"
 
 
