@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .shared import group_count, grouped, split_ranges, spread_join, text_bytes, written
 
 GRAM = 24
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 _U = np.uint64
 _AT = np.dtype([("fp", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("at", "<i8"), ("lo", "<i8"), ("hi", "<i8")])
 #: Surroundings of a gram that one task holds, about 200 bytes each.
@@ -131,22 +131,24 @@ def _heads(r: np.ndarray) -> np.ndarray:
 def _list(depth: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch)
-            doc, hash_ = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy(), batch.column("text_hash").to_numpy()
-            for at in range(0, len(texts), 4000):
-                of, *cols = anchors(texts[at : at + 4000], depth)
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                doc, hash_ = part.column("doc_id").fill_null(-(1 << 63)).to_numpy(), part.column("text_hash").to_numpy()
+                of, *cols = anchors(text_bytes(part), depth)
                 rows = np.empty(len(of), _AT)
                 for f, c in zip(("fp", "ctx", "at", "lo", "hi"), cols):
                     rows[f] = c
-                rows["doc"], rows["text"] = doc[at:][of], hash_[at:][of]
+                rows["doc"], rows["text"] = doc[of], hash_[of]
                 # Of equal surroundings here only the first goes on as an anchor, to the part of its surroundings.
-                # For the rest all is known: at = -1 says so, and their parts go by document and place, so that a
-                # passage of many documents is no hot key.
+                # For the rest all is known: at = -1 says so. They go by document and stretch of it, so that a passage
+                # of many documents is no hot key, and in that order, so that like numbers are together.
                 rows = _once(rows, "fp", "ctx")
                 later = ~_heads(rows)
-                rows["at"][later] = -1
-                by = np.where(later, rows["doc"].view(_U) ^ _mix(rows["text"].view(_U) ^ _mix(rows["lo"].view(_U))), rows["fp"] ^ _mix(rows["ctx"]))
-                yield _deal(parts, (_mix(by) >> _U(33)).astype(np.int64) % parts, rows)
+                known, rows = rows[later], rows[~later]
+                known = known[np.lexsort((known["lo"], known["text"], known["doc"]))]
+                known["at"], known["fp"], known["ctx"] = -1, 0, 0
+                by = np.concatenate([rows["fp"] ^ _mix(rows["ctx"]), known["doc"].view(_U) ^ _mix(known["text"].view(_U) ^ _mix(known["lo"].view(_U) >> _U(20)))])
+                yield _deal(parts, (_mix(by) >> _U(33)).astype(np.int64) % parts, np.concatenate([rows, known]))
 
     return run
 
@@ -174,32 +176,36 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """For each document its id (the least for null), text hash, text and the columns fp, at, lo, hi asked of it;
     a repeated row of a document once, as the join brings them one after another."""
     seen = None
-    for batch in batches:
-        texts, lists = text_bytes(batch), batch.column("asked")
-        ends, flat = lists.offsets.to_numpy(), lists.values
-        cols = [flat.field(f).to_numpy() for f in ("fp", "at", "lo", "hi")]
-        doc, hash_ = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy(), batch.column("text_hash").to_numpy()
-        for i, text in enumerate(texts):
-            if seen != (doc[i], hash_[i]):
-                seen = doc[i], hash_[i]
-                yield doc[i], hash_[i], text, *(c[ends[i] : ends[i + 1]] for c in cols)
+    for whole in batches:
+        for start in range(0, whole.num_rows, 1000):
+            batch = whole.slice(start, 1000)
+            texts, lists = text_bytes(batch), batch.column("asked")
+            ends, flat = lists.offsets.to_numpy(), lists.values
+            cols = [flat.field(f).to_numpy() for f in ("fp", "at", "lo", "hi")]
+            doc, hash_ = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy(), batch.column("text_hash").to_numpy()
+            for i, text in enumerate(texts):
+                if seen != (doc[i], hash_[i]):
+                    seen = doc[i], hash_[i]
+                    yield doc[i], hash_[i], text, *(c[ends[i] : ends[i + 1]] for c in cols)
 
 
 def _surroundings(depth: int, parts: int):
     dtype, side = _side_dtype(depth), depth - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, hash_, text, fp, at, lo, hi in _asked(batches):
-            rows = np.zeros(len(fp), dtype)
-            rows["fp"], rows["at"], rows["lo"], rows["hi"] = fp.view(np.uint64), at, lo, hi
-            rows["doc"], rows["text"] = doc, hash_
+        near = np.arange(side)
+        for doc, hash_, text, *asked in _asked(batches):
             t = np.concatenate([np.zeros(side, np.uint8), np.frombuffer(text, np.uint8), np.zeros(side, np.uint8)])
-            near = np.arange(side)
-            p = at[:, None] + side
-            # The left side is read away from the anchor. What no string of the anchor holds is zero.
-            rows["left"] = np.where(near < (at - lo)[:, None], t[p - 1 - near], 0)
-            rows["right"] = np.where(near < (hi + depth - GRAM - at)[:, None], t[p + GRAM + near], 0)
-            yield _deal(parts, ((rows["fp"] >> _U(17)) % _U(parts)).astype(np.int64), rows)
+            for some in range(0, len(asked[0]), 8192):  # a long text has very many
+                fp, at, lo, hi = (x[some : some + 8192] for x in asked)
+                rows = np.zeros(len(fp), dtype)
+                rows["fp"], rows["at"], rows["lo"], rows["hi"] = fp.view(np.uint64), at, lo, hi
+                rows["doc"], rows["text"] = doc, hash_
+                p = at[:, None] + side
+                # The left side is read away from the anchor. What no string of the anchor holds is zero.
+                rows["left"] = np.where(near < (at - lo)[:, None], t[p - 1 - near], 0)
+                rows["right"] = np.where(near < (hi + depth - GRAM - at)[:, None], t[p + GRAM + near], 0)
+                yield _deal(parts, ((rows["fp"] >> _U(17)) % _U(parts)).astype(np.int64), rows)
 
     return run
 
@@ -322,23 +328,29 @@ def _merge(depth: int):
     return run
 
 
+def _stretches(lo: np.ndarray, hi: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of each stretch that strings with starts from lo to hi cover together."""
+    order = np.argsort(lo, kind="stable")
+    first, end = lo[order], np.maximum.accumulate(hi[order] + depth)
+    new = np.concatenate([[True], first[1:] > end[:-1]])[: len(first)]
+    return first[new], np.append(end[:-1][new[1:]], end[-1:])
+
+
 def _remove(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [[], [], [], []]
-            for text, found in zip(text_bytes(batch), batch.column("found")):
-                kept, gone, spans = text, 0, 0
-                if found.is_valid and len(found.values):
-                    lo, hi = (found.values.field(f).to_numpy() for f in ("lo", "hi"))
-                    delta = np.zeros(len(text) + 1, np.int64)
-                    np.add.at(delta, lo, 1)
-                    np.add.at(delta, hi + depth, -1)
-                    cover = np.cumsum(delta[:-1]) > 0
-                    gone, spans = int(cover.sum()), int(np.count_nonzero(np.diff(cover.astype(np.int8), prepend=0) == 1))
-                    kept = np.frombuffer(text, np.uint8)[~cover].tobytes()
-                for c, v in zip(cols, (len(text), gone, spans, kept)):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):  # so that texts of few rows are held again
+                batch = whole.slice(at, 1000)
+                cols = [[], [], [], []]
+                for text, found in zip(text_bytes(batch), batch.column("found")):
+                    kept, gone, spans = text, 0, 0
+                    if found.is_valid and len(found.values):
+                        first, end = _stretches(*(found.values.field(f).to_numpy() for f in ("lo", "hi")), depth)
+                        gone, spans = int((end - first).sum()), len(first)
+                        kept = b"".join([text[a:b] for a, b in zip([0, *end.tolist()], [*first.tolist(), len(text)])])
+                    for c, v in zip(cols, (len(text), gone, spans, kept)):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
@@ -398,7 +410,8 @@ def remove_repeats(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", te
 
     A null text is empty. A null id is less than all others; rows of one id with different texts are
     documents in a fixed order, and rows of one id and text are one document, whose result each of them
-    gets. An empty table gives an empty result.
+    gets. Texts of any length are cut only for work, not for results. Columns beside id and text are left out, whatever
+    their names. An empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     found = repeat_ranges(base, depth).groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.collect_list(F.struct("lo", "hi")).alias("found"))

@@ -69,3 +69,17 @@ def test_discarded_tables_are_gone(spark):
     import os
 
     assert not os.path.exists(table._scratch.removeprefix("file://"))
+
+
+def test_stretches():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n, depth = int(rng.integers(1, 12)), int(rng.integers(1, 9))
+        lo = rng.integers(0, 60, n)
+        hi = lo + rng.integers(0, 5, n)
+        cover = np.zeros(100, bool)
+        for a, b in zip(lo, hi):
+            cover[a : b + depth] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], cover.astype(int), [0]])))
+        first, end = repeats._stretches(lo, hi, depth)
+        assert first.tolist() == edges[::2].tolist() and end.tolist() == edges[1::2].tolist()
