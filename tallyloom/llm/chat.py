@@ -109,6 +109,7 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
 
 def preference_rows(turns: DataFrame) -> DataFrame:
     """Pairs of a table of turns, formatted: conv_id, other_id and what format_preferences() adds. Columns of
-    ``turns`` beside conv_id, turn, role and text are left out, whatever their names. An empty table gives an
-    empty result."""
+    ``turns`` beside conv_id, turn, role and text are left out, whatever their names. A null role is the user's, a
+    null text is empty, turns of any length stay whole, repeated turns are one, equal places go by role and text, and
+    rows without a conversation are no part of any. An empty table gives an empty result."""
     return format_preferences(pair_up(conversations(turns)))

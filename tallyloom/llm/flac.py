@@ -417,5 +417,6 @@ def media_digest(media: DataFrame) -> DataFrame:
 def media_round_trip(docs: DataFrame) -> DataFrame:
     """Encodes, stores the media column as a table, reads it back, decodes its PCM blocks and digests them. A null
     or empty text is 192 spaces, a text of any length is one stream, equal texts get equal values; rows with
-    null or repeated ids stay, columns beside id and text are left out, an empty table gives an empty result."""
+    null or repeated ids stay, columns beside id and text are left out, whatever their names, an empty table gives
+    an empty result. Nothing is ordered, so there are no ties."""
     return media_digest(written(encode_media(docs), "flac", compression="zstd"))

@@ -100,8 +100,9 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), max_repeats: int = 3, id_col
     only adds documents. A source misses its target by less than half of one document.
 
     Null texts and texts of white space have size 0 and nothing taken. Null sources are one source. Null
-    ids take part; rows with the same id and text have the same hash and are taken together. An empty
-    table gives an empty result. Other columns are left out, whatever their names.
+    ids take part; rows with the same id and text have the same hash and are taken together. A text of any
+    length is one document, taken whole. An empty table gives an empty result. Other columns are left out, whatever
+    their names.
     """
     sizes = written(sized(docs, id_col, text_col, source_col), "mix-sizes")
     plan = mix_plan(sizes, weights, max_repeats)
@@ -109,7 +110,8 @@ def mix_sources(docs: DataFrame, weights=(1, 2, 3), max_repeats: int = 3, id_col
 
 
 def mixed_documents(docs: DataFrame, weights=(1, 2, 3), max_repeats: int = 3) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, source and any others) as often as the mix takes them."""
+    """The rows of ``docs`` (doc_id, text, source and any others, whatever their names) as often as the mix takes
+    them: as mix_sources() has it."""
     sizes = sized(docs)
     plan = mix_plan(written(sizes, "mix-sizes"), weights, max_repeats)
     text = F.coalesce(F.col("text"), F.lit(""))

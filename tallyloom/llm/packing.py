@@ -162,7 +162,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_part: int = 20_00
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """A row for each piece of each row of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id,
     offset; then the certificates: part_sequences and part_bound of its partition, n_sequences and lower_bound
-    of the whole. Null ids and repeated rows are packed like others; an empty table gives an empty result;
-    other columns are left out."""
+    of the whole. Null texts are their end alone, null ids and repeated rows are packed like others, pieces of one
+    length go in a fixed order by a hash, and a text of any length is cut into pieces of its own; an empty table gives
+    an empty result; other columns are left out, whatever their names."""
     out, total, bound = pack(token_pieces(docs, tokenizer_path, end_id, capacity), capacity)
     return out.withColumns({"n_sequences": F.lit(total).cast("long"), "lower_bound": F.lit(bound).cast("long")})

@@ -296,8 +296,13 @@ def test_packing_exchanges_between_partitions(spark):
 
 
 def test_flac(spark):
-    data = cases.rows()
-    got = {}
+    data = [*cases.rows(), (None, "null id", *cases.rows()[0][2:]), (None, None, *cases.rows()[0][2:]), (7, "another text of id 7", *cases.rows()[0][2:])]
+    rows = flac.media_round_trip(spark.createDataFrame(data, cases.SCHEMA).repartition(3)).collect()
+    spaced = lambda t: (raw := (t or "").encode()) + b" " * ((-len(raw)) % 192 or (0 if raw else 192))
+    assert Counter((r.doc_id, r.payload_sha256) for r in rows) == Counter((r[0], hashlib.sha256(spaced(r[1])).hexdigest()) for r in data)
+    same = {}
+    assert all(same.setdefault(r.payload_sha256, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature) for r in rows)
+    got, data = {}, cases.rows()
     for r in flac.media_round_trip(cases.frame(spark)).collect():
         got.setdefault(r.doc_id, r)
     for r in data:
