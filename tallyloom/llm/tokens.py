@@ -1,8 +1,8 @@
-"""Whole texts to token ids with the tokenizers library, each distinct word encoded once per worker.
+"""Whole texts to token ids with the tokenizers library, each distinct pre-token encoded once per worker.
 
-In both vocabularies white space always ends a pre-token, so a text's ids are its words' ids in order.
-Words are looked up in a bounded table; those not yet in it go to the library. Texts that contain the
-start of a special token or unusual white space are encoded by the library whole.
+A text's ids are its pre-tokens' ids in order. Texts of ASCII and Latin letters are cut into pre-tokens here, as the
+vocabularies' patterns cut them; pre-tokens are looked up in a bounded table, and those not yet in it go to the library's
+model. All other texts, and those that contain the start of a special token, are encoded by the library whole.
 """
 
 from __future__ import annotations
@@ -10,20 +10,19 @@ from __future__ import annotations
 import gc
 import re
 import zlib
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Characters of Unicode's White_Space property, as the vocabularies' patterns see \\s (fixed values).
-WHITE = "\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
-_BYTE_WORD = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: Words of these characters alone are cut into pre-tokens here; the library cuts all others.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile("[ -~À-ÖØ-öø-ÿ]+")
-#: Pre-tokens: contractions, letters, digits or neither; the word vocabulary takes digits one by one.
-_BYTE_PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ 0-9{_LETTERS}]+")
-_LOWER_PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+#: Letters and white space of the texts that are cut here.
+_LETTERS, _WHITE = "A-Za-zÀ-ÖØ-öø-ÿ", r" \t\n\r"
+_PLAIN = re.compile(f"[ -~\\t\\n\\r{_LETTERS}]*")
+#: Pre-tokens: contractions, letters, digits or neither, each after a space that it takes along; the last space before
+#: a word goes with it. The word vocabulary drops white space and takes digits one by one (fixed patterns).
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+_BYTE_PART = re.compile(f"{_SHORT}| ?[{_LETTERS}]+| ?[0-9]+| ?[^{_WHITE}0-9{_LETTERS}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+_LOWER_PART = re.compile(f"{_SHORT}|[{_LETTERS}]+|[0-9]|[^{_WHITE}0-9{_LETTERS}]+")
 #: Byte-level vocabularies write a byte as itself where it is printable, the others from 256 on.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _BYTE_CHAR = {b: b if b in _SHOWN else 256 + b - sum(x < b for x in _SHOWN) for b in range(256)}
@@ -31,10 +30,23 @@ _BYTE_CHAR = {b: b if b in _SHOWN else 256 + b - sum(x < b for x in _SHOWN) for
 _OPEN: dict[str, "WordEncoder"] = {}
 
 
+class _Places(dict):
+    """Numbers pre-tokens as they come; those that are new since the last look are in ``new``."""
+
+    def __init__(self, names: list[str]):
+        super().__init__(zip(names, range(len(names))))
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        n = self[part] = len(self)
+        self.new.append(part)
+        return n
+
+
 class WordEncoder:
     """``encode(texts)``: all ids in one array, and the number of ids of each text."""
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.lower = self.tokenizer.normalizer is not None  # the word vocabulary's; the other keeps spaces
         self.model = self.tokenizer.model
@@ -42,9 +54,8 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.starts, self.sizes, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.int32)
+        self.place = _Places([])
+        self.starts, self.sizes, self.ids = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(8192, np.int32)
         self.uses = np.zeros(1024, np.int64)
         self.words = self.used = 0
 
@@ -53,43 +64,31 @@ class WordEncoder:
         names, uses, starts, sizes, ids = list(self.place), self.uses[: self.words], self.starts, self.sizes, self.ids
         keep = np.argsort(-uses, kind="stable")[: self.max_words // 2]
         keep = keep[uses[keep] > 1]
+        kept = [(names[i], ids[starts[i] : starts[i] + sizes[i]].tolist()) for i in keep.tolist()]
         self.clear()
-        self._store([names[i] for i in keep.tolist()], [None if sizes[i] < 0 else ids[starts[i] : starts[i] + sizes[i]].tolist() for i in keep.tolist()])
-
-    def _part(self, part: str) -> tuple[int, ...]:
-        got = self.parts.get(part)
-        if got is None:
-            if len(self.parts) > self.max_words // 3:
-                self.parts.clear()
-            shown = part.replace(" ", "Ġ") if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHAR)
-            got = self.parts[part] = tuple([t.id for t in self.model.tokenize(shown)])
-        return got
-
-    def _word(self, word: str) -> list[int]:
-        if _PLAIN.fullmatch(word) and not word.isspace():
-            out: list[int] = []
-            for part in (_LOWER_PART.findall(word.lower()) if self.lower else _BYTE_PART.findall(word)):
-                out += self._part(part)
-            return out
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def _learn(self, words: list[str]) -> None:
-        self._store(words, [self._ids(w) for w in words])
-
-    def _store(self, words: list[str], got: list) -> None:
-        sizes = np.fromiter((-1 if x is None else len(x) for x in got), np.int64, len(got))
-        held = np.maximum(sizes, 0)
-        total = int(held.sum())
-        while self.words + len(words) > len(self.starts):
+        self.place = _Places([name for name, _ in kept])
+        self._store([x for _, x in kept])
+
+    def _learn(self, parts: list[str]) -> None:
+        tokenize, got = self.model.tokenize, []
+        for part in parts:
+            shown = part.replace(" ", "Ġ") if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_BYTE_CHAR)
+            got.append([t.id for t in tokenize(shown)])
+        self._store(got)
+
+    def _store(self, got: list[list[int]]) -> None:
+        """The ids of the pre-tokens that were numbered last."""
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        total = int(sizes.sum())
+        while self.words + len(got) > len(self.starts):
             self.starts, self.sizes, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.uses))
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids])
-        at = slice(self.words, self.words + len(words))
+        at = slice(self.words, self.words + len(got))
         self.sizes[at] = sizes
-        self.starts[at] = self.used + np.cumsum(held) - held
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(() if x is None else x for x in got), np.int32, total)
-        self.place.update(zip(words, range(self.words, self.words + len(words))))
-        self.words += len(words)
+        self.starts[at] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.int32, total)
+        self.words += len(got)
         self.used += total
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,53 +107,30 @@ class WordEncoder:
             gc.enable()
         return np.concatenate(values) if values else np.zeros(0, np.int32), counts
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """Words in a form that says what is before them; None where only the full pattern will do."""
-        if self.lower:
-            return None if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        if "\x00" in text:
-            return None
-        # A piece follows one space, or holds the line feed it follows; the first follows nothing.
-        return ("\x00" + text.replace("\n", " \n")).split(" ")
-
-    def _ids(self, piece: str) -> list[int] | tuple[int, ...] | None:
-        """None: white space other than single spaces and line feeds, which the pieces don't tell apart."""
-        if piece.isascii() and piece.isalpha():  # one pre-token
-            return self._part(piece.lower() if self.lower else " " + piece)
-        if self.lower:
-            return self._word(piece)
-        body = piece.lstrip("\x00\n") if piece[:1] in ("\x00", "\n") else piece
-        if len(piece) - len(body) > 1 or not body or body[0] in WHITE or body[-1] in WHITE:
+    def _parts(self, text: str) -> list[str] | None:
+        """Pre-tokens; None where only the library's own patterns will do."""
+        if "<|" in text or not _PLAIN.fullmatch(text):
             return None
-        chunk = piece[1:] if piece[0] == "\x00" else piece if piece[0] == "\n" else " " + piece
-        out: list[int] = []
-        for word in _BYTE_WORD.findall(chunk):
-            out += self._word(word)
-        return out
+        return _LOWER_PART.findall(text.lower()) if self.lower else _BYTE_PART.findall(text)
 
     def _encode_some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.words > self.max_words:
             self._forget()
-        words = [None if "<|" in t else self._pieces(t) for t in texts]
+        words = [self._parts(t) for t in texts]
         sizes = np.fromiter((len(w or ()) for w in words), np.int64, len(words))
-        flat = list(chain.from_iterable(w or () for w in words))
-        at = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            new = [flat[i] for i in missing.tolist()]
-            self._learn(list(dict.fromkeys(new)))
-            at[missing] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(w or () for w in words)), np.int32, int(sizes.sum()))
+        if self.place.new:
+            self._learn(self.place.new)
+            self.place.new = []
         self.uses[: self.words] += np.bincount(at, minlength=self.words)
-        of = np.repeat(np.arange(len(texts)), sizes)
         n = self.sizes[at]
-        odd = {i for i, w in enumerate(words) if w is None} | set(of[n < 0].tolist())
-        if odd:
-            keep = ~np.isin(of, list(odd))
-            at, of, n = at[keep], of[keep], n[keep]
-        ends = np.cumsum(n)
-        out = self.ids[np.repeat(self.starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        counts = np.bincount(of, weights=n, minlength=len(texts)).astype(np.int64)
-        for i in sorted(odd, reverse=True):
+        odd = [i for i, w in enumerate(words) if w is None]
+        ends = np.cumsum(n, dtype=np.int32)  # a few million characters
+        total = int(ends[-1]) if len(ends) else 0
+        out = self.ids[np.repeat(self.starts[at] - (ends - n), n) + np.arange(total, dtype=np.int32)]
+        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        counts = np.diff(upto).astype(np.int64)
+        for i in reversed(odd):
             ids = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
             p = int(counts[:i].sum())
             out = np.concatenate([out[:p], np.array(ids, np.int32), out[p:]])
