@@ -31,16 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import BUNDLES, group_count, grouped, spread_join, text_bytes, written
+from .shared import BUNDLES, group_count, grouped, in_slices, spread_join, text_bytes, written
 
 _U = np.uint64
 PLAIN, SUBSETS, DELETIONS = 0, 1, 2
 #: Shingles of sets compared in one task, and words whose hashes a worker remembers; both bound memory.
-FAMILY_SHINGLES, _KNOWN_WORDS = 1_500_000, 150_000
+FAMILY_SHINGLES, _KNOWN_WORDS = 750_000, 100_000
+#: Rows whose sets a task holds at once.
+ROWS = 1000
 #: Sets with one signature that are written as pairs; more are compared in a task, in blocks of BLOCK_SETS.
 PAIR_SETS, BLOCK_SETS = 6, 2048
 #: Classes that a task remembers to have indexed.
-_KNOWN_CLASSES = 200_000
+_KNOWN_CLASSES = 100_000
 #: A row of a signature: with its others; so too, and its task has many more; one of those, on its own.
 PLAIN_ROW, MANY_HERE, APART = 0, 1, 2
 
@@ -187,7 +189,7 @@ def _keys(width: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in in_slices(batches, ROWS):
                 sets = shingle_sets(text_bytes(batch), width)
                 n = np.fromiter(map(len, sets), np.int64, len(sets))
                 key = [set_key(s) for s in sets]
@@ -216,23 +218,23 @@ def _index(width: int, percent: int, plan: dict, parts: int):
         done: set[int] = set()
         many = np.zeros(0, np.uint64)
         with np.errstate(over="ignore"):
-            for batch in batches:
-                texts = text_bytes(batch)
-                for at in range(0, len(texts), 2000):
-                    own = {}
-                    for s in shingle_sets(texts[at : at + 2000], width):
-                        if len(s) and (key := set_key(s)) not in done:
-                            own.setdefault(key, s)
-                    done = done | own.keys() if len(done) < _KNOWN_CLASSES else set(own)
-                    sig, of = signatures(list(own.values()), plan, percent)
-                    cls = np.array(list(own), np.int64)[of] if own else np.zeros(0, np.int64)
-                    kind, many = _marked(sig, cls, many)
-                    part = (np.where(kind == APART, mix(sig ^ mix(cls.view(np.uint64))), sig) >> _U(40)) % _U(parts)
-                    order = np.argsort(part, kind="stable")
-                    sig, cls, kind, part = sig[order], cls[order], kind[order], part[order]
-                    cuts = np.flatnonzero(np.diff(part)) + 1 if len(part) else np.zeros(0, int)
-                    blobs = [b"".join(x.tobytes() for x in cols) for cols in zip(*(np.split(x, cuts) for x in (sig, cls, kind)))] if len(sig) else []
-                    yield pa.RecordBatch.from_arrays([pa.array(part[np.concatenate([[0], cuts])].astype(np.int32) if len(sig) else [], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+            for batch in in_slices(batches, ROWS):
+                own = {}
+                for s in shingle_sets(text_bytes(batch), width):
+                    if len(s) and (key := set_key(s)) not in done:
+                        own.setdefault(key, s)
+                if len(done) >= _KNOWN_CLASSES:
+                    done.clear()
+                done.update(own)
+                sig, of = signatures(list(own.values()), plan, percent)
+                cls = np.array(list(own), np.int64)[of] if own else np.zeros(0, np.int64)
+                kind, many = _marked(sig, cls, many)
+                part = (np.where(kind == APART, mix(sig ^ mix(cls.view(np.uint64))), sig) >> _U(40)) % _U(parts)
+                order = np.argsort(part, kind="stable")
+                sig, cls, kind, part = sig[order], cls[order], kind[order], part[order]
+                cuts = np.flatnonzero(np.diff(part)) + 1 if len(part) else np.zeros(0, int)
+                blobs = [b"".join(x.tobytes() for x in cols) for cols in zip(*(np.split(x, cuts) for x in (sig, cls, kind)))] if len(sig) else []
+                yield pa.RecordBatch.from_arrays([pa.array(part[np.concatenate([[0], cuts])].astype(np.int32) if len(sig) else [], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
         _words.clear()
 
     return run
@@ -409,7 +411,8 @@ def jaccard_members(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     Null, empty and blank texts have no shingles and link with nothing, not even with each other. Rows with
     equal sets are one class, compared once. Null ids take part and are never a component's id unless all
-    of it are null. An empty table gives an empty result.
+    of it are null. A text of any length is one set. Columns beside id and text are left out, whatever their names.
+    An empty table gives an empty result.
 
     A family of candidates with more shingles than FAMILY_SHINGLES is dealt into blocks, and each pair of
     blocks is a task; what a task gives back are edges enough to join its links, at most one a set.

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spread_join, text_bytes, written
+from .shared import in_slices, spread_join, text_bytes, written
 
 #: Stripped at both ends of a line: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -19,7 +19,7 @@ _LINE = "h1 long, h2 long, doc_id long, text_hash long, pos int, first boolean"
 
 def _hash_lines(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             keys, pos, first, runs = [], [], [], []
             for text in text_bytes(batch):
                 n, seen = 0, set()
@@ -46,7 +46,7 @@ def _hash_lines(min_chars: int):
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches):
         n_lines, n_dropped, kept = [], [], []
         for text, drop in zip(text_bytes(batch), batch.column("drop").to_pylist()):
             lines = text.split(b"\n")

@@ -7,6 +7,7 @@ import math
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,13 @@ def spread_join(rows: DataFrame, table: DataFrame, on: list[str], item: str, how
     return salted.join(spread, [*on, "_salt"], how).drop("_salt")
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what is made of their texts is small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def binary_list(column: pa.Array) -> list[bytes]:
     """A string column's UTF-8 values; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
