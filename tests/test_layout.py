@@ -40,6 +40,24 @@ def test_first_similar():
     assert similar.first_similar(keys, 0.7) == want
 
 
+def test_a_ratio_that_cannot_reach_the_least():
+    for a, b in texts(random.Random(5), 100):
+        want = SequenceMatcher(None, a, b).ratio()
+        for least in (0.2, 0.6, want):
+            got = similar.match_ratio(a, b, least)
+            assert got == want if want >= least else want <= got < least
+
+
+def test_many_ratios_of_lines():
+    """500 pairs of lines: well under a second of processor time, as places are compared as bits of one number."""
+    rng = random.Random(8)
+    lines = ["".join(rng.choices("etaoinshrdlu", k=190)) for _ in range(501)]
+    began = time.process_time()
+    for a, b in zip(lines, lines[1:]):
+        similar.match_ratio(a, b)
+    assert time.process_time() - began < 1
+
+
 def brute_cursor(items, entries):
     cursor, out = 0, []
     entries = [(i, similar.dedupe_key(t)) for i, t in entries if similar.dedupe_key(t)]
