@@ -205,10 +205,14 @@ def flattened(json: Column) -> Column:
     return F.when(F.try_parse_json(json).isNotNull(), F.array_join(F.transform(found, shown), " ")).otherwise("")
 
 
-def question_list(value: Column, most: int = 4, chars: int = 240) -> Column:
+#: Where lines end, and white space, of texts of any origin.
+BREAKS, SPACES = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85  ]", r"(?U)\s+"
+
+
+def question_list(value: Column, most: int = 4, chars: int = 240, breaks: str = BREAKS, spaces: str = SPACES) -> Column:
     """Questions of a text, a line each: spaces joined, numbering left out, distinct, cut to ``chars``, ``most``."""
-    line = lambda q: F.regexp_replace(F.trim(F.regexp_replace(q, r"(?U)\s+", " ")), r"^\s*\d+[.、)]\s*", "")
-    found = F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85  ]"), line), lambda q: q != "")
+    line = lambda q: F.regexp_replace(F.regexp_replace(F.regexp_replace(q, spaces, " "), r"^\s*\d+[.、)]\s*", ""), r"^\p{Zs}+|\p{Zs}+$", "")
+    found = F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), breaks), line), lambda q: q != "")
     return F.slice(F.transform(F.array_distinct(found), lambda q: F.substring(q, 1, chars)), 1, most)
 
 

@@ -75,3 +75,24 @@ def test_similar_chunks_of_documents(spark, tmp_path):
     want += [(None, 0, 0, None), (None, 0, 1, 0), (None, 0, 0, None), (None, 0, 1, None)]
     assert got == sorted(want, key=repr)
     assert keys[60:66] == ["fishchips"] * 3 + [""] * 3 and pages[-1] > 0
+
+
+def against_sql(spark, tmp_path, name, table):
+    got = [tuple(r) for r in queries.queries()[name](spark, str(tmp_path)).collect()]
+    want = duckdb.sql(queries.oracle_sql()[name].replace(f"FROM {table}", f"FROM '{tmp_path}/{table}.parquet/*.parquet'")).fetchall()
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    return got
+
+
+def test_grids_of_odd_entities(spark, tmp_path):
+    html = "<ul><li>a &amp;lt; b</li><li>&ampx; &nbsp; &#38; &copy</li></ul><h1>X&&&amp &lt;b&gt; &quot;&#39;&amp;amp;</h1>"
+    spark.createDataFrame([(1, "u", html), (2, "u", "<h1>no items &</h1>"), (3, "u", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = against_sql(spark, tmp_path, "table_grids", "pages")
+    assert (1, 0, 0, 0, "X&&&amp <b> \"'&amp;") in got
+
+
+def test_questions_that_begin_with_numbers(spark, tmp_path):
+    texts = ["28.68.191.238 Den\nA b\nA b\n  1) x\n", "B\r12. c\n3. 4. d\x0b e", "x\u2028y\u00a0 z\n\x1c\u3000", "", None, "\n\n", "é. 1\n" + "7. long " * 60]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = against_sql(spark, tmp_path, "question_lists", "documents")
+    assert (0, "28.68.191.238 Den|A b|1) x") in got
