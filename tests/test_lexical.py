@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 from pyspark.sql import functions as F
 
@@ -54,6 +55,20 @@ def test_a_long_run_and_an_empty_dictionary():
     assert segment.segment(segment.Trie([]), ["变压器", "的", ""]) == [["变压", "压器"], ["的"], []]
 
 
+def test_runs_go_by_blocks_of_bounded_memory(monkeypatch):
+    rng = random.Random(7)
+    words = [*WORDS, ("变" * 50, 1)]
+    runs = ["".join(rng.choice("变压器试验空载损耗温升的") for _ in range(rng.randrange(9))) for _ in range(60_000)]
+    trie = segment.Trie(words)
+    tracemalloc.start()
+    got = segment.segment(trie, runs)
+    peak = tracemalloc.get_traced_memory()[1] - tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert peak < 90e6  # the graph of all runs would be 96 MB, and its list as much again
+    monkeypatch.setattr(segment, "CELLS", 1000)
+    assert segment.segment(trie, runs[:3000]) == got[:3000]
+
+
 def test_words(spark):
     text = "Été naïve 变压器 S20-M 的 空载损耗x"
     df = spark.createDataFrame([(text,), ("",), (None,)], "text string")
