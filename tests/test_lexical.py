@@ -77,6 +77,15 @@ def test_words(spark):
     assert got == [["été", "naïve", "变压", "压器", "变压器", "s20", "m", "的", "空载", "损耗", "空载损耗", "x"], [], None]
 
 
+def test_bigrams_of_odd_letters(spark):
+    """Han beyond 16 bits, radicals that are no letters, kana beside Han, and one expression for all, not one a word."""
+    text = "x变压Y试 ⺀々〇カ变\U00020000验,变\n电"
+    column = segment.bigram_words(F.col("text"))
+    (r,) = spark.createDataFrame([(text,)], "text string").select(column.alias("w")).collect()
+    assert r.w == ["x", "变压", "y", "试", "々〇", "カ", "变\U00020000", "\U00020000验", "变", "电"]
+    assert "lambda" not in str(column)
+
+
 def test_search_tokens(spark):
     text = "<table><tr><td>S20-M.RL-200/10-NX2 200 kVA 空载损耗 标准 5 x</td></tr></table>"
     df = spark.createDataFrame([(text,)], "text string")
