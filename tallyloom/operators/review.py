@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Keys whose cards are counted, to deal out those of very many.
+OFTEN = 1000
+
 
 def above_threshold(candidates: DataFrame, key: str, threshold: float, k: int) -> DataFrame:
     """The ``k`` best by rrf of a key's candidates (id, rrf, route_scores: map) with a route score of
@@ -109,12 +112,20 @@ def selected(array: str, keys: Column) -> Column:
     return F.filter(array, lambda x: F.array_contains(keys, x["key"]))
 
 
-def checked_cards(cards: DataFrame, sources: DataFrame, most_chars: int = 600) -> DataFrame:
+def checked_cards(cards: DataFrame, sources: DataFrame, most_chars: int = 600, part: int = 100_000) -> DataFrame:
     """``cards`` (case_id, position, key, role, quote, value) with ``issue``, the first reason to refuse one, or
     null: a source (key, source, roles) that is not known, a role it has not, a quote that is empty, too long
-    or not in it, a number of the value that is not in the quote, a quote given before."""
+    or not in it, a number of the value that is not in the quote, a quote given before.
+
+    A key that more than ``part`` cards name, known or not, is dealt into parts of about so many, for the OFTEN most
+    frequent keys; its source goes to each part. Cards without a key are dealt like that too."""
     digits = lambda c: F.regexp_extract_all(c, F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
-    met = cards.join(sources, "key", "left")
+    often = cards.agg(F.expr(f"approx_top_k(key, {OFTEN}, {OFTEN * 10})").alias("t")).select(F.explode("t").alias("t")).filter(F.col("t.count") > part)
+    often = F.broadcast(often.select(F.col("t.item").alias("key"), F.ceil(F.col("t.count") / part).cast("int").alias("_parts")))  # OFTEN rows at most
+    parts = F.coalesce("_parts", F.when(F.col("key").isNull(), OFTEN).otherwise(1))
+    dealt = cards.join(often, "key", "left").withColumn("_part", F.pmod(F.xxhash64(*cards.columns), parts).cast("int")).drop("_parts")
+    known = sources.join(often, "key", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    met = dealt.join(known, ["key", "_part"], "left").drop("_part")
     issue = (
         F.when(F.col("source").isNull(), "unknown_key").when(~F.array_contains("roles", F.col("role")), "role").when((F.col("quote") == "") | (F.length("quote") > most_chars), "quote_length")
         .when(~F.contains("source", F.col("quote")), "not_in_source").when(F.size(F.array_except(digits(F.col("value")), digits(F.col("quote")))) > 0, "number")

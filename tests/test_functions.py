@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import checks, claims, intervals, statements, text
-from tallyloom.operators import evalmetrics, evidence, fusion, ledger, matching, ops, review, sequences, tables, vectors
+from tallyloom.operators import evalmetrics, evidence, fusion, ledger, matching, ops, review, sequences, vectors
 from tallyloom.plans import readonly_sql
 from tallyloom.sources import merges, readers
 from tallyloom.streaming import state
@@ -308,3 +308,24 @@ def test_cards(spark):
     sources = spark.createDataFrame([("k", "the limit 5 kV", ["r"])], "key string, source string, roles array<string>")
     got = {r.position: r.issue for r in review.checked_cards(cards, sources).collect()}
     assert got == {0: None, 1: "repeated", 2: "number", 3: "unknown_key", 4: "role"}
+
+
+def spread(spark, df):
+    """Rows of the fullest partition, with nothing merged or broadcast."""
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        return max(r["count"] for r in df().groupBy(F.spark_partition_id().alias("p")).count().collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_cards_of_one_key_are_dealt_out(spark):
+    cards = spark.range(2000).select(F.col("id").alias("case_id"), F.lit(0).alias("position"), F.when(F.col("id") % 10 < 8, "z").when(F.col("id") % 10 == 8, "k").alias("key"), F.lit("r").alias("role"), F.lit("limit 5").alias("quote"), F.lit("5").alias("value"))
+    sources = spark.createDataFrame([("k", "the limit 5 kV", ["r"])], "key string, source string, roles array<string>")
+    checked = lambda: review.checked_cards(cards, sources, part=100)
+    assert {tuple(r) for r in checked().groupBy("key", "issue").count().collect()} == {("z", "unknown_key", 1600), (None, "unknown_key", 200), ("k", None, 200)}
+    assert spread(spark, checked) < 1000
