@@ -8,6 +8,43 @@ from pyspark.sql import functions as F
 from ..functions import statements, text
 
 
+#: Parts into which rows of equal values are dealt, so that a value that very many rows have is no one task.
+PARTS = 64
+
+
+def once(rows: DataFrame, on: list[str], made: Column) -> DataFrame:
+    """``rows`` with ``made``, a value that the columns ``on`` settle, as the column ``made``. It is computed for the first row of
+    each part of the rows of equal ``on`` and carried on to those that follow, in one sort; nothing is read twice or
+    joined back by a value that is frequent."""
+    rest = [c for c in rows.columns if c not in on]
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*rest), F.lit(PARTS)))
+    same = Window.partitionBy(*on, "_part").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = dealt.withColumn("_n", F.row_number().over(same)).withColumn("made", F.when(F.col("_n") == 1, made))
+    return first.withColumn("made", F.first("made", ignorenulls=True).over(same)).drop("_n", "_part")
+
+
+def _chosen(met: DataFrame) -> DataFrame:
+    """``met`` (property, title, headers and others) with ``made``, the column that the property names: state, header and
+    score; null without a property or headers. A property meets a title and a list of headers once a part."""
+    alike = F.transform("headers", lambda h: F.struct(statements.header_similarity(F.col("property"), h).alias("score"), h.alias("header")))
+    pick = lambda c: F.struct(F.lit("unique").alias("state"), c["header"].alias("header"), c["score"].alias("score"))
+    none = lambda s: F.struct(F.lit(s).alias("state"), F.lit(None).cast("string").alias("header"), F.lit(None).cast("double").alias("score"))
+
+    def of(x: Column) -> Column:
+        r, t = x["r"], x["t"]
+        best, qualified = F.element_at(r, 1), F.filter(r, lambda h: h["score"] >= 1)
+        clear = (F.size(r) == 1) | (best["score"] - F.try_element_at(r, F.lit(2))["score"] >= 0.1)
+        by_title = (t >= 0.5) & ((F.size(qualified) == 1) | (F.size(r) == 1))
+        return F.when(best["score"] >= 0.35, F.when(clear, pick(best)).otherwise(none("ambiguous"))).when(by_title, pick(best)).otherwise(none("unbound"))
+
+    ranked = F.struct(F.sort_array(alike, asc=False).alias("r"), text.concept_similarity(F.col("property"), F.col("title")).alias("t"))
+    return once(met, ["property", "title", "headers"], F.when(F.col("property").isNotNull() & F.col("headers").isNotNull(), text.let(ranked, of)))
+
+
+def _listed(headers: DataFrame) -> DataFrame:
+    return headers.groupBy("table_id").agg(F.sort_array(F.collect_set("header")).alias("headers"))
+
+
 def bound_columns(asked: DataFrame, headers: DataFrame) -> DataFrame:
     """claim_id, table_id, state, header, score: the column of a table that a property names. ``asked``: claim_id,
     table_id, property, title; ``headers``: table_id, header, those that state conditions left out.
@@ -15,21 +52,8 @@ def bound_columns(asked: DataFrame, headers: DataFrame) -> DataFrame:
     A header that is alike enough (0.35) and by a margin (0.1) is 'unique', one without the margin 'ambiguous'.
     Where only the table's title is alike, the one qualified or only header does. A table's headers are
     few, so they are ranked as an array."""
-    lists = headers.groupBy("table_id").agg(F.sort_array(F.collect_set("header")).alias("headers"))
-    met = asked.select("claim_id", "table_id", "property", F.coalesce("title", F.lit("")).alias("title")).join(lists, "table_id")
-    # A property meets a title and a list of headers once, however many tables have them.
-    alike = F.transform("headers", lambda h: F.struct(statements.header_similarity(F.col("p"), h).alias("score"), h.alias("header")))
-    g = met.select(F.col("property").alias("p"), F.col("title").alias("of"), F.col("headers").alias("hs"), "headers").distinct()
-    g = g.withColumn("r", F.sort_array(alike, asc=False)).withColumn("t", text.concept_similarity(F.col("p"), F.col("of")))
-    best, qualified = F.element_at("r", 1), F.filter("r", lambda x: x["score"] >= 1)
-    clear = (F.size("r") == 1) | (best["score"] - F.try_element_at("r", F.lit(2))["score"] >= 0.1)
-    pick = lambda c: F.struct(F.lit("unique").alias("state"), c["header"].alias("header"), c["score"].alias("score"))
-    none = lambda s: F.struct(F.lit(s).alias("state"), F.lit(None).cast("string").alias("header"), F.lit(None).cast("double").alias("score"))
-    by_title = (F.col("t") >= 0.5) & ((F.size(qualified) == 1) | (F.size("r") == 1))
-    chosen = F.when(best["score"] >= 0.35, F.when(clear, pick(best)).otherwise(none("ambiguous"))).when(by_title, pick(best)).otherwise(none("unbound"))
-    found = g.select("p", "of", "hs", chosen.alias("c"))
-    same = (F.col("property") == F.col("p")) & (F.col("title") == F.col("of")) & (F.col("headers") == F.col("hs"))
-    return met.join(found, same).select("claim_id", "table_id", "c.*")
+    met = asked.select("claim_id", "table_id", "property", F.coalesce("title", F.lit("")).alias("title")).join(_listed(headers), "table_id")
+    return _chosen(met).filter("made IS NOT NULL").select("claim_id", "table_id", "made.*")
 
 
 def sample_rows(cells: DataFrame, profile: DataFrame) -> DataFrame:
@@ -37,7 +61,8 @@ def sample_rows(cells: DataFrame, profile: DataFrame) -> DataFrame:
     table_id, row, col, header, value, without the property's column; ``profile``: table_id, place,
     parameter, target. From the left each cell gives a parameter that no cell before it gave. Rows that state
     a target exactly are preferred to those whose bounds hold it."""
-    hits = cells.join(profile, "table_id").withColumn("kind", statements.cell_match(F.col("value"), F.col("target"))).filter("kind IS NOT NULL")
+    met = cells.join(profile, "table_id").select("table_id", "row", "col", "place", "parameter", "value", "target")
+    hits = once(met, ["value", "target"], statements.cell_match(F.col("value"), F.col("target"))).withColumnRenamed("made", "kind").filter("kind IS NOT NULL")
     found = hits.groupBy("table_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", "place", "parameter", "kind"))).alias("h"))
     start = F.struct(F.lit(None).cast("long").alias("col"), F.array().cast("array<string>").alias("names"), F.array().cast("array<string>").alias("kinds"))
 
@@ -56,20 +81,18 @@ def table_claims(requirements: DataFrame, cells: DataFrame, profile: DataFrame,
     ``requirements``: claim_id, table_id, title, text, unit, project. The property picks the column, the
     sample's parameters the row, and the claim is compared with the cell under its header. Where a step has
     no one answer the mode is 'fallback' and the reason names the step."""
-    said = [F.col(c).alias(f"_{c}") for c in ("text", "unit", "project")]
-    parsed = requirements.select(*said).distinct().withColumn("r", statements.requirement(F.col("_text"), F.col("_unit"), F.col("_project")))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("text", "unit", "project")]
-    r = requirements.join(parsed, same).select("claim_id", "table_id", "title", "r.*")
-    ready = r.filter("ready").select("claim_id", "table_id", "title", F.col("claim.property").alias("property"))
+    asked = requirements.select("claim_id", "table_id", "title", "text", "unit", "project")
+    parsed = once(asked, ["text", "unit", "project"], statements.requirement(F.col("text"), F.col("unit"), F.col("project")))
+    said = ["text", "unit", "project"]  # what a claim is made of, and is told by
+    r = parsed.select("claim_id", "table_id", *said, F.coalesce("title", F.lit("")).alias("title"), F.col("made.claim").alias("claim"), F.col("made.ready").alias("ready")).withColumn("property", F.when(F.col("ready"), F.col("claim.property")))
     headers = cells.filter(~F.col("header").isin(conditions)).select("table_id", "header").distinct()
-    columns = bound_columns(ready, headers).select("claim_id", "state", F.col("header").alias("target_header"))
     rows = sample_rows(cells.filter(F.col("header").isin(conditions)), profile).groupBy("table_id").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("bound_row"))
+    met = _chosen(r.join(_listed(headers), "table_id", "left").join(rows, "table_id", "left"))
+    met = met.select("claim_id", "table_id", *said, "claim", "ready", "rows", "bound_row", F.col("made.state").alias("state"), F.col("made.header").alias("target_header"))
     target = cells.select(F.col("table_id").alias("t"), F.col("row").alias("cell_row"), F.col("header").alias("h"), F.col("value").alias("cell"))
-    met = r.join(columns, "claim_id", "left").join(rows, "table_id", "left")
     met = met.join(target, (F.col("table_id") == F.col("t")) & (F.col("bound_row") == F.col("cell_row")) & (F.col("target_header") == F.col("h")) & (F.col("rows") == 1), "left")
-    cases = met.filter("cell IS NOT NULL").select(F.col("claim").alias("_claim"), F.col("h").alias("_h"), F.col("cell").alias("_cell")).distinct()
-    results = cases.withColumn("result", statements.compared(F.col("_claim"), statements.claim(F.concat("_h", F.lit(": "), "_cell"))))
-    met = met.join(results, (F.col("claim") == F.col("_claim")) & (F.col("h") == F.col("_h")) & (F.col("cell") == F.col("_cell")), "left")
+    result = F.when(F.col("cell").isNotNull(), statements.compared(F.col("claim"), statements.claim(F.concat("h", F.lit(": "), "cell"))))
+    met = once(met.select("claim_id", *said, "claim", "h", "cell", "ready", "state", "rows"), [*said, "h", "cell"], result).withColumnRenamed("made", "result")
     status = F.when(F.col("result.relation").isin("supports", "equal"), "supported").when(F.col("result.relation").isin("conflicts", "different"), "mismatch")
     reason = (
         F.when(~F.col("ready"), "requirement_not_program_ready").when(F.coalesce("state", F.lit("unbound")) != "unique", "property_not_bound")

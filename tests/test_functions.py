@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import checks, claims, intervals, statements, text
-from tallyloom.operators import evalmetrics, evidence, fusion, ledger, matching, ops, review, sequences, vectors
+from tallyloom.operators import evalmetrics, evidence, fusion, ledger, matching, ops, review, sequences, tables, vectors
 from tallyloom.plans import readonly_sql
 from tallyloom.sources import merges, readers
 from tallyloom.streaming import state
@@ -329,3 +329,15 @@ def test_cards_of_one_key_are_dealt_out(spark):
     checked = lambda: review.checked_cards(cards, sources, part=100)
     assert {tuple(r) for r in checked().groupBy("key", "issue").count().collect()} == {("z", "unknown_key", 1600), (None, "unknown_key", 200), ("k", None, 200)}
     assert spread(spark, checked) < 1000
+
+
+def test_claims_of_one_text_are_dealt_out(spark):
+    ids = spark.range(600)
+    asked = ids.select(F.col("id").alias("claim_id"), F.col("id").alias("table_id"), F.lit("t").alias("title"), F.when(F.col("id") < 500, "额定数量:≤25 kW").alias("text"), F.lit("/").alias("unit"), F.lit(None).cast("string").alias("project"))
+    cell = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.lit(h).alias("header"), F.lit(v).alias("value")) for i, (h, v) in enumerate((("额定数量(kW)", "30"), ("电压(kV)", "2")))]))
+    cells = ids.select(F.col("id").alias("table_id"), F.lit(1).cast("long").alias("row"), cell.alias("c")).select("table_id", "row", "c.*")
+    profile = ids.select(F.col("id").alias("table_id"), F.lit(0).alias("place"), F.lit("voltage").alias("parameter"), F.lit(2.0).alias("target"))
+    claims = lambda: tables.table_claims(asked, cells, profile, ["电压(kV)"])
+    got = claims().groupBy("mode", "status", "reason").count().collect()
+    assert {tuple(r) for r in got} == {("programmatic_table", "supported", "stricter", 500), ("fallback", None, "requirement_not_program_ready", 100)}
+    assert spread(spark, claims) < 300
