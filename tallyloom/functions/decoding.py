@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import codecs
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -19,18 +21,35 @@ for _a, _b, _n, _lo, _hi in _LEADS:
     _LENGTH[_a : _b + 1], _LOW[_a : _b + 1], _HIGH[_a : _b + 1] = _n, _lo, _hi
 #: What stands for bytes that GB18030 has no character for; no decoder gives it.
 _BAD = "\udfff"
+#: Bytes that are looked at side by side, about 40 bytes of memory each, and of the texts that are decoded at once.
+SIDE, ROWS_BYTES = 1 << 20, 4 << 20
 
 
 def valid_utf8(raw: list[bytes]) -> np.ndarray:
-    """Which of the byte strings are UTF-8. All are looked at side by side: every byte is what its leading byte, up to
-    three before it, has it be."""
+    """Which of the byte strings are UTF-8. They are looked at side by side, SIDE bytes at once: every byte is what its
+    leading byte, up to three before it, has it be."""
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    stops = np.cumsum(sizes)
     data = np.frombuffer(b"".join(raw), np.uint8)
     ok = np.ones(len(raw), bool)
     if not len(data) or data.max() < 0x80:
         return ok
-    row = np.repeat(np.arange(len(raw)), sizes)
-    ends = np.cumsum(sizes)[row]
+    for a in range(0, len(data), SIDE):
+        # Three bytes to either side are seen, as leads of what is here and as what is led.
+        low, high = max(a - 3, 0), min(a + SIDE + 3, len(data))
+        here = data[low:high]
+        if here.max() < 0x80:
+            continue
+        at = low + np.flatnonzero(_wrong(here, stops, low))
+        at = at[(at >= a) & (at < a + SIDE)]
+        ok[np.searchsorted(stops, at, side="right")] = False
+    return ok
+
+
+def _wrong(data: np.ndarray, stops: np.ndarray, low: int) -> np.ndarray:
+    """Which bytes of ``data`` are not what UTF-8 has there; strings end at ``stops``, counted from ``low`` bytes before
+    it. Leads of the last three bytes and what is led in the first three are not looked at whole."""
+    ends = stops[np.searchsorted(stops, np.arange(low, low + len(data)), side="right")] - low
     tail = (data & 0xC0) == 0x80
     length = _LENGTH[data]
     wrong = (length == 0) & ~tail
@@ -38,14 +57,12 @@ def valid_utf8(raw: list[bytes]) -> np.ndarray:
     for k in (1, 2, 3):
         at = np.flatnonzero(length > k)
         wrong[at] |= at + k >= ends[at]
-        at = at[at + k < ends[at]]
+        at = at[at + k < np.minimum(ends[at], len(data))]
         led[at + k] += 1
         wrong[at] |= ~tail[at + k]
         if k == 1:
             wrong[at] |= (data[at + 1] < _LOW[data[at]]) | (data[at + 1] > _HIGH[data[at]])
-    wrong |= tail & (led != 1)
-    ok[row[wrong]] = False
-    return ok
+    return wrong | tail & (led != 1)
 
 
 def _mark(error: UnicodeError) -> tuple[str, int]:
@@ -63,9 +80,24 @@ def texts(raw: list[bytes | None]) -> list[str | None]:
     return out
 
 
-@F.pandas_udf(StringType())
-def _texts(raw: pd.Series) -> pd.Series:
-    return pd.Series(texts(raw.tolist()), dtype=object)
+def by_bytes(column: pa.Array | pa.ChunkedArray, each) -> Iterator[list]:
+    """``each`` of the column's values as a list, of texts of about ROWS_BYTES at once."""
+    start = 0
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + ROWS_BYTES, side="right")))
+        yield each(column.slice(start, stop - start).to_pylist())
+        start = stop
+
+
+def mapped(column: pa.Array, each, kind: pa.DataType) -> pa.Array:
+    """``each`` of a batch's values, some MB at once, without Python objects of the whole batch."""
+    return pa.chunked_array([pa.array(x, kind) for x in by_bytes(column, each)], kind).combine_chunks()
+
+
+@F.arrow_udf(StringType())
+def _texts(raw: pa.Array) -> pa.Array:
+    return mapped(raw, texts, pa.string())
 
 
 def decoded(raw: Column) -> Column:

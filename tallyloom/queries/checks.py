@@ -3,7 +3,7 @@ both engines read."""
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -231,9 +231,9 @@ def mojibake_repair(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(checks.repaired(spoilt)).alias("h"))
 
 
-@F.pandas_udf(BinaryType())
-def _in_gb18030(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else t.encode("gb18030"))
+@F.arrow_udf(BinaryType())
+def _in_gb18030(texts: pa.Array) -> pa.Array:
+    return decoding.mapped(texts, lambda some: [None if t is None else t.encode("gb18030") for t in some], pa.binary())
 
 
 @query("SELECT doc_id, md5(CASE doc_id % 4 WHEN 1 THEN chr(65279) || text WHEN 3 THEN text || 'é' || chr(65533) || chr(65533) ELSE text END) AS h FROM documents")

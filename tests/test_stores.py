@@ -3,6 +3,7 @@
 import io
 import json
 import random
+import tracemalloc
 import zipfile
 
 import pytest
@@ -30,6 +31,21 @@ def test_utf8_by_batch():
     assert decoding.valid_utf8(raw).tolist() == want and 100 < sum(want) < len(want)
 
 
+def test_long_texts_are_decoded_in_bounded_memory(monkeypatch):
+    rng = random.Random(5)
+    raw = [bytes(rng.choices(range(256), k=rng.randrange(4))) + "é€𝄞a".encode()[: rng.randrange(11)] for _ in range(3000)]
+    want = decoding.valid_utf8(raw).tolist()
+    monkeypatch.setattr(decoding, "SIDE", 5)
+    assert decoding.valid_utf8(raw).tolist() == want
+    monkeypatch.undo()
+    long = ("é€ " * 1_500_000).encode()
+    tracemalloc.start()
+    assert decoding.valid_utf8([long, long[:-2]]).tolist() == [True, False]
+    assert tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()
+
+
+
 def test_decode_chain(spark):
     rows = [(x.encode(), x) for x in RAW] + [("﻿bom".encode(), "﻿bom"), ("变压器é".encode("gb18030"), "变压器é"), ("�变é".encode("gb18030"), "�变é"), (b"a\xff\xffb", "a��b"), (None, None)]
     rows += [("voilà déjà né".encode().decode("latin1").encode(), "voilà déjà né")]
