@@ -102,3 +102,20 @@ def test_blocks_do_not_change_scores(spark, monkeypatch):
     monkeypatch.setattr(lexical, "QUERIES", 2)
     assert some == [sorted(map(tuple, f.collect())) for f in (lexical.bm25(docs, asked, 7), lexical.tf_idf(docs, asked, 7))]
     assert {r[0] for r in some[0]} == {0, 1, 2} and all(len([r for r in some[0] if r[0] == q]) == 7 for q in (0, 1, 2))
+
+
+def test_bm25_cuts_each_text_once(spark):
+    """What totals are made of is what postings shuffle; rows of one id, empty and null texts count as documents."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def cut(text):
+        calls.add(int(text not in ("a c", "nothing")))
+        return text.split()
+
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "c c c c d"), (3, ""), (4, None), (5, "z")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a c"), (2, "nothing")], "query_id long, text string")
+    got = {r.id: r.score for r in lexical.bm25(docs, asked, 5, cut).collect()}
+    idf, mean = math.log(1 + 5.5 / 1.5), 10 / 4  # 6 documents, of which 4 have 10 words
+    assert got == {1: round(idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 2 / mean)), 6), 2: round(idf * 4 * 2.2 / (4 + 1.2 * (0.25 + 0.75 * 5 / mean)), 6)}
+    assert calls.value == 6
