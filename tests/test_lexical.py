@@ -119,3 +119,32 @@ def test_bm25_cuts_each_text_once(spark):
     idf, mean = math.log(1 + 5.5 / 1.5), 10 / 4  # 6 documents, of which 4 have 10 words
     assert got == {1: round(idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 2 / mean)), 6), 2: round(idf * 4 * 2.2 / (4 + 1.2 * (0.25 + 0.75 * 5 / mean)), 6)}
     assert calls.value == 6
+
+
+def test_rows_of_one_id_are_told_apart_by_their_words(spark):
+    """As in the SQL: a row of postings for each id and list of words, equal lists as one, and a score for each id."""
+    docs = spark.createDataFrame([(7, "a b"), (7, "a c"), (7, "a b"), (8, "z")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a b")], "query_id long, text string")
+    (got,) = lexical.bm25(docs, asked, 5).collect()
+    idf, mean = lambda df: math.log(1 + (4 - df + 0.5) / (df + 0.5)), 7 / 4
+    w = lambda tf: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * 2 / mean))
+    assert (got.id, got.score) == (7, round(idf(2) * (w(1) + w(2)) + idf(1) * w(2), 6))
+
+
+def test_two_routes_share_words_and_make_no_row_for_one(spark, monkeypatch):
+    """Texts are cut and counted once for both routes, in pieces of any size, whether or not the queries' tokens are sent."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def cut(text):
+        calls.add(int(text not in ("a c", "c")))
+        return text.split()
+
+    docs = spark.createDataFrame([(i, "a b c " * (i % 4) + "d") for i in range(40)] + [(40, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a c"), (2, "c")], "query_id long, text string")
+    found = lexical.ranked(docs, asked, 3, ["bm25", "overlap"], {"text": 1}, cut)
+    want = sorted(map(tuple, found.collect()))
+    assert calls.value == 41 and len(want) == 12
+    for what, least in (("TOKENS", 5), ("ASKED", 1)):
+        monkeypatch.setattr(lexical, what, least)
+        assert sorted(map(tuple, lexical.ranked(docs, asked, 3, ["bm25", "overlap"], {"text": 1}, cut).collect())) == want
