@@ -278,6 +278,18 @@ def test_patterns_of_words_and_of_none(spark):
     assert got == [(10, 1), (10, 1), (11, 1), (11, 1), (11, 2), (14, 1), (14, 1), (16, 1), (16, 1), (16, 2)]
 
 
+def test_few_patterns_shuffle_nothing(spark, monkeypatch):
+    """They are looked for where texts are read, with the same rows as by keys and blocks."""
+    texts = ["one two three four five " * 3, "two three", None, "xone two three fourx", "", "five one"]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    patterns = spark.createDataFrame([(i % 90, f"{w} two three f" if i % 7 == 0 else f"{w}{i}") for i, w in enumerate(["one", "two", "five"] * 40)], "pattern_id long, text string")
+    found = matching.containing(docs, patterns)
+    got = sorted(map(tuple, found.collect()))
+    assert got and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(matching, "CHARS", 10)
+    assert got == sorted(map(tuple, matching.containing(docs, patterns).collect()))
+
+
 def test_many_short_patterns(spark, monkeypatch):
     import random
 
