@@ -2,34 +2,34 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], Any], step: Callable[[pd.DataFrame, Any], tuple[pd.DataFrame, Any]], schema) -> DataFrame:
-    """A fold over each key's rows in order: ``step`` takes some of them and the state that the rows before left, and
-    gives their result and the state after. A task streams sorted rows, so of a key of any length it holds a batch."""
+def folded(rows: DataFrame, key: str, order: list[str], columns: list[str], start: Callable[[], Any], step: Callable[..., tuple[Any, Any]], name: str, kind: str) -> DataFrame:
+    """A fold over each key's rows in order: ``step`` takes the state that the rows before left and a row's values of
+    ``columns``, and gives that of the new column ``name`` and the state after. A task streams sorted rows, so of a key of
+    any length it holds a batch, and short keys cost no more than their rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, begun = None, None, False
-        for pdf in batches:
-            own, out = pdf[key], []
-            new = ~(own.eq(own.shift()) | own.isna() & own.shift().isna())
-            for _, part in pdf.groupby(new.cumsum(), sort=False):
-                k = part[key].iloc[0]
-                if not begun or not (k == now or pd.isna(k) and pd.isna(now)):
-                    state = start()
-                now, begun = k, True
-                made, state = step(part, state)
-                out.append(made)
-            if out:
-                yield pd.concat(out)
-
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+        for batch in batches:
+            out = []
+            for k, *values in zip(*(batch.column(c).to_pylist() for c in (key, *columns))):
+                if not begun or not (k == now or k != k and now != now):
+                    now, state, begun = k, start(), True
+                value, state = step(state, *values)
+                out.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.type_for_alias(kind))], [*batch.schema.names, name])
+
+    schema = rows.withColumn(name, F.lit(None).cast({"int64": "long"}.get(kind, kind))).schema
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def carried_titles(rows: DataFrame, keys: list[str], order: str, title: str, continued: Column) -> Column:
@@ -89,32 +89,26 @@ def section_paths(rows: DataFrame, key: str, order: str, level: str, title: str)
     """path: the titles of the headings that enclose each row; a row of null level is text under the last. What is held
     of a key are the headings that are open."""
 
-    def step(pdf: pd.DataFrame, stack: list) -> tuple[pd.DataFrame, list]:
-        paths = []
-        for depth, name in zip(pdf[level], pdf[title]):
-            if pd.notna(depth):
-                stack = [s for s in stack if s[0] < depth] + [(depth, name)]
-            paths.append(" / ".join(s[1] for s in stack))
-        return pdf.assign(path=paths), stack
+    def step(stack: list, depth: int | None, name: str) -> tuple[str, list]:
+        if depth is not None:
+            stack = [s for s in stack if s[0] < depth] + [(depth, name)]
+        return " / ".join(s[1] for s in stack), stack
 
-    return folded(rows, key, [order], list, step, rows.withColumn("path", F.lit("")).schema)
+    return folded(rows, key, [order], [level, title], list, step, "path", "string")
 
 
 def packed(rows: DataFrame, key: str, order: str, size: str, most_size: int, most_rows: int = 1 << 30) -> DataFrame:
     """part: rows of a key in order, a new part where size or number would pass its limit. What a part holds
     decides where the next begins, so each document is walked in order."""
 
-    def step(pdf: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
+    def step(state: tuple, s: float | None) -> tuple[int, tuple]:
         part, held, n = state
-        parts = []
-        for s in pdf[size]:
-            if n and (held + s > most_size or n >= most_rows):
-                part, held, n = part + 1, 0, 0
-            held, n = held + s, n + 1
-            parts.append(part)
-        return pdf.assign(part=parts), (part, held, n)
-
-    return folded(rows, key, [order], lambda: (0, 0, 0), step, rows.withColumn("part", F.lit(0).cast("long")).schema)
+        s = math.nan if s is None else s  # no size passes its limit from there on
+        if n and (held + s > most_size or n >= most_rows):
+            part, held, n = part + 1, 0, 0
+        return part, (part, held + s, n + 1)
+
+    return folded(rows, key, [order], [size], lambda: (0, 0, 0), step, "part", "int64")
 
 
 def budget_prefix(rows: DataFrame, key: str, order: str, size: str, limit: int, least: int) -> DataFrame:

@@ -271,6 +271,27 @@ def test_table_claims(spark, rows, asked, want):
     assert (got.mode, got.status, got.reason) == want
 
 
+def test_a_fold_goes_by_batches_and_not_by_keys(spark):
+    """Short keys share a batch, long ones have many; null keys are one, and a null size ends what is told by sizes."""
+    sizes = {k: [(i * 7 + (k or 3)) % 50 for i in range((k or 0) % 9 * 3 + 1)] for k in [None, *range(60)]}
+    rows = spark.createDataFrame([(k, i, n) for k, ns in sizes.items() for i, n in enumerate(ns)] + [(99, 0, 90), (99, 1, None), (99, 2, 90)], "k long, o long, n long").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        df = sequences.packed(rows, "k", "o", "n", 100, 4)
+        got = {(r.k, r.o): r.part for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()  # a table of pandas' for each key took a millisecond
+    for k, ns in sizes.items():
+        part, held, n = 0, 0, 0
+        for i, s in enumerate(ns):
+            if n and (held + s > 100 or n >= 4):
+                part, held, n = part + 1, 0, 0
+            held, n = held + s, n + 1
+            assert got[k, i] == part
+    assert [got[99, i] for i in range(3)] == [0, 0, 0]
+
+
 def test_patterns_of_words_and_of_none(spark):
     docs = spark.createDataFrame([(1, "one two three four"), (1, "one two three four"), (2, "xone two  three"), (3, None), (4, "")], "doc_id long, text string")
     patterns = spark.createDataFrame([(10, "ne two thr"), (11, "two"), (12, ""), (13, None), (14, "one two three"), (15, "a b c"), (16, " two ")], "pattern_id long, text string")
