@@ -24,8 +24,13 @@ def reciprocal_ranks(routes: DataFrame, keys: list[str], k: int = RRF_K, tie: st
 
 def merge_lists(dense: DataFrame, lexical: DataFrame, keys: list[str]) -> DataFrame:
     """Two lists (keys, id, rrf, sources) as one: rrf summed where both have a candidate, sources united."""
-    both = dense.select(*keys, "id", "rrf", "sources").unionByName(lexical.select(*keys, "id", "rrf", "sources"))
-    return both.groupBy(*keys, "id").agg(F.round(F.sum("rrf"), 9).alias("rrf"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+    return merged_rows(dense.select(*keys, "id", "rrf", "sources").unionByName(lexical.select(*keys, "id", "rrf", "sources")), keys)
+
+
+def merged_rows(lists: DataFrame, keys: list[str]) -> DataFrame:
+    """As merge_lists() of lists that are rows of one table. Lists that one search has found are not parted before,
+    since each part would search again."""
+    return lists.groupBy(*keys, "id").agg(F.round(F.sum("rrf"), 9).alias("rrf"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
 
 
 def concatenated(routes: DataFrame, keys: list[str], order: dict[str, int]) -> DataFrame:

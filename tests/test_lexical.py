@@ -7,8 +7,11 @@ import tracemalloc
 
 from pyspark.sql import functions as F
 
+from tallyloom import queries
 from tallyloom.functions import segment
-from tallyloom.operators import lexical
+from tallyloom.operators import fusion, lexical
+
+from .conftest import SF
 
 WORDS = [("变压器", 50), ("变压", 9), ("压器", 3), ("试验", 80), ("空载", 30), ("损耗", 40), ("空载损耗", 12), ("温升", 20), ("升", 6), ("器试", 1), ("变压器试验", 2)]
 
@@ -148,3 +151,17 @@ def test_two_routes_share_words_and_make_no_row_for_one(spark, monkeypatch):
     for what, least in (("TOKENS", 5), ("ASKED", 1)):
         monkeypatch.setattr(lexical, what, least)
         assert sorted(map(tuple, lexical.ranked(docs, asked, 3, ["bm25", "overlap"], {"text": 1}, cut).collect())) == want
+
+
+def searches(df):
+    """How many times documents are scored."""
+    return df._jdf.queryExecution().executedPlan().toString().count("FlatMapCoGroupsInArrow")
+
+
+def test_lists_of_one_search_are_merged_without_another(spark):
+    assert searches(queries.queries()["merged_lists"](spark, SF)) == 1
+    rows = [(1, 7, 0.25, ["b"]), (1, 8, 0.5, ["b"]), (1, 7, 0.125, ["a"]), (2, 7, 0.5, ["a"]), (2, 9, 0.25, ["a"])]
+    lists = spark.createDataFrame(rows, "query_id long, id long, rrf double, sources array<string>")
+    got = sorted(map(tuple, fusion.merged_rows(lists, ["query_id"]).collect()))
+    assert got == [(1, 7, 0.375, ["a", "b"]), (1, 8, 0.5, ["b"]), (2, 7, 0.5, ["a"]), (2, 9, 0.25, ["a"])]
+    assert got == sorted(map(tuple, fusion.merge_lists(lists.filter("sources[0] = 'b'"), lists.filter("sources[0] = 'a'"), ["query_id"]).collect()))
