@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF_K = 60
@@ -13,11 +13,11 @@ def rank_in(df: DataFrame, keys: list[str], order: list, name: str = "rank") ->
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
-def reciprocal_ranks(routes: DataFrame, keys: list[str], k: int = RRF_K, tie: str = "desc") -> DataFrame:
+def reciprocal_ranks(routes: DataFrame, keys: list[str], k: int = RRF_K, tie: str = "desc", **more: Column) -> DataFrame:
     """keys, id, rrf, best, routes, rank from rows (keys, route, id, rank, score): the sum of 1 / (k + rank),
     in order of rrf and best score, ties to larger ids ('desc') or smaller ('asc'). Ranks are as given: those
-    of rows that a threshold has dropped stay unused."""
-    fused = routes.groupBy(*keys, "id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("rrf"), F.max("score").alias("best"), F.count_distinct("route").alias("routes"))
+    of rows that a threshold has dropped stay unused. ``more``: further aggregates of a candidate by name."""
+    fused = routes.groupBy(*keys, "id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("rrf"), F.max("score").alias("best"), F.count_distinct("route").alias("routes"), *[c.alias(n) for n, c in more.items()])
     last = F.col("id").desc() if tie == "desc" else F.col("id").asc()
     return rank_in(fused, keys, [F.col("rrf").desc(), F.col("best").desc(), last])
 
@@ -50,6 +50,17 @@ def with_reserves(pool: DataFrame, special: DataFrame, keys: list[str], reserve:
     return pool.select(*keys, "id", "rrf").unionByName(held).groupBy(*keys, "id").agg(F.round(F.sum("rrf"), 9).alias("rrf"))
 
 
+def with_reserves_of(routes: DataFrame, keys: list[str], route: str, pool: int, reserve: int, k: int = RRF_K, double_count: bool = False) -> DataFrame:
+    """As with_reserves() where both are of the same ``routes`` (keys, route, id, rank, score), which are read once: the
+    ``pool`` first rows of reciprocal_ranks(), and the ``reserve`` first of ``route``."""
+    placed = rank_in(routes, [*keys, "route"], [F.col("rank").asc(), F.col("score").desc(), F.col("id").asc()], "place")
+    held = F.sum(F.when((F.col("route") == route) & (F.col("place") <= reserve), F.round(1.0 / (k + F.col("rank")), 9)))
+    fused = reciprocal_ranks(placed, keys, k, held=held)
+    pooled = F.col("rrf") + F.coalesce("held", F.lit(0.0)) if double_count else F.col("rrf")
+    inside = F.col("rank") <= pool
+    return fused.filter(inside | F.col("held").isNotNull()).select(*keys, "id", F.round(F.when(inside, pooled).otherwise(F.col("held")), 9).alias("rrf"))
+
+
 def typed_quota(ranked: DataFrame, keys: list[str], quotas: dict[str, int], default: int = 0) -> DataFrame:
     """The first rows of each type by rank, as many as its quota."""
     limit = F.coalesce(*[F.when(F.col("type") == t, n) for t, n in quotas.items()], F.lit(default))

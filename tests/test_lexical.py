@@ -165,3 +165,17 @@ def test_lists_of_one_search_are_merged_without_another(spark):
     got = sorted(map(tuple, fusion.merged_rows(lists, ["query_id"]).collect()))
     assert got == [(1, 7, 0.375, ["a", "b"]), (1, 8, 0.5, ["b"]), (2, 7, 0.5, ["a"]), (2, 9, 0.25, ["a"])]
     assert got == sorted(map(tuple, fusion.merge_lists(lists.filter("sources[0] = 'b'"), lists.filter("sources[0] = 'a'"), ["query_id"]).collect()))
+
+
+def test_reserves_of_one_search_are_held_without_another(spark):
+    """The same rows as from a pool and a special route of their own, with ties and whether or not both count."""
+    assert searches(queries.queries()["reserved_routes"](spark, SF)) == 1
+    rng = random.Random(6)
+    rows = [(q, r, i, n + 1, float(9 - n // 2)) for q in range(6) for r in ("bm25", "overlap") for n, i in enumerate(rng.sample(range(12), rng.randrange(9)))]
+    routes = spark.createDataFrame(rows, "query_id long, route string, id long, rank long, score double")
+    pool = fusion.reciprocal_ranks(routes, ["query_id"]).filter("rank <= 4")
+    special = routes.filter("route = 'overlap'").withColumn("rrf", F.round(1.0 / (60 + F.col("rank")), 9)).withColumnRenamed("rank", "route_rank")
+    for twice in (False, True):
+        want = sorted(map(tuple, fusion.with_reserves(pool, special, ["query_id"], 3, twice).collect()))
+        got = fusion.with_reserves_of(routes, ["query_id"], "overlap", 4, 3, double_count=twice)
+        assert got.columns == ["query_id", "id", "rrf"] and sorted(map(tuple, got.collect())) == want and len(want) > 20
