@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def folded(rows: DataFrame, key: str, order: list[str], columns: list[str], start: Callable[[], Any], step: Callable[..., tuple[Any, Any]], name: str, kind: str) -> DataFrame:
+def folded(rows: DataFrame, key: str, order: list[str | Column], columns: list[str], start: Callable[[], Any], step: Callable[..., tuple[Any, Any]], name: str, kind: str) -> DataFrame:
     """A fold over each key's rows in order: ``step`` takes the state that the rows before left and a row's values of
     ``columns``, and gives that of the new column ``name`` and the state after. A task streams sorted rows, so of a key of
     any length it holds a batch, and short keys cost no more than their rows."""

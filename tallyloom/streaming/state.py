@@ -26,15 +26,26 @@ def _decide(rows: pd.DataFrame, start, used: int, limit: int, window: pd.Timedel
     return rows.assign(allowed=allowed, used=counts)[["key", "event_id", "allowed", "used"]], start, used
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """An event without key or time is in no window."""
+    return events.filter("key IS NOT NULL AND ts IS NOT NULL")
+
+
 def rate_limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     """key, event_id, allowed, used for ``events`` (key, event_id, ts), by fixed windows of each key: a fold whose
-    state is a window's start and what is used of it, however many events a key has."""
+    state is a window's start and what is used of it, however many events a key has. Events without key or time are
+    left out."""
 
-    def step(pdf: pd.DataFrame, held: tuple) -> tuple[pd.DataFrame, tuple]:
-        out, start, used = _decide(pdf, *held, limit, pd.Timedelta(seconds=seconds))
-        return out, (start, used)
+    def step(held: tuple, t: int) -> tuple[int, tuple]:
+        start, used = held
+        if start is None or t >= start + seconds * 1_000_000:
+            start, used = t, 0
+        return used + 1, (start, used + 1)
 
-    return folded(events, "key", ["ts", "event_id"], lambda: (None, 0), step, _DECISION)
+    # Microseconds are the same in any zone, and cost no object each.
+    rows = _timed(events).select("key", "event_id", F.unix_micros("ts").alias("t"))
+    used = folded(rows, "key", ["t", F.col("event_id").asc_nulls_last()], ["t"], lambda: (None, 0), step, "used", "int64")
+    return used.select("key", "event_id", (F.col("used") <= limit).alias("allowed"), "used")
 
 
 def rate_limited_stream(events: DataFrame, limit: int, seconds: int) -> DataFrame:
@@ -53,7 +64,7 @@ def rate_limited_stream(events: DataFrame, limit: int, seconds: int) -> DataFram
         state.setTimeoutTimestamp(int((start + pd.Timedelta(seconds=seconds)).timestamp() * 1000) + 1)
         yield out
 
-    return events.withWatermark("ts", "0 seconds").groupBy("key").applyInPandasWithState(step, _DECISION, "start string, used long", "append", GroupStateTimeout.EventTimeTimeout)
+    return _timed(events).withWatermark("ts", "0 seconds").groupBy("key").applyInPandasWithState(step, _DECISION, "start string, used long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def reserved(events: DataFrame, seconds: int) -> DataFrame:

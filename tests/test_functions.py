@@ -1,8 +1,10 @@
 """Literal cases of functions, sequences, fusion and the read-only gate."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom import queries
 from tallyloom.functions import checks, claims, intervals, statements, text
 from tallyloom.operators import evalmetrics, evidence, fusion, ledger, matching, ops, review, sequences, tables, vectors
 from tallyloom.plans import readonly_sql
@@ -202,6 +204,27 @@ def test_streams_equal_batches(spark, tmp_path):
     assert once.count() == 3
 
 
+@pytest.fixture
+def odd_events(spark, tmp_path):
+    """Events, and what a query's SQL gives for them with windows of an hour: a key over many batches, no key, no time, no
+    id, equal times, and an hour that a clock has twice."""
+    at = lambda m: f"2024-11-03 {4 + m // 60:02d}:{m % 60:02d}:00+00:00"
+    rows = [("hot", i, at(7 * i % 240)) for i in range(200)] + [(None, 1, at(0)), (None, 2, at(1)), ("a", 3, None), ("a", 4, at(5)), ("a", None, at(5)), ("a", 5, at(65)), ("a", 6, at(184)), ("b", 7, None)]
+    events = spark.createDataFrame(rows, "key string, event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.select(F.col("key").alias("user_id"), "event_id", F.col("ts").cast("timestamp_ntz").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    yield events, lambda name, hours: duckdb.sql(queries.oracle_sql()[name].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'").replace(f"INTERVAL {hours} HOUR", "INTERVAL 1 HOUR")).fetchall()
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_limits_of_odd_events(odd_events):
+    events, by_sql = odd_events
+    got = sorted(map(tuple, state.rate_limited(events, 5, 3600).collect()), key=repr)
+    assert got == sorted(by_sql("rate_limiter", 6), key=repr) and len(got) == 204
+
+
 def test_reports(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"scope": "full", "finished_at": "2024-01-02", "cases": [{"case_id": "1", "status": "match"}]}')
     (tmp_path / "b.json").write_text('{"scope": "full"}')
