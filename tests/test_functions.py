@@ -225,6 +225,12 @@ def test_limits_of_odd_events(odd_events):
     assert got == sorted(by_sql("rate_limiter", 6), key=repr) and len(got) == 204
 
 
+def test_reservations_of_odd_events(odd_events):
+    events, by_sql = odd_events
+    got = sorted(map(tuple, state.reserved(events, 3600).collect()), key=repr)
+    assert got == sorted(by_sql("idempotency_keys", 24), key=repr) and len(got) == 7
+
+
 def test_reports(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"scope": "full", "finished_at": "2024-01-02", "cases": [{"case_id": "1", "status": "match"}]}')
     (tmp_path / "b.json").write_text('{"scope": "full"}')
