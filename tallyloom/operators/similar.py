@@ -24,7 +24,10 @@ BACK, AHEAD, FLOOR = 1, 6, 0.30
 
 def dedupe_key(text: str | None) -> str:
     """The text in lower case without tags, entities decoded, of word characters only."""
-    return re.sub(r"\W+", "", unescape(re.sub(r"<[^>]+>", "", text or "")).lower())
+    text = re.sub(r"<[^>]+>", "", text or "")
+    if "&#" in text:  # unescape() fails on numbers of over 4,300 digits; none of eight is a character
+        text = re.sub(r"&#[1-9][0-9]{7,};?", "\ufffd", re.sub(r"&#0+(?=[0-9])", "&#", text))
+    return re.sub(r"\W+", "", unescape(text).lower())
 
 
 @F.pandas_udf(StringType())
@@ -144,7 +147,7 @@ def _letters(keys: list[str]) -> np.ndarray:
     flat = codes("".join(keys))
     seen, at = np.unique(flat, return_inverse=True)
     of = np.repeat(np.arange(len(keys)), np.fromiter(map(len, keys), np.int64, len(keys)))
-    return np.bincount(of * len(seen) + at, minlength=len(keys) * len(seen)).reshape(len(keys), -1)
+    return np.bincount(of * len(seen) + at, minlength=len(keys) * len(seen)).reshape(len(keys), len(seen))
 
 
 def first_similar(keys: list[str], ratio: float) -> list[int | None]:

@@ -77,6 +77,16 @@ def test_similar_chunks_of_documents(spark, tmp_path):
     assert keys[60:66] == ["fishchips"] * 3 + [""] * 3 and pages[-1] > 0
 
 
+def test_similar_chunks_of_pages_without_words(spark, tmp_path):
+    """A page may hold no key at all: an empty text, rules, and what a last line break leaves on a page of its own."""
+    number = "&#" + "0" * 5000 + "65;b&#" + "9" * 5000 + ";"
+    rows = [(1, ""), (2, "---\n\n***"), (3, "a" * 2999 + "\n"), (4, f"{number}\nab"), (5, "&#0;&#00;&#12345678;&#x110000;&\nx\nX")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.queries()["similar_chunks"](spark, str(tmp_path)).select("doc_id", "page", "id", "similar_to").collect()))
+    assert got == [(1, 0, 0, None), (2, 0, 0, None), (2, 0, 1, None), (2, 0, 2, None), (3, 0, 0, None), (3, 1, 1, None), (4, 0, 0, None), (4, 3, 1, None), (5, 0, 0, None), (5, 0, 1, None), (5, 0, 2, 1)]
+    assert similar.dedupe_key(number) == "ab"
+
+
 def against_sql(spark, tmp_path, name, table):
     got = [tuple(r) for r in queries.queries()[name](spark, str(tmp_path)).collect()]
     want = duckdb.sql(queries.oracle_sql()[name].replace(f"FROM {table}", f"FROM '{tmp_path}/{table}.parquet/*.parquet'")).fetchall()
