@@ -155,7 +155,7 @@ def test_texts_of_a_gold_corpus_are_hashed_where_they_are_read(spark):
     assert line("sha2(") > line("Join Inner")
 
 
-@pytest.mark.parametrize("name", ["gold_cases"])
+@pytest.mark.parametrize("name", ["gold_gates", "gold_cases"])
 def test_gold_of_odd_tables_by_sql(spark, tmp_path, name):
     """Copies of a text, a doc_id of several texts, locators that meet, nulls, lines without an order and orders without lines."""
     rng = random.Random(5)
